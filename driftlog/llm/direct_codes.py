@@ -19,7 +19,6 @@ allowed. Extra columns are ignored. An empty table gives no file.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -178,18 +177,6 @@ class WordEncoder:
         return flat, sums_by(np.searchsorted(starts, offsets), sizes)
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        base = "file://" + tempfile.gettempdir() + "/driftlog-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, encoder: Callable[[], WordEncoder], end: int, folder: str, files: int | None = None, ids_per_file: int = 8 << 20) -> list[tuple[str, int, int]]:
     """Write the ids of all documents; ``(file, documents, ids)`` of each file, in the order of the ids."""
     spark = docs.sparkSession

@@ -31,16 +31,97 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm import direct_codes as codes
+    from driftlog.llm.staging import shared_folder
 
     path = _tokenizer("word_bpe_49k.json")
-    files = codes.write(table(spark, sf_dir, "documents"), lambda: codes.WordEncoder(path), 1, codes.shared_folder(spark, "token-ids"))
+    files = codes.write(table(spark, sf_dir, "documents"), lambda: codes.WordEncoder(path), 1, shared_folder(spark, "token-ids"))
     return codes.read(spark, files)
 
 
+def _fold(n: int):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftlog.llm import quality_classifier as quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(_fold(3) != 1))
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm import quality_rules as rules
+
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.decontamination import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftlog.llm import language_id as lang
+
+    docs = table(spark, sf_dir, "documents")
+    model = lang.fit(docs.where(F.coalesce(_fold(4) != 2, F.lit(True))))
+    return lang.predict(docs, model).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents where doc_id is not null
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) end) as g from w
+), n as (select doc_id, count(*) as n from s group by 1),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c * 1000 >= 800 * (x.n + y.n - c)
+), r(a, b) as (
+  select doc_id, doc_id from w union select r.a, l.b from r join l on r.b = l.a
+)
+select d.doc_id, (select min(b) from r where r.a = d.doc_id) as class_id, (select count(*) from l where l.a = d.doc_id) as n_links from w d
+""",
+    "op6_decontamination": """
+with d as (
+  select doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') as w from documents where text is not null and doc_id is not null
+), i as (
+  select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w from benchmark where text is not null
+), s as (
+  select distinct item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), j -> array_to_string(w[j:j + least(len(w), 5) - 1], ' '))) as g from i where len(w) > 0
+), t as (
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), j -> array_to_string(w[j:j + k - 1], ' '))) as g from d, (select distinct least(len(w), 5) as k from i where len(w) > 0) where len(w) >= k
+), n as (select item_id, count(*) as n from s group by 1)
+select doc_id, item_id, count(*) as n_shared, max(n) as n_shingles, count(*) / max(n) as containment
+from t join s using (g) join n using (item_id) group by 1, 2 having count(*) * 1000 >= max(n) * 800
+""",
+}
