@@ -99,7 +99,7 @@ def _split(rows: DataFrame, runs: int, similarity: float) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of whole groups of sorted rows, and where each group starts (one more at the end)."""
+    """Batches of whole groups of sorted rows, and the bounds of the groups."""
     left = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
@@ -159,7 +159,7 @@ def _candidates(most: int) -> Callable:
         for batch, starts in _groups(batches, ["leaf", "block_a", "block_b"]):
             leaf, side, _, sketches, bounds, values = _columns(batch)
             keep = np.zeros(batch.num_rows, bool)
-            for a, b in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if b - a > 1:
                     x, y = _alike(sketches[a:b], side[a:b], [values[bounds[i] : bounds[i + 1]] for i in range(a, b)], int(leaf[a]), most)
                     keep[a + x] = keep[a + y] = True
@@ -192,7 +192,7 @@ def _verified(most: int, similarity: float) -> Callable:
             leaf, side, ids, sketches, bounds, values = _columns(batch)
             weights, raw = np.asarray(batch.column("weight")), batch.column("shingles")
             out: list[list] = [[], [], []]
-            for a, b in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 x, y = _alike(sketches[a:b], side[a:b], [values[bounds[i] : bounds[i + 1]] for i in range(a, b)], int(leaf[a]), most)
                 if not len(x):
                     continue

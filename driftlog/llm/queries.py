@@ -97,10 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": """
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents where doc_id is not null
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null
 ), s as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) end) as g from w
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as g from w
 ), n as (select doc_id, count(*) as n from s group by 1),
 p as (
   select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
@@ -115,11 +115,11 @@ select d.doc_id, (select min(b) from r where r.a = d.doc_id) as class_id, (selec
 with d as (
   select doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') as w from documents where text is not null and doc_id is not null
 ), i as (
-  select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w from benchmark where text is not null
+  select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from benchmark where text is not null
 ), s as (
-  select distinct item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), j -> array_to_string(w[j:j + least(len(w), 5) - 1], ' '))) as g from i where len(w) > 0
+  select distinct item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda j: array_to_string(w[j:j + least(len(w), 5) - 1], ' '))) as g from i where len(w) > 0
 ), t as (
-  select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), j -> array_to_string(w[j:j + k - 1], ' '))) as g from d, (select distinct least(len(w), 5) as k from i where len(w) > 0) where len(w) >= k
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) as g from d, (select distinct least(len(w), 5) as k from i where len(w) > 0) where len(w) >= k
 ), n as (select item_id, count(*) as n from s group by 1)
 select doc_id, item_id, count(*) as n_shared, max(n) as n_shingles, count(*) / max(n) as containment
 from t join s using (g) join n using (item_id) group by 1, 2 having count(*) * 1000 >= max(n) * 800

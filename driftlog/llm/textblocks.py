@@ -143,10 +143,10 @@ def shingles(word_hash: np.ndarray, rows: np.ndarray, n_rows: int, k: int = 5) -
     first = np.cumsum(counts) - counts
     extra = np.zeros(len(short_rows), U64)
     for i, r in enumerate(short_rows):
-        h = U64(0)
-        for w in word_hash[first[r] : first[r] + counts[r]]:
-            h = mix(np.array([h * U64(0x100000001B3) + w], U64))[0]
-        extra[i] = h
+        h = np.zeros(1, U64)
+        for j in range(first[r], first[r] + counts[r]):
+            h = mix(h * U64(0x100000001B3) + word_hash[j : j + 1])
+        extra[i] = h[0]
     if n >= k:
         m = n - k + 1
         h = np.zeros(m, U64)
