@@ -1,0 +1,203 @@
+"""Masked pseudo-likelihood of texts under a bidirectional window network over bytes.
+
+A token is a byte; it is predicted from the ``SIDE`` bytes before and after it by an embedding,
+a hidden layer and a softmax, in NumPy. The windows of all documents are counted (blocks first,
+then tasks, then by a shuffle), so the training table has each distinct window once with its
+corpus count. Training goes in rounds: every partition of that table takes one pass of minibatch
+Adam from the common parameters, weighted by the counts, and the results are averaged by weight
+in Spark. Scores are the sums of the log-probabilities of all bytes; a block asks the network
+once for each distinct context.
+
+Null and empty texts have 0 tokens, the sum 0 and no mean. Repeated rows are scored each; they
+count in training as often as they occur. Other columns are ignored. With no text at all the
+network stays at its start.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftlog.llm.staging import staged
+from driftlog.llm.textblocks import blocks, flat, ship
+
+SIDE, EMBED, HIDDEN = 2, 8, 48
+SHAPES = {"e": (256, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, 256), "c": (256,)}
+
+
+def start(seed: int = 1) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    scale = {"e": 0.5, "w": (2 * SIDE * EMBED) ** -0.5, "b": 0.0, "v": HIDDEN**-0.5, "c": 0.0}
+    return {k: (rng.normal(0, 1, s) * scale[k]).astype(np.float32) for k, s in SHAPES.items()}
+
+
+def pack(params: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([params[k].ravel() for k in SHAPES])
+
+
+def unpack(flat_params: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, s in SHAPES.items():
+        n = int(np.prod(s))
+        out[k] = np.asarray(flat_params[at : at + n], np.float32).reshape(s)
+        at += n
+    return out
+
+
+def contexts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per byte, the bytes around it as one integer (left ones high); 0 stands for what lies outside the text."""
+    out = np.zeros(len(raw), np.int64)
+    at = np.arange(len(raw))
+    sizes = np.diff(offsets)
+    first, last = np.repeat(offsets[:-1], sizes), np.repeat(offsets[1:], sizes)
+    for d in (*range(-SIDE, 0), *range(1, SIDE + 1)):
+        there = np.zeros(len(raw), np.int64)
+        if d < 0:
+            there[-d:] = raw[:d]
+            there[at + d < first] = 0
+        else:
+            there[:-d] = raw[d:]
+            there[at + d >= last] = 0
+        out = out << 8 | there
+    return out
+
+
+def _forward(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    shifts = np.arange(2 * SIDE - 1, -1, -1) * 8
+    codes = context[:, None] >> shifts[None, :] & 255
+    x = p["e"][codes].reshape(len(context), -1)
+    h = np.tanh(x @ p["w"] + p["b"])
+    s = h @ p["v"]
+    s += p["c"]
+    s -= s.max(axis=1, keepdims=True)
+    s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
+    return codes, x, h, s
+
+
+def gradients(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean of the loss and its gradients."""
+    codes, x, h, lp = _forward(p, context)
+    at, share = np.arange(len(token)), (weight / weight.sum()).astype(np.float32)
+    loss = -float((share * lp[at, token]).sum())
+    d = np.exp(lp)
+    d[at, token] -= 1
+    d *= share[:, None]
+    dh = (d @ p["v"].T) * (1 - h * h)
+    e = np.zeros_like(p["e"])
+    np.add.at(e, codes.ravel(), (dh @ p["w"].T).reshape(-1, EMBED))
+    return loss, {"e": e, "w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ d, "c": d.sum(axis=0)}
+
+
+def one_pass(params: dict[str, np.ndarray], keys: np.ndarray, counts: np.ndarray, rate: float, batch: int = 1024, seed: int = 0) -> dict[str, np.ndarray]:
+    """Adam over all windows once, in an order drawn with the seed."""
+    p = {k: v.copy() for k, v in params.items()}
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    order = np.random.default_rng(seed).permutation(len(keys))
+    for step, lo in enumerate(range(0, len(order), batch), 1):
+        pick = order[lo : lo + batch]
+        _, grads = gradients(p, keys[pick] >> 8, keys[pick] & 255, counts[pick].astype(np.float64))
+        for k, g in grads.items():
+            m, v = moments[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return p
+
+
+def window_counts(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``(window, n)`` of every distinct window of all documents: context and byte as one integer, and its count."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], ["window", "n"])
+
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                raw, offsets = flat(part.column("text"))
+                if len(raw):
+                    held.append(np.unique(contexts(raw, offsets) << 8 | raw, return_counts=True))
+                    if sum(len(k) for k, _ in held) > 2 * most:
+                        held = [merged()]
+                        if len(held[0][0]) > most:
+                            yield from out(*held.pop())
+        if held:
+            yield from out(*merged())
+
+    return docs.select("text").mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """Train on the windows of all documents."""
+    spark = docs.sparkSession
+    table, params = staged(window_counts(docs), "windows"), start()
+    for r in range(rounds):
+        shared, step = spark.sparkContext.broadcast(params), rate / (r + 1)  # 65 KB
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, step=step, seed=r) -> Iterator[pa.RecordBatch]:
+            p, weight, held = shared.value, 0, []
+
+            def learn() -> None:
+                nonlocal p, weight
+                keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(keys)
+                p = one_pass(p, keys[order], n[order], step, seed=seed)
+                weight += int(n.sum())
+                held.clear()
+
+            for batch in batches:
+                held.append((np.asarray(batch.column("window")), np.asarray(batch.column("n"))))
+                if sum(len(k) for k, _ in held) >= 1 << 20:
+                    learn()
+            if held:
+                learn()
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([pack(p).tolist()], pa.list_(pa.float32())), pa.array([float(weight)])], ["params", "weight"])
+
+        made = table.mapInArrow(run, "params array<float>, weight double").select("weight", F.posexplode("params").alias("i", "x"))
+        mean = made.groupBy("i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x")).toArrow()  # one row a parameter
+        if mean.num_rows:
+            params = unpack(np.asarray(mean.sort_by("i").column("x")))
+    return params
+
+
+def log_probs(params: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log-probability of every byte of a block given the bytes around it."""
+    keys, inverse = np.unique(contexts(raw, offsets), return_inverse=True)
+    out = np.empty(len(raw), np.float32)
+    order = np.argsort(inverse, kind="stable")
+    bounds = np.searchsorted(inverse[order], np.arange(0, len(keys) + 8192, 8192))
+    for lo, a, b in zip(range(0, len(keys), 8192), bounds[:-1], bounds[1:], strict=False):
+        at = order[a:b]
+        out[at] = _forward(params, keys[lo : lo + 8192])[3][inverse[at] - lo, raw[at]]
+    return out
+
+
+def score(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
+    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` of every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                raw, offsets = flat(part.column("text"))
+                total = np.concatenate([[0.0], np.cumsum(log_probs(shared.value, raw, offsets), dtype=np.float64)])
+                sums, n = total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
+                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums), mean], ["doc_id", "n_tokens", "sum_logprob", "mean_logprob"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, sum_logprob double, mean_logprob double")

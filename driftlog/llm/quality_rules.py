@@ -187,3 +187,27 @@ def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     rows = text_statistics(docs)
     rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
+
+
+def keep(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    """The documents that are kept, with all their columns, in one pass."""
+    spark = docs.sparkSession
+    ship(spark)
+    names = [f"_count_{c}" for c in BASE + MORE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                got = statistics(*flat(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in BASE + MORE)], [*part.schema.names, *names])
+
+    schema = docs.schema
+    for n in names:
+        schema = schema.add(n, "long")
+    rows = docs.mapInArrow(run, schema)
+    rows = rows.select("*", *(F.col(n).alias(c) for n, c in zip(names, BASE + MORE, strict=True) if c not in docs.columns))
+    clash = [c for c in BASE + MORE if c in docs.columns]
+    if clash:  # the documents' own columns of these names step aside while the rules look
+        rows = rows.withColumnsRenamed({c: f"_own_{c}" for c in clash}).withColumns({c: F.col(f"_count_{c}") for c in clash})
+    kept = rows.where(~F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).where(verdict(rules))
+    return kept.select(*(F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns))

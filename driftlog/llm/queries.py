@@ -73,6 +73,20 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm import personal_data as pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op8_masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm import masked_scores as lm
+
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -83,6 +97,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.predict(docs, model).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
@@ -90,8 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
+    "op8_masked_scores": op8_masked_scores,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
