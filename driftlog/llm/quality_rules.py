@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from driftlog.llm.piece_ids import sums_by
 from driftlog.llm.textblocks import U64, blocks, flat, mix, rows_of, ship, span_hashes, words
@@ -201,9 +202,7 @@ def keep(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
                 got = statistics(*flat(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in BASE + MORE)], [*part.schema.names, *names])
 
-    schema = docs.schema
-    for n in names:
-        schema = schema.add(n, "long")
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
     rows = docs.mapInArrow(run, schema)
     rows = rows.select("*", *(F.col(n).alias(c) for n, c in zip(names, BASE + MORE, strict=True) if c not in docs.columns))
     clash = [c for c in BASE + MORE if c in docs.columns]
