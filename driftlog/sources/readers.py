@@ -39,7 +39,7 @@ def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None
 
 def document(spark: SparkSession, path: str) -> dict[str, Any]:
     """A JSON object from any file system that Spark reads."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     out = json.loads(rows[0].value)
     if not isinstance(out, dict):
         raise ValueError(f"{path} is not a JSON object")
@@ -50,7 +50,7 @@ def protocol(spark: SparkSession, path: str) -> dict[str, Any]:
     """A YAML configuration of nested mappings, lists and scalars, as a dictionary; its text's hash under ``sha256``."""
     import hashlib
 
-    text = spark.read.option("wholetext", True).text(path).collect()[0].value
+    text = spark.read.text(path, wholetext=True).collect()[0].value
     try:
         import yaml
     except ImportError:
