@@ -134,13 +134,19 @@ def _alike(sketches: np.ndarray, sides: np.ndarray, leaves: list[np.ndarray], le
         found.append((a[x], right[y]))
     x, y = (np.concatenate(z) for z in zip(*found, strict=True))
     if len(x) > 64:
-        names, inverse = np.unique(np.concatenate(leaves), return_inverse=True)
-        held = np.zeros((n, len(names)), np.float32)
-        held[np.repeat(np.arange(n), [len(v) for v in leaves]), inverse] = 1
-        held[:, names >= leaf] = 0
+        # Lower leaves of each row as bits; a leaf that one row alone has cannot be common.
+        values = np.concatenate(leaves)
+        rows = np.repeat(np.arange(n), [len(v) for v in leaves])
+        rows, values = rows[values < leaf], values[values < leaf]
+        names, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+        common = counts > 1
+        rows, bit = rows[common[inverse]], (np.cumsum(common) - 1)[inverse[common[inverse]]]
+        held = np.zeros((n, int(common.sum()) // 64 + 1), U64)
+        np.bitwise_or.at(held, (rows, bit // 64), U64(1) << (bit % 64).astype(U64))
         keep = np.zeros(len(x), bool)
-        for lo in range(0, len(x), 65536):
-            keep[lo : lo + 65536] = np.einsum("ij,ij->i", held[x[lo : lo + 65536]], held[y[lo : lo + 65536]]) == 0
+        step = max(1, (1 << 20) // held.shape[1])
+        for lo in range(0, len(x), step):
+            keep[lo : lo + step] = ~(held[x[lo : lo + step]] & held[y[lo : lo + step]]).any(axis=1)
     else:
         sets = [set(v[v < leaf].tolist()) for v in leaves]
         keep = np.array([sets[i].isdisjoint(sets[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
