@@ -47,16 +47,23 @@ def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     return F.least(F.greatest(x, lo), hi)
 
 
-def mean_exp(z: Column) -> Column:
-    """Aggregate: logarithm of the mean of exp(z) over non-NULL z, counting NULL as 0; the shift is the group's maximum.
+#: Shifts of the sums below. Terms count fully from 590 below to 709 above a shift, so neighbours overlap.
+SHIFTS = tuple(range(-6500, 6501, 1300))
+
+
+def log_sum_exp(z: Column) -> Column:
+    """Aggregate: logarithm of the sum of exp(z), NULL (minus infinity) where no term counts; for z within 7000 of 0.
 
-    Two steps are needed for a maximum within one aggregate, so values are kept as an array; use
-    for grains of a bounded number of rows (prompts of a pair), not for raw samples.
+    One pass with partial sums, so a group of any size is combined before the shuffle: the sum is
+    taken under several fixed shifts, and that of the least shift which does not overflow is right.
     """
-    values = F.collect_list(z)
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.when(F.size(values) > 0, top + F.ln(total) - F.ln(F.count(F.lit(1)).cast("double")))
+    sums = [(s, F.sum(F.exp(z - float(s)))) for s in SHIFTS]
+    return F.coalesce(*(F.when((x > 0) & (x < float("inf")), F.lit(float(s)) + F.ln(x)) for s, x in sums))
+
+
+def mean_exp(z: Column) -> Column:
+    """Aggregate: logarithm of the mean of exp(z) over all rows, NULL counting as 0."""
+    return log_sum_exp(z) - F.ln(F.count(F.lit(1)).cast("double"))
 
 
 def finite_mean(x: Column) -> Column:

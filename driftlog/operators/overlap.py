@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlog.functions.numeric import clamp, mean_exp, safe_exp, safe_exp_status
+from driftlog.functions.numeric import clamp, log_sum_exp, mean_exp, safe_exp, safe_exp_status
 
 PAIR = ["split", "training_seed", "behavior_step", "target_step", "purpose"]
 ESTIMATORS = ("is", "prompt_wis")
@@ -119,14 +119,10 @@ def estimates(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
 
 
 def global_wis(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """Self-normalised over all samples of a pair. Prompts are summed first, so a pair's partial rows are its prompts."""
-    z, good = F.col("log_weight"), F.col("correctness_reward") == 1
-    top = F.max(z).over(Window.partitionBy(*pair, "prompt_id"))
-    per = rows.withColumn("_m", top).groupBy(*pair, "prompt_id").agg(F.first("_m").alias("_m"), F.sum(F.exp(z - F.col("_m"))).alias("_s"), F.sum(F.when(good, F.exp(z - F.col("_m"))).otherwise(0.0)).alias("_g"))
-    listed = per.groupBy(*pair).agg(F.collect_list(F.struct("_m", "_s", "_g")).alias("p"))
-    most = F.array_max(F.transform("p", lambda x: x["_m"]))
-    part = lambda name: F.aggregate("p", F.lit(0.0), lambda a, x: a + x[name] * F.exp(x["_m"] - most))
-    return listed.select(*pair, (part("_g") / part("_s")).alias("global_wis"))
+    """Self-normalised over all samples of a pair, in one aggregate with partial sums."""
+    z = F.col("log_weight")
+    good = log_sum_exp(F.when(F.col("correctness_reward") == 1, z))
+    return rows.groupBy(*pair).agg(F.coalesce(F.exp(good - log_sum_exp(z)), F.lit(0.0)).alias("global_wis"))
 
 
 def online_prompt_accuracy(samples: DataFrame, most: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlog.functions import answers, arrays, hashing
-from driftlog.functions.numeric import is_close, next_down, next_up, safe_exp, safe_exp_status
+from driftlog.functions.numeric import is_close, log_sum_exp, mean_exp, next_down, next_up, safe_exp, safe_exp_status
 from driftlog.operators import bootstrap, checks, gate, mechanism, overlap, registry, report, robustness, studies
 
 # Two logs of two prompts: (log weight, reward) of four samples each.
@@ -66,6 +66,16 @@ def test_safe_exp_edges(spark):
     assert [row[f"s{i}"] for i in range(5)] == ["ok", "nonfinite_estimator", "nonfinite_estimator", "ok_underflow_to_zero", "ok"]
 
 
+def test_log_sum_exp_at_any_height(spark):
+    groups = {"a": [0.0, 1.0, -2.0], "b": [6000.0, 5999.0], "c": [-6900.0, -6901.0, None], "d": [None], "e": [-800.0, 709.5, 709.4], "f": [1950.0] * 50 + [0.0]}
+    rows = spark.createDataFrame([(k, z) for k, v in groups.items() for z in v], "k string, z double")
+    for r in rows.groupBy("k").agg(log_sum_exp(F.col("z")).alias("s"), mean_exp(F.col("z")).alias("m")).collect():
+        z = [x for x in groups[r.k] if x is not None]
+        want = max(z) + math.log(sum(math.exp(x - max(z)) for x in z)) if z else None
+        assert r.s == (pytest.approx(want, rel=1e-14) if z else None)
+        assert r.m == (pytest.approx(want - math.log(len(groups[r.k])), rel=1e-12) if z else None)
+
+
 def test_next_double(spark):
     for x in (0.1, 1.0, -2.5, 0.12239330421733255):
         r = spark.range(1).select(next_up(F.lit(x)).alias("u"), next_down(F.lit(x)).alias("d"), is_close(F.lit(x), F.lit(x + 1e-12), atol=1e-9).alias("c")).first()
