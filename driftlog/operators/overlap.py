@@ -60,7 +60,7 @@ def length_quantile(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     return stats.withColumn("length_quantile", F.get(labels, quarter))
 
 
-def pair_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+def _diagnostics() -> list[Column]:
     """Medians, tails and means over prompts; sums over samples come from the prompts' own sums."""
     n, tokens = F.sum("K"), F.sum("_tokens")
     mean = F.sum("_sum_z") / n
@@ -68,7 +68,7 @@ def pair_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     within = F.sum(F.col("_sum_z2") - F.col("_sum_z") * F.col("_sum_z") / F.col("K"))
     between = F.sum(F.col("_sum_z") * F.col("_sum_z") / F.col("K")) - F.sum("_sum_z") * F.sum("_sum_z") / n
     sd = F.sqrt(F.greatest(within + between, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
-    return stats.groupBy(*pair).agg(
+    return [
         F.count(F.lit(1)).alias("n_prompts"),
         F.max("K").alias("K"),
         F.median("ess").alias("median_prompt_ess"),
@@ -85,7 +85,12 @@ def pair_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
         (tokens / n).alias("mean_completion_length"),
         (F.sum("_truncated") / n).alias("truncation_rate"),
         F.abs(F.sum("_sum_z") / tokens).alias("pair_abs_mean_log_ratio_per_token"),
-    )
+    ]
+
+
+def pair_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+    """One row a pair with its diagnostics."""
+    return stats.groupBy(*pair).agg(*_diagnostics())
 
 
 def prompt_mean_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
@@ -108,14 +113,28 @@ def prompt_mean_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFra
     )
 
 
-def estimates(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """``(pair, estimator, estimate, estimate_status)``: ordinary and prompt-normalised importance sampling."""
-    made = stats.groupBy(*pair).agg(mean_exp(F.col("log_is")).alias("_log"), F.avg("pwis").alias("_pwis"))
+def _by_estimator(made: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each estimator from the pair's ``_log`` and ``_pwis``."""
     both = F.array(
         F.struct(F.lit("is").alias("estimator"), safe_exp(F.col("_log")).alias("estimate"), safe_exp_status(F.col("_log")).alias("estimate_status")),
         F.struct(F.lit("prompt_wis").alias("estimator"), F.col("_pwis").alias("estimate"), F.lit("ok").alias("estimate_status")),
     )
-    return made.select(*pair, F.inline(both))
+    return made.select(*keep, F.inline(both))
+
+
+def _estimates() -> list[Column]:
+    return [mean_exp(F.col("log_is")).alias("_log"), F.avg("pwis").alias("_pwis")]
+
+
+def estimates(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+    """``(pair, estimator, estimate, estimate_status)``: ordinary and prompt-normalised importance sampling."""
+    return _by_estimator(stats.groupBy(*pair).agg(*_estimates()), pair)
+
+
+def pair_summary(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+    """Estimates and diagnostics of every pair from one aggregate, so the prompts are made once."""
+    made = stats.groupBy(*pair).agg(*_estimates(), *_diagnostics())
+    return _by_estimator(made, [c for c in made.columns if not c.startswith("_")])
 
 
 def global_wis(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:

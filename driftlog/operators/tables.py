@@ -17,8 +17,7 @@ def pair_results(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Estimates, references, errors and diagnostics of every pair and estimator."""
     stats = overlap.prompt_stats(rows)
     accuracy = overlap.online_prompt_accuracy(samples)
-    results = overlap.with_errors(overlap.estimates(stats), overlap.online_reference(accuracy))
-    return results.join(overlap.pair_diagnostics(stats), PAIR)
+    return overlap.with_errors(overlap.pair_summary(stats), overlap.online_reference(accuracy))
 
 
 def fixed_table(results: DataFrame, ci: DataFrame | None = None) -> DataFrame:
@@ -56,7 +55,7 @@ def sample_size_table(rows: DataFrame, samples: DataFrame, most: int, sizes: tup
     pair = [*PAIR, "K_size"]
     stats = overlap.prompt_stats(spread, pair).where("K = K_size")
     accuracy = overlap.online_prompt_accuracy(samples)
-    out = overlap.with_errors(overlap.estimates(stats, pair), overlap.online_reference(accuracy)).join(overlap.pair_diagnostics(stats, pair), pair)
+    out = overlap.with_errors(overlap.pair_summary(stats, pair), overlap.online_reference(accuracy))
     if reps:
         ci = bootstrap.intervals(bootstrap.portable(overlap.matched(stats, accuracy), reps, pair), pair)
         out = out.join(ci.select(*pair, "estimator", (F.col("ope_ci_high") - F.col("ope_ci_low")).alias("bootstrap_ci_width"), "bootstrap_nonfinite_fraction"), [*pair, "estimator"])
