@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.functions import answers, arrays, hashing
+from driftlog.functions import answers, arrays, coercion, hashing
 from driftlog.functions.numeric import safe_exp, safe_exp_status
-from driftlog.operators import bootstrap, checks, gate, mechanism, overlap, registry, report, robustness, studies, tables
+from driftlog.operators import bootstrap, checks, gate, mechanism, overlap, registry, report, rescoring, robustness, studies, tables
 from driftlog.operators.overlap import PAIR
 from driftlog.plans.fixtures import Fixture
 from driftlog.sources import sinks
@@ -493,3 +493,99 @@ def representable(fx: Fixture) -> DataFrame:
     z = F.col("z")
     rows = fx.table("nation").selectExpr("cast(n_nationkey as bigint) as i", "case when n_nationkey = 0 then null else (n_nationkey - 12) * 75e0 end as z")
     return rounded(rows.select("i", safe_exp_status(z).alias("status"), F.when(safe_exp(z) < 1e3, safe_exp(z)).alias("value")))
+
+
+def _scored(fx: Fixture) -> DataFrame:
+    """Rescores as target log-probabilities: the trajectory's own less its length, plus the weight."""
+    return fx.rescores.where("training_seed = 20260826").withColumn("target_sequence_logprob", -F.col("completion_length").cast("double") + F.col("log_weight"))
+
+
+@query
+def canonical_denominator(fx: Fixture) -> DataFrame:
+    out = rescoring.canonical_weights(_scored(fx).drop("log_weight"))
+    return rounded(out.where("purpose <> 'identity'").select("trajectory_id", "behavior_step", "target_step", "log_weight", "mean_log_ratio_per_token"), 9)
+
+
+@query
+def rescore_summary(fx: Fixture) -> DataFrame:
+    bridge = F.col("log_weight") / F.col("completion_length")
+    return rounded(rescoring.rescore_summary(fx.rescores, PAIR, bridge, 0.01))
+
+
+@query
+def source_join(fx: Fixture) -> DataFrame:
+    rows = fx.rescores.where("training_seed = 20260826 and target_step = 100 and purpose = 'fixed'").select("trajectory_id", "log_weight")
+    source = fx.trajectories.withColumnRenamed("event_id", "trajectory_id")
+    return rounded(rescoring.with_source(rows, source, ["prompt_id", "sample_index"]))
+
+
+@query
+def source_coverage(fx: Fixture) -> DataFrame:
+    rows = fx.rescores.where("training_seed = 20260826 and target_step = 100 and purpose = 'fixed' and trajectory_id % 50 <> 0").select("trajectory_id")
+    return checks.covered(rows, fx.trajectories.where("sample_index < 16").select(F.col("event_id").alias("trajectory_id")), "trajectory_id")
+
+
+@query
+def parser_counts(fx: Fixture) -> DataFrame:
+    rows = _answers(fx).withColumns({"correctness_reward": (F.col("o_orderkey") % 2).cast("double"), "was_truncated": F.col("o_orderkey") % 5 == 0, "k": F.col("o_custkey") % 3})
+    out = rescoring.status_counts(rows, ["k"], answers.status(F.col("completion")))
+    return rounded(out.select("k", F.col("status_counts")["ok"].alias("n_ok"), F.col("status_counts")["missing_answer_tag"].alias("n_missing"), "n_rows", "n_truncated", "mean_reward"))
+
+
+@query
+def sample_limit(fx: Fixture) -> DataFrame:
+    step = F.col("step")
+    return rounded(fx.steps.select("step", rescoring.sample_limit(step, [100, 200, 300, 400], 8, 32).alias("n_samples")))
+
+
+@query
+def generation_call(fx: Fixture) -> DataFrame:
+    rows = fx.trajectories.where("sample_index < 16").withColumn("generation_call_id", F.concat(F.lit("c"), (F.col("event_id") % 40).cast("string")))
+    return rescoring.generation_call(rows, ["split"], 2).select("split", "generation_call_id", "prompt_id", "sample_index")
+
+
+@query
+def mixed_fields(fx: Fixture) -> DataFrame:
+    return rescoring.mixed_fields(fx.table("customer"), ["c_nationkey"], ["c_mktsegment"]).select(F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "field", "n_values")
+
+
+@query
+def formal_failures(fx: Fixture) -> DataFrame:
+    rows = fx.rescores.where("purpose = 'identity'").withColumns({"identity_max_abs_token_logprob_diff": F.when(F.col("trajectory_id") % 11 == 0, F.lit(0.5)).when(F.col("trajectory_id") % 7 > 0, F.lit(0.0)), "identity_abs_sequence_logprob_diff": F.lit(0.0), "identity_pass": F.col("trajectory_id") % 22 > 0})
+    failed, wrong = rescoring.formal_failures(rows, 1e-3, 1e-3)
+    keys = ["training_seed", "target_step", "trajectory_id"]
+    return failed.select(*keys, F.lit("failed").alias("kind")).unionByName(wrong.select(*keys, F.lit("wrong_flag").alias("kind")))
+
+
+@query
+def identity_gate(fx: Fixture) -> DataFrame:
+    grid = fx.seeds.crossJoin(fx.steps.where("step in (0, 100, 200, 300)")).select("training_seed", F.col("step").alias("anchor"))  # the design
+    return rescoring.identity_gate_gaps(fx.pairs.withColumn("passed", F.col("behavior_step") != 200), grid)
+
+
+@query
+def shard_index(fx: Fixture) -> DataFrame:
+    shards = fx.table("nation").selectExpr("cast(n_regionkey as bigint) as k", "n_name as unit", "cast(n_nationkey as bigint) as row_count").withColumn("sha256", F.sha2("unit", 256))
+    return rescoring.shard_index(shards, ["k"])
+
+
+@query
+def coerced(fx: Fixture) -> DataFrame:
+    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit(" Yes ")).when(F.col("n_nationkey") % 5 == 1, F.lit("0")).when(F.col("n_nationkey") % 5 == 2, F.lit("")).when(F.col("n_nationkey") % 5 == 3, F.lit("1.50")).otherwise(F.lit("maybe"))
+    rows = fx.table("nation").select(F.col("n_nationkey").cast("bigint").alias("i"), text.alias("t"))
+    t = F.col("t")
+    return rows.select("i", coercion.as_bool(t).cast("string").alias("flag"), coercion.bad_bool(t).alias("bad_flag"), coercion.as_number(t).alias("number"), coercion.bad_number(t).alias("bad_number"))
+
+
+@query
+def first_metric(fx: Fixture) -> DataFrame:
+    i = F.col("n_nationkey")
+    some = F.map_filter(F.create_map(F.lit("reward"), F.when(i % 2 == 0, i.cast("double")), F.lit("mean_reward"), i.cast("double") * 10), lambda k, v: (k != "reward") | (i % 3 > 0))
+    return fx.table("nation").select(i.cast("bigint").alias("i"), coercion.first_alias(some, ["reward", "mean_reward"]).alias("value"))
+
+
+@query
+def json_values(fx: Fixture) -> DataFrame:
+    props = F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"z":null}'))
+    message = F.concat(F.lit('[{"content":"k"},{"role":"x"},{"content":'), F.to_json(F.array(F.col("event_type"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("event_type")))) - 2), F.lit("}]"))
+    return fx.table("events").where("event_id < 500").select("event_id", coercion.first_path(props, ["$.z", "$.b", "$.a.k"]).alias("k"), coercion.completion_text(message).alias("text"))

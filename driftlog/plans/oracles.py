@@ -319,6 +319,25 @@ r as (select s as training_seed, x as split, b as behavior_step, e as target_ste
 select i, case when z is null then 'ok' when z > 709.782712893384 then 'nonfinite_estimator' when z < -744.4400719213812 then 'ok_underflow_to_zero' else 'ok' end as status, case when z is null or z < -700 then 0e0 when z < 6 then round(exp(z), 6) end as value from r""",
 }
 
+ORACLES |= {
+    "canonical_denominator": w(FIXTURE, "select trajectory_id, behavior_step, target_step, round(log_weight, 9) + 0e0 as log_weight, round(log_weight / completion_length, 9) + 0e0 as mean_log_ratio_per_token from fx_rescores where training_seed = 20260826 and purpose <> 'identity'"),
+    "rescore_summary": w(FIXTURE, f"select {P}, count(*) as n_rows, round(max(abs(log_weight)), 6) as max_abs_log_weight, round(avg(abs(log_weight)), 6) as mean_abs_log_weight, round(max(abs(log_weight / completion_length)), 6) as max_bridge_diff, round(avg(abs(log_weight / completion_length)), 6) as mean_bridge_diff, count_if(abs(log_weight / completion_length) > 1e-2) as n_bridge_over from fx_rescores group by {P}"),
+    "source_join": w(FIXTURE, "select r.trajectory_id, round(r.log_weight, 6) + 0e0 as log_weight, t.prompt_id, t.sample_index from fx_rescores r join fx_trajectories t on t.event_id = r.trajectory_id where training_seed = 20260826 and target_step = 100 and purpose = 'fixed'"),
+    "source_coverage": w(FIXTURE, "select event_id as trajectory_id, 'left' as missing from fx_trajectories where sample_index < 16 and event_id % 50 = 0"),
+    "parser_counts": w(FORMS, "a as (select o_custkey % 3 as k, f in (0, 1, 7) as ok, f in (4, 8) as missing, cast(o_orderkey % 2 as double) as r, o_orderkey % 5 = 0 as t from forms)", "select k, count_if(ok) as n_ok, count_if(missing) as n_missing, count(*) as n_rows, count_if(t) as n_truncated, round(avg(r), 6) as mean_reward from a group by 1"),
+    "sample_limit": w(FIXTURE, "select step, cast(case when step in (100, 200, 300, 400) then 32 else 8 end as bigint) as n_samples from fx_steps"),
+    "generation_call": w(FIXTURE, """
+u as materialized (select *, 'c' || (event_id % 40) as generation_call_id from fx_trajectories where sample_index < 16),
+o as (select split, generation_call_id, row_number() over (partition by split order by min(prompt_id * 1000 + sample_index), generation_call_id) - 1 as pos from u group by 1, 2)""", "select split, generation_call_id, prompt_id, sample_index from u join o using (split, generation_call_id) where pos = 2"),
+    "mixed_fields": "select cast(c_nationkey as bigint) as c_nationkey, 'c_mktsegment' as field, cast(count(distinct c_mktsegment) + max((c_mktsegment is null)::int) as bigint) as n_values from customer group by 1 having count(distinct c_mktsegment) + max((c_mktsegment is null)::int) > 1",
+    "formal_failures": w(FIXTURE, "i as (select * from fx_rescores where purpose = 'identity')", "select training_seed, target_step, trajectory_id, 'failed' as kind from i where trajectory_id % 11 = 0 union all select training_seed, target_step, trajectory_id, 'wrong_flag' from i where (trajectory_id % 22 > 0) = (trajectory_id % 11 = 0)"),
+    "identity_gate": w(FIXTURE, "select training_seed, cast(200 as bigint) as anchor from fx_seeds"),
+    "shard_index": "select cast(n_regionkey as bigint) as k, count(*) as n_shards, cast(sum(n_nationkey) as bigint) as n_rows, sha256(string_agg(sha256(n_name), chr(10) order by n_name)) as shard_set_sha256 from nation group by 1",
+    "coerced": "select cast(n_nationkey as bigint) as i, case n_nationkey % 5 when 0 then 'true' when 1 then 'false' end as flag, n_nationkey % 5 in (3, 4) as bad_flag, case n_nationkey % 5 when 1 then 0e0 when 3 then 15e-1 end as number, n_nationkey % 5 in (0, 4) as bad_number from nation",
+    "first_metric": "select cast(n_nationkey as bigint) as i, case when n_nationkey % 3 > 0 then case when n_nationkey % 2 = 0 then cast(n_nationkey as double) end else n_nationkey * 10e0 end as value from nation",
+    "json_values": "select event_id, json_extract_string(props, '$.k') as k, 'k' || chr(10) || event_type as text from events where event_id < 500",
+}
+
 
 def _bigint_counts(sql: str) -> str:
     """count_if gives a wider integer than a count; a filtered count gives bigint."""
