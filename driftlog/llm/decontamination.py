@@ -91,5 +91,6 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8,
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with all their columns; rows without a doc_id stay."""
-    bad = contained(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = staged(contained(docs, items, **options).select("doc_id").distinct(), "contaminated")
+    few = bad.count() <= 1_000_000  # else the documents are shuffled to the ids
+    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti")
