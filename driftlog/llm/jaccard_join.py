@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.llm.staging import semi_join, staged
+from driftlog.llm.staging import semi_join, small_batches, staged
 from driftlog.llm.textblocks import U64, blocks, flat, mix, shingles, ship, span_hashes, words
 
 SIZE = 128
@@ -57,7 +57,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 1 << 19):
                 lo, hi, n, sig, sketch = [], [], [], [], []
                 for s in shingle_sets(*flat(part.column("text")), k):
                     lo.append(int(mix(s).sum()))
@@ -239,16 +239,19 @@ def _survival(depth: int) -> float:
     return p
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, small: int = 512, depth: int = 3, block: int = 1024) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, small: int = 512, depth: int = 3, block: int = 512) -> DataFrame:
     """``(doc_id, class_id, n_links)`` of every row with a doc_id.
 
     ``n_links``: other documents with similarity of at least ``similarity``; ``class_id``: the
     least doc_id that links lead to. ``small`` and ``block`` are sizes of work, not limits: larger
     leaves are compared whole, in blocks.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.where("doc_id is not null")
+    ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _join(docs.where("doc_id is not null"), k, similarity, recall, small, depth, block)
+
+
+def _join(docs: DataFrame, k: int, similarity: float, recall: float, small: int, depth: int, block: int) -> DataFrame:
     rows = staged(describe(docs, k), "sets")
     sets = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("weight"))
     sets = staged(sets, "classes")
@@ -283,7 +286,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*flat(part.column("text")), k)], pa.binary())], ["set_id", "shingles"])
 
     need = near.select(F.col("set_id").alias("doc_id")).distinct()

@@ -193,7 +193,7 @@ def score(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 2 << 20):
                 raw, offsets = flat(part.column("text"))
                 total = np.concatenate([[0.0], np.cumsum(log_probs(shared.value, raw, offsets), dtype=np.float64)])
                 sums, n = total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)

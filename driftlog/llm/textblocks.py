@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BLOCK = 2 << 20
+MAX_BLOCK = 1 << 20
 U64 = np.uint64
 
 
@@ -199,7 +199,7 @@ def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), offsets
 
 
-def segments(text: str, most: int = MAX_BLOCK // 2) -> list[str]:
+def segments(text: str, most: int = MAX_BLOCK) -> list[str]:
     """A text in parts that no pre-token crosses: cuts lie before a blank between two characters that aren't blank."""
     if len(text) <= most:
         return [text]
