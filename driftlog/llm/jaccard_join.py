@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.staging import semi_join, small_batches, staged
-from driftlog.llm.textblocks import U64, blocks, flat, mix, shingles, ship, span_hashes, words
+from driftlog.llm.textblocks import U64, blocks, flat, mix, release, shingles, ship, span_hashes, words
 
 SIZE = 128
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, SIZE, dtype=U64) * U64(2) + U64(1)
@@ -68,6 +68,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     sketch.append(np.packbits(mix(v.astype(U64) + _PLACE) & U64(1)).tobytes() if len(s) else None)
                 hashes = [pa.array(np.array(x, U64).view(np.int64)) for x in (lo, hi)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *hashes, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "lo", "hi", "n", "signature", "sketch"])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, lo long, hi long, n int, signature binary, sketch binary")
@@ -171,6 +172,7 @@ def _candidates(most: int) -> Callable:
                     keep[a + x] = keep[a + y] = True
             if keep.any():
                 yield batch.filter(pa.array(keep))
+        release()
 
     return run
 
@@ -227,6 +229,7 @@ def _verified(most: int, similarity: float) -> Callable:
                     out[1].append(int(ids[a + find(i)]))
                     out[2].append(int(links[i]))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["set_id", "other", "links"])
+        release()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.piece_ids import IdDictionary, sums_by
-from driftlog.llm.textblocks import blocks, points_of, segments, ship, span_hashes
+from driftlog.llm.textblocks import blocks, points_of, release, segments, ship, span_hashes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -125,10 +125,12 @@ class Codec:
         ids = {t: i for i, (t, _, kind) in enumerate(m.pieces)}
         if m.bpe:
             merges = []
-            for i, (t, score, kind) in enumerate(m.pieces):
+            for i in sorted(range(len(m.pieces)), key=lambda i: (-m.pieces[i][1], i)):
+                t, _, kind = m.pieces[i]
                 if kind in (NORMAL, USER_DEFINED) and len(t) > 1:
-                    merges += [(-score, i, ids[t[:k]], ids[t[k:]], t[:k], t[k:]) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
-            model = models.BPE(vocab=ids, merges=[x[4:] for x in sorted(merges)], unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+                    splits = [(t[:k], t[k:]) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
+                    merges += sorted(splits, key=lambda x: (ids[x[0]], ids[x[1]]))
+            model = models.BPE(vocab=ids, merges=merges, unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
             model = models.Unigram([(t, s) for t, s, _ in m.pieces], m.unk, m.byte_fallback)
         steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
@@ -137,10 +139,15 @@ class Codec:
         self.clean = normalizers.Sequence(steps) if steps else None
         mark = [normalizers.Prepend(MARK)] * m.dummy_prefix + [normalizers.Replace(" ", MARK)]
         self.inner = Tokenizer(model)  # for pre-tokens, which are normalised already
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.normalizer = normalizers.Sequence([*steps, *mark])
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * m.dummy_prefix)
+
+        def whole() -> Tokenizer:
+            out = Tokenizer(model)
+            out.normalizer = normalizers.Sequence([*steps, *mark])
+            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+            out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * m.dummy_prefix)
+            return out
+
+        self._whole, self._made = whole, None
         self.inner.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
         self.own = None
         if check:
@@ -148,7 +155,13 @@ class Codec:
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
-        self.known = IdDictionary(flags=2)
+        self.known = IdDictionary(500_000, flags=2)
+
+    @property
+    def tokenizer(self):
+        """The whole tokenizer, made when first asked for: blocks of documents need its model alone."""
+        self._made = self._made or self._whole()
+        return self._made
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts by the rebuilt tokenizer alone."""
@@ -215,8 +228,9 @@ def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, threads)
+        codec = None
         for batch in batches:
+            codec = codec or Codec(model, threads)
             for part in blocks(batch, "text"):
                 flat, sizes, trip, parity = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -226,6 +240,8 @@ def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> D
                 if ids:
                     out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "parity", "ids"][: len(out)])
+        del codec
+        release()
 
     more = ", ids array<int>" if ids else ""
     return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, parity boolean{more}")
