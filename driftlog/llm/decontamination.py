@@ -3,8 +3,8 @@
 Words are lower-case runs of letters and digits; a shingle is ``k`` words. Items are partitioned
 by their number of shingles, with bounds that double. A document is looked at, for each
 partition that has items, through windows of twice the partition's bound, one bound apart: an
-item lies whole in one of them. A window's signature is its ``size`` smallest shingle hashes, as
-an item's is; a window of at most ``size`` shingles is its own signature. A document whose window
+item lies whole in one of them. A window's signature is its ``size`` smallest distinct shingle hashes,
+as an item's is, so text that repeats beside an item takes no more than its own places; a window of at most ``size`` shingles is its own signature. A document whose window
 shares a signature hash with an item is a candidate. For candidates, the share of the item's
 distinct shingles that the whole document holds is counted exactly.
 
@@ -46,7 +46,7 @@ def _windows(grams: str, bound: int, size: int) -> Column:
     if width <= size:
         return F.col(grams)
     starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - F.lit(bound), F.lit(1)), F.lit(bound))
-    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.slice(F.col(grams), i, F.lit(width))), 1, size)))
+    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.array_distinct(F.slice(F.col(grams), i, F.lit(width)))), 1, size)))
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, size: int = 32, limit: int = 2_000_000) -> DataFrame:

@@ -99,6 +99,14 @@ def test_contained_is_all_pairs(spark):
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got.collect()} == _brute(docs, items)
 
 
+def test_item_beside_repeated_lines_is_found(spark):
+    """Copies of a line's hashes must not fill the signatures of the windows that hold the item."""
+    items = {i: " ".join(f"i{i}w{j}" for j in range(40)) for i in range(20)}
+    docs = {i: " ".join([f"r{i}\n"] * 100 + [items[i % 20]] + [f"r{i}\n"] * 100) for i in range(400)}
+    got = contained(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got.collect()} == _brute(docs, items)
+
+
 def test_contained_without_broadcast_and_of_odd_frames(spark, odd, empty):
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, "one two"), (2, "one two"), (3, None)], "item_id bigint, text string")
     want = {(5, 1), (3, 2), (4, 2)}
