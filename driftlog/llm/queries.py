@@ -81,7 +81,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from driftlog.llm import masked_scores as lm
+    from driftlog.llm import masked_words as lm
 
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, lm.fit(docs))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm import language_id as lang
 from driftlog.llm import masked_scores as lm
+from driftlog.llm import masked_words as mw
 from driftlog.llm import personal_data as pii
 from driftlog.llm.textblocks import flat
 
@@ -154,6 +155,64 @@ def test_masked_training_beats_byte_frequencies(spark, empty):
     assert all((a == b).all() for a, b in zip(lm.fit(empty).values(), lm.start().values(), strict=True))
 
 
+def test_word_tokens_cover_all_bytes():
+    texts = ["", " \n", "one, two  three.\n", "漢字é x", "a", "b "]
+    raw, offsets = flat(pa.array(texts))
+    starts, ends, rows = mw.tokens(raw, offsets)
+    got = [[raw[a:b].tobytes().decode() for a, b, r in zip(starts, ends, rows, strict=True) if r == i] for i in range(len(texts))]
+    assert got == [[], [" \n"], ["one", ",", " two", "  three", ".", "\n"], ["漢", "字", "é", " x"], ["a"], ["b", " "]]
+
+
+def test_masked_word_gradients():
+    p = {k: v.astype(np.float64) for k, v in mw.start().items()}
+    around, digits, _ = mw.windows(*flat(pa.array(["one two three one four", "two"])))
+    assert (around[-1] == 0).all() and around[0, 3] == around[2, 2]
+    for k, g in mw.gradients(p, around, digits)[1].items():
+        if k in mw.SPARSE:
+            full = np.zeros_like(p[k])
+            full[g[0]] = g[1]
+            g = full
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        keep, ends = p[k][i], []
+        for d in (1e-4, -1e-4):
+            p[k][i] = keep + d
+            ends.append(mw.gradients(p, around, digits)[0])
+        p[k][i] = keep
+        assert g[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=1e-4)
+
+
+def test_masked_word_scores_are_the_plain_sums(spark, odd, empty):
+    params = mw.start(4)
+    for r in mw.score(odd, params).join(odd.select("doc_id", "text"), "doc_id").collect():
+        around, digits, _ = mw.windows(*flat(pa.array([r.text], pa.string())))
+        assert r.n_tokens == len(digits) and (r.mean_logprob is None) == (not r.text)
+        if len(digits) > 6000:
+            continue
+        want = 0.0
+        for x, (a, b, c) in zip(around, digits, strict=True):
+            top = params["e"][x].ravel() @ params["w"] + params["b"]
+            for j, (t, h) in enumerate(((a, top), (b, top + params["p2"][a]), (c, top + params["p3"][a * 64 + b])), 1):
+                s = (np.tanh(h) @ params[f"v{j}"] + params[f"c{j}"]).astype(np.float64)
+                want += s[t] - np.log(np.exp(s).sum())
+        assert r.sum_logprob == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert mw.score(empty, params).count() == 0
+    assert all((a == b).all() for a, b in zip(mw.fit(empty).values(), mw.start().values(), strict=True))
+
+
+def test_shuffled_words_score_below_the_text(spark, tmp_path):
+    """Words begin and end alike, so that their order is not seen in the two bytes beside a byte."""
+    from driftlog.llm.queries import op8_masked_scores
+
+    rng = random.Random(3)
+    slots = [["qa" + "".join(rng.choice("bcdefghij") for _ in range(4)) + "aq" for _ in range(3)] for _ in range(12)]
+    texts = [[rng.choice(slots[(i + j) % 12]) for j in range(60)] for i in range(3000)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10_000 + i, " ".join(rng.sample(t, 60))) for i, t in enumerate(texts[:60])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sum_logprob for r in op8_masked_scores(spark, str(tmp_path)).collect()}
+    gap = np.mean([(got[i] - got[10_000 + i]) / len(docs[i][1]) for i in range(60)])
+    assert gap > 0.02
+
+
 def test_language_gradients():
     m = lang.BiGRU.new(["a", "b"], 3, 0)
     m.params = {k: v.astype(np.float64) for k, v in m.params.items()}
