@@ -153,7 +153,7 @@ def svamp_bootstrap(fx: Fixture) -> DataFrame:
 
 @query
 def bootstrap_seeded(fx: Fixture) -> DataFrame:
-    return rounded(bootstrap.seeded(overlap.matched(_stats(fx), overlap.online_prompt_accuracy(fx.online)), reps=500))
+    return rounded(bootstrap.seeded(overlap.matched(_stats(fx), overlap.online_prompt_accuracy(fx.online))))
 
 
 @query

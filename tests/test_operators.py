@@ -150,6 +150,13 @@ def test_seeded_bootstrap_is_the_plain_loop(golden, spark):
     assert got[0, "is"].online_ci_high == got[0, "prompt_wis"].online_ci_high
 
 
+def test_the_seeded_query_has_the_reference_replicates(spark):
+    from driftlog.plans.catalogue import QUERIES
+
+    got = QUERIES["bootstrap_seeded"](spark, "/root/testdata/sf0.001").select("bootstrap_reps").distinct().collect()
+    assert [r.bootstrap_reps for r in got] == [2000]
+
+
 def test_spread_indices_and_bands():
     assert robustness.spread_indices(35, 8) == [0, 5, 10, 15, 19, 24, 29, 34]
     assert robustness.spread_indices(8, 8) == list(range(8)) and robustness.spread_indices(5, 1) == [2]
