@@ -22,15 +22,25 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, found)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows named by id and text, as ids may be null or repeated; rows alike in both share a name."""
+    return docs.withColumnRenamed("doc_id", "_own_id").withColumn("doc_id", F.xxhash64("_own_id", "text"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of like documents, that with the least doc_id; rows without a doc_id go."""
-    first = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of like documents, that with the least doc_id; one without a doc_id only if no other has one."""
+    named = _named(docs)
+    classes = jaccard_join(named).select("doc_id", "class_id").distinct()
+    ids = named.select("doc_id", F.struct(F.col("_own_id").isNull(), "_own_id", "doc_id").alias("order")).distinct()
+    first = classes.join(ids, "doc_id").groupBy("class_id").agg(F.min("order")["doc_id"].alias("doc_id")).select("doc_id")
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.drop("doc_id").withColumnRenamed("_own_id", "doc_id").select(*docs.columns)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark item; those without a doc_id are looked at as well."""
+    kept = clean(_named(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return kept.drop("doc_id").withColumnRenamed("_own_id", "doc_id").select(*docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,18 @@ def test_pipeline_is_the_plain_one(spark):
         assert got[d].round_trip and got[d].parity
 
 
+def test_rows_without_own_ids_are_kept_once_and_cleaned(spark):
+    """Null ids, two texts under one id, copies of both; a null id holding an item."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (5, text("b")), (7, text("c")), (7, text("d")), (3, text("d")), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once = corpus_pipeline.near_copies(spark, docs, DATA)
+    want = {(None, text("a")), (5, text("b")), (7, text("c")), (3, text("d"))}
+    assert sorted(map(repr, once.toLocalIterator())) == sorted(map(repr, spark.createDataFrame([*want, (None, item)], docs.schema).toLocalIterator()))
+    assert {tuple(r) for r in corpus_pipeline.benchmark_items(spark, once, DATA).collect()} == want
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
