@@ -5,15 +5,18 @@ that have one. Beside each level but the last stands a bitmap that says which of
 entries go on, with a directory of ranks every 512 bits, so any id is found by one rank
 query a level and nothing else is decoded.
 
-File: ``DACS`` | uint32 levels | uint64 documents | uint64 ids | doc ids (int64) |
-document starts (uint64, one more at the end) | per level: uint64 entries, chunks,
-bitmap (little bit order), rank directory (uint64).
+File: ``DACS`` | uint32 levels | uint64 documents | uint64 ids | doc ids (int64) | bitmap of
+the documents that have a doc id (little bit order) | document starts (uint64, one more at the
+end) | per level: uint64 entries, chunks, bitmap (little bit order), rank directory (uint64).
 
 ``write`` sorts documents by id over range partitions, encodes them whole and writes one or
 more files a partition under the given folder; a task writes under a name of its own and
-moves the file when it is whole, so a repeated task does no harm. Null or empty texts have
-the end id alone. Rows with the same id are ordered by their text. A null doc_id is not
-allowed. Extra columns are ignored. An empty table gives no file.
+moves the file when it is whole, so a repeated task does no harm. Ids go into the chunk levels
+block by block; a worker keeps its encoder, with a dictionary of bounded size, from task to task.
+
+Null or empty texts have the end id alone. Documents without a doc_id come first and are read
+back without one. Rows with the same id are ordered by their text. Extra columns are ignored.
+An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -21,33 +24,62 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.piece_ids import IdDictionary, sums_by
 from driftlog.llm.pretokens import word_level
-from driftlog.llm.textblocks import CharClasses, blocks, points_of, segments, ship, span_hashes
+from driftlog.llm.textblocks import CharClasses, blocks, points_of, release, segments, ship, span_codes
 
 STEP = 512
 
 
+class Packer:
+    """Ids by chunk levels, added part by part: two bytes a chunk are held until ``parts`` makes the file's bytes."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.levels: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], [])]
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        k, rest = 0, ids
+        while True:
+            if k == len(self.levels):
+                self.levels.append(([], []))
+            more = rest > 255
+            self.levels[k][0].append(rest.astype(np.uint8))
+            self.levels[k][1].append(more)
+            rest, k = rest[more] >> 8, k + 1
+            if not len(rest):
+                return
+
+    def parts(self, doc_ids: np.ndarray, known: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        """The file's bytes, in order, for documents whose ids lie one after the other."""
+        yield b"DACS" + struct.pack("<IQQ", len(self.levels), len(doc_ids), self.n)
+        yield np.asarray(doc_ids, np.int64).tobytes() + np.packbits(known, bitorder="little").tobytes() + np.asarray(starts, np.uint64).tobytes()
+        for chunks, mores in self.levels:
+            more = np.concatenate(mores) if mores else np.zeros(0, bool)
+            ones = np.zeros(len(more) // STEP + 2, np.uint64)
+            if len(more):
+                sums = np.add.reduceat(more, np.arange(0, len(more), STEP), dtype=np.int64)
+                np.cumsum(sums, out=ones[1 : len(sums) + 1])
+                ones[len(sums) + 1 :] = ones[len(sums)]
+            yield struct.pack("<Q", len(more))
+            yield from (c.tobytes() for c in chunks)
+            yield np.packbits(more, bitorder="little").tobytes() + ones.tobytes()
+
+
 def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file's bytes for documents whose ids lie one after the other."""
-    out, rest = [], ids.astype(np.uint32)
-    while True:
-        more = rest > 255
-        bits = np.packbits(more, bitorder="little")
-        ones = np.zeros(len(rest) // STEP + 2, np.uint64)
-        np.cumsum(np.bincount(np.flatnonzero(more) // STEP, minlength=len(ones) - 1), out=ones[1:])
-        out.append(struct.pack("<Q", len(rest)) + (rest & 255).astype(np.uint8).tobytes() + bits.tobytes() + ones.tobytes())
-        if not more.any():
-            break
-        rest = rest[more] >> 8
-    head = b"DACS" + struct.pack("<IQQ", len(out), len(doc_ids), len(ids))
-    return head + np.asarray(doc_ids, np.int64).tobytes() + np.asarray(starts, np.uint64).tobytes() + b"".join(out)
+    """The file's bytes at once."""
+    packer = Packer()
+    packer.add(ids.astype(np.uint32))
+    return b"".join(packer.parts(doc_ids, np.ones(len(doc_ids), bool), starts))
 
 
 class Codes:
@@ -65,7 +97,9 @@ class Codes:
             at += x.nbytes
             return x
 
-        self.doc_ids, self.starts, self.levels = take(np.int64, docs), take(np.uint64, docs + 1).astype(np.int64), []
+        self.doc_ids = take(np.int64, docs)
+        self.known = np.unpackbits(take(np.uint8, (docs + 7) // 8), count=docs, bitorder="little").astype(bool)
+        self.starts, self.levels = take(np.uint64, docs + 1).astype(np.int64), []
         for _ in range(levels):
             n = int(take(np.uint64, 1)[0])
             self.levels.append((take(np.uint8, n), take(np.uint8, (n + 7) // 8), take(np.uint64, n // STEP + 2)))
@@ -172,11 +206,16 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, offsets = points_of(texts)
         starts, ends = word_level(points, offsets, self.classes)
-        text = "".join(texts)
-        flat, sizes, _ = self.known.gather(span_hashes(points, starts, ends), lambda k: [text[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], self._strings)
+        flat, sizes, _ = self.known.gather(*span_codes(points, starts, ends), self._strings)
         return flat, sums_by(np.searchsorted(starts, offsets), sizes)
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The process's own encoder: its dictionary of bounded size serves all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, encoder: Callable[[], WordEncoder], end: int, folder: str, files: int | None = None, ids_per_file: int = 8 << 20) -> list[tuple[str, int, int]]:
     """Write the ids of all documents; ``(file, documents, ids)`` of each file, in the order of the ids."""
     spark = docs.sparkSession
@@ -191,32 +230,38 @@ def write(docs: DataFrame, encoder: Callable[[], WordEncoder], end: int, folder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         task, made = TaskContext.get(), None
         where, root = fs.FileSystem.from_uri(folder)
-        doc_ids, sizes, ids, rows = [], [], [], []
+        packer, doc_ids, known, sizes, rows = Packer(), [], [], [], []
 
         def flush() -> None:
+            nonlocal packer
             if not doc_ids:
                 return
             name = f"part-{task.partitionId():06d}-{len(rows):04d}.dac"
-            all_ids, n = np.concatenate(ids), np.concatenate(sizes)
+            n = np.concatenate(sizes)
             where.create_dir(root, recursive=True)
             own = f"{root}/.{name}-{task.taskAttemptId()}"
             with where.open_output_stream(own) as out:
-                out.write(pack(np.concatenate(doc_ids), np.concatenate([[0], np.cumsum(n)]), all_ids))
+                for part in packer.parts(np.concatenate(doc_ids), np.concatenate(known), np.concatenate([[0], np.cumsum(n)])):
+                    out.write(part)
             where.move(own, f"{root}/{name}")
-            rows.append((name, len(n), len(all_ids)))
-            for x in (doc_ids, sizes, ids):
+            rows.append((name, len(n), packer.n))
+            packer = Packer()
+            for x in (doc_ids, known, sizes):
                 x.clear()
 
         for batch in batches:
             made = made or encoder()
             for part in blocks(batch, "text"):
                 flat, n = made.encode([t or "" for t in part.column("text").to_pylist()], end)
-                doc_ids.append(np.asarray(part.column("doc_id"), np.int64))
+                ids = part.column("doc_id")
+                doc_ids.append(np.asarray(pc.fill_null(ids, 0), np.int64))
+                known.append(np.asarray(ids.is_valid()))
                 sizes.append(n)
-                ids.append(flat)
-                if sum(map(len, ids)) >= ids_per_file:
+                packer.add(flat)
+                if packer.n >= ids_per_file:
                     flush()
         flush()
+        release()
         if rows:
             yield pa.RecordBatch.from_pydict({"file": [r[0] for r in rows], "docs": [r[1] for r in rows], "ids": [r[2] for r in rows]})
 
@@ -227,8 +272,8 @@ def write(docs: DataFrame, encoder: Callable[[], WordEncoder], end: int, folder:
     return [(f"{folder}/{r.file}", r.docs, r.ids) for r in sorted(done, key=lambda r: r.file)]
 
 
-def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files alone."""
+def read(spark, files: list[tuple[str, int, int]], ids_at_once: int = 1 << 20) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files alone, some ids at a time."""
     ship(spark)
     schema, first, rows = "doc_id long, start long, n_tokens long, ids_crc32 long", 0, []
     for path, _, n in files:
@@ -245,10 +290,16 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
                 where, name = fs.FileSystem.from_uri(path)
                 with where.open_input_stream(name) as f:
                     codes = Codes(f.read())
-                ids = codes.range(0, codes.n).astype("<u4").tobytes()
-                a = codes.starts
-                crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(a[:-1].tolist(), a[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids), pa.array(a[:-1] + base), pa.array(np.diff(a)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                lo, docs = 0, len(codes.doc_ids)
+                while lo < docs:
+                    hi = max(lo + 1, int(np.searchsorted(codes.starts, codes.starts[lo] + ids_at_once, "right")) - 1)
+                    a = codes.starts[lo : hi + 1]
+                    ids = memoryview(codes.range(int(a[0]), int(a[-1])).astype("<u4")).cast("B")
+                    at = (4 * (a - a[0])).tolist()
+                    crc = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids[lo:hi], mask=~codes.known[lo:hi]), pa.array(a[:-1] + base), pa.array(np.diff(a)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    lo = hi
+        release()
 
     table = spark.createDataFrame(rows, "path string, base long").repartition(len(rows))
     return table.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.textblocks import U64, blocks, flat, mix, rows_of, ship, span_hashes, words
+from driftlog.llm.textblocks import U64, blocks, flat, mix, rows_of, ship, span_codes, words
 
 BITS = 18
 
@@ -41,7 +41,7 @@ def indicators(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         codes.append((gram[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
     starts, ends, row = words(raw, offsets)
     if len(starts):
-        h = span_hashes(raw, starts, ends)
+        h, _ = span_codes(raw, starts, ends)
         size = np.minimum(np.searchsorted([3, 6, 10, 16], ends - starts, "right"), 4)
         upper = np.minimum(_any((raw >= 65) & (raw <= 90), starts, ends), 2)
         digit = _any((raw >= 48) & (raw <= 57), starts, ends) > 0

@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from driftlog.llm.piece_ids import sums_by
-from driftlog.llm.textblocks import U64, blocks, flat, mix, rows_of, ship, span_hashes, words
+from driftlog.llm.textblocks import blocks, flat, ranks, release, rows_of, ship, span_codes, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_bangs", "n_lines")
 SCHEMA = "doc_id {}, " + ", ".join(f"{c} long" for c in BASE + MORE)
-_ROW = U64(0xA24BAED4963EE407)
 
 
 def _mask(symbols: bytes) -> np.ndarray:
@@ -43,7 +42,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, rows = words(raw, offsets)
     bounds = np.searchsorted(rows, np.arange(n + 1))
-    inside = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
+    inside = np.zeros(len(raw) + 1, np.int32 if len(raw) < 2**31 else np.int64)  # code points before each byte
+    np.cumsum((raw & 0xC0) != 0x80, out=inside[1:])
     out = {"n_words": np.diff(bounds), "word_chars": sums_by(bounds, inside[ends] - inside[starts]), "n_symbols": sums_by(offsets, _SYMBOL[raw]), "n_bangs": sums_by(offsets, _BANG[raw])}
     latin = np.zeros(len(raw), bool)
     latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -58,19 +58,21 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     begin, finish = begin[held], finish[held]
     line_rows = rows_of(begin, offsets)
     out["n_lines"] = np.bincount(line_rows, minlength=n)
-    _, first = np.unique(span_hashes(raw, begin, finish) ^ mix(line_rows.astype(U64) * _ROW), return_index=True)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(line_rows[first], minlength=n)
+    codes, distinct = span_codes(raw, begin, finish)
+    same = np.unique(line_rows * max(len(distinct), 1) + codes)  # row and line, once each
+    out["n_dup_lines"] = out["n_lines"] - np.bincount(same // max(len(distinct), 1), minlength=n)
 
-    h = span_hashes(raw, starts, ends)
-    covered = np.zeros(len(h) + 1, np.int64)
-    if len(h) >= 3:
-        three = h[:-2] * U64(3) + h[1:-1] * U64(0x9E3779B97F4A7C15) + h[2:] * U64(0xC2B2AE3D27D4EB4F)
+    codes, distinct = span_codes(raw, starts, ends)
+    covered = np.zeros(len(codes) + 1, np.int8)
+    if len(codes) >= 3:
         at = np.flatnonzero(rows[:-2] == rows[2:])
-        _, inverse, counts = np.unique(mix(three[at]) ^ mix(rows[at].astype(U64) * _ROW), return_inverse=True, return_counts=True)
-        at = at[counts[inverse] > 1]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + 3, -1)
-    out["n_repeat_words"] = sums_by(bounds, np.cumsum(covered)[:-1] > 0)
+        pairs, n_pairs = ranks(codes[:-1].astype(np.int64) * len(distinct) + codes[1:])
+        three, n_three = ranks(pairs[at] * len(distinct) + codes[at + 2])
+        three, n_three = ranks(rows[at] * n_three + three)  # a window counts within its text
+        at = at[np.bincount(three, minlength=n_three)[three] > 1]
+        for k in range(3):
+            covered[at + k] = 1
+    out["n_repeat_words"] = sums_by(bounds, covered[:-1])
     return out
 
 
@@ -84,6 +86,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             for part in blocks(batch, "text"):
                 got = statistics(*flat(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[c].astype(np.int64)) for c in BASE + MORE)], ["doc_id", *BASE, *MORE])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(kind))
 
@@ -201,6 +204,7 @@ def keep(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
             for part in blocks(batch, "text"):
                 got = statistics(*flat(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in BASE + MORE)], [*part.schema.names, *names])
+        release()
 
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
     rows = docs.mapInArrow(run, schema)

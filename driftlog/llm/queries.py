@@ -34,7 +34,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.staging import shared_folder
 
     path = _tokenizer("word_bpe_49k.json")
-    files = codes.write(table(spark, sf_dir, "documents"), lambda: codes.WordEncoder(path), 1, shared_folder(spark, "token-ids"))
+    files = codes.write(table(spark, sf_dir, "documents"), lambda: codes.word_encoder(path), 1, shared_folder(spark, "token-ids"))
     return codes.read(spark, files)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.piece_ids import IdDictionary, sums_by
-from driftlog.llm.textblocks import blocks, points_of, release, segments, ship, span_hashes
+from driftlog.llm.textblocks import blocks, points_of, release, segments, ship, span_codes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -155,7 +155,7 @@ class Codec:
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
-        self.known = IdDictionary(500_000, flags=2)
+        self.known = IdDictionary(64 << 20, flags=2)
 
     @property
     def tokenizer(self):
@@ -215,8 +215,7 @@ class Codec:
         start[offsets[:-1]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(points))
-        text = "".join(texts)
-        flat, sizes, slot = self.known.gather(span_hashes(points, starts, ends), lambda k: [text[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], self._strings)
+        flat, sizes, slot = self.known.gather(*span_codes(points, starts, ends), self._strings)
         bounds = np.searchsorted(starts, offsets)
         flags = self.known.flags[slot]
         return flat, sums_by(bounds, sizes), np.stack([sums_by(bounds, ~flags[:, 0]), sums_by(bounds, ~flags[:, 1])], axis=1)

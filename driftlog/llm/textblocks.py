@@ -8,15 +8,18 @@ memory of a task whatever the size of the Arrow batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 MAX_BLOCK = 1 << 20
 U64 = np.uint64
 
+#: For Python workers: Arrow's memory comes from the C library, which hands large pieces back when they are freed.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
 
 def ship(spark) -> None:
     """Let Python workers import this package from where the driver has it.
@@ -27,6 +30,7 @@ def ship(spark) -> None:
 
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    env.update(WORKERS)
     have = env.get("PYTHONPATH", "")
     if root not in have.split(":"):
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
@@ -38,6 +42,7 @@ def release() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -73,36 +78,6 @@ def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, "right") - 1
 
 
-@lru_cache(maxsize=1)
-def _symbol_codes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, size=4096, dtype=U64) * U64(2) + U64(1)
-
-
-_POWER = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
-    if _POWER["n"] < n:
-        base, m = 0x9E3779B97F4A7C15, max(n, MAX_BLOCK + 1)
-        inverse = pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            out = np.empty(m, U64)
-            out[0] = 1
-            size, step = 1, U64(b)
-            while size < m:  # doubling: out[size + i] = out[i] * b ** size
-                k = min(size, m - size)
-                np.multiply(out[:k], step, out=out[size : size + k])
-                size += k
-                step = U64(pow(b, size, 1 << 64))
-            made.append(out)
-        if m > 4 * MAX_BLOCK:
-            return made[0], made[1]
-        _POWER.update(n=m, up=made[0], down=made[1])
-    return _POWER["up"], _POWER["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply)."""
     h = h ^ (h >> U64(30))
@@ -113,18 +88,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def span_codes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A code for each span of a byte or code-point array, and the distinct spans' bytes by code.
+
+    Spans are ordered and do not overlap. Spans share a code if, and only if, their bytes are the same.
+    """
+    sizes = ends - starts
+    if len(starts) and int(sizes.sum()) != len(symbols):  # what lies between spans goes
+        step = np.zeros(len(symbols) + 1, np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        symbols = symbols[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes * symbols.itemsize, out=offsets[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(symbols))])
+    found = spans.dictionary_encode()
+    return np.asarray(found.indices), found.dictionary
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of a byte or code-point array, from one prefix sum."""
-    up, down = _powers(len(symbols) + 1)
-    codes = _symbol_codes()
-    if symbols.dtype == np.uint8:
-        value = codes[symbols]
-    else:
-        value = codes[symbols & 4095] ^ (symbols >> 12).astype(U64) * U64(0xD6E8FEB86659FD93)
-    total = np.empty(len(symbols) + 1, U64)
-    total[0] = 0
-    np.cumsum(value * up[: len(symbols)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hash (XXH3) of each span's bytes, made once for each distinct span; for what is compared across tasks."""
+    codes, distinct = span_codes(symbols, starts, ends)
+    return np.fromiter(map(xxh3_64_intdigest, distinct.to_pylist()), U64, len(distinct))[codes]
+
+
+def ranks(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each integer, the same for equal ones alone, and how many numbers there are."""
+    found = pa.array(values).dictionary_encode()
+    return np.asarray(found.indices).astype(np.int64), len(found.dictionary)
 
 
 _SPACE = np.zeros(256, bool)

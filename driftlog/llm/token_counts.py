@@ -1,10 +1,10 @@
 """Token counts without token ids.
 
-Each task keeps a dictionary from pre-token (by 64-bit hash) to its number of pieces.
+Each task keeps a dictionary from pre-token (by its own bytes) to its number of pieces.
 A block of documents is split into pre-tokens by array operations, the pre-tokens that the
 dictionary lacks are counted once each by the tokenizers library, and the per-document
 frequencies are joined to the dictionary and summed. Nothing is shuffled; a task's memory
-is the dictionary (bounded by ``dictionary_rows``; a full one is started anew) and a block.
+is the dictionary (bounded by ``dictionary_bytes``; a full one is started anew) and a block.
 
 Nulls and empty texts: 0 bytes, 0 tokens. Repeated rows: one result row each. Other columns
 are ignored, whatever their names. Very long texts are read in parts that no pre-token crosses.
@@ -21,14 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlog.llm.piece_ids import ENTRY
 from driftlog.llm.pretokens import byte_level
-from driftlog.llm.textblocks import CharClasses, blocks, points_of, segments, ship, span_hashes
+from driftlog.llm.textblocks import CharClasses, blocks, points_of, release, segments, ship, span_codes
 
 
 class PieceCounter:
     """Pieces of whole texts under a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, dictionary_rows: int = 2_000_000) -> None:
+    def __init__(self, path: str, dictionary_bytes: int = 96 << 20) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -47,13 +48,8 @@ class PieceCounter:
         texts = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, texts))) if texts else None
         self.classes = CharClasses()
-        self.most = dictionary_rows
-        self.keys = np.zeros(0, np.uint64)
-        self.pieces = np.zeros(0, np.int64)
-
-    def _lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        self.most, self.held = dictionary_bytes, 0
+        self.pieces: dict[bytes, int] = {}
 
     def count(self, texts: list[str]) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
@@ -79,24 +75,17 @@ class PieceCounter:
     def _count(self, texts: list[str]) -> np.ndarray:
         points, offsets = points_of(texts)
         starts = byte_level(points, offsets, self.classes)
-        ends = np.append(starts[1:], len(points))
-        keys, first, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        _, known = self._lookup(keys)
-        if not known.all():
-            text = "".join(texts)
-            new = first[~known]
-            strings = [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            counts = np.fromiter(map(len, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)), np.int64, len(strings))
-            if len(self.keys) + len(new) > self.most:
-                old = known  # what this block uses stays
-                at, _ = self._lookup(keys[old])
-                self.keys, self.pieces = keys[old], self.pieces[at]
-            merged = np.concatenate([self.keys, keys[~known]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.pieces = merged[order], np.concatenate([self.pieces, counts])[order]
-        at, _ = self._lookup(keys)
+        codes, distinct = span_codes(points, starts, np.append(starts[1:], len(points)))
+        keys = distinct.to_pylist()
+        if self.held > self.most:
+            self.pieces, self.held = {}, 0
+        new = [k for k in keys if k not in self.pieces]
+        if new:
+            self.pieces.update(zip(new, map(len, self.tokenizer.encode_batch_fast([k.decode("utf-32-le") for k in new], add_special_tokens=False)), strict=True))
+            self.held += sum(map(len, new)) + ENTRY * len(new)
+        pieces = np.fromiter(map(self.pieces.__getitem__, keys), np.int64, len(keys))
         sums = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(self.pieces[at][inverse], out=sums[1:])
+        np.cumsum(pieces[codes], out=sums[1:])
         bounds = np.searchsorted(starts, offsets)
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
@@ -116,6 +105,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 text = pc.fill_null(part.column("text"), "")
                 n = counter.count(text.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        del counter
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

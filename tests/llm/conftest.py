@@ -16,6 +16,12 @@ def words(text: str) -> list[str]:
     return WORD.findall(text or "")
 
 
+def doublings(a: str, b: str, n: int) -> tuple[str, str]:
+    """A Thue-Morse string of n letters and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
 def shingles(text: str, k: int = 5) -> set:
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftlog.llm import quality_classifier as qc
 from driftlog.llm import quality_rules as qr
 from driftlog.llm.textblocks import flat
-from tests.llm.conftest import words
+from tests.llm.conftest import doublings, words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -37,6 +37,16 @@ def test_statistics_are_the_plain_ones(spark, odd):
     assert int(got["n_upper"][7]) == 3
 
 
+def test_statistics_tell_complementary_doublings_apart():
+    """Lines and words on which polynomial hashes modulo 2^64 collide."""
+    texts = []
+    for n in (1024, 2048):
+        a, b = doublings("a", "q", n)
+        texts += [f"{a}\n{b}\n{a}", f"x {a} y x {b} y", f"x {a} y x {a} y", f"{a} {b} {a} {b}"]
+    got = qr.statistics(*flat(pa.array(texts)))
+    assert [tuple(int(got[c][i]) for c in qr.BASE) for i in range(len(texts))] == [plain(t) for t in texts]
+
+
 def test_rules_learn_thresholds():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(900), "b": rng.random(900)}

@@ -15,10 +15,12 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from driftlog.llm import direct_codes as codes
+from driftlog.llm.piece_ids import IdDictionary
 from driftlog.llm.sentencepiece_codec import Codec, encode, parse
 from driftlog.llm.staging import shared_folder
-from driftlog.llm.textblocks import segments
+from driftlog.llm.textblocks import points_of, segments, span_codes
 from driftlog.llm.token_counts import PieceCounter, token_counts
+from tests.llm import conftest
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = ["", " ", "it's  we'll\n\n  don't'S 'S ''s 'street  'll\tx", "a<|endoftext|>b <|endoftext|><|startoftext|>", "  x　y ２３ ½ Ⅷ 漢字  'res 're 'r 'v", "é \U0001f600‍ x\x1c\x1dy \x85z", "a'", "İSTANBUL Σας ΣΑΣ ǅ é", "▁ ▁▁x", "\x00 �"]
@@ -33,7 +35,7 @@ def test_counts_are_the_librarys():
 
 
 def test_full_dictionary_starts_anew():
-    small, library = PieceCounter(BYTE, dictionary_rows=50), Tokenizer.from_file(BYTE)
+    small, library = PieceCounter(BYTE, dictionary_bytes=5_000), Tokenizer.from_file(BYTE)
     for i in range(0, 300, 20):
         assert list(small.count(RANDOM[i : i + 20])) == [len(e) for e in library.encode_batch(RANDOM[i : i + 20], add_special_tokens=False)]
 
@@ -105,6 +107,38 @@ def test_pieces_are_the_librarys():
         assert codec.decode_batch(codec.encode_batch(plain)) == plain == own.decode(codec.encode_batch(plain))
 
 
+def test_complementary_doublings_are_told_apart():
+    """Thue-Morse strings of two letters and their complements, on which polynomial hashes modulo 2^64 collide."""
+    texts = [t for pair in ("aq", "xz", "09", "é漢") for n in (1024, 2048) for t in conftest.doublings(*pair, n)]
+    library = Tokenizer.from_file(BYTE)
+    assert list(PieceCounter(BYTE).count(texts)) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    flat, sizes = codes.WordEncoder(WORD).encode(texts)
+    assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == [Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids for t in texts]
+    codec, own = Codec(PIECE, threads=1), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    flat, sizes, _, parity = codec.encode(texts)
+    assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == own.encode(texts)
+
+
+@pytest.mark.parametrize("most", [3_000, 30_000])
+def test_dictionary_of_ids_forgets_and_stays_right(most):
+    known = IdDictionary(most)
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        words = [f"w{int(x)}" for x in rng.zipf(1.3, 40).clip(max=10**9)]
+        points, offsets = points_of(words)
+        flat, sizes, _ = known.gather(*span_codes(points, offsets[:-1], offsets[1:]), lambda new: ([[len(w), *map(ord, w)] for w in new], None))
+        assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == [[len(w), *map(ord, w)] for w in words]
+        assert known.held <= most + 40 * 400
+
+
+def test_documents_without_id_come_first(spark):
+    rows = [(2**60 + 1, "b"), (None, "a b"), (2**60, None), (None, "a"), (2**60 + 1, "a c d")]
+    files = codes.write(spark.createDataFrame(rows, "doc_id bigint, text string"), lambda: codes.word_encoder(WORD), 1, shared_folder(spark, "t"), files=2)
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in codes.read(spark, files, ids_at_once=2).collect()))
+    assert [x[1] for x in got] == [None, None, 2**60, 2**60 + 1, 2**60 + 1]
+    assert [x[2] for x in got] == [2, 3, 1, 4, 2] and [x[0] for x in got] == [0, 2, 5, 6, 10]
+
+
 def _field(number: int, kind: int, value: bytes) -> bytes:
     def varint(n: int) -> bytes:
         out = b""
