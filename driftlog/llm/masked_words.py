@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.textblocks import blocks, flat, release, rows_of, ship, span_hashes
 
-SIDE, EMBED, HIDDEN, ROWS, WAYS = 3, 16, 32, 1 << 15, 64
+SIDE, EMBED, HIDDEN, ROWS, WAYS = 3, 12, 24, 1 << 15, 32
 SHAPES = {"e": (ROWS, EMBED), "p2": (WAYS, HIDDEN), "p3": (WAYS * WAYS, HIDDEN), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,)}
 SHAPES |= {f"v{j}": (HIDDEN, WAYS) for j in (1, 2, 3)} | {f"c{j}": (WAYS,) for j in (1, 2, 3)}
 SPARSE = ("e", "p2", "p3")  # rows that a batch does not touch stay as they are
 CHUNK = 8192
-BATCH = 2048
+BATCH = 8192
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 of a word, 2 alone, 3 inside a character
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -62,12 +62,15 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Start, end and row of every token; the tokens of a text cover all its bytes."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3
-    own = _KIND[raw]
-    inside = own == 3
-    kind = own[np.maximum.accumulate(np.where(inside, 0, np.arange(len(raw))))]
+    kind = np.take(_KIND, raw)
+    inside = np.flatnonzero(kind == 3)
+    if len(inside):  # up to three bytes after a character's first are of its kind
+        for _ in range(3):
+            kind[inside] = kind[np.maximum(inside - 1, 0)]
     space, word = kind == 0, kind == 1
     begin = np.ones(len(raw), bool)
-    begin[1:] = ~inside[1:] & ~space[:-1] & (space[1:] | ~(word[1:] & word[:-1]))
+    begin[1:] = ~space[:-1] & (space[1:] | ~(word[1:] & word[:-1]))
+    begin[inside] = False
     begin[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(begin)
     return starts, np.append(starts[1:], len(raw)), rows_of(starts, offsets)
@@ -79,27 +82,34 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hashes = span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     ids = (hashes % np.uint64(ROWS - 1)).astype(np.int32) + 1
     around = np.zeros((len(ids), 2 * SIDE), np.int32)
-    for at, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-        here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
-        around[here, at] = np.where(rows[here] == rows[there], ids[there], 0)
-    digits = np.stack([(hashes >> np.uint64(s) & np.uint64(63)).astype(np.int32) for s in (58, 52, 46)], axis=1)
+    for d in range(1, SIDE + 1):
+        same = rows[d:] == rows[:-d]
+        around[d:, SIDE - d] = ids[:-d] * same
+        around[:-d, SIDE + d - 1] = ids[d:] * same
+    digits = np.stack([(hashes >> np.uint64(s) & np.uint64(WAYS - 1)).astype(np.int32) for s in (59, 54, 49)], axis=1)
     return around, digits, rows
 
 
+_ONES = np.ones(WAYS, np.float32)
+
+
 def _forward(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray):
-    x = p["e"][around].reshape(len(around), -1)
-    a = x @ p["w"] + p["b"]
+    """Inputs, rows of the tables of digits, and by digit: hidden layer, exponentials, their sums, and the token's log-probability."""
+    x = np.take(p["e"], around, axis=0).reshape(len(around), -1)
+    a = x @ p["w"]
+    a += p["b"]
     given = (None, digits[:, 0], digits[:, 0] * WAYS + digits[:, 1])
-    hidden, logs = [], []
+    at, layers = np.arange(len(around)), []
     for j in (1, 2, 3):
-        h = np.tanh(a if j == 1 else a + p[f"p{j}"][given[j - 1]])
+        h = np.tanh(a if j == 1 else a + np.take(p[f"p{j}"], given[j - 1], axis=0))
         s = h @ p[f"v{j}"]
         s += p[f"c{j}"]
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        hidden.append(h)
-        logs.append(s)
-    return x, given, hidden, logs
+        s -= s.max() if np.ptp(s) < 60 else s.max(axis=1, keepdims=True)  # no sum of exponentials may vanish
+        own = s[at, digits[:, j - 1]]
+        np.exp(s, out=s)
+        total = s @ _ONES
+        layers.append((h, s, total, own - np.log(total)))
+    return x, given, layers
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,25 +117,25 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # by digits, as rows are below 2^16
     ordered = rows[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[at], np.add.reduceat(values[order], at, axis=0)
+    return ordered[at], np.add.reduceat(np.take(values, order, axis=0), at, axis=0)
 
 
 def gradients(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the tokens and its gradients; those of ``SPARSE`` as rows and values."""
-    x, given, hidden, logs = _forward(p, around, digits)
-    at, n, loss, out = np.arange(len(around)), len(around), 0.0, {}
-    da = np.zeros_like(hidden[0])
-    for j in (1, 2, 3):
-        h, s, t = hidden[j - 1], logs[j - 1], digits[:, j - 1]
-        loss -= float(s[at, t].sum()) / n
-        d = np.exp(s)
-        d[at, t] -= 1
-        d /= n
-        dh = (d @ p[f"v{j}"].T) * (1 - h * h)
-        out[f"v{j}"], out[f"c{j}"] = h.T @ d, d.sum(axis=0)
+    x, given, layers = _forward(p, around, digits)
+    at, n, loss, out, da = np.arange(len(around)), len(around), 0.0, {}, 0
+    for j, (h, d, total, logs) in enumerate(layers, 1):
+        loss -= float(logs.sum()) / n
+        d *= (1 / (total * np.float32(n)))[:, None]
+        d[at, digits[:, j - 1]] -= np.float32(1 / n)
+        dh = d @ p[f"v{j}"].T
+        out[f"v{j}"], out[f"c{j}"] = h.T @ d, np.ones(n, np.float32) @ d
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        dh *= h
         if j > 1:
             out[f"p{j}"] = _summed(given[j - 1], dh)
-        da += dh
+        da = da + dh
     out |= {"w": x.T @ da, "b": da.sum(axis=0), "e": _summed(around.ravel(), (da @ p["w"].T).reshape(-1, EMBED))}
     return loss, out
 
@@ -135,10 +145,17 @@ def learn(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.n
     order = np.random.default_rng(seed).permutation(len(around))
     for lo in range(0, len(order), BATCH):
         pick = order[lo : lo + BATCH]
-        for k, g in gradients(p, around[pick], digits[pick])[1].items():
-            rows, g = g if k in SPARSE else (slice(None), g)
-            squares[k][rows] += g * g
-            p[k][rows] -= rate * g / (np.sqrt(squares[k][rows]) + 1e-8)
+        for k, g in gradients(p, np.take(around, pick, axis=0), np.take(digits, pick, axis=0))[1].items():
+            rows, g = g if k in SPARSE else (None, g)
+            total = squares[k] if rows is None else np.take(squares[k], rows, axis=0)
+            total += g * g
+            g *= rate
+            g /= np.sqrt(total) + np.float32(1e-8)
+            if rows is None:
+                p[k] -= g
+            else:
+                squares[k][rows] = total
+                p[k][rows] = np.take(p[k], rows, axis=0) - g
 
 
 def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1) -> dict[str, np.ndarray]:
@@ -146,16 +163,14 @@ def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1) -> dict[str, np.nda
     spark, params = docs.sparkSession, start()
     ship(spark)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(params)  # 3 MB
+        shared = spark.sparkContext.broadcast(params)  # 2 MB
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             p = {k: v.copy() for k, v in shared.value.items()}
             squares = {k: np.zeros_like(v) for k, v in p.items()}
-            seen = weight = 0
+            weight = 0
             for batch in batches:
-                own = np.arange(seen, seen + batch.num_rows) % rounds == r
-                seen += batch.num_rows
-                for part in blocks(batch.filter(pa.array(own)), "text"):
+                for part in blocks(batch, "text"):
                     around, digits, _ = windows(*flat(part.column("text")))
                     learn(p, squares, around, digits, rate / (r + 1), seed=r)
                     weight += len(digits)
@@ -170,7 +185,8 @@ def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1) -> dict[str, np.nda
             total = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(weight, (x.as_buffer() for x in t.column("piece")), strict=True))
             return pa.table({"i": t.column("i")[:1], "piece": pa.array([(total / sum(weight)).astype(np.float32).tobytes()], pa.binary())})
 
-        made = docs.select("text").mapInArrow(run, "i int, piece binary, weight double")
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
+        made = own.select("text").mapInArrow(run, "i int, piece binary, weight double")
         got = made.groupBy("i").applyInArrow(mean, "i int, piece binary").toArrow()  # one row a piece of 32 KB
         if got.num_rows:
             params = unpack(np.concatenate([np.frombuffer(x, np.float32) for x in got.sort_by("i").column("piece").to_pylist()]))
@@ -181,9 +197,7 @@ def log_probs(params: dict[str, np.ndarray], around: np.ndarray, digits: np.ndar
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(around), np.float32)
     for lo in range(0, len(around), BATCH):
-        d = digits[lo : lo + BATCH]
-        at = np.arange(len(d))
-        out[lo : lo + BATCH] = sum(s[at, d[:, j]] for j, s in enumerate(_forward(params, around[lo : lo + BATCH], d)[3]))
+        out[lo : lo + BATCH] = sum(x[3] for x in _forward(params, around[lo : lo + BATCH], digits[lo : lo + BATCH])[2])
     return out
 
 

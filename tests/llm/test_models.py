@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlog.llm import language_id as lang
-from driftlog.llm import masked_scores as lm
 from driftlog.llm import masked_words as mw
 from driftlog.llm import personal_data as pii
 from driftlog.llm.textblocks import flat
@@ -107,52 +106,13 @@ def test_personal_data_of_odd_frames(spark, odd, empty, model):
     assert pii.spans_of("a@b.com", pii.fit(empty)) == ([("email", 0, 7)],) * 2
 
 
-def test_masked_gradients():
-    p = {k: v.astype(np.float64) for k, v in lm.start().items()}
-    context, token, weight = np.array([1 << 24 | 2 << 16 | 3 << 8 | 4, 77, 5 << 24]), np.array([65, 66, 67]), np.array([1.0, 2, 3])
-    _, grads = lm.gradients(p, context, token, weight)
-    for k, g in grads.items():
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        keep, ends = p[k][i], []
-        for d in (1e-4, -1e-4):
-            p[k][i] = keep + d
-            ends.append(lm.gradients(p, context, token, weight)[0])
-        p[k][i] = keep
-        assert g[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=1e-4)
-
-
-def test_masked_scores_are_the_plain_sums(spark, odd, empty):
-    params = lm.start(4)
-    for r in lm.score(odd, params).join(odd.select("doc_id", "text"), "doc_id").collect():
-        raw = (r.text or "").encode()
-        assert r.n_tokens == len(raw) and (r.mean_logprob is None) == (not raw)
-        if len(raw) > 6000:
-            continue
-        want = 0.0
-        for i, b in enumerate(raw):
-            around = [raw[j] if 0 <= j < len(raw) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
-            h = np.tanh(params["e"][around].ravel() @ params["w"] + params["b"])
-            s = (h @ params["v"] + params["c"]).astype(np.float64)
-            want += s[b] - np.log(np.exp(s).sum())
-        assert r.sum_logprob == pytest.approx(want, rel=1e-4, abs=1e-3)
-    assert lm.score(empty, params).count() == 0
-
-
-def test_windows_are_counted_over_all_documents(spark):
-    docs = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, "")], "doc_id bigint, text string")
-    got = {r.window: r.n for r in lm.window_counts(docs).collect()}
-    key = lambda *b: int.from_bytes(bytes(b), "big")
-    assert got == {key(0, 0, 98, 99, 97): 2, key(0, 97, 99, 0, 98): 2, key(97, 98, 0, 0, 99): 2}
-
-
-def test_masked_training_beats_byte_frequencies(spark, empty):
+def test_masked_training_beats_word_frequencies(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     held = docs.where("doc_id % 5 = 0")
-    got = lm.score(held, lm.fit(docs.where("doc_id % 5 <> 0"))).agg(F.sum("sum_logprob") / F.sum("n_tokens")).first()[0]
-    raw = np.frombuffer("".join(r.text for r in held.collect()).encode(), np.uint8)
-    share = np.bincount(raw, minlength=256) / len(raw)
-    assert got > np.log(share[raw]).mean() + 0.5
-    assert all((a == b).all() for a, b in zip(lm.fit(empty).values(), lm.start().values(), strict=True))
+    got = mw.score(held, mw.fit(docs.where("doc_id % 5 <> 0"))).agg(F.sum("sum_logprob") / F.sum("n_tokens")).first()[0]
+    _, digits, _ = mw.windows(*flat(pa.array([r.text for r in held.collect()])))
+    _, inverse, counts = np.unique(digits, axis=0, return_inverse=True, return_counts=True)
+    assert got > np.log(counts[inverse] / len(digits)).mean()  # frequencies of the held-out rows themselves
 
 
 def test_word_tokens_cover_all_bytes():
@@ -191,7 +151,7 @@ def test_masked_word_scores_are_the_plain_sums(spark, odd, empty):
         want = 0.0
         for x, (a, b, c) in zip(around, digits, strict=True):
             top = params["e"][x].ravel() @ params["w"] + params["b"]
-            for j, (t, h) in enumerate(((a, top), (b, top + params["p2"][a]), (c, top + params["p3"][a * 64 + b])), 1):
+            for j, (t, h) in enumerate(((a, top), (b, top + params["p2"][a]), (c, top + params["p3"][a * mw.WAYS + b])), 1):
                 s = (np.tanh(h) @ params[f"v{j}"] + params[f"c{j}"]).astype(np.float64)
                 want += s[t] - np.log(np.exp(s).sum())
         assert r.sum_logprob == pytest.approx(want, rel=1e-4, abs=1e-3)
