@@ -162,7 +162,7 @@ class WordEncoder:
             raise ValueError("added tokens that change the text around them are not supported")
         self.special = {t["content"]: t["id"] for t in added}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.classes, self.known = CharClasses(), IdDictionary()
+        self.classes, self.known = CharClasses(), IdDictionary(192 << 20)
 
     def _normal(self, text: str) -> str:
         if text.isascii() or max(text) < "ɐ":

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
-import pyarrow as pa
 
 #: Bytes that an entry takes besides its key and its ids.
 ENTRY = 160
@@ -60,9 +59,9 @@ class IdDictionary:
         self.used[n : n + len(keys)] = 0
         self.held += int(own.sum())
 
-    def gather(self, codes: np.ndarray, distinct: pa.Array, encode: Callable[[list[str]], tuple[list[list[int]], np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def gather(self, codes: np.ndarray, distinct: np.ndarray, encode: Callable[[list[str]], tuple[list[list[int]], np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pre-tokens one after the other, how many each has, and where each is in the dictionary."""
-        keys = distinct.to_pylist()
+        keys = distinct.tolist()
         if self.held > self.most:
             self._forget()
         where = self._find(keys)

@@ -88,8 +88,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_codes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """A code for each span of a byte or code-point array, and the distinct spans' bytes by code.
+def span_codes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each span of a byte or code-point array, and the distinct spans' bytes by code (an array of objects).
 
     Spans are ordered and do not overlap. Spans share a code if, and only if, their bytes are the same.
     """
@@ -103,13 +103,13 @@ def span_codes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     np.cumsum(sizes * symbols.itemsize, out=offsets[1:])
     spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(symbols))])
     found = spans.dictionary_encode()
-    return np.asarray(found.indices), found.dictionary
+    return np.asarray(found.indices), found.dictionary.to_numpy(zero_copy_only=False)
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash (XXH3) of each span's bytes, made once for each distinct span; for what is compared across tasks."""
     codes, distinct = span_codes(symbols, starts, ends)
-    return np.fromiter(map(xxh3_64_intdigest, distinct.to_pylist()), U64, len(distinct))[codes]
+    return np.fromiter(map(xxh3_64_intdigest, distinct.tolist()), U64, len(distinct))[codes]
 
 
 def ranks(values: np.ndarray) -> tuple[np.ndarray, int]:

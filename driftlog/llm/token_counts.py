@@ -76,7 +76,7 @@ class PieceCounter:
         points, offsets = points_of(texts)
         starts = byte_level(points, offsets, self.classes)
         codes, distinct = span_codes(points, starts, np.append(starts[1:], len(points)))
-        keys = distinct.to_pylist()
+        keys = distinct.tolist()
         if self.held > self.most:
             self.pieces, self.held = {}, 0
         new = [k for k in keys if k not in self.pieces]
