@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -67,7 +68,8 @@ def test_field_leaves_plain_numbers_alone(model):
 def test_field_gradient_and_best_by_enumeration():
     text = "+1 22 333-4444 5.6.7.8"
     zone = pii.Zone.of(text, 0, len(text))
-    names = sorted({x for here in zone.segments for _, f in here for x in f})
+    segments = list(zone.segments)
+    names = sorted({x for here in segments for _, f in here for x in f})
     field = pii.Field({x: i for i, x in enumerate(names)}, np.random.default_rng(0).normal(0, 0.7, (len(names), len(pii.KINDS))))
     n = len(zone.starts)
 
@@ -75,7 +77,7 @@ def test_field_gradient_and_best_by_enumeration():
         if j == 0:
             return [((), 0.0)]
         out = list(all_ways(j - 1))
-        for i, f in zone.segments[j - 1]:
+        for i, f in segments[j - 1]:
             s = field.scores(f)
             out += [((*w, (i, j - 1, k)), v + s[k]) for w, v in all_ways(i) for k in range(len(pii.KINDS))]
         return out
@@ -86,7 +88,7 @@ def test_field_gradient_and_best_by_enumeration():
     field.gradient(zone, gold, grad)
     z = np.logaddexp.reduce([v for _, v in ways])
     want = np.zeros_like(grad)
-    feats = {(i, j): f for j, here in enumerate(zone.segments) for i, f in here}
+    feats = {(i, j): f for j, here in enumerate(segments) for i, f in here}
     for way, v in [(tuple(gold), None), *ways]:
         weight = 1.0 if v is None else -np.exp(v - z)
         for i, j, k in way:
@@ -95,10 +97,37 @@ def test_field_gradient_and_best_by_enumeration():
     assert np.allclose(grad, want)
 
 
+def test_number_tables_take_little_memory(model):
+    """One zone of five million characters, and one with an entity in every line."""
+    import pickle
+    import subprocess
+    import sys
+
+    code = """
+import pickle, random, resource, sys
+from driftlog.llm import personal_data as pii
+model = pickle.load(sys.stdin.buffer)
+rng = random.Random(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = " ".join(str(rng.randrange(10**9)) for _ in range(500_000))
+assert len(pii.zones(text)) == 1 and len(text) > 4_900_000
+for _ in pii.Zone.of(text, 0, len(text)).segments:
+    pass
+lines = " ".join("4539578763621486 x" for _ in range(20_000))
+good, every = pii.spans_of(lines, model)
+assert len(good) == 20_000 and every == good
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(model), capture_output=True, timeout=600, cwd=pathlib.Path(__file__).parents[2])
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 300_000  # KB
+
+
 def test_personal_data_of_odd_frames(spark, odd, empty, model):
     for r in pii.find(odd, model).join(odd.select("doc_id", "text"), "doc_id").collect():
         base = plain(r.text or "")
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        assert r.n_spans == (len(r.spans.split(",")) if r.spans else 0) >= len(base)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
     out = {r.doc_id: r.text for r in pii.redact(odd, model).collect()}
     assert out[0] is None and out[1] == "" and out[9] == "mail [EMAIL] or [PHONE] at [IP]"
