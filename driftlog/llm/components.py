@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.staging import staged
+from driftlog.llm.staging import Tables, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,12 +23,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, table: Tables | None = None) -> DataFrame:
     """``(node, component)`` of every node in ``edges(a, b)``; a component's name is its least node."""
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    table = table or staged
+    edges = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = staged(_star(_star(edges, True).distinct(), False).where("a != b").distinct(), "edges")
+        edges = table(_star(_star(edges, True).distinct(), False).where("a != b").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == seen:
             break

@@ -3,16 +3,18 @@
 Documents with the same shingle set form one set with a weight. Each set has ``SIZE`` minhash
 tokens. A run splits the sets recursively: at a node, each token is sampled with probability
 ``1 / (similarity * SIZE)`` by a hash of node and token, and the sets that hold a sampled token
-go to its child. Nodes of at most ``small`` sets, and those at the greatest depth, are leaves.
-Runs are repeated until the chance that a pair of the least similarity shares a leaf reaches
-``recall``. In a leaf all pairs are compared: those with like one-bit sketches, and for which no
-leaf of a lower number has them both, are verified on the exact shingle sets. So each pair is
-verified once, and only counts of links and a spanning forest leave a task. Leaves of more than
-``block`` sets are compared block by block, each pair of blocks a task's group of its own.
+go to its child. A node depends on its path and token alone, so a set finds its leaves, the nodes
+at ``depth``, by itself, whatever other sets there are. Runs are repeated until the chance that a
+pair of the least similarity shares a leaf reaches ``recall``. In a leaf all pairs are compared:
+those with like one-bit sketches, and for which no leaf of a lower number has them both, are
+verified on the exact shingle sets. So each pair is verified once, and only counts of links and a
+spanning forest leave a task. Leaves of more than ``block`` sets are compared block by block, each
+pair of blocks a task's group of its own.
 
 Shingles are ``k`` words (longest runs without space, tab, LF, VT, FF, CR); a text of 1 to k - 1
-words has one shingle. Null texts and texts without a word have no links and are classes of their
-own. Repeated rows with one doc_id count as one document's copies. Other columns are ignored.
+words has one shingle. Every row is a document of its own: rows that repeat a doc_id, with one text
+or several, and rows without a doc_id have links as all others have. Null texts and texts without a
+word have no links and are classes of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.llm.staging import semi_join, small_batches, staged
+from driftlog.llm.staging import Tables, semi_join, staged
 from driftlog.llm.textblocks import U64, blocks, flat, mix, release, shingles, ship, span_hashes, words
 
 SIZE = 128
@@ -52,8 +54,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
-def describe(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, lo, hi, n, signature, sketch)`` of every row: two hashes of the set, its size, minhashes, one bit of each."""
+def describe(rows: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, row, lo, hi, n, signature, sketch)`` of every row: two hashes of the set, its size, minhashes, one bit of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,11 +69,10 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     sig.append(v.tobytes() if len(s) else None)
                     sketch.append(np.packbits(mix(v.astype(U64) + _PLACE) & U64(1)).tobytes() if len(s) else None)
                 hashes = [pa.array(np.array(x, U64).view(np.int64)) for x in (lo, hi)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *hashes, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "lo", "hi", "n", "signature", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *hashes, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "row", "lo", "hi", "n", "signature", "sketch"])
         release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lo long, hi long, n int, signature binary, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row long, lo long, hi long, n int, signature binary, sketch binary")
 
 
 def children(parents: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +83,37 @@ def children(parents: np.ndarray, tokens: np.ndarray, similarity: float) -> tupl
     return row, node[row, place]
 
 
-def _split(rows: DataFrame, runs: int, similarity: float) -> DataFrame:
-    """``(node, set_id)`` of the children; rows without a node stand at the root of every run."""
+def paths(tokens: np.ndarray, runs: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and leaf of every set of a batch in every run; tokens: (rows, SIZE) minhashes."""
+    found = []
+    for r in range(runs):
+        rows = np.arange(len(tokens))
+        node = np.full(len(tokens), r + 1, U64)
+        for _ in range(depth):
+            at, node = children(node, tokens[rows], similarity)
+            rows = rows[at]
+        found.append((rows, node))
+    rows, leaves = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((leaves, rows))
+    rows, leaves = rows[order], leaves[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (leaves[1:] != leaves[:-1])
+    return rows[new], leaves[new]
+
+
+def _leaves(sets: DataFrame, runs: int, depth: int, similarity: float) -> DataFrame:
+    """``(leaf, set_id)`` of every set, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 tokens = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, SIZE)
-                ids = np.asarray(part.column("set_id"))
-                starts = [np.full(len(ids), r + 1, U64) for r in range(runs)] if runs else [np.asarray(part.column("node")).view(U64)]
-                for parents in starts:
-                    row, node = children(parents, tokens, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], ["node", "set_id"])
+                rows, leaves = paths(tokens, runs, depth, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.view(np.int64)), pa.array(np.asarray(part.column("set_id"))[rows])], ["leaf", "set_id"])
+        release()
 
-    return rows.mapInArrow(run, "node long, set_id long")
+    return sets.select("set_id", "signature").mapInArrow(run, "leaf long, set_id long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -242,65 +259,64 @@ def _survival(depth: int) -> float:
     return p
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, small: int = 512, depth: int = 3, block: int = 512) -> DataFrame:
-    """``(doc_id, class_id, n_links)`` of every row with a doc_id.
+def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = 512) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` of every row.
 
-    ``n_links``: other documents with similarity of at least ``similarity``; ``class_id``: the
-    least doc_id that links lead to. ``small`` and ``block`` are sizes of work, not limits: larger
-    leaves are compared whole, in blocks.
+    ``n_links``: other rows with similarity of at least ``similarity``; ``class_id``: the least
+    doc_id that links lead to, null if none of them has one. ``block`` is a size of work, not a
+    limit: larger leaves are compared whole, in blocks.
     """
-    ship(docs.sparkSession)
-    with small_batches(docs.sparkSession):
-        return _join(docs.where("doc_id is not null"), k, similarity, recall, small, depth, block)
+    spark = docs.sparkSession
+    ship(spark)
+    with Tables(spark, "jaccard") as table:
+        return staged(_join(docs, table, k, similarity, recall, depth, block), "classes")
 
 
-def _join(docs: DataFrame, k: int, similarity: float, recall: float, small: int, depth: int, block: int) -> DataFrame:
-    rows = staged(describe(docs, k), "sets")
-    sets = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("weight"))
-    sets = staged(sets, "classes")
-    # One row a set: rows that repeat a doc_id are taken once.
-    full = rows.where("n > 0").join(sets.select("set_id", "weight", F.col("lo").alias("l"), F.col("hi").alias("h")), (F.col("doc_id") == F.col("set_id")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")))
-    full = staged(full.select("set_id", "weight", "signature", "sketch").dropDuplicates(["set_id"]), "signatures")
+def _join(docs: DataFrame, table: Tables, k: int, similarity: float, recall: float, depth: int, block: int) -> DataFrame:
+    # A row's hash finds the text of a set again; rows that share one are told apart by their sets.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = table(describe(texts, k), "rows")
+    sets = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    sets = table(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
 
     runs = math.ceil(math.log(1 - recall) / math.log(1 - _survival(depth)))
-    members, leaves = _split(full.select("set_id", "signature"), runs, similarity).distinct(), None
-    for level in range(1, depth + 1):
-        members = staged(members, f"nodes-{level}")
-        sizes = members.groupBy("node").agg(F.count("*").alias("size"))
-        sizes = staged(sizes.where("size > 1"), f"sizes-{level}")
-        end = F.lit(level == depth) | (F.col("size") <= small)
-        found = members.join(sizes.where(end), "node").select(F.col("node").alias("leaf"), "set_id", "size")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if level == depth or not sizes.where(~end).head(1):
-            break
-        big = members.join(sizes.where(~end).select("node"), "node")
-        members = _split(big.join(full.select("set_id", "signature"), "set_id").select("node", "set_id", "signature"), 0, similarity).distinct()
-
-    leaves = staged(leaves, "leaves")
-    lists = leaves.groupBy("set_id").agg(F.collect_set("leaf").alias("leaves"), F.collect_list(F.struct("leaf", "size")).alias("at"))
-    placed = lists.join(full.select("set_id", "weight", "sketch"), "set_id").select("set_id", "weight", "sketch", "leaves", F.explode("at").alias("at"))
+    leaves = table(_leaves(sets, runs, depth, similarity), "leaves")
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
+    leaves = table(leaves.join(sizes, "leaf"), "shared")
+    lists = leaves.groupBy("set_id").agg(F.collect_list(F.struct("leaf", "size")).alias("at"))
+    placed = lists.join(sets.select("set_id", "lo", "hi", "weight", "sketch"), "set_id").select("set_id", "lo", "hi", "weight", "sketch", F.col("at.leaf").alias("leaves"), F.explode("at").alias("at"))
     n_blocks = F.ceil(F.col("at.size") / F.lit(block)).cast("int")
-    placed = placed.select("set_id", "weight", "sketch", "leaves", F.col("at.leaf").alias("leaf"), F.pmod(F.xxhash64("set_id"), n_blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    placed = placed.select("set_id", "lo", "hi", "weight", "sketch", "leaves", F.col("at.leaf").alias("leaf"), F.pmod(F.xxhash64("set_id"), n_blocks).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
     placed = placed.withColumns({"block_a": F.least("side", "other"), "block_b": F.greatest("side", "other")}).drop("other")
     keys = ["leaf", "block_a", "block_b"]
     most = SIZE - math.floor(SIZE * ((1 + similarity) / 2) - 4.5 * math.sqrt(SIZE * (1 - similarity**2) / 4))
     placed = placed.repartition(*keys).sortWithinPartitions(*keys)
-    near = staged(placed.mapInArrow(_candidates(most), placed.schema), "candidates")
+    near = table(placed.mapInArrow(_candidates(most), placed.schema), "candidates")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1 << 19):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*flat(part.column("text")), k)], pa.binary())], ["set_id", "shingles"])
+                lo, hi, raw = [], [], []
+                for s in shingle_sets(*flat(part.column("text")), k):
+                    lo.append(int(mix(s).sum()))
+                    hi.append(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum()))
+                    raw.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, U64).view(np.int64)) for x in (lo, hi)), pa.array(raw, pa.binary())], ["lo", "hi", "shingles"])
+        release()
 
-    need = near.select(F.col("set_id").alias("doc_id")).distinct()
-    texts = semi_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), need, "doc_id").dropDuplicates(["doc_id"])
-    exact = near.join(texts.mapInArrow(hashes, "set_id long, shingles binary"), "set_id")
+    need = table(near.select("lo", "hi").distinct().join(sets.select("lo", "hi", "row"), ["lo", "hi"]).select("row"), "need")
+    found = semi_join(texts, need, "row").select("text").mapInArrow(hashes, "lo long, hi long, shingles binary")
+    found = found.groupBy("lo", "hi").agg(F.first("shingles").alias("shingles"))  # rows alike in id and text
+    exact = near.join(found, ["lo", "hi"])
     exact = exact.repartition(*keys).sortWithinPartitions(*keys)
-    linked = staged(exact.mapInArrow(_verified(most, similarity), "set_id long, other long, links long"), "links")
+    linked = table(exact.mapInArrow(_verified(most, similarity), "set_id long, other long, links long"), "links")
     counts = linked.groupBy("set_id").agg(F.sum("links").alias("links"))
-    classes = components(linked.select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    named = sets.join(counts, "set_id", "left").join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-    named = named.select("lo", "hi", F.coalesce("component", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    classes = components(linked.select(F.col("set_id").alias("a"), F.col("other").alias("b")), table=table)
+    sets = sets.select("set_id", "lo", "hi", "least", "weight").join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
+    sets = sets.withColumn("component", F.coalesce("component", "set_id"))
+    sets = table(sets.join(counts, "set_id", "left"), "named")
+    first = sets.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = sets.join(first, "component").select("lo", "hi", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("doc_id", "lo", "hi", "n").join(named, ["lo", "hi"], "left")
-    alone = (F.col("n") == 0) | F.col("class_id").isNull()
+    alone = F.col("n") == 0
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))

@@ -29,6 +29,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ids=False)
 
 
+def op3_sentencepiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids read back: length and checksum of the text, and whether the libraries agree."""
+    from pyspark.sql import functions as F
+
+    from driftlog.llm.sentencepiece_codec import decode, encode
+    from driftlog.llm.staging import staged
+
+    docs, model = table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")
+    ids = staged(encode(docs, model).select("doc_id", "ids"), "piece-ids")
+    return decode(ids, model).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "parity")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm import direct_codes as codes
     from driftlog.llm.staging import shared_folder
@@ -107,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sentencepiece": op3_sentencepiece,
+    "op3_sentencepiece_decode": op3_sentencepiece_decode,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
@@ -120,19 +133,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": """
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
 ), s as (
-  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
     else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as g from w
-), n as (select doc_id, count(*) as n from s group by 1),
+), n as (select r, count(*) as n from s group by 1),
 p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+  select a.r as a, b.r as b, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by 1, 2
 ), l as (
-  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c * 1000 >= 800 * (x.n + y.n - c)
-), r(a, b) as (
-  select doc_id, doc_id from w union select r.a, l.b from r join l on r.b = l.a
-)
-select d.doc_id, (select min(b) from r where r.a = d.doc_id) as class_id, (select count(*) from l where l.a = d.doc_id) as n_links from w d
+  select a, b from p join n x on x.r = a join n y on y.r = b where c * 1000 >= 800 * (x.n + y.n - c)
+), reach(a, b) as (
+  select r, r from w union select reach.a, l.b from reach join l on reach.b = l.a
+), least as (select a, min(doc_id) as class_id from reach join w on w.r = reach.b group by 1),
+links as (select a, count(*) as n_links from l group by 1)
+select d.doc_id, class_id, coalesce(n_links, 0) as n_links from w d join least on least.a = d.r left join links on links.a = d.r
 """,
     "op6_decontamination": """
 with d as (

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,26 +20,36 @@ def shared_folder(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark, rows: int = 2_000) -> Iterator[None]:
-    """While tables are staged inside, Python workers get batches of at most so many rows: they hold less at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def remove(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """The frame written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = folder or shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one job; on leaving, all of them are removed, so its result must be staged outside."""
+
+    def __init__(self, spark, name: str) -> None:
+        self.spark, self.folder, self.n = spark, shared_folder(spark, name), 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return staged(df, name, f"{self.folder}/{self.n:03d}-{name}")
+
+    def __exit__(self, *error: object) -> None:
+        remove(self.spark, self.folder)
+
+
 def semi_join(big: DataFrame, ids: DataFrame, column: str, limit: int = 1_000_000, count: int | None = None) -> DataFrame:
     """Rows of ``big`` whose ``column`` is in ``ids``, broadcast while ids are at most ``limit`` rows, else by a shuffle."""
     n = ids.count() if count is None else count
