@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
 import pytest
 
+from driftlog.llm import decontamination, staging
 from driftlog.llm.components import components
 from driftlog.llm.decontamination import clean, contained
 from driftlog.llm.jaccard_join import jaccard_join
-from tests.llm.conftest import classes
+from driftlog.llm.staging import shared_folder
+from tests.llm.conftest import classes, doublings
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,7 +35,7 @@ def _texts(seed: int) -> dict[int, str]:
     return {i: " ".join(t) for i, t in enumerate(out)}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"small": 8, "block": 16}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 16}, {"depth": 1, "block": 7}])
 def test_join_is_all_pairs(spark, sizes):
     texts = _texts(1)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), **sizes).collect()}
@@ -47,6 +50,28 @@ def test_join_of_odd_frames(spark, odd, empty):
     assert jaccard_join(empty).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_documents_of_their_own(spark):
+    """Two texts under one id, whose like ones stand under others; null ids; rows repeated as they are."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(120))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " x"), (None, text("c")), (None, text("c")), (None, text("c") + " y"), (9, text("d")), (9, text("d")), (None, text("d")), (7, None), (None, ""), (None, "one")]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    want = [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (9, 9, 2), (9, 9, 2), (None, 9, 2), (None, None, 2), (None, None, 2), (None, None, 2), (7, 7, 0), (None, None, 0), (None, None, 0)]
+    assert got == sorted(want, key=repr)
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(spark):
+    a, b = doublings("a", "q", 1024)
+    texts = {1: f"{a} x {a} y {a} z {a}", 2: f"{b} x {b} y {b} z {b}", 3: f"{a} x {a} y {a} z {a}"}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+
+
+def test_intermediate_tables_are_removed(spark, odd):
+    folder = shared_folder(spark, "x").rpartition("/")[0].removeprefix("file://")
+    jaccard_join(odd).count()
+    assert not [x for x in os.listdir(folder) if x.startswith("jaccard")]
+
+
 def test_components_are_union_find(spark):
     rng = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, x) for x in range(501, 560)]
@@ -117,7 +142,21 @@ def test_contained_without_broadcast_and_of_odd_frames(spark, odd, empty):
     assert contained(empty, items).count() == 0 and contained(odd, empty.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
-def test_search_has_no_python(spark):
+def test_rows_of_one_id_are_one_document(spark):
+    """An item in two rows of a document; items of one id, of like and unlike lengths; rows without ids."""
+    item = [f"i{j}" for j in range(14)]
+    half = " ".join(item[:9]), " ".join(item[5:])
+    docs = [(1, "x y " + half[0]), (1, half[1] + " z"), (2, half[0]), (3, " ".join(item)), (None, " ".join(item)), (4, "p q r s t u v"), (4, "one two three"), (5, "p q r s t u v")]
+    items = [(7, " ".join(item)), (8, "p q r s t u v"), (8, "one two three"), (None, "x y")]
+    got = contained(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got.collect()} == {(1, 7, 10, 10), (3, 7, 10, 10), (4, 8, 4, 4)}
+
+
+def test_search_has_no_python(spark, monkeypatch):
+    """Neither in the result nor in the tables between."""
+    plans = []
+    monkeypatch.setattr(staging, "staged", lambda df, *a, f=staging.staged: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, *a))[1])
+    monkeypatch.setattr(decontamination, "staged", staging.staged)
     docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
-    plan = contained(docs, items)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans.append(contained(docs, items)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not re.search("Python|Pandas|Arrow", "".join(plans))
