@@ -5,7 +5,7 @@ window from both ends, a softmax labels every byte, and a document's probabiliti
 over its bytes. Training is by backpropagation through time in NumPy with Adam.
 
 Null texts and texts without a letter get ``und`` and score 0. With no labelled row, every text
-gets ``und``. Equal texts get equal results; other columns are ignored.
+gets ``und``. Equal texts get equal results, with or without a doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlog.llm.textblocks import blocks, flat, ship
+from driftlog.llm.textblocks import blocks, flat, release, ship
 
 T = 64
 
@@ -147,25 +147,23 @@ class BiGRU:
         return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def train(texts: list[bytes], langs: list[str], hidden: int = 8, windows_each: int = 3, epochs: int = 6, batch: int = 256, seed: int = 3) -> BiGRU:
-    """Fit on windows spread evenly over each text."""
+def train(texts: list[bytes], langs: list[str], hidden: int = 8, steps: int = 220, batch: int = 256, seed: int = 3) -> BiGRU:
+    """Fit by ``steps`` batches of windows drawn from all of every text, languages in equal parts."""
     names = sorted(set(langs))
     model = BiGRU.new(names, hidden, seed)
     pieces, labels = [], []
     for text, lang in zip(texts, langs, strict=True):
-        for k in range(windows_each if len(text) > T else min(len(text), 1)):
-            at = max(len(text) - T, 0) * k // max(windows_each - 1, 1)
+        for at in range(0, len(text), T):
             pieces.append(np.frombuffer(text[at : at + T], np.uint8))
             labels.append(names.index(lang))
     if not pieces:
         return model
     y, rng, moments = np.array(labels), np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.params.items()}
     counts = np.bincount(y, minlength=len(names))
-    weights = 1 / np.maximum(counts, 1)[y]
-    step, rounds = 0, max(epochs * len(y) // batch, 150)
-    while step < rounds:
-        step += 1
-        pick = rng.choice(len(y), batch, p=weights / weights.sum())  # languages in equal parts
+    by_lang = [np.flatnonzero(y == k) for k in range(len(names))]
+    for step in range(1, steps + 1):
+        which = rng.integers(len(names), size=batch)
+        pick = np.array([by_lang[k][i] for k, i in zip(which, rng.integers(counts[which]), strict=True)])
         pick = pick[np.argsort([-len(pieces[i]) for i in pick], kind="stable")]
         n = np.array([len(pieces[i]) for i in pick])
         x = np.zeros((n[0], len(pick)), np.uint8)
@@ -173,7 +171,7 @@ def train(texts: list[bytes], langs: list[str], hidden: int = 8, windows_each: i
             x[: n[j], j] = pieces[i]
         _, grads = model.gradients(x, np.searchsorted(-n, -np.arange(n[0]), "left"), y[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        rate = 0.02 * min(1, 1 / max(norm, 1e-9)) * (1 - step / (rounds + 1)) ** 0.5
+        rate = 0.02 * min(1, 1 / max(norm, 1e-9)) * (1 - step / (steps + 1)) ** 0.5
         for k, g in grads.items():
             m, v = moments[k]
             m += 0.1 * (g - m)
@@ -182,28 +180,35 @@ def train(texts: list[bytes], langs: list[str], hidden: int = 8, windows_each: i
     return model
 
 
-def fit(docs: DataFrame, max_rows: int = 3_000, max_bytes: int = 4_096, seed: int = 3) -> BiGRU:
-    """Train on at most ``max_rows`` of the given rows with a language, those with the smallest hash of doc_id.
+def fit(docs: DataFrame, max_rows: int = 3_000, each: int = 1_000, max_bytes: int = 4_096, seed: int = 3) -> BiGRU:
+    """Train on at most ``each`` documents of a language and ``max_rows`` of all, those with the smallest hash of doc_id.
 
     Of a sampled text, at most ``max_bytes`` bytes come to the driver, taken from ``max_bytes // T`` places spread over it.
+    Rows without a doc_id are not trained on; of rows that share one, that with the least language and bytes is.
     """
     ship(docs.sparkSession)
-    chosen = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.where("doc_id is not null and lang is not null and text is not null and text rlike '\\\\p{L}'")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = ids.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= each).distinct()
+    chosen = ids.orderBy("rank", "h", "doc_id", "lang").limit(max_rows).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column("text").to_pylist():
-                raw = (t or "").encode()
-                if len(raw) > max_bytes:
-                    n = max_bytes // T
-                    raw = b"".join(raw[a : a + T] for a in ((len(raw) - T) * k // (n - 1) for k in range(n)))
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), batch.column("lang")], ["doc_id", "raw", "lang"])
-
-    rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").join(F.broadcast(chosen), "doc_id", "left_semi")
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, raw binary, lang string").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("raw", "ascending")]) if got.num_rows else got
+            for part in blocks(batch, "text"):
+                out = []
+                for t in part.column("text").to_pylist():
+                    raw = t.encode()
+                    if len(raw) > max_bytes:
+                        n = max_bytes // T
+                        raw = b"".join(raw[a : a + T] for a in ((len(raw) - T) * k // (n - 1) for k in range(n)))
+                    out.append(raw)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), part.column("lang")], ["doc_id", "raw", "lang"])
+        release()
+
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    got = rows.mapInArrow(run, "doc_id long, raw binary, lang string").groupBy("doc_id").agg(F.min(F.struct("lang", "raw")).alias("one")).select("doc_id", "one.lang", "one.raw").toArrow()
+    got = got.sort_by("doc_id") if got.num_rows else got
     return train(got.column("raw").to_pylist(), got.column("lang").to_pylist(), seed=seed)
 
 
@@ -223,6 +228,7 @@ def predict(docs: DataFrame, model: BiGRU) -> DataFrame:
                 p = model.documents(*flat(part.column("text"))) if model.langs else np.zeros((len(known), 1))
                 best = np.where(known, p.argmax(axis=1), len(model.langs))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0))], ["doc_id", "lang_pred", "score"])
+        release()
 
     rows = docs.select("doc_id", F.col("text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("known"))
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

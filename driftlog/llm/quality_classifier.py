@@ -6,7 +6,7 @@ of its counts in the two classes; a linear hinge-loss model is fitted by dual co
 descent, and a sigmoid fitted on rows held back turns margins into scores.
 
 Null and empty texts have no indicator and get the score of the intercept. Repeated rows get
-equal scores. With labels of one class only, every score is that class's. Other columns are ignored.
+equal scores, rows without a doc_id are scored as all others. With labels of one class only, every score is that class's. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.textblocks import U64, blocks, flat, mix, rows_of, ship, span_codes, words
+from driftlog.llm.staging import Tables
+from driftlog.llm.textblocks import U64, blocks, flat, mix, release, rows_of, ship, span_codes, words
 
 BITS = 18
 
@@ -134,9 +135,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: in
     return Classifier((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(b), float(max(s, 1e-3)), float(k))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000) -> Classifier:
-    """Train on at most ``max_rows`` of the labelled rows given, those with the smallest hash of doc_id."""
-    ship(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_features: int = 20_000_000) -> Classifier:
+    """Train on at most ``max_rows`` of the labelled documents given, those with the smallest hash of doc_id.
+
+    Of these, in the order of the hash, as many are used as have ``max_features`` indicators together.
+    Of rows that share a doc_id, the one whose text has the least hash is taken; of labels, the least.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
 
@@ -145,12 +151,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000) -> Classifier
             for part in blocks(batch, "text"):
                 features, bounds = indicators(*flat(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(features, pa.int32()))], ["doc_id", "label", "features"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    got = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().sort_by("doc_id")
+        release()
+
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    with Tables(spark, "labelled") as table:
+        made = table(rows.mapInArrow(run, "doc_id long, label int, features array<int>"), "features")
+        sizes = made.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("features").alias("n")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        used = sizes.column("doc_id").to_numpy()[np.cumsum(sizes.column("n").to_numpy()) <= max_features].tolist()
+        few = spark.createDataFrame([(int(i),) for i in used], "doc_id long")
+        got = made.join(F.broadcast(few), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     lists = got.column("features").combine_chunks()
     bounds, values = np.asarray(lists.offsets), np.asarray(lists.values)
-    order = np.random.default_rng(1).permutation(len(bounds) - 1)[:max_rows]
+    order = np.random.default_rng(1).permutation(len(bounds) - 1)
     return train([values[bounds[i] : bounds[i + 1]] for i in order], np.asarray(got.column("label"))[order])
 
 
@@ -166,5 +179,6 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             for part in blocks(batch, "text"):
                 p = shared.value.scores(*indicators(*flat(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")

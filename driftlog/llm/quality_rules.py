@@ -5,8 +5,8 @@ thresholds by FOIL gain on two thirds of the labelled rows, prunes each on the r
 it while it is precise there (sequential covering). A list becomes ordered Spark conditional
 expressions; documents that no rule rejects are kept.
 
-Nulls and empty texts have no words and fail the base filter. Rows that repeat are judged each
-for itself. With no labels, or labels of one class, the list is empty. Other columns stay out.
+Nulls and empty texts have no words and fail the base filter. Rows that repeat, or have no doc_id,
+are judged each for itself. With no labels, or labels of one class, the list is empty. Other columns stay out.
 """
 
 from __future__ import annotations
@@ -166,10 +166,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 16, max_co
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[list[Condition]]:
-    """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of doc_id."""
+    """Learn from at most ``max_rows`` labelled documents, those with the smallest hash of doc_id.
+
+    Of rows that share a doc_id, the one with the least counts is taken; of labels, the least.
+    """
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = text_statistics(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi"))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*BASE, *MORE)).alias("counts")).select("doc_id", "counts.*")
     rows = rows.join(chosen, "doc_id").select("doc_id", "label", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["label"].to_numpy() == 0) if len(got) else []

@@ -118,3 +118,48 @@ def test_classifier_of_odd_frames(spark, odd, empty):
     none = qc.fit(odd, labels.where("false"))
     assert {r.predicted for r in qc.score(odd, none).collect()} == {1}
     assert qc.score(empty, none).count() == 0
+
+
+def _indicators(text: str) -> set[int]:
+    """Features of a text, one by one."""
+    raw, out = (text or "").encode(), set()
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        out.add(((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - qc.BITS))
+    w, shapes = re.findall(rb"[^\x20\x09-\x0d]+", raw), []
+    for i, x in enumerate(w):
+        size = sum(len(x) >= n for n in (3, 6, 10, 16))
+        upper, digit = min(sum(65 <= c <= 90 for c in x), 2), any(48 <= c <= 57 for c in x)
+        tail = next((k for k, s in ((1, b"#*$%&"), (2, b"|"), (3, b"!"), (4, b".,;:?")) if x[-1] in s), 0)
+        again = 1 if i and w[i - 1] == x else 2 if i > 1 and w[i - 2] == x else 0
+        shapes.append((((size * 3 + upper) * 2 + digit) * 5 + tail) * 3 + again)
+    for k in (1, 2, 3):
+        for i in range(len(shapes) - k + 1):
+            gram = 0
+            for s in shapes[i : i + k]:
+                gram = gram * 1009 + s + 1
+            out.add(int(qc.mix(np.array([gram + (k << 40)], np.uint64))[0]) & ((1 << qc.BITS) - 1))
+    return out
+
+
+def test_scores_are_the_plain_ones(spark, odd):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = qc.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in odd.where("length(text) < 9000 or text is null").collect()] + [(1000 + r.doc_id, r.text) for r in docs.limit(80).collect()]
+    got = {r.doc_id: (r.score, r.predicted) for r in qc.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for d, text in rows:
+        f = sorted(_indicators(text))
+        margin = (float(model.weights[f].astype(float).sum()) + model.bias) / np.sqrt(1 + float(model.squares[f].astype(float).sum()))
+        want = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+        assert abs(got[d][0] - want) < 1e-6 and got[d][1] == int(got[d][0] >= 0.5)
+
+
+def test_training_samples_are_bounded_and_take_an_id_once(spark):
+    """A repeated doc_id is one document, and fewer rows are used where their indicators pass the bound."""
+    text = lambda i: ("good plain words " if i % 2 else "BAD !!! ### ") * (3 + i % 5)
+    docs = [(i, text(i)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    once, more = (spark.createDataFrame(x, "doc_id bigint, text string") for x in (docs, docs + docs[:1] * 50 + [(None, "x")]))
+    a, b = qc.fit(once, labels), qc.fit(more, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    assert qr.fit(once, labels) == qr.fit(more, labels)
+    assert not (qc.fit(once, labels, max_features=300).weights == a.weights).all()
