@@ -213,7 +213,7 @@ def score(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
             for part in blocks(batch, "text"):
                 around, digits, rows = windows(*flat(part.column("text")))
                 n = np.bincount(rows, minlength=part.num_rows)
-                sums = np.bincount(rows, weights=log_probs(shared.value, around, digits), minlength=part.num_rows)
+                sums = np.bincount(rows, weights=log_probs(shared.value, around, digits), minlength=part.num_rows).astype(np.float64)  # integers where no text has a token
                 mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums), mean], ["doc_id", "n_tokens", "sum_logprob", "mean_logprob"])
         release()

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,12 +175,16 @@ class Codec:
         lists = [e.ids for e in self.inner.encode_batch_fast(strings, add_special_tokens=False)]
         flags = np.ones((len(strings), 2), bool)
         if self.own is not None:
-            drop = 1 if self.model.dummy_prefix else 0
-            bare = len(self.own.encode("a"))
-            for i, ids in enumerate(self.own.encode([s[drop:].replace(MARK, " ") if s.strip(MARK) else "a" + " " * len(s) for s in strings], num_threads=1)):
-                if not strings[i].strip(MARK):  # markers alone end a text, so they are looked at after a letter
-                    ids = ids[bare:]
-                if ids != lists[i] and strings[i].startswith(MARK):
+            # The library marks the start itself, and may drop blanks there: then a letter stands before the pre-token.
+            bare, asked, after = len(self.own.encode("a")), [], []
+            for s in strings:
+                first = s.startswith(MARK)
+                text = s.replace(MARK, " ")
+                after.append(first and (not self.model.dummy_prefix or not s.strip(MARK)))
+                asked.append("a" + text if after[-1] else text[1:] if first else text)
+            for i, ids in enumerate(self.own.encode(asked, num_threads=1)):
+                ids = ids[bare:] if after[i] else ids
+                if ids != lists[i]:
                     flags[i, 1], lists[i] = False, ids
         back = self.inner.decode_batch(lists, skip_special_tokens=False)
         flags[:, 0] = [a == b for a, b in zip(back, strings, strict=True)]
@@ -187,10 +192,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after the other; how many each has; and each text's round trip and parity."""
-        parts, owner = [], []
+        parts, owner, same, parity = [], [], np.ones(len(texts), bool), np.ones(len(texts), bool)
         for i, text in enumerate(texts):
+            same[i] = MARK not in text
             if self.clean is not None:
-                text = self.clean.normalize_str(text)
+                clean = self.clean.normalize_str(text)
+                same[i] &= clean == text
+                if self.own is not None:
+                    marked = clean.replace(" ", MARK)
+                    parity[i] = self.own.normalize(text) == (MARK + marked if clean and self.model.dummy_prefix else marked)
+                text = clean
             if text:
                 for k, part in enumerate(segments(text)):
                     parts.append((MARK if self.model.dummy_prefix and not k else "") + part.replace(" ", MARK))
@@ -205,7 +216,7 @@ class Codec:
                 np.add.at(sizes, owner[lo : j + 1], n)
                 np.add.at(wrong, owner[lo : j + 1], bad)
                 lo, size = j + 1, 0
-        return np.concatenate(got) if got else np.zeros(0, np.uint32), sizes, wrong[:, 0] == 0, wrong[:, 1] == 0
+        return np.concatenate(got) if got else np.zeros(0, np.uint32), sizes, same & (wrong[:, 0] == 0), parity & (wrong[:, 1] == 0)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         points, offsets = points_of(texts)
@@ -244,3 +255,32 @@ def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> D
 
     more = ", ids array<int>" if ids else ""
     return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, parity boolean{more}")
+
+
+def decode(rows: DataFrame, model: str, threads: int = 2, id_col: str = "doc_id", ids_col: str = "ids", most: int = 1 << 19) -> DataFrame:
+    """``(doc_id, text, parity)`` of a table of ids, decoded some ``most`` ids at a time.
+
+    A text that differs from the sentencepiece library's is put as the library has it, with ``parity`` false.
+    """
+    ship(rows.sparkSession)
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = None
+        for batch in batches:
+            codec = codec or Codec(model, threads)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("ids")), 0), np.int64)
+            ends, lo = np.cumsum(sizes), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+                ids = batch.column("ids").slice(lo, hi - lo).to_pylist()
+                known = [x is not None for x in ids]
+                texts = codec.decode_batch([x or [] for x in ids])
+                own = codec.own.decode([x or [] for x in ids])
+                parity = [a == b for a, b in zip(texts, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([t if k else None for t, k in zip(own, known, strict=True)], pa.string()), pa.array(parity)], ["doc_id", "text", "parity"])
+                lo = hi
+        del codec
+        release()
+
+    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string, parity boolean")

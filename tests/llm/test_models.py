@@ -245,3 +245,44 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert got[7].lang_pred == got[8].lang_pred != "und" and lang.predict(empty, m).count() == 0
     none = lang.fit(empty)
     assert {r.lang_pred for r in lang.predict(odd, none).collect()} == {"und"}
+
+
+def test_language_scores_are_the_plain_ones(spark):
+    """Each window byte by byte, both ways, and the mean over a document's bytes."""
+    m = lang.BiGRU.new(["a", "b", "c"], 5, 9)
+    p, sig = {k: v.astype(float) for k, v in m.params.items()}, lambda x: 1 / (1 + np.exp(-x))
+
+    def states(raw: bytes, d: str) -> list[np.ndarray]:
+        h, out = np.zeros(5), []
+        for c in raw if d == "f" else raw[::-1]:
+            e, g = p[f"e{d}"][c], h @ p[f"u{d}"]
+            z, r = sig(e[:5] + g[:5]), sig(e[5:10] + g[5:10])
+            n = np.tanh(e[10:] + r * (g[10:] + p[f"c{d}"]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    texts = ["hello", "é" * 70, "x y " * 60, "a", "漢字 mixed \U0001f600 text " * 9, "123", None, ""]
+    got = {r.doc_id: r for r in lang.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), m).collect()}
+    for i, t in enumerate(texts):
+        if not t or t == "123":
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        raw, total = t.encode(), np.zeros(3)
+        for lo in range(0, len(raw), lang.T):
+            for f, b in zip(states(raw[lo : lo + lang.T], "f"), states(raw[lo : lo + lang.T], "b"), strict=True):
+                s = np.exp(np.concatenate([f, b]) @ p["w"] + p["b"])
+                total += s / s.sum()
+        total /= len(raw)
+        assert got[i].lang_pred == "abc"[total.argmax()] and got[i].score == pytest.approx(total.max(), abs=1e-5)
+
+
+def test_rare_languages_are_learned_and_ids_count_once(spark):
+    """Three documents of a language among 1,500 of another; a doc_id repeated; rows without one."""
+    rows = [(i, f"the quick brown fox {i} jumps", "en") for i in range(1500)] + [(5000 + i, "żółć gęślą jaźń " * 5, "pl") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    more = docs.union(spark.createDataFrame([rows[0]] * 40 + [(None, "qqqq", "zz")], docs.schema))
+    a, b = lang.fit(docs, max_rows=200, each=100), lang.fit(more, max_rows=200, each=100)
+    assert a.langs == b.langs == ["en", "pl"] and all((a.params[k] == b.params[k]).all() for k in a.params)
+    got = {r.doc_id: r.lang_pred for r in lang.predict(docs, a).collect()}
+    assert got[5000] == "pl" and got[7] == "en"

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from driftlog.llm import direct_codes as codes
 from driftlog.llm.piece_ids import IdDictionary
-from driftlog.llm.sentencepiece_codec import Codec, encode, parse
+from driftlog.llm.sentencepiece_codec import Codec, decode, encode, parse
 from driftlog.llm.staging import shared_folder
 from driftlog.llm.textblocks import points_of, segments, span_codes
 from driftlog.llm.token_counts import PieceCounter, token_counts
@@ -102,7 +102,7 @@ def test_pieces_are_the_librarys():
     for texts in (ODD, RANDOM):
         flat, sizes, trip, _ = codec.encode(texts)
         assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == own.encode(texts)
-        assert trip.all()
+        assert trip.tolist() == [own.decode(own.encode(t)) == t for t in texts] and not trip[[i for i, t in enumerate(texts) if "▁" in t]].any()
         plain = [t for t in texts if "▁" not in t]  # the marker itself reads back as a blank
         assert codec.decode_batch(codec.encode_batch(plain)) == plain == own.decode(codec.encode_batch(plain))
 
@@ -149,12 +149,38 @@ def _field(number: int, kind: int, value: bytes) -> bytes:
     return varint(number << 3 | kind) + (varint(len(value)) if kind == 2 else b"") + value
 
 
-def _unigram(tmp_path) -> str:
+def test_marker_in_a_text_is_no_round_trip():
+    _, _, trip, parity = Codec(PIECE, threads=1).encode(["a▁b", "a b", " a", "", "▁"])
+    assert trip.tolist() == [False, True, True, True, False] and parity.all()
+
+
+def test_decoded_tables_are_the_librarys(spark, odd, empty):
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(r.doc_id, own.encode(r.text) if r.text is not None else None) for r in odd.collect()]
+    rows += [(None, own.encode(t)) for t in ODD] + [(7, [rng.randrange(own.vocab_size()) for _ in range(30)]) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    got = sorted(((r.doc_id, r.text) for r in decode(frame, PIECE, most=50).collect()), key=repr)
+    assert got == sorted(((d, None if x is None else own.decode(x)) for d, x in rows), key=repr)
+    plain = decode(frame.where("doc_id is null or doc_id <> 7"), PIECE).collect()
+    assert all(r.parity for r in plain) and decode(encode(empty, PIECE), PIECE).count() == 0
+
+
+@pytest.mark.parametrize(("prefix", "squeeze"), [(1, 0), (0, 0), (1, 1), (0, 1)])
+def test_prefixes_and_blanks_of_models(tmp_path, prefix, squeeze):
+    path = _unigram(tmp_path, prefix, squeeze)
+    codec, own = Codec(path, threads=1), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ab abc cab", " ab  c ", "", "  ", "é ab", "ab", "b\u2581a"]
+    flat, sizes, trip, parity = codec.encode(texts)
+    assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == own.encode(texts)
+    assert trip.tolist() == [own.decode(own.encode(t)) == t for t in texts] and parity.all()
+
+
+def _unigram(tmp_path, prefix: int = 1, squeeze: int = 0) -> str:
     """A small unigram model with byte fallback, written by hand."""
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]
     pieces += [(t, s, 1) for t, s in (("▁", -2.0), ("a", -3.0), ("b", -3.1), ("ab", -3.5), ("▁ab", -4.0), ("▁a", -3.7), ("ba", -4.2), ("c", -5.0), ("abc", -6.0))]
     data = b"".join(_field(1, 2, _field(1, 2, t.encode()) + _field(2, 5, struct.pack("<f", s)) + _field(3, 0, bytes([k]))) for t, s, k in pieces)
-    data += _field(2, 2, _field(3, 0, b"\x01") + _field(35 & 127, 0, b"\x01")) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, b"\x01") + _field(4, 0, b"\x00"))
+    data += _field(2, 2, _field(3, 0, b"\x01") + _field(35 & 127, 0, b"\x01")) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, bytes([prefix])) + _field(4, 0, bytes([squeeze])))
     path = tmp_path / "u.model"
     path.write_bytes(data)
     return str(path)
