@@ -8,11 +8,13 @@ import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftlog.llm import personal_data as pii
 from driftlog.llm import quality_rules as qr
 from driftlog.llm.queries import ORACLES, QUERIES
+from driftlog.llm.staging import shared_folder
 from tests.llm.conftest import classes
 from tests.llm.test_quality import plain
 from tests.llm.test_similar import _brute
@@ -43,17 +45,17 @@ def test_pipeline_is_the_plain_one(spark):
     bad = {d for d, *_ in _brute(docs, items)}
     docs = {d: t for d, t in docs.items() if d not in bad}
     assert docs and bad
+    clean = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("doc_id").isin(list(docs)))
+    field = pii.fit(clean)  # the stage's input
     own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
     assert set(got) == set(docs)
     for d, t in docs.items():
-        base, _ = pii.patterns(t)
-        if not base and not pii.zones(t):
-            assert got[d].ids == own.encode(t)
-        else:
-            text = own.decode(got[d].ids)
-            assert all(t[a:b] not in text for k, a, b in base if k != "ip")
+        assert got[d].ids == own.encode(pii.redacted(t, pii.spans_of(t, field)[1])), d
+        for kind, a, b in pii.patterns(t)[0]:  # the plain patterns' spans are gone
+            assert not any(s[0] == kind and t[a:b] == own.decode(got[d].ids)[s[1] : s[2]] for s in pii.patterns(own.decode(got[d].ids))[0])
         assert got[d].round_trip and got[d].parity
+    assert any(pii.patterns(t)[0] for t in docs.values())
 
 
 def test_rows_without_own_ids_are_kept_once_and_cleaned(spark):
@@ -68,6 +70,28 @@ def test_rows_without_own_ids_are_kept_once_and_cleaned(spark):
     assert {tuple(r) for r in corpus_pipeline.benchmark_items(spark, once, DATA).collect()} == want
 
 
+def test_stages_of_empty_odd_and_clashing_frames(spark, odd, empty):
+    """Nulls in all columns, and columns whose names the stages use themselves, through every stage."""
+    more = odd.selectExpr("*", "doc_id as _own_id", "text as again", "1 as kept", "'x' as class_id", "2L as n_repeat_words", "h as bound")
+    for frame in (empty, odd.where("doc_id < 0"), more, more.union(more).withColumn("doc_id", F.expr("if(doc_id % 2 = 0, null, 3)"))):
+        docs = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, DATA)
+            assert docs.columns == frame.columns and docs.schema.simpleString() == frame.schema.simpleString()
+        docs.count()
+        for _, stage in corpus_pipeline.STAGES[1:4]:  # on rows that the rules would reject
+            out = stage(spark, frame, DATA)
+            assert out.columns == frame.columns and out.where("text is null").count() <= frame.where("text is null").count()
+        assert corpus_pipeline.tokens(spark, frame, DATA).count() == frame.count()
+
+
+def test_run_removes_the_tables_between(spark):
+    folder = shared_folder(spark, "x").rpartition("/")[0].removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    corpus_pipeline.run(spark, DATA).count()
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")]) == 1
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
