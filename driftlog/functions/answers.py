@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of the answer format.
@@ -23,28 +25,72 @@ def gold(text: Column) -> Column:
 
 
 def rational(text: Column) -> Column:
-    """Struct ``(num, den)`` of decimals, den > 0 and not reduced; NULL where the text is no number.
+    """Struct ``(num, den, top, below)``, not reduced; NULL where the text is no number.
 
-    Thousands commas and dollar signs are dropped. "1.5/2" and a zero denominator are no numbers.
-    Digits are ASCII; values beyond 19 digits a side are NULL.
+    ``top`` and ``below`` are the numerator's digits with a minus sign if negative, and the denominator's,
+    of any length; ``num`` and ``den`` are the same as decimals, NULL beyond 19 digits a side. Thousands
+    commas and dollar signs are dropped. "1.5/2" and a zero denominator are no numbers. Digits are ASCII.
     """
     t = F.regexp_replace(F.trim(text), "[,$]", "")
     parts = F.split(t, "/")
-    whole, below = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit("1"))
+    whole, other = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit("1"))
     decimals = F.length(F.regexp_extract(whole, r"\.([0-9]+)$", 1))
-    ok = t.rlike(NUMBER) & ~((F.size(parts) > 1) & whole.contains(".")) & (F.length(whole) <= 19) & (F.length(below) <= 19)
-    num = F.regexp_replace(whole, r"[.]", "").try_cast("decimal(38,0)")
-    den = (F.pow(F.lit(10.0), decimals).cast("decimal(20,0)")).cast("decimal(38,0)")
-    other = below.try_cast("decimal(38,0)")
-    den = F.when(decimals > 0, den).otherwise(F.abs(other))
-    num = F.when((decimals == 0) & (other < 0), -num).otherwise(num)
-    return F.when(ok & (den > 0), F.struct(num.cast("decimal(38,0)").alias("num"), den.cast("decimal(38,0)").alias("den")))
+    ok = t.rlike(NUMBER) & ~((F.size(parts) > 1) & whole.contains(".")) & other.rlike("[1-9]")
+    minus = whole.startswith("-") != other.startswith("-")
+    top = _digits(F.regexp_replace(whole, "[-+.]", ""))
+    below = F.when(decimals > 0, F.concat(F.lit("1"), F.repeat(F.lit("0"), decimals))).otherwise(_digits(F.regexp_replace(other, "[-+]", "")))
+    top = F.concat(F.when(minus & (top != "0"), F.lit("-")).otherwise(F.lit("")), top)
+    short = (F.length(top) <= 20) & (F.length(below) <= 20) & (F.length(F.ltrim(top, F.lit("-"))) <= 19)
+    as_number = lambda c: F.when(short, c.try_cast("decimal(38,0)"))
+    return F.when(ok, F.struct(as_number(top).alias("num"), as_number(below).alias("den"), top.alias("top"), below.alias("below")))
+
+
+def _digits(text: Column) -> Column:
+    """Digits without leading zeros."""
+    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+
+
+#: Digits of a limb: products of limbs, summed over a number's length, stay within a bigint.
+LIMB = 6
+
+
+def _limbs(digits: Column) -> Column:
+    """Limbs of a number, the lowest first."""
+    n = F.ceil(F.length(digits) / F.lit(LIMB)).cast("int")
+    padded = F.lpad(digits, n * LIMB, "0")
+    return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.substr(padded, (i - 1) * LIMB + 1, F.lit(LIMB)).cast("bigint"))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """Digits of the product of two numbers given by their digits, zeros at the high end included."""
+    base = 10**LIMB
+
+    def made(x: Column, y: Column) -> Column:
+        def at(k: Column) -> Column:
+            low, high = F.greatest(F.lit(0), k - F.size(y) + 1), F.least(k, F.size(x) - 1)
+            return F.aggregate(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), F.lit(0).cast("bigint"), lambda s, i: s + F.get(x, i) * F.get(y, k - i))
+
+        carried = F.aggregate(
+            F.transform(F.sequence(F.lit(0), F.size(x) + F.size(y)), at),
+            F.struct(F.lit(0).cast("bigint").alias("c"), F.array().cast("array<bigint>").alias("out")),
+            lambda s, v: F.struct(F.call_function("div", s["c"] + v, F.lit(base).cast("bigint")).alias("c"), F.concat(s["out"], F.array((s["c"] + v) % base)).alias("out")),
+            lambda s: s["out"],
+        )
+        return carried
+
+    both = F.array(F.struct(_limbs(a).alias("x"), _limbs(b).alias("y")))  # limbs are made once
+    limbs = F.get(F.transform(both, lambda p: made(p["x"], p["y"])), F.lit(0))
+    return F.array_join(F.reverse(F.transform(limbs, lambda v: F.lpad(v.cast("string"), LIMB, "0"))), "")
 
 
 def equal(a: Column, b: Column) -> Column:
-    """Exact equality of two rationals by cross-multiplication; false if either is NULL."""
+    """Exact equality of two rationals by cross-multiplication, digit by digit beyond 19 digits; false if either is NULL."""
     wide = "decimal(38,0)"
-    return F.coalesce((a["num"] * b["den"]).cast(wide) == (b["num"] * a["den"]).cast(wide), F.lit(False))
+    short = (a["num"] * b["den"]).cast(wide) == (b["num"] * a["den"]).cast(wide)
+    sign = a["top"].startswith("-") == b["top"].startswith("-")
+    bare = lambda c: F.ltrim(c, F.lit("-"))
+    long = sign & (_digits(_product(bare(a["top"]), b["below"])) == _digits(_product(bare(b["top"]), a["below"])))
+    return F.coalesce(F.when(a["num"].isNotNull() & b["num"].isNotNull(), short).otherwise(long), F.lit(False))
 
 
 def status(text: Column, strict_tags: bool = False) -> Column:
@@ -65,18 +111,39 @@ def parsed(text: Column) -> Column:
 
 
 def canonical(value: Column) -> Column:
-    """``n`` or ``n/d`` in lowest terms: Euclid's steps, as many as 38-digit numbers can need."""
+    """``n`` or ``n/d`` in lowest terms: Euclid's steps, as many as 38-digit numbers can need; NULL beyond 19 digits a side (see ``canonical_answers``)."""
     gcd = F.aggregate(
         F.sequence(F.lit(1), F.lit(184)),
         F.struct(F.abs(value["num"]).cast("decimal(38,0)").alias("a"), value["den"].cast("decimal(38,0)").alias("b")),
         lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, F.lit(1).cast("decimal(38,0)")).otherwise(s["b"])).cast("decimal(38,0)").alias("b"))),
         lambda s: s["a"],
     )
-    n, d = F.expr("1"), F.expr("1")
     n, d = F.floor(value["num"] / gcd).cast("decimal(38,0)").cast("string"), F.floor(value["den"] / gcd).cast("decimal(38,0)").cast("string")
     return F.when(d == "1", n).otherwise(F.concat(n, F.lit("/"), d))
 
 
+def canonical_answers(df: DataFrame, value: str, name: str) -> DataFrame:
+    """The frame with the rational in ``value`` as canonical text, by column functions up to 19 digits a side and exactly for longer ones."""
+    from pyspark.sql.types import StringType, StructType
+
+    number = F.col(value)
+    short = df.where(number.isNull() | number["num"].isNotNull()).withColumn(name, canonical(number))
+    schema = StructType(df.schema.fields).add(name, StringType())
+
+    def run(batches: Iterator) -> Iterator:
+        import sys
+        from fractions import Fraction
+
+        import pyarrow as pa
+
+        sys.set_int_max_str_digits(0)
+        for batch in batches:
+            texts = [str(Fraction(int(v["top"]), int(v["below"]))) for v in batch.column(value).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
+
+    return short.unionByName(df.where(number["num"].isNull() & number["top"].isNotNull()).mapInArrow(run, schema))
+
+
 def correctness_reward(text: Column, truth: Column) -> Column:
     return equal(parsed(text), truth).cast("double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Logarithms of the greatest and the least positive double.
@@ -43,22 +43,34 @@ def next_down(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
+    """x within the bounds; NaN stays NaN."""
     lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, lo), hi))
 
 
-#: Shifts of the sums below. Terms count fully from 590 below to 709 above a shift, so neighbours overlap.
-SHIFTS = tuple(range(-6500, 6501, 1300))
+def log_sum(values: Column) -> Column:
+    """Logarithm of the sum of exp of an array's values, whatever their height; NULL (minus infinity) for none.
 
+    NaN gives NaN, and plus infinity gives plus infinity. One pass with the greatest value so far.
+    """
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
 
-def log_sum_exp(z: Column) -> Column:
-    """Aggregate: logarithm of the sum of exp(z), NULL (minus infinity) where no term counts; for z within 7000 of 0.
+    def add(a: Column, x: Column) -> Column:
+        m = F.greatest(a["m"], x)
+        return F.struct(m.alias("m"), (a["s"] * F.exp(a["m"] - m) + F.exp(x - m)).alias("s"))
 
-    One pass with partial sums, so a group of any size is combined before the shuffle: the sum is
-    taken under several fixed shifts, and that of the least shift which does not overflow is right.
-    """
-    sums = [(s, F.sum(F.exp(z - float(s)))) for s in SHIFTS]
-    return F.coalesce(*(F.when((x > 0) & (x < float("inf")), F.lit(float(s)) + F.ln(x)) for s, x in sums))
+    infinite = F.lit(float("inf"))
+    return F.aggregate(values, start, add, lambda a: F.when(a["m"] == infinite, infinite).when(a["s"] != 0, a["m"] + F.ln(a["s"])))
+
+
+def weight(z: Column) -> Column:
+    """A log weight, minus infinity put as NULL."""
+    return F.nullif(z, F.lit(float("-inf")))
+
+
+def log_sum_exp(z: Column) -> Column:
+    """Aggregate: ``log_sum`` over a group, which holds the group's values, as an exact median beside it does."""
+    return log_sum(F.collect_list(weight(z)))
 
 
 def mean_exp(z: Column) -> Column:
@@ -66,6 +78,22 @@ def mean_exp(z: Column) -> Column:
     return log_sum_exp(z) - F.ln(F.count(F.lit(1)).cast("double"))
 
 
+#: Height of the steps by which ``log_sums`` puts terms together; exp of it times any count is a double.
+STEP = 500.0
+
+
+def log_sums(df: DataFrame, keys: list[str], z: Column, terms: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """By key: ``n`` rows, for each term the logarithm of the sum of exp(z) where its condition holds, and plain sums.
+
+    Terms are first summed by key and step of height, with partial sums before the shuffle, so that a
+    group of any size, and of any height, leaves a few rows; these are put together by ``log_sum``.
+    """
+    sums, height = sums or {}, F.when(F.abs("_z") < 1e15, F.floor(F.col("_z") / STEP) * F.lit(STEP)).otherwise(F.col("_z"))
+    rows = df.select(*keys, weight(z).alias("_z"), *(c.alias(f"_if_{n}") for n, c in terms.items()), *(c.alias(n) for n, c in sums.items()))
+    steps = rows.withColumn("_h", height).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("n"), *((F.col("_h") + F.ln(F.sum(F.when(F.col(f"_if_{n}"), F.exp(F.col("_z") - F.col("_h")))))).alias(n) for n in terms), *(F.sum(n).alias(n) for n in sums))
+    return steps.groupBy(*keys).agg(F.sum("n").alias("n"), *(log_sum(F.collect_list(n)).alias(n) for n in terms), *(F.sum(n).alias(n) for n in sums))
+
+
 def finite_mean(x: Column) -> Column:
     return F.avg(finite(x))
 

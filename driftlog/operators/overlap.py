@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlog.functions.numeric import clamp, log_sum_exp, mean_exp, safe_exp, safe_exp_status
+from driftlog.functions.numeric import clamp, finite, log_sums, mean_exp, safe_exp, safe_exp_status, weight
 
 PAIR = ["split", "training_seed", "behavior_step", "target_step", "purpose"]
 ESTIMATORS = ("is", "prompt_wis")
 
 
 def prompt_stats(rows: DataFrame, pair: list[str] = PAIR, population_sd: bool = False) -> DataFrame:
-    """One row a pair and prompt. The window and the aggregate share one exchange on their keys."""
+    """One row a pair and prompt. The window and the aggregate share one exchange on their keys.
+
+    A weight that is NaN or plus infinity makes all weight statistics of its prompt NaN; minus infinity is NULL, a weight of 0.
+    """
     keys = [*pair, "prompt_id"]
     w = Window.partitionBy(*keys)
+    rows = rows.withColumn("log_weight", weight(F.col("log_weight")))
     z, good = F.col("log_weight"), F.col("correctness_reward") == 1
     shifted = rows.withColumns({"_m": F.max(z).over(w), "_m1": F.max(F.when(good, z)).over(w), "_m0": F.max(F.when(~good, z)).over(w)})
     k, m, m1, m0 = F.count(F.lit(1)), F.first("_m"), F.first("_m1"), F.first("_m0")
@@ -30,7 +34,7 @@ def prompt_stats(rows: DataFrame, pair: list[str] = PAIR, population_sd: bool =
         (ess / k).alias("relative_ess"),
         (2 * m + F.ln(s2) - log_k).alias("d2"),
         (1 / s1).alias("max_normalized_weight"),
-        (m1 + F.ln(g1) - log_k).alias("log_is"),
+        F.when(F.isnan(s1), F.lit(float("nan"))).otherwise(m1 + F.ln(g1) - log_k).alias("log_is"),
         F.coalesce(clamp(F.exp(m1 - m) * g1 / s1, 0.0, 1.0), F.lit(0.0)).alias("pwis"),
         F.avg(z).alias("mean_log_weight"),
         F.coalesce(sd, F.lit(0.0)).alias("sd_log_weight"),
@@ -117,31 +121,28 @@ def _by_estimator(made: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each estimator from the pair's ``_log`` and ``_pwis``."""
     both = F.array(
         F.struct(F.lit("is").alias("estimator"), safe_exp(F.col("_log")).alias("estimate"), safe_exp_status(F.col("_log")).alias("estimate_status")),
-        F.struct(F.lit("prompt_wis").alias("estimator"), F.col("_pwis").alias("estimate"), F.lit("ok").alias("estimate_status")),
+        F.struct(F.lit("prompt_wis").alias("estimator"), finite(F.col("_pwis")).alias("estimate"), F.when(F.isnan("_pwis"), F.lit("nonfinite_estimator")).otherwise(F.lit("ok")).alias("estimate_status")),
     )
     return made.select(*keep, F.inline(both))
 
 
-def _estimates() -> list[Column]:
-    return [mean_exp(F.col("log_is")).alias("_log"), F.avg("pwis").alias("_pwis")]
-
-
 def estimates(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     """``(pair, estimator, estimate, estimate_status)``: ordinary and prompt-normalised importance sampling."""
-    return _by_estimator(stats.groupBy(*pair).agg(*_estimates()), pair)
+    made = log_sums(stats, pair, F.col("log_is"), {"_log": F.lit(True)}, {"_pwis": F.col("pwis")})
+    return _by_estimator(made.withColumns({"_log": F.col("_log") - F.ln(F.col("n").cast("double")), "_pwis": F.col("_pwis") / F.col("n")}), pair)
 
 
 def pair_summary(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     """Estimates and diagnostics of every pair from one aggregate, so the prompts are made once."""
-    made = stats.groupBy(*pair).agg(*_estimates(), *_diagnostics())
+    made = stats.groupBy(*pair).agg(mean_exp(F.col("log_is")).alias("_log"), F.avg("pwis").alias("_pwis"), *_diagnostics())
     return _by_estimator(made, [c for c in made.columns if not c.startswith("_")])
 
 
 def global_wis(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """Self-normalised over all samples of a pair, in one aggregate with partial sums."""
-    z = F.col("log_weight")
-    good = log_sum_exp(F.when(F.col("correctness_reward") == 1, z))
-    return rows.groupBy(*pair).agg(F.coalesce(F.exp(good - log_sum_exp(z)), F.lit(0.0)).alias("global_wis"))
+    """Self-normalised over all samples of a pair, from partial sums; NULL where a weight is NaN or infinite."""
+    made = log_sums(rows, pair, F.col("log_weight"), {"_good": F.col("correctness_reward") == 1, "_all": F.lit(True)})
+    bad = F.isnan("_all") | (F.col("_all") == float("inf"))
+    return made.select(*pair, F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.exp(F.col("_good") - F.col("_all")), F.lit(0.0))).alias("global_wis"))
 
 
 def online_prompt_accuracy(samples: DataFrame, most: int | None = None) -> DataFrame:

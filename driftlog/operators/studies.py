@@ -63,11 +63,17 @@ def cheapest(scored: DataFrame, passed: str, cost: str, ties: list[str]) -> Data
     return scored.where(passed).orderBy(cost, *ties).limit(1)
 
 
-def common_prefix(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest number of first samples that every prompt of a key has without a gap."""
-    per = samples.groupBy(*keys, "prompt_id").agg(F.count_if(F.col("sample_index") >= 0).alias("n"), F.max("sample_index").alias("most"))
-    per = per.withColumn("n", F.when(F.col("most") + 1 == F.col("n"), F.col("n")).otherwise(F.lit(0)))
-    return per.groupBy(*keys).agg(F.min("n").alias("full_l"), F.count(F.lit(1)).alias("n_prompts"))
+def common_prefix(samples: DataFrame, keys: list[str], value: str = "correct") -> DataFrame:
+    """Number of first samples that every prompt of a key has: the least number of different indices of a prompt.
+
+    ``valid`` is false where a prompt lacks one of these first indices; ``n_conflicts`` counts indices with
+    more than one value. Indices below 0 do not count; samples that repeat count once.
+    """
+    seen = F.collect_set(F.struct(F.col("sample_index").alias("i"), F.col(value).alias("v")))
+    per = samples.where("sample_index >= 0").groupBy(*keys, "prompt_id").agg(seen.alias("s"))  # samples of one prompt
+    per = per.withColumn("at", F.array_sort(F.array_distinct(F.transform("s", lambda x: x["i"]))))
+    per = per.select(*keys, F.size("at").cast("bigint").alias("n"), F.size(F.filter("at", lambda x, i: x == i)).cast("bigint").alias("first"), (F.size("s") - F.size("at")).cast("bigint").alias("conflicts"))
+    return per.groupBy(*keys).agg(F.min("n").alias("full_l"), F.count(F.lit(1)).alias("n_prompts"), (F.min("first") >= F.min("n")).alias("valid"), F.sum("conflicts").alias("n_conflicts"))
 
 
 def reference_sizes(samples: DataFrame, results: DataFrame, sizes: list[int]) -> DataFrame:

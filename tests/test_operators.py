@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -11,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlog.functions import answers, arrays, hashing
-from driftlog.functions.numeric import is_close, log_sum_exp, mean_exp, next_down, next_up, safe_exp, safe_exp_status
+from driftlog.functions.numeric import is_close, log_sum_exp, log_sums, mean_exp, next_down, next_up, safe_exp, safe_exp_status
 from driftlog.operators import bootstrap, checks, gate, mechanism, overlap, registry, report, robustness, studies
+from driftlog.operators.overlap import estimates, global_wis, pair_summary, prompt_stats
 
 # Two logs of two prompts: (log weight, reward) of four samples each.
 OLD = {"p1": [(0, 1), (-1, 0), (-2, 0), (-3, 0)], "p2": [(0.2, 0), (0, 1), (-0.2, 0), (-0.4, 1)]}
@@ -67,13 +69,37 @@ def test_safe_exp_edges(spark):
 
 
 def test_log_sum_exp_at_any_height(spark):
-    groups = {"a": [0.0, 1.0, -2.0], "b": [6000.0, 5999.0], "c": [-6900.0, -6901.0, None], "d": [None], "e": [-800.0, 709.5, 709.4], "f": [1950.0] * 50 + [0.0]}
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [0.0, 1.0, -2.0], "b": [8000.0, 7999.0], "c": [-6900.0, -9901.0, None], "d": [None, -inf], "e": [-800.0, 709.5, 709.4], "f": [1950.0] * 50 + [0.0], "g": [1e300, -1e300, 5.0], "h": [inf, 1.0], "i": [nan, 1.0, inf], "j": [499.9, 500.0, -0.1], "k": [1e16, 1e16 + 2]}
     rows = spark.createDataFrame([(k, z) for k, v in groups.items() for z in v], "k string, z double")
-    for r in rows.groupBy("k").agg(log_sum_exp(F.col("z")).alias("s"), mean_exp(F.col("z")).alias("m")).collect():
-        z = [x for x in groups[r.k] if x is not None]
+    one = {r.k: r for r in rows.groupBy("k").agg(log_sum_exp(F.col("z")).alias("s"), mean_exp(F.col("z")).alias("m")).collect()}
+    two = {r.k: r for r in log_sums(rows, ["k"], F.col("z"), {"s": F.lit(True), "up": F.col("z") > 0}).collect()}
+    for k, v in groups.items():
+        z = [x for x in v if x is not None and x != -inf]
+        if any(math.isnan(x) or x == inf for x in z):
+            assert not math.isfinite(one[k].s) and not math.isfinite(two[k].s)
+            continue
         want = max(z) + math.log(sum(math.exp(x - max(z)) for x in z)) if z else None
-        assert r.s == (pytest.approx(want, rel=1e-14) if z else None)
-        assert r.m == (pytest.approx(want - math.log(len(groups[r.k])), rel=1e-12) if z else None)
+        assert one[k].s == (pytest.approx(want, rel=1e-14) if z else None) == two[k].s
+        assert one[k].m == (pytest.approx(want - math.log(len(v)), rel=1e-12) if z else None)
+        up = [x for x in z if x > 0]
+        assert two[k].n == len(v) and two[k].up == (pytest.approx(max(up) + math.log(sum(math.exp(x - max(up)) for x in up)), rel=1e-14) if up else None)
+
+
+def test_estimates_over_weights_that_no_double_holds(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = {0: [8000.0, 7999.0], 1: [nan, 0.0], 2: [inf, 0.0], 3: [-inf, 0.0], 4: [-8000.0, -8000.0], 5: [900.0, -900.0], 6: [0.0, 0.0]}
+    rows = [("t", 1, 0, b, "fixed", p, z, 1.0 if i == 0 else 0.0, 5, False) for b, zs in cases.items() for p in (1, 2) for i, z in enumerate(zs)]
+    frame = spark.createDataFrame(rows, "split string, training_seed bigint, behavior_step bigint, target_step bigint, purpose string, prompt_id bigint, log_weight double, correctness_reward double, completion_length bigint, was_truncated boolean")
+    stats = prompt_stats(frame)
+    for made in (estimates(stats), pair_summary(stats)):
+        got = {(r.target_step, r.estimator): (r.estimate, r.estimate_status) for r in made.collect()}
+        bad, e = (None, "nonfinite_estimator"), math.exp(-1)
+        assert got[0, "is"] == got[5, "is"] == bad and got[4, "is"] == (0.0, "ok_underflow_to_zero") and got[3, "is"] == (0.0, "ok") and got[6, "is"] == (0.5, "ok")
+        assert all(got[c, k] == bad for c in (1, 2) for k in ("is", "prompt_wis"))
+        assert got[0, "prompt_wis"] == (pytest.approx(1 / (1 + e)), "ok") and got[4, "prompt_wis"] == (0.5, "ok") and got[5, "prompt_wis"] == (1.0, "ok")
+    wis = {r.target_step: r.global_wis for r in global_wis(frame).collect()}
+    assert wis == {0: pytest.approx(1 / (1 + e)), 1: None, 2: None, 3: 0.0, 4: pytest.approx(0.5), 5: 1.0, 6: pytest.approx(0.5)}
 
 
 def test_next_double(spark):
@@ -247,3 +273,38 @@ def test_design_choice(spark):
     rows = spark.createDataFrame([("b", 5, True), ("a", 5, True), ("c", 1, False)], "id string, cost int, ok boolean")
     assert studies.cheapest(rows, "ok", "cost", ["id"]).first().id == "a"
     assert studies.cost_fraction(4, 16, 10, 2) == pytest.approx((40 + 32) / (80 + 64))
+
+
+def _fraction(text: str) -> Fraction | None:
+    """The plain reading of an answer's number."""
+    t = text.strip().replace(",", "").replace("$", "")
+    if not re.fullmatch(r"[-+]?[0-9]+(\.[0-9]+)?(/[-+]?[0-9]+)?", t) or ("/" in t and "." in t) or re.search(r"/[-+]?0+$", t):
+        return None
+    n, _, d = t.partition("/")
+    return Fraction(n) / Fraction(d or 1)
+
+
+def test_rationals_of_any_length(spark):
+    rng = random.Random(6)
+    number = lambda n: str(rng.randrange(10 ** (n - 1), 10**n))
+    texts = ["1.5/2", "3/0", "3/-000", "0", "-0", "-0.00", "007", "+5", "-7/-14", "7/-14", "1,000", "$2.50", "x", "", "12345678901234567890", "-12345678901234567890.0", "0.00000000000000000000000001", "9" * 19, "9" * 20, "1" + "0" * 700]
+    for n in (18, 19, 20, 25, 38, 40, 120):
+        a, b, k = number(n), number(rng.choice([1, 5, n])), rng.randrange(2, 10**9)
+        texts += [a, f"-{a}", f"{a}/{b}", f"{int(a) * k}/{int(b) * k}", f"{a}.{b}", f"{a}.{b}000", f"-{a}/-{b}", f"{a}/-{b}"]
+    pairs = [(x, y) for x in texts for y in rng.sample(texts, 9) + [x]]
+    frame = spark.createDataFrame([(x, y, *(k,)) for k, (x, y) in enumerate(pairs)], "x string, y string, k int")
+    x, y = answers.rational(F.col("x")), answers.rational(F.col("y"))
+    for r in frame.select("x", "y", x.alias("v"), answers.equal(x, y).alias("same")).collect():
+        a, b = _fraction(r.x), _fraction(r.y)
+        assert (r.v is None) == (a is None) and (a is None or Fraction(int(r.v.top), int(r.v.below)) == a)
+        assert r.v is None or r.v.num is None or Fraction(int(r.v.num), int(r.v.den)) == a
+        assert r.same == (a is not None and a == b), (r.x, r.y)
+    got = {r.x: r.c for r in answers.canonical_answers(frame.select("x").distinct().withColumn("v", answers.rational(F.col("x"))), "v", "c").collect()}
+    assert got == {t: None if _fraction(t) is None else str(_fraction(t)) for t in texts}
+
+
+def test_common_prefix_counts_different_indices(spark):
+    groups = {"a": [[0, 1, 2, 5], [0, 1, 2]], "b": [[0, 0, 2]], "c": [[0, 1, 2, 5]], "d": [[0, 1], [1, 0, 0, -1, 2]], "e": [[1, 2]]}
+    rows = [(k, p, i, 1.0) for k, ps in groups.items() for p, ids in enumerate(ps) for i in ids] + [("f", 1, 0, 0.0), ("f", 1, 0, 1.0)]
+    got = {r.k: (r.full_l, r.n_prompts, r.valid, r.n_conflicts) for r in studies.common_prefix(spark.createDataFrame(rows, "k string, prompt_id int, sample_index int, correct double"), ["k"]).collect()}
+    assert got == {"a": (3, 2, True, 0), "b": (2, 1, False, 0), "c": (4, 1, False, 0), "d": (2, 2, True, 0), "e": (2, 1, False, 0), "f": (1, 1, True, 1)}
