@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.functions.numeric import next_down, next_up, ratio
+from driftlog.operators.checks import assert_none, duplicates, seed_coverage
 
 # Gate kind, its diagnostic and the direction of acceptance.
 GATES = (("primary_ress", "median_prompt_relative_ess", "ge"), ("kl_baseline", "tokenwise_kl_proxy", "le"))
@@ -105,13 +107,29 @@ def monotonicity_breaks(thresholds: DataFrame, slack: float = 1e-15) -> DataFram
     return rows.where(bad).select("gate_kind", "tolerance", "previous", "fitted_threshold")
 
 
+def fingerprint(thresholds: list[dict], policy: str) -> str:
+    """Hash of what a gate decides by, whatever else its file says."""
+    text = json.dumps({"policy": policy, "thresholds": thresholds}, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def frozen(thresholds: DataFrame, policy: str) -> str:
-    """The gate as a JSON text, the same for the same thresholds; sources.sinks.write_once keeps it."""
+    """The gate as a JSON text with its fingerprint, the same for the same thresholds; sources.sinks.write_once keeps it."""
     rows = [r.asDict() for r in thresholds.orderBy("gate_kind", "tolerance").collect()]  # gates times tolerances
-    return json.dumps({"policy": policy, "thresholds": rows}, sort_keys=True)
+    return json.dumps({"policy": policy, "thresholds": rows, "content_sha256": fingerprint(rows, policy)}, sort_keys=True)
 
 
-def thawed(spark: SparkSession, text: str) -> DataFrame:
-    """Thresholds of a frozen gate."""
-    rows = json.loads(text)["thresholds"]
+def thawed(spark: SparkSession, text: str, locked_sha256: str | None = None) -> DataFrame:
+    """Thresholds of a frozen gate, if its content has the fingerprint it says and the one that is locked, if given."""
+    gate = json.loads(text)
+    rows, own = gate["thresholds"], fingerprint(gate["thresholds"], gate["policy"])
+    if own != gate.get("content_sha256") or locked_sha256 not in (None, own):
+        raise ValueError("the frozen gate is not what was frozen")
     return spark.createDataFrame([(r["gate_kind"], r["diagnostic_name"], r["direction"], float(r["tolerance"]), float(r["fitted_threshold"]), bool(r["reject_all"]), int(r["n_pairs"]), int(r["threshold_candidate_count"])) for r in rows], "gate_kind string, diagnostic_name string, direction string, tolerance double, fitted_threshold double, reject_all boolean, n_pairs bigint, threshold_candidate_count bigint")
+
+
+def apply_frozen(cases: DataFrame, text: str, role: str, seeds: list[int], locked_sha256: str | None = None) -> DataFrame:
+    """Decisions by a frozen gate, never fitted again, on cases of exactly the seeds given and each case once."""
+    seed_coverage(cases, seeds)
+    assert_none(duplicates(cases, CASE).select(F.lit("duplicate_case").alias("rule"), F.to_json(F.struct(*CASE)).alias("row")))
+    return evaluate(cases, thawed(cases.sparkSession, text, locked_sha256), role)

@@ -12,10 +12,38 @@ from pyspark.sql import functions as F
 from driftlog.functions.numeric import clamp, mean_exp, safe_exp
 
 KEY = ["split", "training_seed", "target_step", "old_behavior_step", "recent_behavior_step"]
+# Names of the patterns and directions that a mechanism table holds.
+PATTERN_A = "A_overlap_repairs_but_aggregate_risk_not_uniformly_improved"
+PATTERN_B = "B_overlap_and_reward_stratum_mostly_align"
+PATTERN_C = "C_overlap_dominates_adverse_reward_stratum_movement"
+PATTERN_REST = "mixed_or_unclassified"
+LOWER, HIGHER, NEUTRAL = "lower_alpha_favorable", "higher_alpha_favorable", "alpha_neutral_at_v_equals_half"
 
 
-def prompt_mechanism(stats: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row a prompt of every recent log beside the first log of the same seed and target."""
+def unequal_sides(stats: DataFrame) -> DataFrame:
+    """Comparisons whose recent and first log do not have the same prompts with the same number of samples."""
+    on = ["split", "training_seed", "target_step"]
+    old = stats.where("behavior_step = 0 and purpose = 'fixed'").select(*on, "prompt_id", F.col("K").alias("old_K"))
+    new = stats.where("purpose = 'rolling'").select(*on, F.col("behavior_step").alias("recent_behavior_step"), "prompt_id", "K")
+    both = new.join(old, [*on, "prompt_id"], "left").groupBy(*on, "recent_behavior_step").agg(F.count(F.lit(1)).alias("n_recent"), F.count("old_K").alias("n_both"), F.count_if(F.col("K") != F.col("old_K")).alias("n_other_k"))
+    both = both.join(old.groupBy(*on).agg(F.count(F.lit(1)).alias("n_old")), on, "left").withColumn("n_old", F.coalesce("n_old", F.lit(0)))
+    return both.where("n_recent <> n_both or n_old <> n_both or n_other_k > 0")
+
+
+def infinite_gaps(rows: DataFrame) -> DataFrame:
+    """Prompts with a second moment of zero on one side only, whose gap is infinite; a mechanism table rejects them."""
+    return rows.where(F.col("old_log_m2_proxy").isNull() != F.col("recent_log_m2_proxy").isNull())
+
+
+def prompt_mechanism(stats: DataFrame, reference: DataFrame, enforce: bool = False) -> DataFrame:
+    """One row a prompt of every recent log beside the first log of the same seed and target.
+
+    With ``enforce``, sides of unequal prompts or numbers of samples are an error.
+    """
+    if enforce:
+        found = unequal_sides(stats).limit(3).collect()  # enough to name
+        if found:
+            raise ValueError("sides differ: " + "; ".join(str(r.asDict()) for r in found))
     on = ["split", "training_seed", "target_step", "prompt_id"]
     side = lambda name: [F.col(c).alias(f"{name}_{n}") for c, n in (("behavior_step", "behavior_step"), ("alpha", "alpha"), ("d2", "log_kappa2"), ("relative_ess", "relative_ess"), ("log_sq_correct", "log_sq_correct"), ("log_sq_incorrect", "log_sq_incorrect"))]
     old = stats.where("behavior_step = 0 and purpose = 'fixed'").select(*on, *side("old"))
@@ -56,7 +84,7 @@ def identity_breaks(rows: DataFrame, tolerance: float = 3e-12) -> DataFrame:
     bad = None
     for name in ("old", "recent"):
         x, y = F.col(f"{name}_log_m2_proxy"), direct(name)
-        off = F.abs(x - y) > F.greatest(F.lit(tolerance), F.lit(tolerance) * F.greatest(F.abs(x), F.abs(y)))
+        off = F.coalesce(F.abs(x - y) > F.greatest(F.lit(tolerance), F.lit(tolerance) * F.greatest(F.abs(x), F.abs(y))), x.isNull() != y.isNull())
         bad = off if bad is None else bad | off
     return rows.where(bad)
 
@@ -87,7 +115,7 @@ def pair_mechanism(rows: DataFrame) -> DataFrame:
         share("alpha_moves_favorable").alias("fraction_prompts_alpha_moves_favorable"),
     )
     v = F.col("online_reference")
-    direction = F.when(v < 0.5, F.lit("lower_alpha_favorable")).when(v > 0.5, F.lit("higher_alpha_favorable")).otherwise(F.lit("alpha_neutral_at_v_equals_half"))
+    direction = F.when(v < 0.5, F.lit(LOWER)).when(v > 0.5, F.lit(HIGHER)).otherwise(F.lit(NEUTRAL))
     return out.withColumns({
         "alpha_favorable_direction": direction,
         "delta_mean_alpha_recent_minus_old": F.col("recent_mean_alpha") - F.col("old_mean_alpha"),
@@ -123,5 +151,5 @@ def split_mechanism(pairs: DataFrame) -> DataFrame:
     every = F.col("pairs_ress_improved") == F.col("n_pairs")
     risk = every & (F.col("pairs_aggregate_m2_proxy_favorable") == F.col("n_pairs"))
     few = 2 * F.col("pairs_alpha_mean_moved_favorable") < F.col("n_pairs")
-    pattern = F.when(risk & few, F.lit("C_overlap_dominates_adverse_reward_stratum_movement")).when(risk, F.lit("B_overlap_and_reward_stratum_mostly_align")).when(every, F.lit("A_overlap_repairs_but_aggregate_risk_not_uniformly_improved")).otherwise(F.lit("mixed_or_unclassified"))
+    pattern = F.when(risk & few, F.lit(PATTERN_C)).when(risk, F.lit(PATTERN_B)).when(every, F.lit(PATTERN_A)).otherwise(F.lit(PATTERN_REST))
     return out.withColumn("mechanism_pattern", pattern)

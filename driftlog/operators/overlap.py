@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.functions.numeric import clamp, finite, log_sums, mean_exp, safe_exp, safe_exp_status, weight
+from driftlog.operators.checks import pair_prompts
 
 PAIR = ["split", "training_seed", "behavior_step", "target_step", "purpose"]
 ESTIMATORS = ("is", "prompt_wis")
@@ -145,9 +146,16 @@ def global_wis(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     return made.select(*pair, F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.exp(F.col("_good") - F.col("_all")), F.lit(0.0))).alias("global_wis"))
 
 
-def online_prompt_accuracy(samples: DataFrame, most: int | None = None) -> DataFrame:
-    """Success share of every prompt under a target, over its first ``most`` samples if given."""
+def online_prompt_accuracy(samples: DataFrame, most: int | None = None, exact: bool = False) -> DataFrame:
+    """Success share of every prompt under a target, over its first ``most`` samples if given.
+
+    With ``exact``, a prompt with another number of samples is an error, raised where the result is read.
+    """
     rows = samples if most is None else samples.where(F.col("sample_index") < most)
+    if exact:
+        made = online_prompt_accuracy(rows)
+        wrong = F.raise_error(F.concat(F.lit("not the samples wanted for prompt "), F.col("prompt_id").cast("string"))).cast("bigint")
+        return made.withColumn("n_samples", F.when(F.col("n_samples") == most, F.col("n_samples")).otherwise(wrong))
     return rows.groupBy("split", "training_seed", "target_step", "prompt_id").agg(F.sum("correct").cast("long").alias("success_count"), F.count(F.lit(1)).alias("n_samples"), F.avg("correct").alias("prompt_accuracy"))
 
 
@@ -164,8 +172,12 @@ def online_reference(accuracy: DataFrame) -> DataFrame:
     )
 
 
-def matched(stats: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Prompt statistics with the prompt's on-policy accuracy; the prompt sets must be equal (see checks.prompt_sets)."""
+def matched(stats: DataFrame, accuracy: DataFrame, enforce: bool = False, pair: list[str] = PAIR) -> DataFrame:
+    """Prompt statistics with the prompt's on-policy accuracy; with ``enforce``, unequal prompt sets of a pair are an error."""
+    if enforce:
+        found = pair_prompts(stats, accuracy, pair).limit(3).collect()  # enough to name
+        if found:
+            raise ValueError("prompt sets differ: " + "; ".join(str(r.asDict()) for r in found))
     return stats.join(accuracy.select("split", "training_seed", "target_step", "prompt_id", "prompt_accuracy"), ["split", "training_seed", "target_step", "prompt_id"])
 
 

@@ -18,6 +18,73 @@ def pair_registry(spark: SparkSession, seeds: list[int], splits: tuple[str, ...]
     return out.withColumn("pair_id", record_id(**{c: F.col(c) for c in out.columns}))
 
 
+def keep_pairs(pairs: DataFrame, split: str, seeds: list[int], identity: list[int], fixed: list[int], rolling: list[tuple[int, int]]) -> DataFrame:
+    """Pairs of a reduced design: identity steps, targets of the first log, and (behaviour, target) steps of later logs."""
+    b, e, purpose = F.col("behavior_step"), F.col("target_step"), F.col("purpose")
+    some = ((purpose == "identity") & (b == e) & e.isin(identity)) | ((purpose == "fixed") & (b == 0) & e.isin(fixed))
+    for x, y in rolling:
+        some = some | ((purpose == "rolling") & (b == x) & (e == y))
+    return pairs.where((F.col("split") == split) & F.col("training_seed").isin(seeds) & F.coalesce(some, F.lit(False)))
+
+
+def with_comparators(selected: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The selection with the fixed pair from step 0 that each of its rolling pairs is compared with, where it lacks one.
+
+    A rolling pair without a comparator in the registry is an error, raised where the result is read.
+    """
+    key = ["split", "training_seed", "target_step"]
+    needed = selected.where("purpose = 'rolling'").select(*key).distinct()
+    needed = needed.join(selected.where("purpose = 'fixed' and behavior_step = 0").select(*key), key, "left_anti")
+    fixed = pairs.where("purpose = 'fixed' and behavior_step = 0").withColumn("_there", F.lit(True))
+    more = needed.join(fixed, key, "left")
+    lost = F.raise_error(F.concat(F.lit("no comparator for "), F.to_json(F.struct(*key)))).cast("string")
+    return selected.unionByName(more.withColumn("purpose", F.when(F.col("_there"), F.col("purpose")).otherwise(lost)).select(*selected.columns))
+
+
+def selection(pairs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose pair_id is selected, and selected ids that no pair has."""
+    ids = ids.select("pair_id").distinct()
+    return pairs.join(ids, "pair_id", "left_semi"), ids.join(pairs, "pair_id", "left_anti")
+
+
+def engineering_registry(spark: SparkSession, seeds: list[int], split: str = "development", last: int = 400, protocol: str = "v1") -> DataFrame:
+    """The small design of trial runs: anchors 0 and the last step, identity pairs and the one fixed pair."""
+    return pair_registry(spark, seeds, (split,), (0, last), last, last, 0, protocol)
+
+
+def first_prompts(prompts: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n prompts in an order, for limited runs."""
+    return prompts.orderBy(*order).limit(n)
+
+
+def union_registry(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both upstream splits as one registry, each row with its ``original_split``."""
+    return train.withColumn("original_split", F.lit("train")).unionByName(test.withColumn("original_split", F.lit("test")))
+
+
+def split_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows by the value of each column: ``(column, value, n)`` in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")
+    return rows.select(each).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key by an order, such as the last entry of a path."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def batched(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """Each row's batch of ``size`` rows within its key, in an order."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn("batch", F.floor(at / size).cast("bigint"))
+
+
+def shards_within(shards: DataFrame, most: int) -> DataFrame:
+    """Shards whose range of samples begins before ``most``: all that hold one of the first samples."""
+    return shards.where(F.col("start") < most)
+
+
 def purpose_rank() -> Column:
     return F.when(F.col("purpose") == "identity", 0).when(F.col("purpose") == "fixed", 1).otherwise(2)
 
@@ -55,7 +122,9 @@ def next_pair(pairs: DataFrame, sources: DataFrame, outputs: DataFrame) -> DataF
     """First pair, identity ones first, with fewer output units than source units."""
     counts = lambda df, n: df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(n))
     rows = pairs.join(counts(sources, "n_source"), "pair_id").join(counts(outputs, "n_output"), "pair_id", "left")
-    left = rows.withColumn("n_output", F.coalesce("n_output", F.lit(0))).where("n_output < n_source")
+    more = F.raise_error(F.concat(F.lit("more outputs than sources for "), F.col("pair_id").cast("string"))).cast("bigint")
+    rows = rows.withColumn("n_output", F.when(F.col("n_output") > F.col("n_source"), more).otherwise(F.coalesce("n_output", F.lit(0))))
+    left = rows.where("n_output < n_source")
     return left.orderBy(purpose_rank(), "training_seed", "split", "behavior_step", "target_step").limit(1)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,24 @@ def gate_table(decisions: DataFrame) -> DataFrame:
     )
 
 
+def gate_validation(roles: dict[str, DataFrame], gate_kind: str) -> DataFrame:
+    """Decision tables of one gate over several roles, each under its own label."""
+    parts = [gate_table(d.where(F.col("gate_kind") == gate_kind)).withColumn("evaluation_role", F.lit(label)) for label, d in roles.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def step_overlap(fixed: DataFrame) -> DataFrame:
+    """Rank correlation of a target's step with its overlap, for each seed."""
+    return spearman(fixed, ["split", "training_seed", "estimator"], "target_step", "median_prompt_relative_ess")
+
+
+def matched_refresh(rolling: DataFrame, estimator: str = "prompt_wis") -> DataFrame:
+    """Old and recent logs of each seed side by side."""
+    rows = rolling.where(F.col("estimator") == estimator)
+    better = F.coalesce(F.col("recent_absolute_error") < F.col("old_absolute_error"), F.lit(False))
+    return rows.groupBy("split", "training_seed").agg(F.count(F.lit(1)).alias("n"), *(finite_mean(F.col(c)).alias(f"mean_{c}") for c in ("old_absolute_error", "recent_absolute_error", "old_median_relative_ess", "recent_median_relative_ess")), F.count_if(better).alias("n_recent_better"))
+
+
 def training_summary(metrics: DataFrame) -> DataFrame:
     """Last metrics of each seed, its greatest memory and mean speed."""
     last = lambda c: F.max_by(finite(F.col(c)), F.col("step"))
@@ -144,6 +164,40 @@ def pooled(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Data
     return df.groupBy(*(keys or []), x).agg(finite_mean(F.col(y)).alias(f"mean_{y}"), F.count(F.lit(1)).alias("n"))
 
 
+def series(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Each group's points in the order of x, for a plot: a point for each row of a report table."""
+    return df.where(finite(F.col(y)).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("points"))
+
+
+# Characters that LaTeX reads as commands, and what stands for them.
+LATEX = (("\\", "\\textbackslash{}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("{", "\\{"), ("}", "\\}"), ("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"))
+
+
+def latex_escape(text: Column) -> Column:
+    """Text in which no character is a LaTeX command: each character is put once."""
+
+    def one(c: Column) -> Column:
+        out = None
+        for x, by in LATEX:
+            out = F.when(c == x, F.lit(by)) if out is None else out.when(c == x, F.lit(by))
+        return out.otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+# What stands for digits in names that may hold letters only.
+DIGITS = ("Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine")
+
+
+def macro_name(key: Column, prefix: str) -> Column:
+    """A name of letters alone: runs of letters begin with a capital, digits become words, the rest goes."""
+    words = F.array(*(F.lit(w) for w in DIGITS))
+    spelt = lambda part: F.array_join(F.transform(F.split(part, ""), lambda c: F.coalesce(F.get(words, c.try_cast("int")), F.lit(""))), "")
+    capital = lambda part: F.concat(F.upper(F.substring(part, 1, 1)), F.substr(part, F.lit(2)))
+    parts = F.regexp_extract_all(key, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0))
+    return F.concat(F.lit(prefix), F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), spelt(p)).otherwise(capital(p))), ""))
+
+
 def key_values(df: DataFrame, name: Column, columns: list[str]) -> DataFrame:
     """``(key, value)`` of table cells, the key made of a row's name and the column's."""
     cells = F.array(*(F.struct(F.concat_ws(".", name, F.lit(c)).alias("key"), F.col(c).cast("double").alias("value")) for c in columns))
@@ -151,7 +205,7 @@ def key_values(df: DataFrame, name: Column, columns: list[str]) -> DataFrame:
 
 
 def formatted(x: Column, digits: int = 4) -> Column:
-    """A number as text: scientific from 1000 on and below 10 ** (1 - digits); "--" where there is none."""
+    """A number as text: scientific from 1000 on and below 10 ** (1 - digits); "NA" where there is none."""
     plain = F.format_string(f"%.{digits}f", x)
     science = F.format_string(f"%.{max(digits - 1, 1)}e", x)
-    return F.when(x.isNull() | F.isnan(x), F.lit("--")).when((x != 0) & ((F.abs(x) >= 1000) | (F.abs(x) < 10.0 ** (1 - digits))), science).otherwise(plain)
+    return F.when(x.isNull() | F.isnan(x), F.lit("NA")).when((x != 0) & ((F.abs(x) >= 1000) | (F.abs(x) < 10.0 ** (1 - digits))), science).otherwise(plain)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.operators.overlap import PAIR
+from driftlog.operators.rescoring import spaced_targets
 
 SCOPES = ("all", "calibration", "validation")
 
@@ -58,6 +59,37 @@ def grid_candidates(cases: DataFrame, candidates: DataFrame, scopes: DataFrame,
     return out.select("candidate_id", "scope", "tolerance", "n_fixed", "n_rolling", *METRICS, *(gap(m).alias(f"absdiff_{m}") for m in METRICS))
 
 
+# Lags of the candidate grids, the design's identity steps and anchors, and the greatest distortion of each kind.
+LAG_PATTERNS = {"mid": (60,), "endpoints": (20, 100), "balanced2": (40, 80), "end_mid": (20, 60, 100)}
+IDENTITY_STEPS, ROLLING_ANCHORS = (0, 100, 200, 300), (100, 200, 300)
+LIMITS = {"fixed_mean_mae": 0.0025, "fixed_mean_ress": 0.05, "rolling_mean_error_reduction": 0.003, "rolling_fraction_recent_better": 0.1, "gate_accept_rate": 0.08, "gate_false_accept_fraction_all": 0.05, "gate_accepted_mae": 0.004}
+
+
+def candidate_grids(spark: SparkSession, n_seeds: int, fewest: int, most: int, max_fixed: int = 12) -> DataFrame:
+    """Grids of evenly spaced targets and a pattern of lags, with their number of pairs over all seeds: some dozens of rows."""
+    rows = []
+    for name, lags in LAG_PATTERNS.items():
+        for n in range(1, max_fixed + 1):
+            total = n_seeds * (len(IDENTITY_STEPS) + n + len(ROLLING_ANCHORS) * len(lags))
+            if fewest <= total <= most:
+                rows.append((f"C{len(rows) + 1:03d}", name, total, list(spaced_targets(n)), list(lags)))
+    return spark.createDataFrame(rows, "candidate_id string, lag_pattern string, total_pairs bigint, targets array<bigint>, lags array<bigint>")
+
+
+def grid_verdicts(metrics: DataFrame, candidates: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """Worst distortion of each candidate over all seeds and the validation ones and over tolerances, its score, and whether all limits hold."""
+    worst = metrics.where("scope in ('all', 'validation')").groupBy("candidate_id").agg(*(F.max(f"absdiff_{m}").alias(f"worst_{m}") for m in limits))
+    score, passed = F.lit(0.0), F.lit(True)
+    for m, most in limits.items():
+        score, passed = score + F.col(f"worst_{m}") / F.lit(most), passed & (F.col(f"worst_{m}") <= most)
+    return candidates.join(worst, "candidate_id").withColumns({"distortion_score": score, "passed": passed})
+
+
+def recommended_grid(verdicts: DataFrame) -> DataFrame:
+    """The passing grid of fewest pairs; the least score, then the id, decides among equals."""
+    return cheapest(verdicts, "passed", "total_pairs", ["distortion_score", "candidate_id"])
+
+
 def cheapest(scored: DataFrame, passed: str, cost: str, ties: list[str]) -> DataFrame:
     """The cheapest row that passes; ties by the columns given."""
     return scored.where(passed).orderBy(cost, *ties).limit(1)
@@ -95,6 +127,53 @@ def reference_sizes(samples: DataFrame, results: DataFrame, sizes: list[int]) ->
     )
 
 
+# Steps that keep more samples, and the greatest changes of a plan of sample sizes.
+AUDIT_STEPS = (0, 100, 200, 300, 400)
+TOLERATED = {"reference": (0.005, 0.0125), "fixed": (0.005, 0.0125), "rolling": (0.005, 0.0125)}
+
+
+def sample_plans(samples: DataFrame, fixed: DataFrame, rolling: DataFrame, plans: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Effect of references from fewer samples, by plan (``main_l``, ``audit_l``), split and scope.
+
+    A target at an audit step takes its first ``audit_l`` samples, any other its first ``main_l``. Changes are
+    those of the reference, of the fixed cases' absolute error and of the rolling cases' difference of errors.
+    ``valid`` is false where a target has fewer samples than its plan takes; plans and scopes are designs.
+    """
+    key = ["split", "training_seed", "target_step"]
+    size = F.when(F.col("target_step").isin(*AUDIT_STEPS), F.col("audit_l")).otherwise(F.col("main_l"))
+    prompts = samples.groupBy(*key, "prompt_id").agg(F.array_sort(F.collect_set(F.struct("sample_index", "correct"))).alias("s"))  # samples of one prompt
+    length = prompts.groupBy(*key).agg(F.min(F.size("s")).alias("full_l"))
+    prompts = prompts.join(length, key).withColumn("x", F.transform(F.slice("s", F.lit(1), F.col("full_l")), lambda s: s["correct"]))
+    share = lambda n: F.aggregate(F.slice("x", F.lit(1), n), F.lit(0.0), lambda a, x: a + x) / n
+    rows = prompts.crossJoin(F.broadcast(plans)).withColumn("l", F.least(size, F.col("full_l")).cast("int"))  # plans: the design
+    rows = rows.withColumns({"full": share(F.col("full_l")), "part": share(F.col("l")), "short": size > F.col("full_l")})
+    gap = F.abs(F.col("part") - F.col("full"))
+    targets = rows.groupBy("main_l", "audit_l", *key).agg(F.avg("full").alias("full"), F.avg("part").alias("part"), F.avg(gap).alias("prompt_mae"), F.max("short").alias("short"))
+    base = targets.select("main_l", "audit_l", *key, F.lit("reference").alias("kind"), F.abs(F.col("part") - F.col("full")).alias("change"), "prompt_mae", "short")
+    none = F.lit(None).cast("double").alias("prompt_mae")
+    error = lambda e, r: F.abs(F.col(e) - F.col(r))
+    one = fixed.where("estimate is not null").select(*key, "estimate").join(targets, key)
+    one = one.select("main_l", "audit_l", *key, F.lit("fixed").alias("kind"), F.abs(error("estimate", "part") - error("estimate", "full")).alias("change"), none, "short")
+    two = rolling.where("old_estimate is not null and recent_estimate is not null").select(*key, "old_estimate", "recent_estimate").join(targets, key)
+    delta = lambda r: error("old_estimate", r) - error("recent_estimate", r)
+    two = two.select("main_l", "audit_l", *key, F.lit("rolling").alias("kind"), F.abs(delta("part") - delta("full")).alias("change"), none, "short")
+    every = base.unionByName(one).unionByName(two).join(F.broadcast(scopes), "training_seed")
+    return every.groupBy("main_l", "audit_l", "split", "scope", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("change").alias("mean_change"), F.median("change").alias("median_change"), F.percentile("change", F.lit(0.95)).alias("p95_change"), F.max("change").alias("max_change"),
+        F.avg("prompt_mae").alias("mean_prompt_mae"), (~F.max("short")).alias("valid"),
+    )
+
+
+def plan_verdicts(effects: DataFrame, n_main: int, n_audit: int, tolerated: dict[str, tuple[float, float]] = TOLERATED) -> DataFrame:
+    """Plans whose mean and 95th percentile of change are tolerated in every split and scope, with the share of cost they take."""
+    ok = F.col("valid")
+    for kind, (mean, p95) in tolerated.items():
+        ok = ok & ((F.col("kind") != kind) | ((F.col("mean_change") <= mean) & (F.col("p95_change") <= p95)))
+    frozen = n_main * 8 + n_audit * 32
+    cost = (F.col("main_l") * n_main + F.col("audit_l") * n_audit) / F.lit(float(frozen))
+    return effects.groupBy("main_l", "audit_l").agg(F.min(ok).alias("passed")).withColumn("cost_fraction", cost)
+
+
 def cost_fraction(main: int, audit: int, n_main: int, n_audit: int, frozen_main: int = 8, frozen_audit: int = 32) -> float:
     frozen = n_main * frozen_main + n_audit * frozen_audit
     return (n_main * main + n_audit * audit) / frozen if frozen else float("nan")

@@ -16,7 +16,7 @@ from driftlog.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CALIBRATION, VALIDATION = [20260826, 20260827], [20260828]
-REPS = 20  # replicates of the portable bootstrap in queries
+REPS, SIZE_REPS = 200, 50  # replicates of the portable bootstrap in queries
 QUERIES: dict[str, Query] = {}
 
 
@@ -36,8 +36,9 @@ def _stats(fx: Fixture) -> DataFrame:
 
 
 def _results(fx: Fixture) -> DataFrame:
-    """Results of all pairs: some hundred rows, kept as several branches of a query read them."""
-    return tables.pair_results(fx.rescores, fx.online).persist()
+    """Results of all pairs: a row a pair of the design and estimator, made once as several branches of a query read them."""
+    made = tables.pair_results(fx.rescores, fx.online)
+    return fx.spark.createDataFrame(made.collect(), made.schema)
 
 
 def _cases(fx: Fixture) -> DataFrame:
@@ -127,33 +128,31 @@ def rolling_table(fx: Fixture) -> DataFrame:
 
 @query
 def sample_size(fx: Fixture) -> DataFrame:
-    return rounded(tables.sample_size_table(fx.rescores, fx.online, 16, reps=0))
+    return rounded(tables.sample_size_table(fx.rescores, fx.online, 16, reps=SIZE_REPS))
 
 
 @query
 def sample_size_summary(fx: Fixture) -> DataFrame:
-    return rounded(report.sample_size_summary(tables.sample_size_table(fx.rescores, fx.online, 16, reps=0)))
+    return rounded(report.sample_size_summary(tables.sample_size_table(fx.rescores, fx.online, 16, reps=SIZE_REPS)))
 
 
-def _some_matched(fx: Fixture) -> DataFrame:
-    """Prompts of the pairs that the portable bootstrap is shown on: one seed's fixed pairs at three targets."""
-    rows = fx.rescores.where("training_seed = 20260826 and behavior_step = 0 and target_step in (20, 100, 200) and purpose = 'fixed'")
-    return overlap.matched(overlap.prompt_stats(rows), overlap.online_prompt_accuracy(fx.online))
+def _matched(fx: Fixture) -> DataFrame:
+    return overlap.matched(_stats(fx), overlap.online_prompt_accuracy(fx.online))
 
 
 @query
 def bootstrap_ci(fx: Fixture) -> DataFrame:
-    return rounded(bootstrap.intervals(bootstrap.portable(_some_matched(fx), REPS)), 9)
+    return rounded(bootstrap.intervals(bootstrap.portable(_matched(fx), REPS)), 9)
 
 
 @query
 def svamp_bootstrap(fx: Fixture) -> DataFrame:
-    return rounded(bootstrap.intervals(bootstrap.portable(_some_matched(fx), REPS, paired=False)), 9)
+    return rounded(bootstrap.intervals(bootstrap.portable(_matched(fx), REPS, paired=False)), 9)
 
 
 @query
 def bootstrap_seeded(fx: Fixture) -> DataFrame:
-    return rounded(bootstrap.seeded(overlap.matched(_stats(fx), overlap.online_prompt_accuracy(fx.online))))
+    return rounded(bootstrap.seeded(_matched(fx)))
 
 
 @query
@@ -239,7 +238,8 @@ def alpha_identity(fx: Fixture) -> DataFrame:
 
 @query
 def estimator_table(fx: Fixture) -> DataFrame:
-    return rounded(report.estimator_table(tables.fixed_table(_results(fx))).drop("mean_ope_ci_width"))
+    ci = bootstrap.intervals(bootstrap.portable(_matched(fx), REPS))
+    return rounded(report.estimator_table(tables.fixed_table(_results(fx), ci)))
 
 
 @query
@@ -290,7 +290,7 @@ def horizon_prefix(fx: Fixture) -> DataFrame:
 
 @query
 def mc_inclusion(fx: Fixture) -> DataFrame:
-    matched = _some_matched(fx)
+    matched = _matched(fx)
     results = overlap.with_errors(overlap.estimates(matched), overlap.online_reference(overlap.online_prompt_accuracy(fx.online)))
     return rounded(report.reference_inclusion(tables.fixed_table(results, bootstrap.intervals(bootstrap.portable(matched, REPS)))))
 
@@ -339,8 +339,8 @@ def answer_parse(fx: Fixture) -> DataFrame:
 
 @query
 def answer_canonical(fx: Fixture) -> DataFrame:
-    rows = _answers(fx).where("o_orderkey % 9 in (0, 1, 7)")
-    return rows.select("o_orderkey", answers.canonical(answers.parsed(F.col("completion"))).alias("answer"))
+    rows = _answers(fx).select("o_orderkey", answers.parsed(F.col("completion")).alias("value"))
+    return answers.canonical_answers(rows, "value", "answer").select("o_orderkey", "answer")
 
 
 @query
@@ -398,7 +398,7 @@ def scope_replace(fx: Fixture) -> DataFrame:
 
 @query
 def content_hash_rows(fx: Fixture) -> DataFrame:
-    return hashing.content_hash(fx.pairs, fx.pairs.columns, ["purpose"]).select("purpose", "n_rows")
+    return hashing.content_hash(fx.pairs, fx.pairs.columns, ["purpose"])
 
 
 @query
@@ -424,10 +424,10 @@ def common_prefix(fx: Fixture) -> DataFrame:
 
 
 def _subsets(fx: Fixture) -> DataFrame:
-    rows = fx.rescores.where("purpose = 'fixed' and target_step in (100, 200)")
+    rows = fx.rescores.where("purpose = 'fixed'")
     matched = overlap.matched(overlap.prompt_stats(rows), overlap.online_prompt_accuracy(fx.online)).withColumn("source", F.col("prompt_id") % 20)
     thresholds = fx.spark.createDataFrame([(0.02, 0.4, False), (0.05, 0.2, False)], "tolerance double, fitted_threshold double, reject_all boolean")
-    return studies.prompt_subsets(matched, thresholds, [0.25, 0.5], 5, "source", "subset-v1")
+    return studies.prompt_subsets(matched, thresholds, [0.25, 0.5], 50, "source", "subset-v1")
 
 
 @query
@@ -497,13 +497,13 @@ def representable(fx: Fixture) -> DataFrame:
 
 def _scored(fx: Fixture) -> DataFrame:
     """Rescores as target log-probabilities: the trajectory's own less its length, plus the weight."""
-    return fx.rescores.where("training_seed = 20260826").withColumn("target_sequence_logprob", -F.col("completion_length").cast("double") + F.col("log_weight"))
+    return fx.rescores.withColumn("target_sequence_logprob", -F.col("completion_length").cast("double") + F.col("log_weight"))
 
 
 @query
 def canonical_denominator(fx: Fixture) -> DataFrame:
     out = rescoring.canonical_weights(_scored(fx).drop("log_weight"))
-    return rounded(out.where("purpose <> 'identity'").select("trajectory_id", "behavior_step", "target_step", "log_weight", "mean_log_ratio_per_token"), 9)
+    return rounded(out.where("purpose <> 'identity'").select("training_seed", "trajectory_id", "behavior_step", "target_step", "log_weight", "mean_log_ratio_per_token"), 9)
 
 
 @query
@@ -514,14 +514,14 @@ def rescore_summary(fx: Fixture) -> DataFrame:
 
 @query
 def source_join(fx: Fixture) -> DataFrame:
-    rows = fx.rescores.where("training_seed = 20260826 and target_step = 100 and purpose = 'fixed'").select("trajectory_id", "log_weight")
+    rows = fx.rescores.select("training_seed", "behavior_step", "target_step", "trajectory_id", "log_weight")
     source = fx.trajectories.withColumnRenamed("event_id", "trajectory_id")
     return rounded(rescoring.with_source(rows, source, ["prompt_id", "sample_index"]))
 
 
 @query
 def source_coverage(fx: Fixture) -> DataFrame:
-    rows = fx.rescores.where("training_seed = 20260826 and target_step = 100 and purpose = 'fixed' and trajectory_id % 50 <> 0").select("trajectory_id")
+    rows = fx.rescores.where("trajectory_id % 50 <> 0").select("trajectory_id")  # planted gaps
     return checks.covered(rows, fx.trajectories.where("sample_index < 16").select(F.col("event_id").alias("trajectory_id")), "trajectory_id")
 
 
@@ -588,4 +588,4 @@ def first_metric(fx: Fixture) -> DataFrame:
 def json_values(fx: Fixture) -> DataFrame:
     props = F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"z":null}'))
     message = F.concat(F.lit('[{"content":"k"},{"role":"x"},{"content":'), F.to_json(F.array(F.col("event_type"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("event_type")))) - 2), F.lit("}]"))
-    return fx.table("events").where("event_id < 500").select("event_id", coercion.first_path(props, ["$.z", "$.b", "$.a.k"]).alias("k"), coercion.completion_text(message).alias("text"))
+    return fx.table("events").select("event_id", coercion.first_path(props, ["$.z", "$.b", "$.a.k"]).alias("k"), coercion.completion_text(message).alias("text"))

@@ -100,21 +100,31 @@ ERRORS = "round(avg(case when accepted then absolute_error end), 6) as accepted_
 FULL = ",".join([FIXTURE, stats(), estimates(), ONLINE, diagnostics(), RESULTS])
 GATE = f"{FULL},{GATES}"
 
-SOME = ",".join([FIXTURE, "shown as (select * from fx_rescores where training_seed = 20260826 and behavior_step = 0 and target_step in (20, 100, 200) and purpose = 'fixed')", stats("shown", "ps"), ONLINE, f"""
-ranked as (select ps.*, prompt_accuracy, row_number() over (partition by {P} order by prompt_id) - 1 as at, count(*) over (partition by {P}) as n, concat_ws('-', split, training_seed, behavior_step, target_step, purpose) as name
-  from ps join acc using (split, training_seed, target_step, prompt_id))"""])
+REPS, SIZE_REPS = 200, 50  # replicates of the portable bootstrap, as in the catalogue
 
 
-def replicates(paired: bool) -> str:
+def ranked(extra: str = "") -> str:
+    key = f"{P}{extra}"
+    return f"""
+ranked as (select ps.*, prompt_accuracy, row_number() over (partition by {key} order by prompt_id) - 1 as at, count(*) over (partition by {key}) as n, concat_ws('-', {key}) as name
+  from ps join acc using (split, training_seed, target_step, prompt_id))"""
+
+
+MATCHED = ",".join([FIXTURE, stats(), ONLINE, ranked()])
+
+
+def replicates(paired: bool, extra: str = "", reps: int = REPS) -> str:
+    key = f"{P}{extra}"
     seed = "r.name || '|' || rep" if paired else "r.name || '|' || estimator || '|' || rep"
     value = "case when max(log_is) is null then 0e0 else exp(max(top) + ln(sum(exp(log_is - top)) / count(*))) end" if paired else "sum(coalesce(exp(log_is), 0e0)) / count(*)"
     return f"""
-draws as (select r.*, estimator, rep, cast('0x' || substr(md5({seed} || '|' || r.at), 1, 8) as bigint) % n as pick from ranked r cross join (select unnest(range(20)) as rep) cross join (select unnest(['is', 'prompt_wis']) as estimator)),
-drawn as (select d.split, d.training_seed, d.behavior_step, d.target_step, d.purpose, d.estimator, d.rep, x.log_is, x.pwis, x.prompt_accuracy, max(x.log_is) over (partition by d.name, d.estimator, d.rep) as top
-  from draws d join ranked x on x.name = d.name and x.at = d.pick),
-reps as (select {P}, estimator, rep, case when estimator = 'is' then {value} else avg(pwis) end as ope, avg(prompt_accuracy) as online from drawn group by {P}, estimator, rep),
-ci as (select {P}, estimator, {", ".join(f"quantile_cont({x}, {q}) as {n}_ci_{s}" for n, x in (("ope", "ope"), ("online", "online"), ("signed_error", "ope - online"), ("absolute_error", "abs(ope - online)")) for s, q in (("low", 0.025), ("high", 0.975)))},
-  0e0 as bootstrap_nonfinite_fraction, count(*) as bootstrap_reps from reps group by {P}, estimator)"""
+draws as (select r.*, estimator, rep, cast('0x' || substr(md5({seed} || '|' || r.at), 1, 8) as bigint) % n as pick from ranked r cross join (select unnest(range({reps})) as rep) cross join (select unnest(['is', 'prompt_wis']) as estimator)),
+tops as (select d.name, d.estimator, d.rep, max(x.log_is) as top from draws d join ranked x on x.name = d.name and x.at = d.pick group by 1, 2, 3),
+drawn as (select {", ".join("d." + c.strip() for c in key.split(","))}, d.estimator, d.rep, x.log_is, x.pwis, x.prompt_accuracy, t.top
+  from draws d join ranked x on x.name = d.name and x.at = d.pick join tops t on t.name = d.name and t.estimator = d.estimator and t.rep = d.rep),
+reps as (select {key}, estimator, rep, case when estimator = 'is' then {value} else avg(pwis) end as ope, avg(prompt_accuracy) as online from drawn group by {key}, estimator, rep),
+ci as (select {key}, estimator, {", ".join(f"quantile_cont({x}, {q}) as {n}_ci_{s}" for n, x in (("ope", "ope"), ("online", "online"), ("signed_error", "ope - online"), ("absolute_error", "abs(ope - online)")) for s, q in (("low", 0.025), ("high", 0.975)))},
+  0e0 as bootstrap_nonfinite_fraction, count(*) as bootstrap_reps from reps group by {key}, estimator)"""
 
 
 def rounds(names: list[str] | str, digits: int = 6) -> str:
@@ -189,12 +199,12 @@ part as (select candidate_id, scope, tolerance, count_if(purpose = 'fixed') as n
   avg(case when purpose = 'rolling' then old_absolute_error - absolute_error end) as red, avg(accept::int) as rate
   from scoped join cand on (purpose = 'fixed' and list_contains(targets, target_step)) or (purpose = 'rolling' and list_contains(lags, target_step - behavior_step)) group by 1, 2, 3)"""
 
-SUBSET = ",".join([FIXTURE, "shown as (select * from fx_rescores where purpose = 'fixed' and target_step in (100, 200))", stats("shown", "ps"), ONLINE, f"""
+SUBSET = ",".join([FIXTURE, "shown as (select * from fx_rescores where purpose = 'fixed')", stats("shown", "ps"), ONLINE, f"""
 mt as (select ps.*, prompt_accuracy, prompt_id % 20 as source from ps join acc using (split, training_seed, target_step, prompt_id)),
 whole as (select {P}, avg(pwis) as fe, avg(prompt_accuracy) as fr, median(relative_ess) as fs from mt group by {P}),
 src as (select distinct split, training_seed, behavior_step, source from mt),
 srk as (select *, row_number() over (partition by split, training_seed, behavior_step, replicate order by sha256('subset-v1|' || replicate || '|' || training_seed || '|' || behavior_step || '|' || source), source) as pos,
-  count(*) over (partition by split, training_seed, behavior_step, replicate) as n from src cross join (select unnest(range(5)) as replicate)),
+  count(*) over (partition by split, training_seed, behavior_step, replicate) as n from src cross join (select unnest(range(50)) as replicate)),
 chosen as (select * from srk cross join (select unnest([cast(0.25 as double), cast(0.5 as double)]) as fraction) where pos <= greatest(1, least(n, round_even(fraction * n, 0)))),
 part as (select {", ".join("m." + c.strip() for c in P.split(","))}, fraction, replicate, avg(pwis) as e, avg(prompt_accuracy) as r, median(relative_ess) as s
   from mt m join chosen c on c.split = m.split and c.training_seed = m.training_seed and c.behavior_step = m.behavior_step and c.source = m.source group by all),
@@ -230,10 +240,10 @@ ORACLES: dict[str, str] = {
     "fixed_table": w(FULL, f'select {P}, estimator, {rounds("estimate online_reference signed_error absolute_error " + DIAGNOSTICS)}, estimate_status, n_prompts, "K" from fixed'),
     "overlap_table": w(FIXTURE, stats(), diagnostics(), f"select {P}, prompt_id, round(ps.relative_ess, 6) as relative_ess, round(ps.d2, 6) as d2, round(pair_abs_mean_log_ratio_per_token, 6) as pair_abs_mean_log_ratio_per_token, round(diag.tokenwise_kl_proxy, 6) + 0e0 as pair_tokenwise_kl_proxy, ['Q1_short', 'Q2', 'Q3', 'Q4_long'][cast(least(3, 4 * (row_number() over (partition by {P} order by ps.mean_completion_length, prompt_id) - 1) // count(*) over (partition by {P})) as bigint) + 1] as length_quantile from ps join diag using ({P})"),
     "rolling_table": w(FULL, f"select split, training_seed, target_step, estimator, recent_behavior_step, old_behavior_step, {rounds('online_reference old_estimate recent_estimate old_absolute_error recent_absolute_error delta_error_old_minus_recent delta_relative_ess_recent_minus_old old_mean_d2 recent_mean_d2')} from rolling"),
-    "sample_size": w(SIZES, f'select {P}, "K", estimator, {rounds("estimate online_reference absolute_error median_prompt_relative_ess p10_prompt_relative_ess")}, estimate_status, n_prompts from sizes'),
-    "sample_size_summary": w(SIZES, 'select "K", estimator, count(*) as n_pair_seed_cases, round(avg(absolute_error), 6) as mean_absolute_error, round(avg(median_prompt_relative_ess), 6) as mean_median_prompt_relative_ess from sizes group by 1, 2'),
-    "bootstrap_ci": w(SOME, replicates(True), f"select {P}, estimator, {CI}, bootstrap_reps from ci"),
-    "svamp_bootstrap": w(SOME, replicates(False), f"select {P}, estimator, {CI}, bootstrap_reps from ci"),
+    "sample_size": w(SIZES, ranked(", ksize"), replicates(True, ", ksize", SIZE_REPS), f'select {P}, "K", estimator, {rounds("estimate online_reference absolute_error median_prompt_relative_ess p10_prompt_relative_ess")}, estimate_status, n_prompts, round(ope_ci_high - ope_ci_low, 6) as bootstrap_ci_width, bootstrap_nonfinite_fraction from sizes join (select * exclude (ksize), cast(ksize as bigint) as "K" from ci) using ({P}, "K", estimator)'),
+    "sample_size_summary": w(SIZES, ranked(", ksize"), replicates(True, ", ksize", SIZE_REPS), f'select "K", estimator, count(*) as n_pair_seed_cases, round(avg(absolute_error), 6) as mean_absolute_error, round(avg(median_prompt_relative_ess), 6) as mean_median_prompt_relative_ess, round(avg(ope_ci_high - ope_ci_low), 6) as mean_bootstrap_ci_width, round(avg(bootstrap_nonfinite_fraction), 6) as mean_bootstrap_nonfinite_fraction from sizes join (select * exclude (ksize), cast(ksize as bigint) as "K" from ci) using ({P}, "K", estimator) group by 1, 2'),
+    "bootstrap_ci": w(MATCHED, replicates(True), f"select {P}, estimator, {CI}, bootstrap_reps from ci"),
+    "svamp_bootstrap": w(MATCHED, replicates(False), f"select {P}, estimator, {CI}, bootstrap_reps from ci"),
     "gate_cases": w(FULL, f"select {P}, {rounds('absolute_error median_prompt_relative_ess tokenwise_kl_proxy')} from cases"),
     "gate_fit": w(GATE, f"select gate_kind, diagnostic_name, direction, tolerance, {rounds('fitted_threshold')}, reject_all, n_pairs, threshold_candidate_count from fitted"),
     "gate_calibration": w(GATE, f"select split, gate_kind, diagnostic_name, direction, tolerance, {COUNTS}, {ERRORS}, round(max(fitted_threshold), 6) as fitted_threshold, bool_or(reject_all) as reject_all, max(f.threshold_candidate_count) as threshold_candidate_count from decided join (select gate_kind, tolerance, threshold_candidate_count from fitted) f using (gate_kind, tolerance) where evaluation_role = 'calibration' group by 1, 2, 3, 4, 5"),
@@ -256,7 +266,7 @@ select split, count(*) as n_pairs, count(distinct training_seed) as n_training_s
   round(avg(aggregate_m2_proxy_ratio_recent_over_old), 6) as mean_pair_aggregate_m2_proxy_ratio_recent_over_old, round(median(aggregate_m2_proxy_ratio_recent_over_old), 6) as median_pair_aggregate_m2_proxy_ratio_recent_over_old,
   round(exp(avg(log_mean_m2_proxy_recent - log_mean_m2_proxy_old)), 6) as geometric_mean_pair_aggregate_m2_proxy_ratio_recent_over_old, round(min(online_reference), 6) as target_reference_min, round(max(online_reference), 6) as target_reference_max from mpairs group by 1)"""),
     "alpha_identity": "select cast(0 as bigint) as n_breaks",
-    "estimator_table": w(FULL, "select split, estimator, count(*) as n_pair_seed_cases, round(avg(absolute_error), 6) as mean_absolute_error, round(median(absolute_error), 6) as median_absolute_error, round(sqrt(avg(signed_error * signed_error)), 6) as rmse, round(avg(signed_error), 6) as mean_signed_error, round(avg(median_prompt_relative_ess), 6) as mean_median_prompt_relative_ess, round(avg((estimate_status <> 'ok')::int), 6) as nonfinite_case_fraction from fixed group by 1, 2"),
+    "estimator_table": w(FULL, ranked(), replicates(True), "select split, estimator, count(*) as n_pair_seed_cases, round(avg(ope_ci_high - ope_ci_low), 6) as mean_ope_ci_width, round(avg(absolute_error), 6) as mean_absolute_error, round(median(absolute_error), 6) as median_absolute_error, round(sqrt(avg(signed_error * signed_error)), 6) as rmse, round(avg(signed_error), 6) as mean_signed_error, round(avg(median_prompt_relative_ess), 6) as mean_median_prompt_relative_ess, round(avg((estimate_status <> 'ok')::int), 6) as nonfinite_case_fraction from fixed join ci using (split, training_seed, behavior_step, target_step, purpose, estimator) group by 1, 2"),
     "lag_table": w(FULL, _lag),
     "training_summary": """with m as (select o_orderkey % 3 + 20260826 as training_seed, cast(o_orderkey as bigint) as step, o_totalprice / 1e5 as mean_reward, cast(o_orderkey % 7 as double) / 7e0 as correctness_reward, o_totalprice as mem, case when o_orderkey % 5 = 0 then null else cast(o_orderkey % 400 as double) end as tps from orders)
 select training_seed, max(step) as final_step, round(arg_max(mean_reward, step), 4) as final_mean_reward, round(arg_max(correctness_reward, step), 4) as final_correctness_reward, round(max(mem), 4) as peak_gpu_memory_bytes, round(avg(tps), 4) as mean_tokens_per_second from m group by 1""",
@@ -275,7 +285,7 @@ rk as (select *, rank() over (partition by split, scope, diagnostic order by val
 c as (select split, scope, estimator, diagnostic, diagnostic_family, count(*) as n_pair_cases, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) as r from rk group by all)""", "select split, scope, estimator, diagnostic, diagnostic_family, n_pair_cases, round(r, 6) as spearman_with_absolute_error, round(abs(r), 6) as absolute_spearman from c"),
     "horizon": w(FULL, TOLERANCES, horizon(False)),
     "horizon_prefix": w(FULL, TOLERANCES, horizon(True)),
-    "mc_inclusion": w(SOME, estimates(), replicates(True), f"select split, estimator, count(*) as n_pair_seed_cases, count_if(ope_ci_low <= online_reference and online_reference <= ope_ci_high) as mc_reference_inclusion_count, round(count_if(ope_ci_low <= online_reference and online_reference <= ope_ci_high) / count(*), 6) as mc_reference_inclusion_rate from ci join ref using (split, training_seed, target_step) group by 1, 2"),
+    "mc_inclusion": w(MATCHED, estimates(), replicates(True), f"select split, estimator, count(*) as n_pair_seed_cases, count_if(ope_ci_low <= online_reference and online_reference <= ope_ci_high) as mc_reference_inclusion_count, round(count_if(ope_ci_low <= online_reference and online_reference <= ope_ci_high) / count(*), 6) as mc_reference_inclusion_rate from ci join ref using (split, training_seed, target_step) where purpose = 'fixed' and behavior_step = 0 and target_step > 0 group by 1, 2"),
     "pooled_error": w(FULL, "select split, estimator, target_step, round(avg(absolute_error), 6) as mean_absolute_error, count(*) as n from fixed group by 1, 2, 3"),
     "paper_values": w(FULL, """
 v as (select split || '.' || estimator || '.' || m as key, case m when 'rmse' then sqrt(avg(signed_error * signed_error)) else avg(absolute_error) end as x from fixed cross join (select unnest(['mean_absolute_error', 'rmse']) as m) group by split, estimator, m)""", "select key, case when x <> 0 and (abs(x) >= 1000 or abs(x) < 1e-3) then format('{:.3e}', round(x, 8)) else format('{:.4f}', round(x, 8)) end as value from v"),
@@ -285,7 +295,7 @@ v as (select split || '.' || estimator || '.' || m as key, case m when 'rmse' th
     "answer_parse": w(FORMS, """select o_orderkey, case f when 2 then 'invalid_answer_value' when 3 then 'multiple_answer_tags' when 4 then 'missing_answer_tag' when 5 then 'invalid_answer_value' when 6 then 'invalid_answer_value' when 8 then 'missing_answer_tag' else 'ok' end as status,
   case f when 2 then 'invalid_numeric_answer' when 3 then 'multiple_answer_tags' when 4 then 'missing_answer_tag' when 5 then 'invalid_numeric_answer' when 6 then 'invalid_numeric_answer' when 8 then 'missing_answer_tag' else 'ok' end as strict_status,
   cast(case f when 0 then o_custkey when 1 then 1000 + o_custkey % 1000 when 7 then -(o_custkey * 100 + 50) end as double) as num, cast(case f when 0 then 1 when 1 then 2 when 7 then 100 end as double) as den from forms"""),
-    "answer_canonical": w(FORMS, """q as (select o_orderkey, case f when 0 then o_custkey when 1 then 1000 + o_custkey % 1000 else -(o_custkey * 100 + 50) end as num, case f when 0 then 1 when 1 then 2 else 100 end as den from forms where f in (0, 1, 7))""", "select o_orderkey, case when den // gcd(num, den) = 1 then cast(num // gcd(num, den) as varchar) else (num // gcd(num, den)) || '/' || (den // gcd(num, den)) end as answer from q"),
+    "answer_canonical": w(FORMS, """q as (select o_orderkey, f, case f when 0 then o_custkey when 1 then 1000 + o_custkey % 1000 else -(o_custkey * 100 + 50) end as num, case f when 0 then 1 when 1 then 2 else 100 end as den from forms)""", "select o_orderkey, case when f not in (0, 1, 7) then null when den // gcd(num, den) = 1 then cast(num // gcd(num, den) as varchar) else (num // gcd(num, den)) || '/' || (den // gcd(num, den)) end as answer from q"),
     "rewards": w(FORMS, "select o_orderkey, case when f = 0 then 1e0 when f = 1 and 1000 + o_custkey % 1000 = 2 * o_custkey then 1e0 else 0e0 end as correctness, case when f in (0, 1, 7) then 1e0 else 0e0 end as format from forms"),
     "seq_logprob": w(TOKENS, "select l_orderkey, len(e) as n_tokens, round(list_sum(list_transform(e, lambda x: -x / 1e5)), 8) as sequence_logprob from tok"),
     "first_eos": w(TOKENS, "i as (select l_orderkey, list_transform(s, lambda x: x % 7) as ids from tok)", "select l_orderkey, cast(coalesce(least(case when list_position(ids, 0) > 0 then list_position(ids, 0) end, case when list_position(ids, 3) > 0 then list_position(ids, 3) end), case when len(ids) >= 5 then 5 end) as double) as cut from i"),
@@ -294,14 +304,21 @@ v as (select split || '.' || estimator || '.' || m as key, case m when 'rmse' th
     "completeness": w(FIXTURE, "select * from (select prompt_id, count(*) as n, min(sample_index) as least, max(sample_index) as most, count(distinct sample_index) as \"distinct\" from fx_trajectories group by 1) where not (n = 50 and least = 0 and most = 49 and \"distinct\" = 50)"),
     "missing_units": w(FIXTURE, "select training_seed, behavior_step, target_step from fx_pairs where target_step % 40 <> 0"),
     "scope_replace": w(FIXTURE, "o as (select split, prompt_id, count(*) as n from fx_trajectories group by 1, 2)", "select * from o where split <> 'test' union all select split, prompt_id, -n from o where split = 'test' and n > 50"),
-    "content_hash_rows": w(FIXTURE, "select purpose, count(*) as n_rows from fx_pairs group by 1"),
+    "content_hash_rows": w(FIXTURE, """
+hashed as (select purpose, sha256('{"behavior_step":' || behavior_step || ',"purpose":"' || purpose || '","s":' || s || ',"target_step":' || target_step || ',"training_seed":' || training_seed || '}') as h from fx_pairs),
+parts as (select purpose, count(*) as n_rows, sum(cast('0x' || substr(h, 1, 15) as bigint)) as a, sum(cast('0x' || substr(h, 16, 15) as bigint)) as b, sum(cast('0x' || substr(h, 31, 15) as bigint)) as c, sum(cast('0x' || substr(h, 46, 15) as bigint)) as d from hashed group by 1)""", "select purpose, n_rows, sha256(concat_ws('|', a, b, c, d, n_rows)) as content_sha256 from parts"),
     "grid_candidates": w(FULL, GRID, """select p.candidate_id, p.scope, p.tolerance, n_fixed, n_rolling, round(p.mae, 6) as fixed_mean_mae, round(p.red, 6) as rolling_mean_error_reduction, round(p.rate, 6) as gate_accept_rate, round(abs(p.mae - w.mae), 6) as absdiff_fixed_mean_mae, round(abs(p.rate - w.rate), 6) as absdiff_gate_accept_rate from part p join whole w using (scope, tolerance)"""),
     "ref_sample_size": w(FULL, """
 l as (select unnest([2, 4, 8]) as "L"), pp as (select split, training_seed, target_step, prompt_id, "L", avg(correct) as f, avg(case when sample_index < "L" then correct end) as c from fx_online cross join l group by 1, 2, 3, 4, 5),
 tt as (select split, training_seed, target_step, "L", avg(f) as fr, avg(c) as cr, avg(abs(c - f)) as pm, quantile_cont(abs(c - f), 0.95) as pp from pp group by 1, 2, 3, 4),
 ee as (select tt.*, abs(abs(estimate - cr) - abs(estimate - fr)) as ch, abs(cr - fr) as gap from fixed join tt using (split, training_seed, target_step) where estimator = 'prompt_wis')""", """select split, cast("L" as bigint) as "L", count(*) as n, round(avg(gap), 6) as mean_reference_diff, round(median(gap), 6) as median_reference_diff, round(quantile_cont(gap, 0.95), 6) as p95_reference_diff, round(max(gap), 6) as max_reference_diff, round(avg(pm), 6) as mean_prompt_mae, round(max(pp), 6) as max_prompt_p95,
   round(avg(ch), 6) as mean_error_change, round(median(ch), 6) as median_error_change, round(quantile_cont(ch, 0.95), 6) as p95_error_change, round(max(ch), 6) as max_error_change from ee group by 1, 2"""),
-    "common_prefix": w(FIXTURE, "select split, training_seed, target_step, min(n) as full_l, count(*) as n_prompts from (select split, training_seed, target_step, prompt_id, count(*) as n from fx_online group by 1, 2, 3, 4) group by 1, 2, 3"),
+    "common_prefix": w(FIXTURE, """
+per as (select split, training_seed, target_step, prompt_id, count(distinct sample_index) as n, count(*) as rows from fx_online group by 1, 2, 3, 4),
+l as (select split, training_seed, target_step, min(n) as full_l, count(*) as n_prompts from per group by 1, 2, 3),
+held as (select split, training_seed, target_step, prompt_id, count(distinct sample_index) as k from fx_online join l using (split, training_seed, target_step) where sample_index < full_l group by 1, 2, 3, 4),
+conf as (select split, training_seed, target_step, sum(k - 1) as n_conflicts from (select split, training_seed, target_step, prompt_id, sample_index, count(distinct correct) as k from fx_online group by 1, 2, 3, 4, 5) group by 1, 2, 3)""",
+      "select split, training_seed, target_step, full_l, n_prompts, min(k) = full_l as valid, cast(max(n_conflicts) as bigint) as n_conflicts from l join held using (split, training_seed, target_step) join conf using (split, training_seed, target_step) group by 1, 2, 3, 4, 5"),
     "subset_benchmark": w(SUBSET, "select split, fraction, tolerance, round(avg(agreement), 6) as mean_gate_agreement, round(avg(ad), 6) as mean_accept_rate_diff, round(avg(mc), 6) as mean_median_error_change, round(quantile_cont(pc, 0.95), 6) as p95_of_p95_error_change from each group by 1, 2, 3"),
     "subset_recommendation": w(SUBSET, "s as (select split, fraction, tolerance, avg(agreement) as a, avg(ad) as d, avg(mc) as m, quantile_cont(pc, 0.95) as p from each group by 1, 2, 3)", "select min(case when ok then fraction end) as recommended_fraction from (select fraction, bool_and(a >= 5e-1 and d <= 5e-1 and m <= 5e-1 and p <= 5e-1) as ok from s group by 1)"),
     "identity_check": w(FIXTURE, "select 'identity_weight' as rule, count(*) as n from fx_rescores where purpose = 'identity' and trajectory_id % 101 = 0 having count(*) > 0"),
@@ -320,9 +337,9 @@ select i, case when z is null then 'ok' when z > 709.782712893384 then 'nonfinit
 }
 
 ORACLES |= {
-    "canonical_denominator": w(FIXTURE, "select trajectory_id, behavior_step, target_step, round(log_weight, 9) + 0e0 as log_weight, round(log_weight / completion_length, 9) + 0e0 as mean_log_ratio_per_token from fx_rescores where training_seed = 20260826 and purpose <> 'identity'"),
+    "canonical_denominator": w(FIXTURE, "select training_seed, trajectory_id, behavior_step, target_step, round(log_weight, 9) + 0e0 as log_weight, round(log_weight / completion_length, 9) + 0e0 as mean_log_ratio_per_token from fx_rescores where purpose <> 'identity'"),
     "rescore_summary": w(FIXTURE, f"select {P}, count(*) as n_rows, round(max(abs(log_weight)), 6) as max_abs_log_weight, round(avg(abs(log_weight)), 6) as mean_abs_log_weight, round(max(abs(log_weight / completion_length)), 6) as max_bridge_diff, round(avg(abs(log_weight / completion_length)), 6) as mean_bridge_diff, count_if(abs(log_weight / completion_length) > 1e-2) as n_bridge_over from fx_rescores group by {P}"),
-    "source_join": w(FIXTURE, "select r.trajectory_id, round(r.log_weight, 6) + 0e0 as log_weight, t.prompt_id, t.sample_index from fx_rescores r join fx_trajectories t on t.event_id = r.trajectory_id where training_seed = 20260826 and target_step = 100 and purpose = 'fixed'"),
+    "source_join": w(FIXTURE, "select r.training_seed, r.behavior_step, r.target_step, r.trajectory_id, round(r.log_weight, 6) + 0e0 as log_weight, t.prompt_id, t.sample_index from fx_rescores r join fx_trajectories t on t.event_id = r.trajectory_id"),
     "source_coverage": w(FIXTURE, "select event_id as trajectory_id, 'left' as missing from fx_trajectories where sample_index < 16 and event_id % 50 = 0"),
     "parser_counts": w(FORMS, "a as (select o_custkey % 3 as k, f in (0, 1, 7) as ok, f in (4, 8) as missing, cast(o_orderkey % 2 as double) as r, o_orderkey % 5 = 0 as t from forms)", "select k, count_if(ok) as n_ok, count_if(missing) as n_missing, count(*) as n_rows, count_if(t) as n_truncated, round(avg(r), 6) as mean_reward from a group by 1"),
     "sample_limit": w(FIXTURE, "select step, cast(case when step in (100, 200, 300, 400) then 32 else 8 end as bigint) as n_samples from fx_steps"),
@@ -335,11 +352,11 @@ o as (select split, generation_call_id, row_number() over (partition by split or
     "shard_index": "select cast(n_regionkey as bigint) as k, count(*) as n_shards, cast(sum(n_nationkey) as bigint) as n_rows, sha256(string_agg(sha256(n_name), chr(10) order by n_name)) as shard_set_sha256 from nation group by 1",
     "coerced": "select cast(n_nationkey as bigint) as i, case n_nationkey % 5 when 0 then 'true' when 1 then 'false' end as flag, n_nationkey % 5 in (3, 4) as bad_flag, case n_nationkey % 5 when 1 then 0e0 when 3 then 15e-1 end as number, n_nationkey % 5 in (0, 4) as bad_number from nation",
     "first_metric": "select cast(n_nationkey as bigint) as i, case when n_nationkey % 3 > 0 then case when n_nationkey % 2 = 0 then cast(n_nationkey as double) end else n_nationkey * 10e0 end as value from nation",
-    "json_values": "select event_id, json_extract_string(props, '$.k') as k, 'k' || chr(10) || event_type as text from events where event_id < 500",
+    "json_values": "select event_id, json_extract_string(props, '$.k') as k, 'k' || chr(10) || event_type as text from events",
 }
 
 
-def _bigint_counts(sql: str) -> str:
+def bigint_counts(sql: str) -> str:
     """count_if gives a wider integer than a count; a filtered count gives bigint."""
     out, at = [], 0
     while (lo := sql.find("count_if(", at)) >= 0:
@@ -352,4 +369,4 @@ def _bigint_counts(sql: str) -> str:
     return "".join([*out, sql[at:]])
 
 
-ORACLES = {k: _bigint_counts(v) for k, v in ORACLES.items()}
+ORACLES = {k: bigint_counts(v) for k, v in ORACLES.items()}

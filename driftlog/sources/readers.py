@@ -26,17 +26,50 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
 
 def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, missing_ok: bool = False) -> DataFrame:
     """CSV with a header, read by column name; an empty text is NULL. A missing file is an error, or no rows."""
+    from pyspark.errors import AnalysisException
+
     names = spark.createDataFrame([], schema)
     try:
         raw = spark.read.option("header", True).csv(path)
-    except Exception:
-        if missing_ok:
+    except AnalysisException as e:
+        if missing_ok and e.getCondition() == "PATH_NOT_FOUND":
             return names
         raise
     require(raw, required or [], path)
     return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names.schema))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, size_bytes, sha256)`` of every file under a path, hashed where it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def tree_hash(spark: SparkSession, path: str) -> dict[str, Any]:
+    """One hash of a folder's files: of the list of their relative paths, sizes and hashes. An empty folder is an error."""
+    import hashlib
+
+    files = sorted(((r.path, r.size_bytes, r.sha256) for r in file_hashes(spark, path).collect()), key=lambda r: r[0])  # a row a file, no content
+    if not files:
+        raise ValueError(f"{path} has no files")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    records = [{"path": p.split(":", 1)[-1].removeprefix("//").removeprefix(root), "size_bytes": n, "sha256": h} for p, n, h in files]
+    text = json.dumps(records, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return {"tree_sha256": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(records), "total_bytes": sum(n for _, n, _ in files), "files": records}
+
+
+def table(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, str]:
+    """A typed CSV table with its required columns, and the hash of its file."""
+    found = file_hashes(spark, path).select("path", "sha256").orderBy("path").collect()  # a row a file
+    if not found:
+        raise FileNotFoundError(path)
+    import hashlib
+
+    own = found[0].sha256 if len(found) == 1 else hashlib.sha256("".join(r.sha256 for r in found).encode()).hexdigest()
+    return csv(spark, path, schema, required), own
+
+
 def document(spark: SparkSession, path: str) -> dict[str, Any]:
     """A JSON object from any file system that Spark reads."""
     rows = spark.read.text(path, wholetext=True).collect()
@@ -124,6 +157,38 @@ def summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def shard_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Shard manifests; files that two manifests claim are in ``checks.duplicates(..., ["data_file"])``."""
+    """Shard manifests as they stand; ``shard_breaks`` holds them against their files."""
     rows = spark.read.schema("data_file string, sha256 string, row_count bigint, unit string").option("multiLine", True).json(path)
     return rows.withColumn("manifest_file", F.input_file_name())
+
+
+def shard_breaks(spark: SparkSession, manifests: DataFrame, folder: str, schema: str) -> DataFrame:
+    """``(rule, row)`` of shards whose file is not there or has another hash or number of rows, and of files or units claimed twice."""
+    from driftlog.operators.checks import broken, duplicates
+
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    files = file_hashes(spark, folder).select(name("path").alias("_name"), F.col("sha256").alias("_sha256"))
+    counts = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder).groupBy(name(F.input_file_name()).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    both = manifests.withColumn("_name", name("data_file")).join(files, "_name", "left").join(counts, "_name", "left")
+    own = broken(both, {"missing": F.col("_sha256").isNull(), "sha256": F.col("_sha256") != F.col("sha256"), "row_count": F.col("_sha256").isNotNull() & (F.coalesce("_n", F.lit(0)) != F.col("row_count"))}, ["data_file", "unit"])
+    twice = [duplicates(manifests, [c]).select(F.lit(f"duplicate_{c}").alias("rule"), F.to_json(F.struct(c)).alias("row")) for c in ("data_file", "unit")]
+    return own.unionByName(twice[0]).unionByName(twice[1])
+
+
+def verified_shards(spark: SparkSession, manifest_path: str, folder: str, schema: str) -> DataFrame:
+    """Rows of all shards, once their manifests hold."""
+    from driftlog.operators.checks import assert_none
+
+    assert_none(shard_breaks(spark, shard_manifests(spark, manifest_path), folder, schema))
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+
+
+def rescores(spark: SparkSession, path: str, schema: str, where: str, k: int) -> DataFrame:
+    """Rescore rows of some pairs (a condition on partition columns), the first k samples, once their invariants hold."""
+    from driftlog.operators import checks
+
+    rows = spark.read.schema(schema).parquet(path).where(where).where(F.col("sample_index") < k)
+    keys = ["split", "training_seed", "behavior_step", "target_step", "purpose", "prompt_id"]
+    gaps = checks.completeness(rows, keys, k)
+    checks.assert_none(checks.rescore_rows(rows).unionByName(gaps.select(F.lit("samples").alias("rule"), F.to_json(F.struct(*keys)).alias("row"))))
+    return rows

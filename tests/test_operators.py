@@ -167,7 +167,7 @@ def test_seeded_bootstrap_is_the_plain_loop(golden, spark):
     matched = overlap.matched(overlap.prompt_stats(golden), acc)
     got = {(r.behavior_step, r.estimator): r for r in bootstrap.seeded(matched, reps=300, base_seed=9).collect()}
     pwis = {r.prompt_id: r.pwis for r in matched.where("behavior_step = 0").collect()}
-    seed = bootstrap.stable_seed(base_seed=9, reps=300, pair="test-1-0-120-fixed")
+    seed = bootstrap.stable_seed(base_seed=9, reps=300, pair_id="test-1-0-120-fixed")
     rng, ope = np.random.default_rng(seed), []
     for k in (256, 44):
         at = rng.integers(0, 2, size=(k, 2), dtype=np.int32)

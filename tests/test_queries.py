@@ -8,8 +8,7 @@ import os
 import duckdb
 import pytest
 
-from driftlog.plans.catalogue import QUERIES
-from driftlog.plans.oracles import ORACLES
+from driftlog.plans.every import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
