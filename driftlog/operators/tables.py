@@ -44,6 +44,17 @@ def rolling_table(results: DataFrame) -> DataFrame:
     return out.withColumns({"delta_error_old_minus_recent": delta, "delta_relative_ess_recent_minus_old": F.col("recent_median_relative_ess") - F.col("old_median_relative_ess")})
 
 
+def analysis(rows: DataFrame, samples: DataFrame, reps: int = 2000, enforce: bool = True) -> dict[str, DataFrame]:
+    """All that a pair gives, over all pairs at once: ``fixed`` with its intervals, ``overlap``, ``rolling`` and ``replicates``.
+
+    The prompts of a pair must be those of its reference (see ``overlap.matched``).
+    """
+    stats, accuracy = overlap.prompt_stats(rows), overlap.online_prompt_accuracy(samples)
+    results = overlap.with_errors(overlap.pair_summary(stats), overlap.online_reference(accuracy))
+    drawn = bootstrap.portable(overlap.matched(stats, accuracy, enforce), reps)
+    return {"fixed": fixed_table(results, bootstrap.intervals(drawn)), "overlap": overlap_table(rows), "rolling": rolling_table(results), "replicates": drawn}
+
+
 def sample_size_table(rows: DataFrame, samples: DataFrame, most: int, sizes: tuple[int, ...] = (8, 16, 32), reps: int = 50) -> DataFrame:
     """Estimates from the first K samples of every prompt, development pairs only."""
     sizes = tuple(sorted({k for k in sizes if k <= most} | {most}))

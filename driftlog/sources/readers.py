@@ -49,14 +49,22 @@ def tree_hash(spark: SparkSession, path: str) -> dict[str, Any]:
     """One hash of a folder's files: of the list of their relative paths, sizes and hashes. An empty folder is an error."""
     import hashlib
 
-    files = sorted(((r.path, r.size_bytes, r.sha256) for r in file_hashes(spark, path).collect()), key=lambda r: r[0])  # a row a file, no content
-    if not files:
-        raise ValueError(f"{path} has no files")
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
-    records = [{"path": p.split(":", 1)[-1].removeprefix("//").removeprefix(root), "size_bytes": n, "sha256": h} for p, n, h in files]
-    text = json.dumps(records, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return {"tree_sha256": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(records), "total_bytes": sum(n for _, n, _ in files), "files": records}
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = system.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    name = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath().removeprefix(top)
+    records, listed = {}, system.listFiles(root, True)
+    while listed.hasNext():  # names and sizes; empty files are never opened
+        at = listed.next()
+        if not at.getLen():
+            records[name(at.getPath().toString())] = (0, hashlib.sha256(b"").hexdigest())
+    for r in file_hashes(spark, path).collect() if system.exists(root) else []:  # a row a file, no content
+        records[name(r.path)] = (r.size_bytes, r.sha256)
+    if not records:
+        raise ValueError(f"{path} has no files")
+    files = [{"path": p, "size_bytes": n, "sha256": h} for p, (n, h) in sorted(records.items())]
+    text = json.dumps(files, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return {"tree_sha256": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(files), "total_bytes": sum(f["size_bytes"] for f in files), "files": files}
 
 
 def table(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, str]:
