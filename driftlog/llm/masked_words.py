@@ -10,8 +10,8 @@ Training passes over every token of all documents once, in ``rounds``: a round t
 ``rounds``-th row of each partition by Adagrad from the common parameters, and the results are
 averaged by their tokens in Spark. Scores are the sums of the log-probabilities of all tokens.
 
-Null and empty texts have 0 tokens, the sum 0 and no mean. Repeated rows are scored each; they
-count in training as often as they occur. Other columns are ignored. With no text at all the
+Null and empty texts have 0 tokens, the sum 0 and no mean. Repeated rows, and rows without a doc_id,
+are scored each; they count in training as often as they occur. Other columns are ignored. With no text at all the
 network stays at its start.
 """
 

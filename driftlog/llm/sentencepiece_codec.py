@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from driftlog.llm.piece_ids import IdDictionary, sums_by
 from driftlog.llm.textblocks import blocks, points_of, release, segments, ship, span_codes
 
 MARK = "▁"
+BLOCK = 1 << 18  # bytes of text at a time: what the libraries return for a block is many times as large
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -156,7 +158,11 @@ class Codec:
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
-        self.known = IdDictionary(64 << 20, flags=2)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the dictionary of pre-tokens anew."""
+        self.known = IdDictionary(32 << 20, flags=2)
 
     @property
     def tokenizer(self):
@@ -210,7 +216,7 @@ class Codec:
         lo = size = 0
         for j, part in enumerate(parts):
             size += len(part)
-            if size >= 2 << 20 or j == len(parts) - 1:
+            if size >= BLOCK or j == len(parts) - 1:
                 flat, n, bad = self._encode(parts[lo : j + 1])
                 got.append(flat)
                 np.add.at(sizes, owner[lo : j + 1], n)
@@ -232,6 +238,12 @@ class Codec:
         return flat, sums_by(bounds, sizes), np.stack([sums_by(bounds, ~flags[:, 0]), sums_by(bounds, ~flags[:, 1])], axis=1)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, threads: int) -> Codec:
+    """The process's own codec: the libraries do not give all of a codec's memory back, so tasks share one."""
+    return Codec(path, threads)
+
+
 def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip, parity[, ids])`` of every row."""
     ship(docs.sparkSession)
@@ -240,8 +252,8 @@ def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(model, threads)
-            for part in blocks(batch, "text"):
+            codec = codec or codec_of(model, threads)
+            for part in blocks(batch, "text", BLOCK):
                 flat, sizes, trip, parity = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 raw = flat.astype("<u4").tobytes()
@@ -250,7 +262,8 @@ def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> D
                 if ids:
                     out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "parity", "ids"][: len(out)])
-        del codec
+        if codec is not None:
+            codec.forget()
         release()
 
     more = ", ids array<int>" if ids else ""
@@ -268,7 +281,7 @@ def decode(rows: DataFrame, model: str, threads: int = 2, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(model, threads)
+            codec = codec or codec_of(model, threads)
             sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("ids")), 0), np.int64)
             ends, lo = np.cumsum(sizes), 0
             while lo < batch.num_rows:
@@ -280,7 +293,8 @@ def decode(rows: DataFrame, model: str, threads: int = 2, id_col: str = "doc_id"
                 parity = [a == b for a, b in zip(texts, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([t if k else None for t, k in zip(own, known, strict=True)], pa.string()), pa.array(parity)], ["doc_id", "text", "parity"])
                 lo = hi
-        del codec
+        if codec is not None:
+            codec.forget()
         release()
 
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string, parity boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,18 @@ class Tables:
         remove(self.spark, self.folder)
 
 
+def in_small_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """The frame in a session of its own, a copy of its session in which Python workers get batches of at most so many rows.
+
+    A worker, and the executor beside it, hold less at a time; the frame's own session stays as it is.
+    """
+    spark = df.sparkSession
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    plan = df._jdf.queryExecution().logical()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, plan), copy)
+
+
 def semi_join(big: DataFrame, ids: DataFrame, column: str, limit: int = 1_000_000, count: int | None = None) -> DataFrame:
     """Rows of ``big`` whose ``column`` is in ``ids``, broadcast while ids are at most ``limit`` rows, else by a shuffle."""
     n = ids.count() if count is None else count

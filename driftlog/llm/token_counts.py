@@ -6,8 +6,8 @@ dictionary lacks are counted once each by the tokenizers library, and the per-do
 frequencies are joined to the dictionary and summed. Nothing is shuffled; a task's memory
 is the dictionary (bounded by ``dictionary_bytes``; a full one is started anew) and a block.
 
-Nulls and empty texts: 0 bytes, 0 tokens. Repeated rows: one result row each. Other columns
-are ignored, whatever their names. Very long texts are read in parts that no pre-token crosses.
+Nulls and empty texts: 0 bytes, 0 tokens. Repeated rows, and rows without a doc_id: one result row
+each. Other columns are ignored, whatever their names. Very long texts are read in parts that no pre-token crosses.
 """
 
 from __future__ import annotations

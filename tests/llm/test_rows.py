@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
 
 from driftlog.llm import direct_codes as codes
 from driftlog.llm import language_id as lang
@@ -12,7 +14,7 @@ from driftlog.llm import personal_data as pii
 from driftlog.llm import quality_classifier as qc
 from driftlog.llm import quality_rules as qr
 from driftlog.llm.sentencepiece_codec import encode
-from driftlog.llm.staging import shared_folder
+from driftlog.llm.staging import in_small_batches, shared_folder
 from driftlog.llm.token_counts import token_counts
 
 DATA = "/root/testdata/sf0.001"
@@ -69,3 +71,14 @@ def test_kept_and_redacted_rows_keep_their_ids(frames, models):
     got = sorted(((r.doc_id, r.text) for r in pii.redact(docs, models["op7"]).collect()), key=repr)
     assert got == sorted(((d, "mail [EMAIL] or [IP]" if t and "@" in t else t) for d, t in zip(IDS, TEXTS, strict=True)), key=repr)
     assert pii.redact(docs, models["op7"]).columns == docs.columns
+
+
+def test_small_batches_leave_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, frame = spark.conf.get(key), spark.range(100).repartition(1)
+    small = in_small_batches(frame, 7)
+    sizes = small.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) == 7 and spark.conf.get(key) == before
+    own = frame.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r.n for r in own.collect()] == [100]
+    assert small.join(spark.range(50), "id").count() == 50 and SparkSession.getActiveSession().conf.get(key) == before
