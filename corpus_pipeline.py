@@ -17,11 +17,12 @@ from driftlog.llm import personal_data, quality_rules
 from driftlog.llm.decontamination import clean
 from driftlog.llm.jaccard_join import jaccard_join
 from driftlog.llm.sentencepiece_codec import encode
-from driftlog.llm.staging import Tables, remove, semi_join, shared_folder, staged
+from driftlog.llm.staging import Tables, in_small_batches, remove, semi_join, shared_folder, staged
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base filter and the learned rules; rows without a doc_id are judged by their text all the same."""
+    docs = in_small_batches(docs)
     found = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep(docs, found)
 
@@ -36,7 +37,7 @@ def _named(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of like documents, that with the least doc_id; one without a doc_id only if no other has one."""
-    named, own = _named(docs)
+    named, own = _named(in_small_batches(docs))
     with Tables(spark, "near-copies") as table:
         classes = jaccard_join(named.select("doc_id", "text")).select("doc_id", "class_id").distinct()
         ids = table(named.groupBy("doc_id").agg(F.min(F.struct(F.col(own).isNull(), own, "doc_id")).alias("order"), F.count("*").alias("n")), "ids")
@@ -61,6 +62,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts put as the kind in brackets; n_chars follows the text."""
+    docs = in_small_batches(docs)
     out = personal_data.redact(docs, personal_data.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -69,7 +71,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(in_small_batches(docs), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("quality rules", rules), ("near copies", near_copies), ("benchmark items", benchmark_items), ("personal data", personal), ("tokens", tokens)]
