@@ -73,5 +73,11 @@ def sample_size_table(rows: DataFrame, samples: DataFrame, most: int, sizes: tup
     return out.drop("K").withColumnRenamed("K_size", "K").select(*keys, "estimator", "estimate", "estimate_status", "online_reference", "absolute_error", "median_prompt_relative_ess", "p10_prompt_relative_ess", *(["bootstrap_ci_width", "bootstrap_nonfinite_fraction"] if reps else []), "n_prompts")
 
 
+def column_subset(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema in its order, NULL where the frame lacks one."""
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

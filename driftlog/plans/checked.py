@@ -190,3 +190,35 @@ def sample_plans(fx: Fixture) -> DataFrame:
     plans = fx.spark.createDataFrame([(2, 4), (4, 8), (8, 8), (8, 16)], "main_l int, audit_l int")
     out = studies.sample_plans(fx.online, tables.fixed_table(results), tables.rolling_table(results), plans, studies.seed_scopes(fx.spark, CALIBRATION, VALIDATION))
     return rounded(out)
+
+
+@query
+def gate_validation(fx: Fixture) -> DataFrame:
+    """One gate's decisions on held-out seeds and on the test split, under the labels of a report."""
+    chosen = _decisions(fx)
+    role = lambda name: chosen.where(F.col("evaluation_role") == name)
+    out = report.gate_validation({"Held-out seed": role("heldout_seed_validation"), "Official test": role("official_test")}, "primary_ress")
+    return rounded(out.select("evaluation_role", "tolerance", "n_pair_seed_cases", "accept_rate", "false_accept_count", "overall_mae"))
+
+
+@query
+def error_series(fx: Fixture) -> DataFrame:
+    """Absolute error of the fixed cases by target, as the points of a line for each seed."""
+    rows = report.series(tables.fixed_table(_results(fx)), ["split", "training_seed", "estimator"], "target_step", "absolute_error")
+    point = lambda p: F.concat_ws(":", p["x"].cast("bigint").cast("string"), F.round(p["y"] * 1e4).cast("bigint").cast("string"))
+    return rows.select("split", "training_seed", "estimator", F.array_join(F.transform("points", point), " ").alias("points"))
+
+
+@query
+def scope_hash(fx: Fixture) -> DataFrame:
+    """Each split's content hash stays as it is when rows of the other split are appended."""
+    rows = fx.trajectories.select("prompt_id", "split", "sample_index", "event_id")
+    hashes = lambda df, name: hashing.content_hash(df, df.columns, ["split"]).select("split", "n_rows", F.col("content_sha256").alias(name))
+    more = rows.unionByName(rows.where("split = 'test' and sample_index < 3").withColumn("event_id", -F.col("event_id") - 1))
+    both = hashes(rows, "before").join(hashes(more, "after").drop("n_rows"), "split")
+    return both.select("split", "n_rows", (F.col("before") == F.col("after")).alias("unchanged"), "before")
+
+
+@query
+def column_subset(fx: Fixture) -> DataFrame:
+    return tables.column_subset(fx.table("nation"), "n_name string, absent string, n_nationkey bigint").withColumn("absent", F.col("absent").isNull())

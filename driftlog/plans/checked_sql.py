@@ -130,6 +130,12 @@ union all select i, estimator || '_summary', case when estimate < 1e6 then round
     "matched_refresh": w(FULL, f"select split, training_seed, count(*) as n, {rounds('mean_old_absolute_error mean_recent_absolute_error mean_old_median_relative_ess mean_recent_median_relative_ess')}, n_recent_better from (select split, training_seed, count(*) as c, avg(old_absolute_error) as mean_old_absolute_error, avg(recent_absolute_error) as mean_recent_absolute_error, avg(old_median_relative_ess) as mean_old_median_relative_ess, avg(recent_median_relative_ess) as mean_recent_median_relative_ess, count_if(recent_absolute_error < old_absolute_error) as n_recent_better from rolling where estimator = 'prompt_wis' group by 1, 2)".replace("count(*) as n, ", "c as n, ", 1)),
     "escaped": f"""select cast(n_nationkey as bigint) as i, replace(n_name, '_', '\\_') || ' 10\\% of \\$5 \\& \\#1\\_\\{{x\\}}\\textasciitilde{{}}\\textasciicircum{{}}\\textbackslash{{}} ' || n_nationkey as text,
   'Value' || array_to_string(list_transform(regexp_extract_all(lower(n_name) || '-tau.0' || n_nationkey, '[A-Za-z]+|[0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then array_to_string(list_transform(string_split(p, ''), lambda c: {WORDS}[cast(c as int) + 1]), '') else upper(p[1]) || p[2:] end), '') as macro from nation""",
+    "gate_validation": w(GATE, "select case evaluation_role when 'official_test' then 'Official test' else 'Held-out seed' end as evaluation_role, tolerance, count(*) as n_pair_seed_cases, round(count_if(accepted) / count(*), 6) as accept_rate, count_if(false_accept) as false_accept_count, round(avg(absolute_error), 6) as overall_mae from judged where gate_kind = 'primary_ress' group by 1, 2"),
+    "error_series": w(FULL, "select split, training_seed, estimator, string_agg(target_step || ':' || cast(round(absolute_error * 1e4) as bigint), ' ' order by target_step, absolute_error) as points from fixed group by 1, 2, 3"),
+    "scope_hash": w(FIXTURE, """
+h as (select split, sha256('{"event_id":' || event_id || ',"prompt_id":' || prompt_id || ',"sample_index":' || sample_index || ',"split":"' || split || '"}') as h from fx_trajectories),
+parts as (select split, count(*) as n_rows, sum(cast('0x' || substr(h, 1, 15) as bigint)) as a, sum(cast('0x' || substr(h, 16, 15) as bigint)) as b, sum(cast('0x' || substr(h, 31, 15) as bigint)) as c, sum(cast('0x' || substr(h, 46, 15) as bigint)) as d from h group by 1)""", "select split, n_rows, split <> 'test' as unchanged, sha256(concat_ws('|', a, b, c, d, n_rows)) as before from parts"),
+    "column_subset": "select n_name, true as absent, cast(n_nationkey as bigint) as n_nationkey from nation",
     "grid_verdicts": w(FULL, GRIDS, "select candidate_id, total_pairs, round(fixed_mean_mae, 6) as worst_fixed_mean_mae, round(rolling_mean_error_reduction, 6) as worst_rolling_mean_error_reduction, round(gate_accept_rate, 6) as worst_gate_accept_rate, round(score, 6) as distortion_score, passed, candidate_id in (select candidate_id from best) as recommended from v"),
     "sample_plans": w(FULL, PLANS, "select cast(main_l as bigint) as main_l, cast(audit_l as bigint) as audit_l, split, scope, kind, count(*) as n, round(avg(change), 6) as mean_change, round(median(change), 6) as median_change, round(quantile_cont(change, 0.95), 6) as p95_change, round(max(change), 6) as max_change, round(avg(mae), 6) as mean_prompt_mae, max(short) = 0 as valid from ev join sc using (training_seed) group by 1, 2, 3, 4, 5"),
 }
