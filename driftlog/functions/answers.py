@@ -127,7 +127,8 @@ def canonical_answers(df: DataFrame, value: str, name: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructType
 
     number = F.col(value)
-    short = df.where(number.isNull() | number["num"].isNotNull()).withColumn(name, canonical(number))
+    df, made = df.withColumn("_row", F.monotonically_increasing_id()), F.col("_row") >= 0  # keeps the conditions below above what makes the value
+    short = df.where(made & (number.isNull() | number["num"].isNotNull())).withColumn(name, canonical(number))
     schema = StructType(df.schema.fields).add(name, StringType())
 
     def run(batches: Iterator) -> Iterator:
@@ -141,7 +142,7 @@ def canonical_answers(df: DataFrame, value: str, name: str) -> DataFrame:
             texts = [str(Fraction(int(v["top"]), int(v["below"]))) for v in batch.column(value).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return short.unionByName(df.where(number["num"].isNull() & number["top"].isNotNull()).mapInArrow(run, schema))
+    return short.unionByName(df.where(made & number["num"].isNull() & number["top"].isNotNull()).mapInArrow(run, schema)).drop("_row")
 
 
 def correctness_reward(text: Column, truth: Column) -> Column:
