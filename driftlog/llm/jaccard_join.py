@@ -1,11 +1,12 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by chosen paths.
 
 Documents with the same shingle set form one set with a weight. Each set has ``SIZE`` minhash
-tokens. A run splits the sets recursively: at a node, each token is sampled with probability
-``1 / (similarity * SIZE)`` by a hash of node and token, and the sets that hold a sampled token
-go to its child. A node depends on its path and token alone, so a set finds its leaves, the nodes
-at ``depth``, by itself, whatever other sets there are. Runs are repeated until the chance that a
-pair of the least similarity shares a leaf reaches ``recall``. In a leaf all pairs are compared:
+tokens, one a place. A run splits the sets recursively: at a node, ``1 / similarity`` places in the mean
+(one or two for 0.8) are drawn by a hash of the node, and the sets that hold the same token there go to
+the same child. A node depends on its path alone, so a set finds its leaves, the nodes at ``depth``, by
+itself, whatever other sets there are. Runs are repeated until the chance that a pair shares a leaf
+reaches ``recall``, for a pair of the least similarity whose minhashes agree two deviations less than
+they should. In a leaf all pairs are compared:
 those with like one-bit sketches, and for which no leaf of a lower number has them both, are
 verified on the exact shingle sets. So each pair is verified once, and only counts of links and a
 spanning forest leave a task. Leaves of more than ``block`` sets are compared block by block, each
@@ -76,11 +77,18 @@ def describe(rows: DataFrame, k: int) -> DataFrame:
 
 
 def children(parents: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and child node of every sampled token; parents: node of each row, tokens: (rows, SIZE) minhashes."""
-    node = mix(mix(parents)[:, None] + _PLACE[None, :] + tokens.astype(U64) * U64(0xD6E8FEB86659FD93))
-    chosen = mix(node ^ U64(0x2545F4914F6CDD1D)) < U64(int(2**64 / (similarity * SIZE)))
-    row, place = np.nonzero(chosen)
-    return row, node[row, place]
+    """Row and child node of every drawn place; parents: node of each row, tokens: (rows, SIZE) minhashes."""
+    drawn = mix(parents ^ U64(0x2545F4914F6CDD1D))
+    least, rest = divmod(1 / similarity, 1)
+    counts = int(least) + ((drawn >> U64(32)) < U64(int(rest * 2**32)))
+    first, step = drawn % U64(SIZE), (drawn >> U64(7)) % U64(SIZE // 2) * U64(2) + U64(1)  # SIZE is a power of two
+    rows, nodes, own = [], [], mix(parents)
+    for k in range(int(counts.max(initial=0))):
+        row = np.flatnonzero(counts > k)
+        place = ((first[row] + step[row] * U64(k)) % U64(SIZE)).astype(np.int64)
+        rows.append(row)
+        nodes.append(mix(own[row] + _PLACE[place] + tokens[row, place].astype(U64) * U64(0xD6E8FEB86659FD93)))
+    return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
 def paths(tokens: np.ndarray, runs: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -251,15 +259,17 @@ def _verified(most: int, similarity: float) -> Callable:
     return run
 
 
-def _survival(depth: int) -> float:
-    """Chance that a pair of the least similarity still shares a node at a depth (one child in the mean)."""
-    p = 1.0
+def _survival(depth: int, similarity: float, agreement: float) -> float:
+    """Chance that a pair whose tokens agree with that probability still shares a node at a depth."""
+    least, rest = divmod(1 / similarity, 1)
+    gone = 0.0
     for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return p
+        one = 1 - agreement + agreement * gone  # of a drawn place: no node below it is shared
+        gone = one**least * (1 - rest + rest * one)
+    return 1 - gone
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = 512) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.9999, depth: int = 3, block: int = 512) -> DataFrame:
     """``(doc_id, class_id, n_links)`` of every row.
 
     ``n_links``: other rows with similarity of at least ``similarity``; ``class_id``: the least
@@ -279,7 +289,8 @@ def _join(docs: DataFrame, table: Tables, k: int, similarity: float, recall: flo
     sets = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     sets = table(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
 
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - _survival(depth)))
+    agreement = similarity - 2 * math.sqrt(similarity * (1 - similarity) / SIZE)
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - _survival(depth, similarity, agreement)))
     leaves = table(_leaves(sets, runs, depth, similarity), "leaves")
     sizes = leaves.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     leaves = table(leaves.join(sizes, "leaf"), "shared")

@@ -6,12 +6,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from driftlog.llm import decontamination, staging
 from driftlog.llm.components import components
 from driftlog.llm.decontamination import clean, contained
-from driftlog.llm.jaccard_join import jaccard_join
+from driftlog.llm.jaccard_join import SIZE, _survival, children, jaccard_join
 from driftlog.llm.staging import shared_folder
 from tests.llm.conftest import classes, doublings
 
@@ -44,6 +45,24 @@ def test_join_is_all_pairs(spark, sizes):
     assert len(got) == len(texts) and len(wrong) <= 1, [(d, got[d], want[d]) for d in wrong]  # recall is 0.999 a pair
 
 
+def test_pairs_share_leaves_as_often_as_promised():
+    """Pairs of token rows that agree in a share of places, each from a root of its own, against the chance that runs are counted by."""
+    rng = np.random.default_rng(5)
+    for agreement, depth in ((0.8, 3), (0.7, 2), (0.9, 1)):
+        a = rng.integers(0, 2**32, (4000, SIZE), dtype=np.uint32)
+        b = np.where(rng.random(a.shape) < agreement, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+        leaves = []
+        for tokens in (a, b):
+            rows, node = np.arange(len(tokens)), np.arange(1, len(tokens) + 1, dtype=np.uint64)
+            for _ in range(depth):
+                at, node = children(node, tokens[rows], 0.8)
+                rows = rows[at]
+            leaves.append(set(zip(rows.tolist(), node.tolist(), strict=True)))
+        assert abs(len(leaves[0]) / len(a) - 1.25**depth) < 0.1
+        shared = len({r for r, _ in leaves[0] & leaves[1]}) / len(a)
+        assert abs(shared - _survival(depth, 0.8, agreement)) < 0.03
+
+
 def test_join_of_odd_frames(spark, odd, empty):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(odd).collect()}
     assert got == classes({r.doc_id: r.text or "" for r in odd.collect()})
