@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import accumulate, chain, pairwise, repeat
 
 import numpy as np
 
@@ -49,7 +49,7 @@ class IdDictionary:
         self.ids = _room(self.ids, self.filled + total)
         self.size[n : n + len(keys)] = sizes
         self.at[n : n + len(keys)] = self.filled + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.ids[self.filled : self.filled + total] = np.fromiter((x for ids in lists for x in ids), np.uint32, total)
+        self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         if flags is not None:
             self.flags[n : n + len(keys)] = flags
         self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
@@ -69,7 +69,7 @@ class IdDictionary:
         if len(new):
             where[new] = np.arange(len(self.index), len(self.index) + len(new))
             missing = [keys[i] for i in new.tolist()]
-            self._add(missing, *encode([k.decode(self.coding) for k in missing]))
+            self._add(missing, *encode(decoded(missing, self.coding)))
         self.used[where] += self.used[where] < 60_000
         slot = where[codes]
         sizes = self.size[slot].astype(np.int64)
@@ -79,6 +79,15 @@ class IdDictionary:
         return np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
 
 
+def decoded(keys: list[bytes], coding: str) -> list[str]:
+    """Keys as texts; where all characters are of one width, by one call."""
+    width = {"utf-32-le": 4}.get(coding)
+    if not width:
+        return [k.decode(coding) for k in keys]
+    text = b"".join(keys).decode(coding)
+    return [text[a:b] for a, b in pairwise(accumulate((len(k) // width for k in keys), initial=0))]
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     """The array, or a longer copy of it, with room for n entries."""
     if n <= len(x):

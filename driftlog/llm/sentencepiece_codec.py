@@ -29,7 +29,7 @@ from driftlog.llm.piece_ids import IdDictionary, sums_by
 from driftlog.llm.textblocks import blocks, points_of, release, segments, ship, span_codes
 
 MARK = "▁"
-BLOCK = 1 << 18  # bytes of text at a time: what the libraries return for a block is many times as large
+BLOCK = 1 << 19  # bytes of text at a time: what the libraries return for a block is many times as large
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -113,7 +113,7 @@ def parse(data: bytes) -> Model:
 class Codec:
     """Encode and decode whole texts under a SentencePiece model file."""
 
-    def __init__(self, path: str, threads: int = 2, check: bool = True) -> None:
+    def __init__(self, path: str, threads: int = 2, check: bool = True, most: int = 48 << 20) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -158,11 +158,12 @@ class Codec:
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
         """Start the dictionary of pre-tokens anew."""
-        self.known = IdDictionary(32 << 20, flags=2)
+        self.known = IdDictionary(self.most, flags=2)
 
     @property
     def tokenizer(self):
@@ -182,14 +183,20 @@ class Codec:
         flags = np.ones((len(strings), 2), bool)
         if self.own is not None:
             # The library marks the start itself, and may drop blanks there: then a letter stands before the pre-token.
-            bare, asked, after = len(self.own.encode("a")), [], []
-            for s in strings:
-                first = s.startswith(MARK)
+            bare, asked, after = len(self.own.encode("a")), [], {}
+            for i, s in enumerate(strings):
+                if self.model.dummy_prefix and s[0] == MARK and s[-1] != MARK and s[1] != MARK:
+                    asked.append(s[1:])
+                    continue
                 text = s.replace(MARK, " ")
-                after.append(first and (not self.model.dummy_prefix or not s.strip(MARK)))
-                asked.append("a" + text if after[-1] else text[1:] if first else text)
+                if s[0] == MARK and (not self.model.dummy_prefix or s[-1] == MARK):  # nothing but markers, if it ends with one
+                    after[i] = True
+                    text = "a" + text
+                elif s[0] == MARK:
+                    text = text[1:]
+                asked.append(text)
             for i, ids in enumerate(self.own.encode(asked, num_threads=1)):
-                ids = ids[bare:] if after[i] else ids
+                ids = ids[bare:] if i in after else ids
                 if ids != lists[i]:
                     flags[i, 1], lists[i] = False, ids
         back = self.inner.decode_batch(lists, skip_special_tokens=False)
@@ -239,20 +246,23 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec_of(path: str, threads: int) -> Codec:
+def codec_of(path: str, threads: int, most: int) -> Codec:
     """The process's own codec: the libraries do not give all of a codec's memory back, so tasks share one."""
-    return Codec(path, threads)
+    return Codec(path, threads, most=most)
 
 
-def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True) -> DataFrame:
-    """``(doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip, parity[, ids])`` of every row."""
+def encode(docs: DataFrame, model: str, threads: int = 2, ids: bool = True, dictionary: int = 48 << 20) -> DataFrame:
+    """``(doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip, parity[, ids])`` of every row.
+
+    ``dictionary``: bytes that a worker's dictionary of pre-tokens may take.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or codec_of(model, threads)
+            codec = codec or codec_of(model, threads, dictionary)
             for part in blocks(batch, "text", BLOCK):
                 flat, sizes, trip, parity = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -281,7 +291,7 @@ def decode(rows: DataFrame, model: str, threads: int = 2, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or codec_of(model, threads)
+            codec = codec or codec_of(model, threads, 1 << 20)
             sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("ids")), 0), np.int64)
             ends, lo = np.cumsum(sizes), 0
             while lo < batch.num_rows:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.piece_ids import ENTRY
+from driftlog.llm.piece_ids import ENTRY, decoded
 from driftlog.llm.pretokens import byte_level
 from driftlog.llm.textblocks import CharClasses, blocks, points_of, release, segments, ship, span_codes
 
@@ -81,7 +81,7 @@ class PieceCounter:
             self.pieces, self.held = {}, 0
         new = [k for k in keys if k not in self.pieces]
         if new:
-            self.pieces.update(zip(new, map(len, self.tokenizer.encode_batch_fast([k.decode("utf-32-le") for k in new], add_special_tokens=False)), strict=True))
+            self.pieces.update(zip(new, map(len, self.tokenizer.encode_batch_fast(decoded(new, "utf-32-le"), add_special_tokens=False)), strict=True))
             self.held += sum(map(len, new)) + ENTRY * len(new)
         pieces = np.fromiter(map(self.pieces.__getitem__, keys), np.int64, len(keys))
         sums = np.zeros(len(starts) + 1, np.int64)
