@@ -71,7 +71,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     import public_tokenizers
 
-    return encode(in_small_batches(docs), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(in_small_batches(docs), public_tokenizers.path("piece_bpe_32k.model"), dictionary=24 << 20)
 
 
 STAGES = [("quality rules", rules), ("near copies", near_copies), ("benchmark items", benchmark_items), ("personal data", personal), ("tokens", tokens)]
