@@ -109,6 +109,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.predict(docs, model).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.periodic_runs import periodic_runs, planted
+
+    return periodic_runs(table(spark, sf_dir, "documents"), change=planted)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_scores": op8_masked_scores,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 
