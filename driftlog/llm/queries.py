@@ -115,6 +115,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), change=planted)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -167,5 +174,28 @@ with d as (
 ), n as (select item_id, count(*) as n from s group by 1)
 select doc_id, item_id, count(*) as n_shared, max(n) as n_shingles, count(*) / max(n) as containment
 from t join s using (g) join n using (item_id) group by 1, 2 having count(*) * 1000 >= max(n) * 800
+""",
+    "op13_source_divergence": """
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), t as (select r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term from t group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
+v as (select lang, count(*) as v from k group by all),
+n as (select lang, source, sum(c) as n from c group by all),
+s as (select g.lang, g.source, coalesce(n, 0)::hugeint as n, coalesce(v, 0)::hugeint as v from (select distinct lang, source from d) g left join n using (lang, source) left join v using (lang)),
+p as (select s.lang, s.source, k.term, coalesce(c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c, 0) + 2) // (n + 2 * v) as p from s join k using (lang) left join c using (lang, source, term)),
+l as (select lang, sum(n) as n, max(v) as v from s group by all),
+q as (select lang, term, 1 + 1000000000::hugeint * (sum(c) + 2) // (max(l.n) + 2 * max(l.v)) as q from c join l using (lang) group by all),
+f as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p join q using (lang, term) where c > 0 and p > q
+  union all
+  select s.lang, s.source, 'pair', o.source, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) from s join s o on s.lang = o.lang and s.source <> o.source
+    left join p x on x.lang = s.lang and x.source = s.source left join p y on y.lang = s.lang and y.source = o.source and y.term = x.term group by all
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from f
+) where part = 'pair' or rank <= 10
 """,
 }
