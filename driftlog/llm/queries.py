@@ -109,6 +109,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.predict(docs, model).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.periodic_runs import periodic_runs, planted
 
@@ -139,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_scores": op8_masked_scores,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "op11_near_duplicates": op11_near_duplicates,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
@@ -174,6 +181,22 @@ with d as (
 ), n as (select item_id, count(*) as n from s group by 1)
 select doc_id, item_id, count(*) as n_shared, max(n) as n_shingles, count(*) / max(n) as containment
 from t join s using (g) join n using (item_id) group by 1, 2 having count(*) * 1000 >= max(n) * 800
+""",
+    "op11_near_duplicates": """
+with recursive w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as g from w
+), n as (select r, count(*) as n from s group by 1),
+p as (
+  select a.r as a, b.r as b, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by 1, 2
+), l as (
+  select a, b from p join n x on x.r = a join n y on y.r = b where c * 100 >= 85 * (x.n + y.n - c)
+), reach(a, b) as (
+  select r, r from w union select reach.a, l.b from reach join l on reach.b = l.a
+), least as (select a, min(doc_id) as component_id from reach join w on w.r = reach.b group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept from w join least on least.a = w.r left join n using (r)
 """,
     "op13_source_divergence": """
 with d as (
