@@ -1,11 +1,11 @@
 """How the sources of a language differ in their terms, by sorted runs.
 
-Occurrences are sorted and scanned twice. Each task sorts the terms of a block of texts by (group, term,
-document), a group being a language and a source, and its runs give document frequencies and counts
-of the block; these are far fewer rows than occurrences. Then they are dealt out by ranges of (language, term,
-source, block) and sorted by them, and one scan adds up the runs of a (language, term). A frequent term may
-lie in many ranges; the runs at the ends of a range are marked, and put together from their parts by a small
-aggregate, all others are whole and leave the scan as they are, if frequent enough.
+Occurrences are sorted and scanned twice. Each task sorts those of a block of texts by (language, term,
+source, document), and the lengths of the runs give document frequencies and counts of the block, a row for
+each of its terms. These rows are dealt out by ranges of (hash of language and term, block), sorted by hash,
+language, term and block, and one scan adds up the runs of a (language, term). A frequent term may lie in many
+ranges; the runs at the ends of a range are marked, and put together from their parts by a small aggregate, all
+others are whole and leave the scan as they are, if frequent enough.
 
 Each language keeps the terms of at least ``least`` of its documents. A group gives a term with ``c``
 occurrences there p = 1 + floor(10^9 (c + 2) / (N + 2 V)), V the language's kept terms and N the group's
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from driftlog.llm.staging import Tables, staged
-from driftlog.llm.textblocks import blocks, flat, release, rows_of, ship, span_codes
+from driftlog.llm.textblocks import U64, blocks, flat, mix, release, rows_of, ship, span_codes
 
 SCALE = 10**9
 #: Terms of a chunk, and bytes of texts of a block.
@@ -56,8 +56,14 @@ def term_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(stop) + 1, rows_of(starts, offsets)
 
 
+def _packed(outer: np.ndarray, key: np.ndarray, columns: list[pa.Array]) -> list[pa.Array]:
+    """Columns as lists, one for each run of ``outer``."""
+    offsets = pa.array(np.append(np.flatnonzero(np.append(True, outer[1:] != outer[:-1])), len(key)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, c) for c in columns]
+
+
 def _block_runs(docs: DataFrame) -> DataFrame:
-    """``(lang, term, source, block, df, n)``: documents and occurrences of a group's term in a block of texts."""
+    """``(h, lang, term, block, sources, df, n)``: documents and occurrences by source of a language's term in a block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,9 +77,9 @@ def _block_runs(docs: DataFrame) -> DataFrame:
                     continue
                 codes, names = span_codes(np.take(_LOWER, raw), starts, ends)
                 lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-                group = np.asarray(lang.indices).astype(np.int64) * len(source.dictionary) + np.asarray(source.indices)
-                # sorted by (group, term, document), the runs of documents within the runs of terms
-                key = group[rows] * len(names) + codes
+                n_terms, n_sources = len(names), len(source.dictionary)
+                # sorted by (language, term, source, document): runs of documents, of sources, of terms
+                key = (np.asarray(lang.indices).astype(np.int64)[rows] * n_terms + codes) * n_sources + np.asarray(source.indices)[rows]
                 order = np.argsort(key, kind="stable")  # rows ascend already
                 key, rows = key[order], rows[order]
                 new = np.append(True, key[1:] != key[:-1])
@@ -81,70 +87,94 @@ def _block_runs(docs: DataFrame) -> DataFrame:
                 n = np.diff(np.append(at, len(key)))
                 df = np.add.reduceat((new | np.append(True, rows[1:] != rows[:-1])).astype(np.int64), at)
                 key = key[at]
-                group, term = pa.array(key // len(names)), pa.array(key % len(names))
-                columns = [pc.take(lang.dictionary, pc.divide(group, len(source.dictionary))), pc.take(pa.array(names.tolist(), pa.binary()).cast(pa.string()), term), pc.take(source.dictionary, pa.array(np.asarray(group) % len(source.dictionary))), pa.array(np.full(len(at), block)), pa.array(df), pa.array(n)]
+                outer = key // n_sources
+                each = outer[np.append(True, outer[1:] != outer[:-1])]
+                hashes = np.fromiter(map(xxh3_64_intdigest, names.tolist()), U64, n_terms)
+                l, t = each // n_terms, each % n_terms
+                h = mix(hashes[t] + U64(0x9E3779B97F4A7C15) * np.fromiter((xxh3_64_intdigest(x) for x in lang.dictionary.to_pylist()), U64, len(lang.dictionary))[l])
+                lists = _packed(outer, key, [source.dictionary.take(pa.array(key % n_sources)), pa.array(df), pa.array(n)])
+                terms = pa.array(names.tolist(), pa.binary()).cast(pa.string()).take(pa.array(t))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lang.dictionary.take(pa.array(l)), terms, pa.array(np.full(len(each), block)), *lists], ["h", "lang", "term", "block", "sources", "df", "n"])
                 block += 1
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "block", "df", "n"])
         release()
 
-    return docs.mapInArrow(run, "lang string, term string, source string, block long, df long, n long")
+    return docs.mapInArrow(run, "h long, lang string, term string, block long, sources array<string>, df array<bigint>, n array<bigint>")
 
 
-RUN = "struct<term:string, sources:array<string>, counts:array<bigint>>"
+CHUNKS = "lang string, terms array<string>, sizes array<int>, sources array<string>, counts array<bigint>, df bigint"
 
 
 def _scan(least: int):
-    """Runs of (lang, term) over rows sorted by lang, term, source: whole ones in chunks, the first and the last as parts."""
+    """Runs of (language, term) over sorted rows: whole ones in chunks; the first and the last of a range, which may be cut, alone and with their ``df``."""
+
+    def chunk(lang: str, terms: list, sizes: list, sources: pa.Array | list, counts: pa.Array | list, df: int | None) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, k)) for x, k in zip((terms, sizes, sources, counts), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *lists, pa.array([df], pa.int64())], ["lang", "terms", "sizes", "sources", "counts", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}  # by language: whole runs on their way; a new language hands them on
-        now: tuple | None = None  # the run being read: (lang, term), then df and, by source, n
+        now: tuple | None = None  # the run that may go on: (lang, term), with its documents and, by source, occurrences
         df, counts, first = 0, {}, True
 
-        def row(lang: str, runs: list, part: list) -> pa.RecordBatch:
-            parts = pa.array([part], pa.list_(pa.struct([("term", pa.string()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])))
-            whole = pa.array([runs], pa.list_(pa.struct([("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])))
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), whole, parts], ["lang", "runs", "parts"])
-
         def end(cut: bool) -> Iterator[pa.RecordBatch]:
-            lang, term = now
-            if cut:
-                yield row(lang, [], [{"term": term, "df": df, "sources": list(counts), "counts": list(counts.values())}])
-            elif df >= least:
-                held.setdefault(lang, []).append({"term": term, "sources": list(counts), "counts": list(counts.values())})
-            for k in [k for k, v in held.items() if k != lang or len(v) >= CHUNK]:
-                yield row(k, held.pop(k), [])
+            if cut or df >= least:
+                yield chunk(now[0], [now[1]], [len(counts)], list(counts), list(counts.values()), df if cut else None)
 
         for batch in batches:
-            for lang, term, source, d, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "source", "df", "n")), strict=True):
-                if (lang, term) != now:
+            if not batch.num_rows:
+                continue
+            lang, term = (batch.column(c).dictionary_encode() for c in ("lang", "term"))
+            code = np.asarray(lang.indices).astype(np.int64) * len(term.dictionary) + np.asarray(term.indices)
+            new = np.append(True, code[1:] != code[:-1])
+            begin = np.flatnonzero(new)
+            lists = batch.column("sources")
+            sizes = np.diff(np.asarray(lists.offsets))
+            source = lists.flatten().dictionary_encode()
+            width = len(source.dictionary)
+            key, inverse = np.unique(np.repeat(np.cumsum(new) - 1, sizes) * width + np.asarray(source.indices), return_inverse=True)
+            total = np.zeros((2, len(key)), np.int64)
+            for k, c in enumerate(("df", "n")):
+                np.add.at(total[k], inverse, np.asarray(batch.column(c).flatten()))
+            of = key // width
+            bounds = np.searchsorted(of, np.arange(len(begin) + 1))
+            documents = np.add.reduceat(total[0], bounds[:-1])
+            name = lambda r: (lang[int(begin[r])].as_py(), term[int(begin[r])].as_py())  # noqa: B023, E731
+            for r in sorted({0, len(begin) - 1}):  # the runs that may go on from the batch before, or into the next one
+                if r or name(0) != now:
                     if now is not None:
                         yield from end(first)
                         first = False
-                    now, df, counts = (lang, term), 0, {}
-                df += d
-                counts[source] = counts.get(source, 0) + n
+                    now, df, counts = name(r), 0, {}
+                df += int(documents[r])
+                for s, c in zip(source.dictionary.take(pa.array(key[bounds[r] : bounds[r + 1]] % width)).to_pylist(), total[1][bounds[r] : bounds[r + 1]].tolist(), strict=True):
+                    counts[s] = counts.get(s, 0) + c
+            inner = np.arange(1, len(begin) - 1)
+            inner = inner[documents[inner] >= least]
+            own = np.asarray(lang.indices)[begin[inner]]
+            for k in np.unique(own).tolist():
+                some = inner[own == k]
+                for lo in range(0, len(some), CHUNK):
+                    pick = some[lo : lo + CHUNK]
+                    at = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in pick.tolist()])
+                    yield chunk(lang.dictionary[k].as_py(), term.take(pa.array(begin[pick])).dictionary_decode(), (bounds[pick + 1] - bounds[pick]).tolist(), source.dictionary.take(pa.array(key[at] % width)), pa.array(total[1][at]), None)
         if now is not None:
             yield from end(True)
-        for k, v in held.items():
-            yield row(k, v, [])
         release()
 
     return run
 
 
 def term_runs(docs: DataFrame, least: int, table: Tables) -> DataFrame:
-    """``(lang, runs)``: the terms of at least ``least`` documents of a language with the occurrences in each source, in chunks."""
+    """The terms of at least ``least`` documents of a language, in chunks, with the occurrences in each source one after the other."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["lang", "term", "source", "block"]
-    dealt = table(_block_runs(docs), "blocks").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    found = table(dealt.mapInArrow(_scan(least), f"lang string, runs array<{RUN}>, parts array<struct<term:string, df:bigint, sources:array<string>, counts:array<bigint>>>"), "runs")
-    parts = found.select("lang", F.inline("parts"))  # two a range at most
+    dealt = table(_block_runs(docs), "blocks").repartitionByRange(n, "h", "block").sortWithinPartitions("h", "lang", "term", "block")
+    found = table(dealt.mapInArrow(_scan(least), CHUNKS), "runs")
+    parts = found.where("df is not null").select("lang", F.col("terms")[0].alias("term"), "df", "sources", "counts")  # two a range at most
     wide = parts.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
     cut = parts.select("lang", "term", F.inline(F.arrays_zip("sources", "counts"))).groupBy("lang", "term", "sources").agg(F.sum("counts").alias("n"))
     cut = cut.join(wide, ["lang", "term"], "left_semi").groupBy("lang", "term").agg(F.collect_list(F.struct("sources", "n")).alias("of"))  # one a source
-    cut = cut.select("lang", F.array(F.struct("term", F.col("of.sources").alias("sources"), F.col("of.n").alias("counts"))).cast(f"array<{RUN}>").alias("runs"))
-    return table(found.where(F.size("runs") > 0).select("lang", "runs").unionByName(cut), "terms")
+    cut = cut.select("lang", F.array("term").alias("terms"), F.array(F.size("of")).alias("sizes"), F.col("of.sources").alias("sources"), F.col("of.n").alias("counts"))
+    return table(found.where("df is null").drop("df").unionByName(cut), "terms")
 
 
 def share(c: np.ndarray, n: int | np.ndarray, v: int) -> np.ndarray:
@@ -165,20 +195,20 @@ def _audit(most: int, rows: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                lang, runs, groups, v = (batch.column(c)[at].as_py() for c in ("lang", "runs", "groups", "V"))
+                lang, terms, sizes, sources, counted, groups, v = (batch.column(c)[at].as_py() for c in ("lang", "terms", "sizes", "sources", "counts", "groups", "V"))
                 names = [g["source"] for g in groups]
                 place = {s: i for i, s in enumerate(names)}
                 total = np.array([g["N"] for g in groups], np.int64)
                 zero = share(np.zeros(len(names), np.int64), total, v)
                 step = max(1, rows // len(names))
-                for lo in range(0, len(runs), step):
-                    some = runs[lo : lo + step]
+                run_of, at_source = np.repeat(np.arange(len(terms)), sizes), np.array([place[s] for s in sources], np.int64)
+                for lo in range(0, len(terms), step):
+                    some = np.array([t.encode() for t in terms[lo : lo + step]], object)
+                    mine = (run_of >= lo) & (run_of < lo + step)
                     counts = np.zeros((len(some), len(names)), np.int64)
-                    for i, r in enumerate(some):
-                        counts[i, [place[s] for s in r["sources"]]] = r["counts"]
+                    counts[run_of[mine] - lo, at_source[mine]] = np.array(counted, np.int64)[mine]
                     p = share(counts, total, v)
                     q = share(counts.sum(axis=1), int(total.sum()), v)
-                    terms = np.array([r["term"].encode() for r in some], object)
                     value = difference(p, q[:, None])
                     own = (counts > 0) & (p > q[:, None])
                     out: list[list] = [[], [], [], []]
@@ -189,10 +219,10 @@ def _audit(most: int, rows: int = 1 << 20):
                         out[1] += ["pair"] * len(keep)
                         out[2] += [names[b] for b in keep.tolist()]
                         out[3] += sums[keep].tolist()
-                        best = sorted(np.flatnonzero(own[:, a]).tolist(), key=lambda i: (-value[i, a], terms[i]))[:most]  # no other term can rank
+                        best = sorted(np.flatnonzero(own[:, a]).tolist(), key=lambda i: (-value[i, a], some[i]))[:most]  # no other term can rank
                         out[0] += [name] * len(best)
                         out[1] += ["term"] * len(best)
-                        out[2] += [terms[i].decode() for i in best]
+                        out[2] += [some[i].decode() for i in best]
                         out[3] += value[best, a].tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out[0]), pa.string()), *(pa.array(x, pa.string()) for x in out[:3]), pa.array(out[3], pa.int64())], ["lang", "source", "part", "item", "value"])
         release()
@@ -212,9 +242,8 @@ def source_divergence(docs: DataFrame, least: int = 10, most: int = 10) -> DataF
     with Tables(docs.sparkSession, "divergence") as table:
         groups = docs.select("lang", "source").distinct()
         terms = term_runs(docs, least, table)
-        kept = terms.select("lang", F.explode("runs").alias("r"))
-        sums = kept.select("lang", F.inline(F.arrays_zip(F.col("r.sources").alias("source"), F.col("r.counts").alias("n")))).groupBy("lang", "source").agg(F.sum("n").alias("n"))
-        v = terms.groupBy("lang").agg(F.sum(F.size("runs")).cast("long").alias("V"))
+        sums = terms.select("lang", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n")))).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+        v = terms.groupBy("lang").agg(F.sum(F.size("terms")).cast("long").alias("V"))
         stats = groups.join(sums, ["lang", "source"], "left").join(v, "lang", "left")
         stats = table(stats.select("lang", "source", F.coalesce("n", F.lit(0)).cast("long").alias("N"), F.coalesce("V", F.lit(0)).cast("long").alias("V")), "groups")
         # the result has a row for each two sources of a language, so a row may hold its list of sources
