@@ -34,7 +34,7 @@ from driftlog.llm.textblocks import U64, blocks, flat, mix, release, rows_of, sh
 
 SCALE = 10**9
 #: Terms of a chunk, and bytes of texts of a block.
-CHUNK, BLOCK = 1024, 8 << 20
+CHUNK, BLOCK = 1024, 16 << 20
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -79,13 +79,17 @@ def _block_runs(docs: DataFrame) -> DataFrame:
                 lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
                 n_terms, n_sources = len(names), len(source.dictionary)
                 # sorted by (language, term, source, document): runs of documents, of sources, of terms
+                rows = rows.astype(np.int32)
                 key = (np.asarray(lang.indices).astype(np.int64)[rows] * n_terms + codes) * n_sources + np.asarray(source.indices)[rows]
+                del raw, starts, ends, codes
                 order = np.argsort(key, kind="stable")  # rows ascend already
                 key, rows = key[order], rows[order]
+                del order
                 new = np.append(True, key[1:] != key[:-1])
                 at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(key)))
-                df = np.add.reduceat((new | np.append(True, rows[1:] != rows[:-1])).astype(np.int64), at)
+                n = np.diff(np.append(at, len(key))).astype(np.int32)
+                df = np.add.reduceat((new | np.append(True, rows[1:] != rows[:-1])).astype(np.int32), at)
+                del rows, new
                 key = key[at]
                 outer = key // n_sources
                 each = outer[np.append(True, outer[1:] != outer[:-1])]
@@ -98,7 +102,7 @@ def _block_runs(docs: DataFrame) -> DataFrame:
                 block += 1
         release()
 
-    return docs.mapInArrow(run, "h long, lang string, term string, block long, sources array<string>, df array<bigint>, n array<bigint>")
+    return docs.mapInArrow(run, "h long, lang string, term string, block long, sources array<string>, df array<int>, n array<int>")
 
 
 CHUNKS = "lang string, terms array<string>, sizes array<int>, sources array<string>, counts array<bigint>, df bigint"
