@@ -88,7 +88,7 @@ def _block_runs(docs: DataFrame) -> DataFrame:
                 new = np.append(True, key[1:] != key[:-1])
                 at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(key))).astype(np.int32)
-                df = np.add.reduceat((new | np.append(True, rows[1:] != rows[:-1])).astype(np.int32), at)
+                df = np.add.reduceat((new | np.append(True, rows[1:] != rows[:-1])).astype(np.int32), at, dtype=np.int32)
                 del rows, new
                 key = key[at]
                 outer = key // n_sources
