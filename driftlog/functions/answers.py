@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 TAG = r"(?is)<answer>\s*(.*?)\s*</answer>"
 OPEN, CLOSE = r"(?i)<answer>", r"(?i)</answer>"
 NUMBER = r"^[-+]?[0-9][0-9]*(\.[0-9]+)?(/[-+]?[0-9][0-9]*)?$"
+OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 GOLD = r"(?s)####\s*(.*?)\s*$"
 
 
@@ -29,9 +30,9 @@ def rational(text: Column) -> Column:
 
     ``top`` and ``below`` are the numerator's digits with a minus sign if negative, and the denominator's,
     of any length; ``num`` and ``den`` are the same as decimals, NULL beyond 19 digits a side. Thousands
-    commas and dollar signs are dropped. "1.5/2" and a zero denominator are no numbers. Digits are ASCII.
+    commas and dollar signs are dropped, and white space of any kind around it. "1.5/2" and a zero denominator are no numbers. Digits are ASCII.
     """
-    t = F.regexp_replace(F.trim(text), "[,$]", "")
+    t = F.regexp_replace(F.regexp_replace(text, OUTER_SPACE, ""), "[,$]", "")
     parts = F.split(t, "/")
     whole, other = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit("1"))
     decimals = F.length(F.regexp_extract(whole, r"\.([0-9]+)$", 1))

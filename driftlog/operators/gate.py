@@ -18,11 +18,15 @@ CASE = ["split", "training_seed", "behavior_step", "target_step", "purpose"]
 
 
 def gate_cases(fixed: DataFrame, rolling: DataFrame, estimator: str = "prompt_wis") -> DataFrame:
-    """Fixed cases and the recent side of rolling ones; the old side is among the fixed cases already."""
+    """Fixed cases and the recent side of rolling ones; the old side is among the fixed cases already. A case that is there twice is an error."""
     f = fixed.where(F.col("estimator") == estimator).select(*CASE, "absolute_error", "median_prompt_relative_ess", "tokenwise_kl_proxy")
     r = rolling.where(F.col("estimator") == estimator).select("split", "training_seed", F.col("recent_behavior_step").alias("behavior_step"), "target_step", F.lit("rolling").alias("purpose"), F.col("recent_absolute_error").alias("absolute_error"), F.col("recent_median_relative_ess").alias("median_prompt_relative_ess"), F.col("recent_tokenwise_kl_proxy").alias("tokenwise_kl_proxy"))
     out = f.unionByName(r)
-    return out.withColumn("median_prompt_relative_ess", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "median_prompt_relative_ess")))
+    ress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "median_prompt_relative_ess"))
+    # one row a case is what the gate is fitted on; a second one is an error, raised where the cases are read
+    n = F.count(F.lit(1)).over(Window.partitionBy(*CASE))
+    twice = F.raise_error(F.concat(F.lit("a gate case is there twice: "), F.to_json(F.struct(*CASE)))).cast("double")
+    return out.withColumn("_n", n).withColumn("median_prompt_relative_ess", F.when(F.col("_n") > 1, twice).otherwise(ress)).drop("_n")
 
 
 def by_gate(cases: DataFrame) -> DataFrame:

@@ -38,12 +38,18 @@ def infinite_gaps(rows: DataFrame) -> DataFrame:
 def prompt_mechanism(stats: DataFrame, reference: DataFrame, enforce: bool = False) -> DataFrame:
     """One row a prompt of every recent log beside the first log of the same seed and target.
 
-    With ``enforce``, sides of unequal prompts or numbers of samples are an error.
+    With ``enforce``, sides of unequal prompts or numbers of samples are an error, and so are prompts with
+    a second moment of zero on one side only.
     """
     if enforce:
         found = unequal_sides(stats).limit(3).collect()  # enough to name
         if found:
             raise ValueError("sides differ: " + "; ".join(str(r.asDict()) for r in found))
+        made = prompt_mechanism(stats, reference)
+        found = infinite_gaps(made).select(*KEY, "prompt_id").limit(3).collect()
+        if found:
+            raise ValueError("infinite gaps: " + "; ".join(str(r.asDict()) for r in found))
+        return made
     on = ["split", "training_seed", "target_step", "prompt_id"]
     side = lambda name: [F.col(c).alias(f"{name}_{n}") for c, n in (("behavior_step", "behavior_step"), ("alpha", "alpha"), ("d2", "log_kappa2"), ("relative_ess", "relative_ess"), ("log_sq_correct", "log_sq_correct"), ("log_sq_incorrect", "log_sq_incorrect"))]
     old = stats.where("behavior_step = 0 and purpose = 'fixed'").select(*on, *side("old"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlog.functions.numeric import clamp, finite, log_sums, mean_exp, safe_exp, safe_exp_status, weight
+from driftlog.functions.numeric import clamp, finite, log_sums, safe_exp, safe_exp_status, weight
 from driftlog.operators.checks import pair_prompts
+from driftlog.operators.exact import exact_log_sums, exact_moments, exact_sums
+from driftlog.operators.selection import beside, numbered, on_keys, quantiles
+from driftlog.sources.scratch import Scratch
 
 PAIR = ["split", "training_seed", "behavior_step", "target_step", "purpose"]
 ESTIMATORS = ("is", "prompt_wis")
@@ -56,17 +59,33 @@ def prompt_stats(rows: DataFrame, pair: list[str] = PAIR, population_sd: bool =
     )
 
 
+def exact_weight_moments(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+    """Mean, deviation (of samples, 0 for one) and mean absolute value of the log weights of every prompt, from exactly rounded sums."""
+    names = {"n": "K", "mean": "mean_log_weight", "sd": "sd_log_weight", "mean_abs": "mean_abs_log_weight"}
+    return exact_moments(rows, [*pair, "prompt_id"], weight(F.col("log_weight"))).withColumnsRenamed(names)
+
+
 def length_quantile(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """Adds the quarter of each prompt by mean length: floor(4 * rank / n), which is not ntile."""
-    w = Window.partitionBy(*pair)
-    rank = F.row_number().over(w.orderBy("mean_completion_length", "prompt_id")) - 1
-    quarter = F.least(F.lit(3), F.floor(4 * rank / F.count(F.lit(1)).over(w)).cast("int"))
-    labels = F.array(*(F.lit(x) for x in ("Q1_short", "Q2", "Q3", "Q4_long")))
-    return stats.withColumn("length_quantile", F.get(labels, quarter))
+    """Adds the quarter of each prompt by mean length: floor(4 * rank / n), which is not ntile. Ranks are made without a pair in one task."""
+    with Scratch(stats.sparkSession, "length-quantile") as scratch:
+        ranked = numbered(stats, pair, ["mean_completion_length", "prompt_id"], scratch)
+        quarter = F.least(F.lit(3), F.floor(4 * F.col("_rank") / F.col("_n")).cast("int"))
+        labels = F.array(*(F.lit(x) for x in ("Q1_short", "Q2", "Q3", "Q4_long")))
+        return scratch.result(ranked.withColumn("length_quantile", F.get(labels, quarter)).drop("_rank", "_n"))
+
+
+#: Medians and tails of the diagnostics: column and share.
+QUANTILES = {
+    "median_prompt_ess": ("ess", 0.5),
+    "median_prompt_relative_ess": ("relative_ess", 0.5),
+    "p10_prompt_relative_ess": ("relative_ess", 0.1),
+    "median_d2": ("d2", 0.5),
+    "p90_max_normalized_weight": ("max_normalized_weight", 0.9),
+}
 
 
 def _diagnostics() -> list[Column]:
-    """Medians, tails and means over prompts; sums over samples come from the prompts' own sums."""
+    """Means over prompts; sums over samples come from the prompts' own sums."""
     n, tokens = F.sum("K"), F.sum("_tokens")
     mean = F.sum("_sum_z") / n
     # The samples' deviation from sums of prompt sums: within plus between prompts.
@@ -76,13 +95,8 @@ def _diagnostics() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n_prompts"),
         F.max("K").alias("K"),
-        F.median("ess").alias("median_prompt_ess"),
-        F.median("relative_ess").alias("median_prompt_relative_ess"),
-        F.percentile("relative_ess", F.lit(0.1)).alias("p10_prompt_relative_ess"),
         F.avg("d2").alias("mean_d2"),
-        F.median("d2").alias("median_d2"),
         F.avg("max_normalized_weight").alias("mean_max_normalized_weight"),
-        F.percentile("max_normalized_weight", F.lit(0.9)).alias("p90_max_normalized_weight"),
         (-F.sum("_sum_z") / tokens).alias("tokenwise_kl_proxy"),
         (F.sum("_sum_abs") / n).alias("mean_abs_log_weight"),
         mean.alias("mean_log_weight"),
@@ -93,29 +107,34 @@ def _diagnostics() -> list[Column]:
     ]
 
 
+DIAGNOSTICS = ["n_prompts", "K", "median_prompt_ess", "median_prompt_relative_ess", "p10_prompt_relative_ess", "mean_d2", "median_d2", "mean_max_normalized_weight", "p90_max_normalized_weight", "tokenwise_kl_proxy", "mean_abs_log_weight", "mean_log_weight", "sd_log_weight", "mean_completion_length", "truncation_rate", "pair_abs_mean_log_ratio_per_token"]
+
+
 def pair_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """One row a pair with its diagnostics."""
-    return stats.groupBy(*pair).agg(*_diagnostics())
+    """One row a pair with its diagnostics: plain aggregates, and quantiles selected without a pair in one task."""
+    with Scratch(stats.sparkSession, "pair-diagnostics") as scratch:
+        prompts = scratch(stats, "prompts")
+        made = beside([prompts.groupBy(*pair).agg(*_diagnostics()), quantiles(prompts, pair, QUANTILES, scratch)], pair)
+        return scratch.result(made.select(*pair, *DIAGNOSTICS))
 
 
 def prompt_mean_diagnostics(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     """The variant that averages prompts: population deviation of prompt means, ratio weighted by tokens."""
     tokens = F.col("mean_completion_length") * F.col("K")
-    return stats.groupBy(*pair).agg(
-        F.median("ess").alias("median_prompt_ess"),
-        F.median("relative_ess").alias("median_prompt_relative_ess"),
-        F.percentile("relative_ess", F.lit(0.1)).alias("p10_prompt_relative_ess"),
-        F.avg("d2").alias("mean_d2"),
-        F.median("d2").alias("median_d2"),
-        F.avg("max_normalized_weight").alias("mean_max_normalized_weight"),
-        F.percentile("max_normalized_weight", F.lit(0.9)).alias("p90_max_normalized_weight"),
-        (F.sum(F.col("tokenwise_kl_proxy") * tokens) / F.sum(tokens)).alias("tokenwise_kl_proxy"),
-        F.avg("mean_abs_log_weight").alias("mean_abs_log_weight"),
-        F.avg("mean_log_weight").alias("mean_log_weight"),
-        F.stddev_pop("mean_log_weight").alias("sd_log_weight"),
-        F.avg("mean_completion_length").alias("mean_completion_length"),
-        F.avg("truncation_rate").alias("truncation_rate"),
-    )
+    with Scratch(stats.sparkSession, "prompt-mean-diagnostics") as scratch:
+        prompts = scratch(stats, "prompts")
+        means = prompts.groupBy(*pair).agg(
+            F.avg("d2").alias("mean_d2"),
+            F.avg("max_normalized_weight").alias("mean_max_normalized_weight"),
+            (F.sum(F.col("tokenwise_kl_proxy") * tokens) / F.sum(tokens)).alias("tokenwise_kl_proxy"),
+            F.avg("mean_abs_log_weight").alias("mean_abs_log_weight"),
+            F.avg("mean_log_weight").alias("mean_log_weight"),
+            F.stddev_pop("mean_log_weight").alias("sd_log_weight"),
+            F.avg("mean_completion_length").alias("mean_completion_length"),
+            F.avg("truncation_rate").alias("truncation_rate"),
+        )
+        made = beside([means, quantiles(prompts, pair, QUANTILES, scratch)], pair)
+        return scratch.result(made.select(*pair, *(c for c in DIAGNOSTICS if c not in ("n_prompts", "K", "pair_abs_mean_log_ratio_per_token"))))
 
 
 def _by_estimator(made: DataFrame, keep: list[str]) -> DataFrame:
@@ -127,21 +146,36 @@ def _by_estimator(made: DataFrame, keep: list[str]) -> DataFrame:
     return made.select(*keep, F.inline(both))
 
 
-def estimates(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """``(pair, estimator, estimate, estimate_status)``: ordinary and prompt-normalised importance sampling."""
-    made = log_sums(stats, pair, F.col("log_is"), {"_log": F.lit(True)}, {"_pwis": F.col("pwis")})
-    return _by_estimator(made.withColumns({"_log": F.col("_log") - F.ln(F.col("n").cast("double")), "_pwis": F.col("_pwis") / F.col("n")}), pair)
+def estimates(stats: DataFrame, pair: list[str] = PAIR, exact: bool = False) -> DataFrame:
+    """``(pair, estimator, estimate, estimate_status)``: ordinary and prompt-normalised importance sampling.
 
+    With ``exact``, sums are exactly rounded.
+    """
+    if exact:
+        logs = exact_log_sums(stats, pair, F.col("log_is"), {"_log": F.lit(True)})
+        made = on_keys(logs, exact_sums(stats, pair, {"_pwis": F.col("pwis")}).drop("n"), pair)
+    else:
+        made = log_sums(stats, pair, F.col("log_is"), {"_log": F.lit(True)}, {"_pwis": F.col("pwis")})
+    return _by_estimator(_means(made), pair)
 
-def pair_summary(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """Estimates and diagnostics of every pair from one aggregate, so the prompts are made once."""
-    made = stats.groupBy(*pair).agg(mean_exp(F.col("log_is")).alias("_log"), F.avg("pwis").alias("_pwis"), *_diagnostics())
-    return _by_estimator(made, [c for c in made.columns if not c.startswith("_")])
+
+def _means(made: DataFrame) -> DataFrame:
+    return made.withColumns({"_log": F.col("_log") - F.ln(F.col("n").cast("double")), "_pwis": F.col("_pwis") / F.col("n")})
 
 
-def global_wis(rows: DataFrame, pair: list[str] = PAIR) -> DataFrame:
-    """Self-normalised over all samples of a pair, from partial sums; NULL where a weight is NaN or infinite."""
-    made = log_sums(rows, pair, F.col("log_weight"), {"_good": F.col("correctness_reward") == 1, "_all": F.lit(True)})
+def pair_summary(stats: DataFrame, pair: list[str] = PAIR) -> DataFrame:
+    """Estimates and diagnostics of every pair over prompts that are made once; no aggregate holds a pair's prompts."""
+    with Scratch(stats.sparkSession, "pair-summary") as scratch:
+        prompts = scratch(stats, "prompts")
+        means = _means(log_sums(prompts, pair, F.col("log_is"), {"_log": F.lit(True)}, {"_pwis": F.col("pwis")})).drop("n")
+        made = beside([prompts.groupBy(*pair).agg(*_diagnostics()), quantiles(prompts, pair, QUANTILES, scratch), means], pair)
+        return scratch.result(_by_estimator(made, [*pair, *DIAGNOSTICS]))
+
+
+def global_wis(rows: DataFrame, pair: list[str] = PAIR, exact: bool = False) -> DataFrame:
+    """Self-normalised over all samples of a pair, from partial sums (with ``exact``, exactly rounded ones); NULL where a weight is NaN or infinite."""
+    terms = {"_good": F.col("correctness_reward") == 1, "_all": F.lit(True)}
+    made = (exact_log_sums if exact else log_sums)(rows, pair, F.col("log_weight"), terms)
     bad = F.isnan("_all") | (F.col("_all") == float("inf"))
     return made.select(*pair, F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.exp(F.col("_good") - F.col("_all")), F.lit(0.0))).alias("global_wis"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftlog.functions.arrays import ranges
 from driftlog.functions.hashing import record_id
+from driftlog.operators.selection import numbered
+from driftlog.sources.scratch import Scratch
 
 
 def pair_registry(spark: SparkSession, seeds: list[int], splits: tuple[str, ...] = ("development", "test"), anchors: tuple[int, ...] = (0, 100, 200, 300), step: int = 20, last: int = 400, window: int = 100, protocol: str = "v1") -> DataFrame:
@@ -75,9 +77,10 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def batched(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Each row's batch of ``size`` rows within its key, in an order."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(at / size).cast("bigint"))
+    """Each row's batch of ``size`` rows within its key, in an order; no key's rows meet in one task."""
+    with Scratch(rows.sparkSession, "batched") as scratch:
+        made = numbered(rows, keys, order, scratch).withColumn("batch", F.floor(F.col("_rank") / size).cast("bigint"))
+        return scratch.result(made.drop("_rank", "_n"))
 
 
 def shards_within(shards: DataFrame, most: int) -> DataFrame:
@@ -108,8 +111,7 @@ def duplicate_extras(rows: DataFrame, column: str) -> DataFrame:
 
 def sample_shards(prompts: DataFrame, keys: list[str], samples: int, block: int, shard: int) -> DataFrame:
     """Units of work: blocks of samples times shards of consecutive prompts of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("prompt_id")) - 1
-    shards = prompts.select(*keys, "prompt_id", F.floor(rank / shard).cast("bigint").alias("shard")).groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("n_prompts"), F.min("prompt_id").alias("first_prompt"))
+    shards = batched(prompts.select(*keys, "prompt_id"), keys, ["prompt_id"], shard).withColumnRenamed("batch", "shard").groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("n_prompts"), F.min("prompt_id").alias("first_prompt"))
     return shards.select("*", F.inline(ranges(F.lit(samples).cast("bigint"), block)))
 
 

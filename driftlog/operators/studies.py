@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.operators.overlap import PAIR
@@ -42,6 +42,20 @@ def _grid_summary(cases: DataFrame, thresholds: DataFrame, keys: list[str]) -> D
 METRICS = ["fixed_mean_mae", "fixed_mean_ress", "rolling_mean_recent_mae", "rolling_mean_old_mae", "rolling_mean_error_reduction", "rolling_fraction_recent_better", "rolling_mean_ress", "gate_accept_rate", "gate_false_accept_fraction_all", "gate_accepted_mae"]
 
 
+def members(cases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every case with each candidate that has its target (fixed cases) or its lag (rolling ones), once.
+
+    Candidates are turned into an index from kind and step to candidate, which cases meet by equality.
+    """
+
+    def steps(kind: str, column: str) -> Column:
+        return F.transform(F.array_distinct(column), lambda x: F.struct(F.lit(kind).alias("purpose"), x.cast("bigint").alias("_step")))
+
+    index = candidates.select(*(c for c in candidates.columns if c not in ("targets", "lags")), F.inline(F.concat(steps("fixed", "targets"), steps("rolling", "lags"))))
+    step = F.when(F.col("purpose") == "fixed", F.col("target_step")).when(F.col("purpose") == "rolling", F.col("target_step") - F.col("behavior_step"))
+    return cases.withColumn("_step", step.cast("bigint")).join(index, ["purpose", "_step"]).drop("_step")
+
+
 def grid_candidates(cases: DataFrame, candidates: DataFrame, scopes: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Distortion of each candidate grid against the full one.
 
@@ -51,9 +65,7 @@ def grid_candidates(cases: DataFrame, candidates: DataFrame, scopes: DataFrame,
     """
     scoped = cases.join(F.broadcast(scopes), "training_seed")  # scopes, candidates: the design
     full = _grid_summary(scoped, thresholds, ["scope"]).select("scope", "tolerance", *(F.col(m).alias(f"full_{m}") for m in METRICS))
-    lag = F.col("target_step") - F.col("behavior_step")
-    inside = ((F.col("purpose") == "fixed") & F.array_contains("targets", F.col("target_step"))) | ((F.col("purpose") == "rolling") & F.array_contains("lags", lag))
-    chosen = scoped.join(F.broadcast(candidates), inside)
+    chosen = members(scoped, candidates)
     out = _grid_summary(chosen, thresholds, ["candidate_id", "scope"]).join(full, ["scope", "tolerance"])
     gap = lambda m: F.when(F.col(m).isNull() & F.col(f"full_{m}").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.abs(F.col(m) - F.col(f"full_{m}")), F.lit(float("inf"))))
     return out.select("candidate_id", "scope", "tolerance", "n_fixed", "n_rolling", *METRICS, *(gap(m).alias(f"absdiff_{m}") for m in METRICS))
@@ -67,13 +79,12 @@ LIMITS = {"fixed_mean_mae": 0.0025, "fixed_mean_ress": 0.05, "rolling_mean_error
 
 def candidate_grids(spark: SparkSession, n_seeds: int, fewest: int, most: int, max_fixed: int = 12) -> DataFrame:
     """Grids of evenly spaced targets and a pattern of lags, with their number of pairs over all seeds: some dozens of rows."""
-    rows = []
-    for name, lags in LAG_PATTERNS.items():
-        for n in range(1, max_fixed + 1):
-            total = n_seeds * (len(IDENTITY_STEPS) + n + len(ROLLING_ANCHORS) * len(lags))
-            if fewest <= total <= most:
-                rows.append((f"C{len(rows) + 1:03d}", name, total, list(spaced_targets(n)), list(lags)))
-    return spark.createDataFrame(rows, "candidate_id string, lag_pattern string, total_pairs bigint, targets array<bigint>, lags array<bigint>")
+    patterns = spark.createDataFrame([(i, name, list(lags)) for i, (name, lags) in enumerate(LAG_PATTERNS.items())], "at int, lag_pattern string, lags array<bigint>")
+    targets = spark.createDataFrame([(n, list(spaced_targets(n))) for n in range(1, max_fixed + 1)], "n int, targets array<bigint>")
+    per_seed = F.col("n") + len(ROLLING_ANCHORS) * F.size("lags") + len(IDENTITY_STEPS)
+    rows = patterns.join(F.broadcast(targets)).withColumn("total_pairs", (n_seeds * per_seed).cast("bigint")).where(F.col("total_pairs").between(fewest, most))
+    number = F.row_number().over(Window.orderBy("at", "n"))  # dozens of rows
+    return rows.select(F.format_string("C%03d", number).alias("candidate_id"), "lag_pattern", "total_pairs", "targets", "lags")
 
 
 def grid_verdicts(metrics: DataFrame, candidates: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:

@@ -28,9 +28,10 @@ def fixed_table(results: DataFrame, ci: DataFrame | None = None) -> DataFrame:
 
 def overlap_table(rows: DataFrame) -> DataFrame:
     """Prompt statistics with the quarter of length and the pair's drift."""
-    stats = overlap.prompt_stats(rows)
-    drift = overlap.pair_diagnostics(stats).select(*PAIR, "pair_abs_mean_log_ratio_per_token", F.col("tokenwise_kl_proxy").alias("pair_tokenwise_kl_proxy"))
-    return overlap.length_quantile(stats).join(drift, PAIR)
+    prompts = overlap.length_quantile(overlap.prompt_stats(rows))
+    drift = (-F.sum("_sum_z") / F.sum("_tokens")).alias("pair_tokenwise_kl_proxy")
+    drift = prompts.groupBy(*PAIR).agg(drift).withColumn("pair_abs_mean_log_ratio_per_token", F.abs("pair_tokenwise_kl_proxy"))
+    return prompts.join(drift, PAIR)
 
 
 def rolling_table(results: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from driftlog.operators import bootstrap, checks, gate, mechanism, overlap, regi
 from driftlog.operators.overlap import PAIR
 from driftlog.plans.fixtures import Fixture
 from driftlog.sources import sinks
+from driftlog.sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 CALIBRATION, VALIDATION = [20260826, 20260827], [20260828]
@@ -37,8 +38,8 @@ def _stats(fx: Fixture) -> DataFrame:
 
 def _results(fx: Fixture) -> DataFrame:
     """Results of all pairs: a row a pair of the design and estimator, made once as several branches of a query read them."""
-    made = tables.pair_results(fx.rescores, fx.online)
-    return fx.spark.createDataFrame(made.collect(), made.schema)
+    with Scratch(fx.spark, "pair-results") as scratch:
+        return scratch.result(tables.pair_results(fx.rescores, fx.online))
 
 
 def _cases(fx: Fixture) -> DataFrame:
