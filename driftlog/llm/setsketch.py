@@ -8,9 +8,10 @@ chances that follow from the similarity and both sizes, so that counts of the th
 likelihood.
 
 Sets that are the same are one. Bands of ``WIDTH`` registers put sets into buckets. First every set of a
-bucket is compared with the bucket's least set, which settles tight groups with as many comparisons as
-sets; then, in buckets that still hold sets of unlike components, sets of unlike components are compared,
-those outside the largest component with all others, in blocks of bounded size. A pair is put up for
+bucket is compared with the bucket's least set, and where a bucket still holds unlike components with ``DRAWN``
+sets drawn by hashes, which settles groups that hang together with a few comparisons a set; then, in buckets that
+hold unlike components even so, sets of unlike components are compared, those outside the largest
+component with all others, in blocks of bounded size. A pair is put up for
 verification by its first common band alone, unless its likelihood says that it is too unlike; all pairs that
 are put up are verified on the whole sets. As links between sets of one component do not change the components, none is lost.
 
@@ -39,7 +40,9 @@ SIZE, BASE, RATE, TOP = 256, 1.1, 20.0, 255
 WIDTH = 7
 BANDS = SIZE // WIDTH
 #: A pair is dropped unseen if the best likelihood is so many times, as a logarithm, that of the least similarity.
-MARGIN = 16.0
+MARGIN = 10.0
+
+DRAWN = 6
 
 _FACTORS = np.random.default_rng(29).integers(1, 2**63, SIZE, dtype=U64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -256,18 +259,34 @@ def _join(docs: DataFrame, table: Tables, k: int, similarity: float, block: int)
         both = both.join(whole[-1].select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(similarity), "a long, b long"), name + "-links")
 
-    # Every set of a bucket beside the bucket's first.
-    star = table(bands.where("set_id != first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("n").alias(f"n_{s}"))
-    likely = star.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
-    links = verified(likely.mapInArrow(_likely(similarity), "a long, b long"), "near")
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
+        return both.mapInArrow(_likely(similarity), "a long, b long")
+
+    def unsettled(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Buckets of unlike components, and what they hold."""
+        known = table(components(links, table=table).select(F.col("node").alias("set_id"), "component"), name + "-known")
+        placed = bands.select("key", "band", "set_id").join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        placed = table(placed, name + "-placed")
+        by = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        return by.select("key"), placed
+
+    # Every set of a bucket beside the bucket's first, then beside some drawn ones of other components.
+    links = verified(likely(bands.where("set_id != first").select(F.col("first").alias("a"), F.col("set_id").alias("b")), "stars"), "near")
+    keys, placed = unsettled(links, "first")
+    left = placed.join(keys, "key")
+    drawn = F.array(*(F.min(F.struct(F.xxhash64("set_id", F.lit(j)).alias("h"), F.col("set_id").alias("a"), F.col("component").alias("other"))) for j in range(DRAWN)))
+    drawn = left.groupBy("key").agg(drawn.alias("x")).select("key", F.inline("x")).select("key", "a", "other").distinct()
+    again = left.join(drawn, (left["key"] == drawn["key"]) & (F.col("component") != F.col("other"))).select("a", F.col("set_id").alias("b"))
+    links = table(links.union(verified(likely(again, "drawn"), "drawn")), "links")
 
     # Sets of unlike components that still share a bucket.
-    known = table(components(links, table=table).select(F.col("node").alias("set_id"), "component"), "known")
-    placed = bands.select("key", "band", "set_id").join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = table(placed, "placed")
-    by = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    by = by.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    keys, placed = unsettled(links, "second")
+    by = placed.join(keys, "key").groupBy("key", "component").agg(F.count("*").alias("size"))
+    by = by.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("top"))
     n_rest = F.ceil((F.col("size") - F.col("top.size")) / F.lit(block)).cast("int")  # blocks of the sets outside the largest component
     by = by.select("key", F.col("top.component").alias("top"), n_rest.alias("n_rest"), F.ceil(F.col("top.size") / F.lit(8 * block)).cast("int").alias("n_top"))
     placed = placed.join(by, "key")

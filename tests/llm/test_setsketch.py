@@ -48,12 +48,11 @@ def corpus(seed: int) -> dict[int, str]:
     return {i: " ".join(t) for i, t in enumerate(out)}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 3}])
-def test_is_all_pairs(spark, sizes):
-    for seed in (1, 2):
-        texts = corpus(seed)
-        got = ss.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), **sizes)
-        assert {tuple(r) for r in got.collect()} == expected(texts)
+@pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"block": 3})])
+def test_is_all_pairs(spark, seed, sizes):
+    texts = corpus(seed)
+    got = ss.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), **sizes)
+    assert {tuple(r) for r in got.collect()} == expected(texts)
     assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
 
 
