@@ -13,6 +13,7 @@ from driftlog.plans.fixtures import Fixture
 from driftlog.sources import layout
 from driftlog.sources.scratch import Scratch, shared_folder
 from driftlog.sources.snapshots import Snapshots
+from driftlog.streaming import ingest
 
 SHARES = {"p025": 0.025, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p975": 0.975}
 SELECTED = ("ess", "d2", "max_normalized_weight", "log_is", "mean_completion_length")
@@ -102,6 +103,20 @@ def snapshot_versions(fx: Fixture) -> DataFrame:
     return rounded(tables.union_all(each).groupBy("version", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price")))
 
 
+@query
+def ingested_events(fx: Fixture) -> DataFrame:
+    """Events that come in shards, some of them twice and under another day, taken in by a stream and then once more."""
+    events = fx.table("events").selectExpr("event_id", "event_type", "cast(to_date(ts) as string) as day")
+    source, again = shared_folder(fx.spark, "event-shards"), events.where("event_id % 10 = 0").withColumn("day", F.lit("later"))
+    target, checkpoint = shared_folder(fx.spark, "ingested"), shared_folder(fx.spark, "ingest-checkpoint")
+    for shard in (events.where("event_id % 2 = 0"), again, events):
+        shard.coalesce(2).write.mode("append").parquet(source)
+        ingest.ingest(fx.spark, source, "event_id bigint, event_type string, day string", target, checkpoint, ["event_type"], "event_id").awaitTermination()
+    table = Snapshots(fx.spark, target)
+    batches = fx.spark.createDataFrame([(u["n_rows"],) for u in table.state()["units"]], "n_rows bigint").agg(F.sum("n_rows").alias("n_units"))
+    return table.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_keys"), F.max("day").alias("last")).crossJoin(F.broadcast(batches))  # one row
+
+
 @query
 def scope_hash_states(fx: Fixture) -> DataFrame:
     """Scope hashes that are kept up by what is added and taken away, beside those of a pass over all rows."""

@@ -56,6 +56,7 @@ ORACLES: dict[str, str] = {
   select 1 as version, * from orders where o_orderkey % 2 = 0 union all select 2, * from orders
   union all select 3, * from orders where o_orderstatus <> 'F' or o_orderkey % 3 = 0 union all select 4, * from orders where o_totalprice > 100000)
 select cast(version as bigint) as version, o_orderstatus, count(*) as n, cast(sum(o_orderkey) as bigint) as keys, round(sum(o_totalprice), 2) as price from v group by 1, 2""",
+    "ingested_events": "select event_type, count(*) as n, count(distinct event_id) as n_keys, max(cast(cast(ts as date) as varchar)) as last, (select count(*) from events) as n_units from events group by 1",
     "scope_hash_states": "select l_returnflag, count(*) as n_rows, true as same_as_whole, true as same_rows from lineitem where l_orderkey % 5 > 0 group by 1",
     "grid_members": w(FULL, f"c(candidate_id, targets, lags) as (values {candidates()})", """select candidate_id, purpose, split, count(*) as n, cast(sum(target_step) as bigint) as targets from res join c
   on (purpose = 'fixed' and list_contains(c.targets, target_step)) or (purpose = 'rolling' and list_contains(lags, target_step - behavior_step)) where estimator = 'prompt_wis' group by 1, 2, 3"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.functions.answers import rational
@@ -39,10 +39,44 @@ def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None
     return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names.schema))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, size_bytes, sha256)`` of every file under a path, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, most: int = 1 << 30, glob: str = "*") -> DataFrame:
+    """``(path, size_bytes, sha256)`` of every file under a path, hashed where it is read.
+
+    Files of up to ``most`` bytes (2 GB is what a row holds) come as one value, by any file system of Spark's;
+    larger ones are read as a stream of pieces in a task of their own, from a local or mounted path or a store that Arrow reads.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    small = files.where(F.col("length") <= most).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most).select("path", F.col("length").alias("size_bytes"))  # names and sizes, no content
+    return small.unionByName(large.mapInArrow(_streamed(8 << 20), "path string, size_bytes bigint, sha256 string"))
+
+
+def _streamed(piece: int):
+    """Hashes of files by pieces, so that a task holds one piece; free of this module so that workers need not have it."""
+
+    def run(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size_bytes").to_pylist(), strict=True):
+                local = re.match("file:/*(/.*)", path)
+                system, name = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(path)
+                whole, n = hashlib.sha256(), 0
+                with system.open_input_stream(name) as stream:
+                    while block := stream.read(piece):
+                        whole.update(block)
+                        n += len(block)
+                if n != size:
+                    raise OSError(f"{path} changed while it was read")
+                out.append(whole.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size_bytes"), pa.array(out, pa.string())], ["path", "size_bytes", "sha256"])
+
+    return run
 
 
 def tree_hash(spark: SparkSession, path: str) -> dict[str, Any]:
@@ -164,31 +198,69 @@ def summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
 
 
-def shard_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Shard manifests as they stand; ``shard_breaks`` holds them against their files."""
-    rows = spark.read.schema("data_file string, sha256 string, row_count bigint, unit string").option("multiLine", True).json(path)
-    return rows.withColumn("manifest_file", F.input_file_name())
+MANIFEST = "data_file string, sha256 string, row_count bigint, unit string, parquet struct<local_path: string, file_sha256: string, row_count: bigint>, sample_start bigint, sample_end_exclusive bigint, shard_index bigint"
+
+
+def shard_manifests(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """``(data_file, sha256, row_count, unit, manifest_file)`` of shard manifests as they stand; ``shard_breaks`` holds them against their files.
+
+    A manifest says these itself, or under ``parquet`` (local_path, file_sha256, row_count); then its unit is
+    its range of samples and index under the folder that all its shards are in. With ``recursive``, every
+    manifest.json in a folder "shard=..." below the path is read.
+    """
+    reader = spark.read.schema(MANIFEST).option("multiLine", True)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json")
+    rows = reader.json(path).withColumn("manifest_file", F.col("_metadata.file_path"))
+    if recursive:
+        rows = rows.where(F.col("manifest_file").rlike("/shard=[^/]*/[^/]*$"))
+    group = F.regexp_extract(F.col("parquet.local_path"), "^(.*)/shard=[^/]*/[^/]*$", 1)
+    own = F.when(F.col("parquet").isNotNull(), F.concat_ws("/", group, F.col("sample_start").cast("string"), F.col("sample_end_exclusive").cast("string"), F.col("shard_index").cast("string")))
+    return rows.select(
+        F.coalesce("data_file", "parquet.local_path").alias("data_file"),
+        F.coalesce("sha256", "parquet.file_sha256").alias("sha256"),
+        F.coalesce("row_count", "parquet.row_count").alias("row_count"),
+        F.coalesce("unit", own).alias("unit"),
+        "manifest_file",
+    )
+
+
+def _below(spark: SparkSession, folder: str, path: Column) -> Column:
+    """The part of a file's path below a folder; a path that is relative is taken to be below it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*(?=/)", "")
+    inside = F.when(plain.startswith(F.lit(top)), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
+    return F.regexp_replace(inside, "^([.]/)+", "")
 
 
 def shard_breaks(spark: SparkSession, manifests: DataFrame, folder: str, schema: str) -> DataFrame:
-    """``(rule, row)`` of shards whose file is not there or has another hash or number of rows, and of files or units claimed twice."""
+    """``(rule, row)`` of shards whose file is not there or has another hash or number of rows, and of files or units claimed twice.
+
+    ``data_file`` is a path below ``folder``, or a whole one; shards may be in folders of their own with files named alike.
+    """
     from driftlog.operators.checks import broken, duplicates
 
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = file_hashes(spark, folder).select(name("path").alias("_name"), F.col("sha256").alias("_sha256"))
-    counts = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder).groupBy(name(F.input_file_name()).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    both = manifests.withColumn("_name", name("data_file")).join(files, "_name", "left").join(counts, "_name", "left")
+    files = file_hashes(spark, folder, glob="*.parquet").select(_below(spark, folder, F.col("path")).alias("_name"), F.col("sha256").alias("_sha256"))
+    decoded = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "[+]", "%2B"))
+    counts = _shards(spark, folder, schema).groupBy(_below(spark, folder, decoded).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    named = manifests.withColumn("_name", _below(spark, folder, F.col("data_file")))
+    both = named.join(files, "_name", "left").join(counts, "_name", "left")
     own = broken(both, {"missing": F.col("_sha256").isNull(), "sha256": F.col("_sha256") != F.col("sha256"), "row_count": F.col("_sha256").isNotNull() & (F.coalesce("_n", F.lit(0)) != F.col("row_count"))}, ["data_file", "unit"])
-    twice = [duplicates(manifests, [c]).select(F.lit(f"duplicate_{c}").alias("rule"), F.to_json(F.struct(c)).alias("row")) for c in ("data_file", "unit")]
+    twice = [duplicates(named.withColumn("data_file", F.col("_name")), [c]).select(F.lit(f"duplicate_{c}").alias("rule"), F.to_json(F.struct(c)).alias("row")) for c in ("data_file", "unit")]
     return own.unionByName(twice[0]).unionByName(twice[1])
 
 
-def verified_shards(spark: SparkSession, manifest_path: str, folder: str, schema: str) -> DataFrame:
+def _shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+
+
+def verified_shards(spark: SparkSession, manifest_path: str, folder: str, schema: str, recursive: bool = False) -> DataFrame:
     """Rows of all shards, once their manifests hold."""
     from driftlog.operators.checks import assert_none
 
-    assert_none(shard_breaks(spark, shard_manifests(spark, manifest_path), folder, schema))
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+    assert_none(shard_breaks(spark, shard_manifests(spark, manifest_path, recursive), folder, schema))
+    return _shards(spark, folder, schema)
 
 
 def rescores(spark: SparkSession, path: str, schema: str, where: str, k: int) -> DataFrame:
