@@ -4,34 +4,41 @@ A token is a word, a character of three or more UTF-8 bytes or a mark, each with
 before it; white space at the end is a token too, so every byte lies in one. A token is one of
 2^18 classes of its hash. It is predicted from the ``SIDE`` tokens before and after it by hashed
 embeddings and a hidden layer, as three softmaxes of 64 (each of the later ones given the digits
-before it), so probabilities of all classes sum to 1. Memory does not depend on the vocabulary.
+before it), so probabilities of all classes sum to 1. The softmaxes begin at the corpus's own frequencies of the
+digits, which are counted first; the network learns what its neighbours change. Memory does not depend on the vocabulary.
 
-Training passes over every token of all documents once, in ``rounds``: a round takes every
-``rounds``-th row of each partition by Adagrad from the common parameters, and the results are
-averaged by their tokens in Spark. Scores are the sums of the log-probabilities of all tokens.
+Training passes over every token of all documents once, in ``rounds``. A round takes the rows whose hash falls
+to it, dealt by another hash to shards of some ``SHARD`` bytes; their number follows from the size of the corpus
+alone. A shard is gone through in the order of its rows' hashes, by Adagrad from the common parameters,
+in pieces that are cut by rows and bytes alone, and the shards' results are averaged by their tokens, first in
+each task, then over groups of tasks, then over all. So the network depends on the documents, not on how
+they are partitioned, but for the rounding of sums. Scores are the sums of the log-probabilities of all tokens.
 
 Null and empty texts have 0 tokens, the sum 0 and no mean. Repeated rows, and rows without a doc_id,
-are scored each; they count in training as often as they occur. Other columns are ignored. With no text at all the
-network stays at its start.
+are scored each; they count in training as often as they occur, rows alike in id and text in one shard. Other
+columns are ignored. With no text at all the network stays at its start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.textblocks import blocks, flat, release, rows_of, ship, span_hashes
 
-SIDE, EMBED, HIDDEN, ROWS, WAYS = 3, 12, 24, 1 << 15, 32
+SIDE, EMBED, HIDDEN, ROWS, WAYS = 3, 16, 32, 1 << 15, 64
 SHAPES = {"e": (ROWS, EMBED), "p2": (WAYS, HIDDEN), "p3": (WAYS * WAYS, HIDDEN), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,)}
 SHAPES |= {f"v{j}": (HIDDEN, WAYS) for j in (1, 2, 3)} | {f"c{j}": (WAYS,) for j in (1, 2, 3)}
 SPARSE = ("e", "p2", "p3")  # rows that a batch does not touch stay as they are
 CHUNK = 8192
 BATCH = 8192
+SHARD = 4 << 20  # bytes of texts of a shard in a round
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 of a word, 2 alone, 3 inside a character
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -86,7 +93,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         same = rows[d:] == rows[:-d]
         around[d:, SIDE - d] = ids[:-d] * same
         around[:-d, SIDE + d - 1] = ids[d:] * same
-    digits = np.stack([(hashes >> np.uint64(s) & np.uint64(WAYS - 1)).astype(np.int32) for s in (59, 54, 49)], axis=1)
+    digits = np.stack([(hashes >> np.uint64(s) & np.uint64(WAYS - 1)).astype(np.int32) for s in (58, 52, 46)], axis=1)
     return around, digits, rows
 
 
@@ -104,6 +111,8 @@ def _forward(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray):
         h = np.tanh(a if j == 1 else a + np.take(p[f"p{j}"], given[j - 1], axis=0))
         s = h @ p[f"v{j}"]
         s += p[f"c{j}"]
+        if f"q{j}" in p:
+            s += p["q1"] if j == 1 else np.take(p[f"q{j}"], given[j - 1], axis=0)
         s -= s.max() if np.ptp(s) < 60 else s.max(axis=1, keepdims=True)  # no sum of exponentials may vanish
         own = s[at, digits[:, j - 1]]
         np.exp(s, out=s)
@@ -158,38 +167,123 @@ def learn(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.n
                 p[k][rows] = np.take(p[k], rows, axis=0) - g
 
 
-def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1) -> dict[str, np.ndarray]:
+def prior(counts: np.ndarray, add: float = 0.1) -> dict[str, np.ndarray]:
+    """Logarithms of how frequent each digit is after the digits before it, from the counts of all classes."""
+    out, by = {}, counts.astype(np.float64)
+    for j in (3, 2, 1):
+        node = by.reshape(-1, WAYS)
+        by = node.sum(axis=1)
+        out[f"q{j}"] = np.log((node + add) / (by[:, None] + add * WAYS)).astype(np.float32)
+    return out | {"q1": out["q1"][0]}
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """Occurrences of every class in all documents; a task sends a row a class, and so many come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(WAYS**3, np.int64)
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                raw, offsets = flat(part.column("text"))
+                starts, ends, _ = tokens(raw, offsets)
+                if len(starts):
+                    counts += np.bincount((span_hashes(raw, starts, ends) >> np.uint64(46)).astype(np.int64), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["c", "n"])
+        release()
+
+    got = docs.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(WAYS**3, np.int64)
+    out[np.asarray(got.column("c"))] = np.asarray(got.column("n"))
+    return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Shard and texts of runs of rows of one shard, each of ``most`` bytes or little more, however the rows come in batches."""
+    held: list[pa.Array] = []
+    shard, size = None, 0
+    for batch in batches:
+        shards = np.asarray(batch.column("shard"))
+        sizes = np.asarray(pc.binary_length(batch.column("text")), np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            if shards[lo] != shard:
+                if held:
+                    yield shard, pa.concat_arrays(held)
+                shard, size, held = int(shards[lo]), 0, []
+            end = lo + int(np.searchsorted(shards[lo:], shard, "right"))  # shards ascend
+            full = lo + int(np.searchsorted(np.cumsum(sizes[lo:end]), most - size)) + 1  # up to the row that fills the piece
+            hi = min(end, full)
+            held.append(batch.column("text").slice(lo, hi - lo))
+            size += int(sizes[lo:hi].sum())
+            if size >= most:
+                yield shard, pa.concat_arrays(held)
+                size, held = 0, []
+            lo = hi
+    if held:
+        yield shard, pa.concat_arrays(held)
+
+
+def train(params: dict[str, np.ndarray], shards: Iterator[tuple[int, pa.Array]], rate: float, seed: int) -> tuple[np.ndarray, int]:
+    """Sum over the shards of their parameters times their tokens, and the tokens; each shard begins at ``params``."""
+    total, tokens_of_all = np.zeros(sum(int(np.prod(x)) for x in SHAPES.values())), 0
+    now, p, squares, weight = None, {}, {}, 0
+    for shard, texts in shards:
+        if shard != now:
+            if weight:
+                total += weight * pack(p).astype(np.float64)
+                tokens_of_all += weight
+            now, weight = shard, 0
+            p = {k: v.copy() for k, v in params.items()}
+            squares = {k: np.zeros_like(v) for k, v in p.items()}
+        around, digits, _ = windows(*flat(texts))
+        learn(p, squares, around, digits, rate, seed)
+        weight += len(digits)
+    if weight:
+        total += weight * pack(p).astype(np.float64)
+        tokens_of_all += weight
+    return total, tokens_of_all
+
+
+def _sums(t: pa.Table) -> pa.Table:
+    """One row of a group's pieces and weights."""
+    whole = sum(np.frombuffer(x.as_buffer(), np.float64) for x in t.column("piece"))
+    return pa.table({"i": t.column("i")[:1], "piece": pa.array([whole.tobytes()], pa.binary()), "weight": pa.array([sum(t.column("weight").to_pylist())])})
+
+
+def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1, shard: int = SHARD) -> dict[str, np.ndarray]:
     """Train on all tokens of all documents."""
     spark, params = docs.sparkSession, start()
     ship(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fixed = prior(frequencies(docs)) if size else {}
+    params |= fixed
+    n = max(1, round(size / rounds / shard))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    h = F.xxhash64("doc_id", "text")
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(params)  # 2 MB
+        shared = spark.sparkContext.broadcast(params)  # 3 MB
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            p = {k: v.copy() for k, v in shared.value.items()}
-            squares = {k: np.zeros_like(v) for k, v in p.items()}
-            weight = 0
-            for batch in batches:
-                for part in blocks(batch, "text"):
-                    around, digits, _ = windows(*flat(part.column("text")))
-                    learn(p, squares, around, digits, rate / (r + 1), seed=r)
-                    weight += len(digits)
+            from pyspark import TaskContext
+
+            total, weight = train(shared.value, pieces(batches), rate / (r + 1), r)
             if weight:
-                whole = pack(p)
-                pieces = [whole[lo : lo + CHUNK].tobytes() for lo in range(0, len(whole), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([float(weight)] * len(pieces))], ["i", "piece", "weight"])
+                cut = [total[lo : lo + CHUNK].tobytes() for lo in range(0, len(total), CHUNK)]
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([task] * len(cut), pa.int32()), pa.array(cut, pa.binary()), pa.array([weight] * len(cut), pa.int64())], ["i", "task", "piece", "weight"])
             release()
 
-        def mean(t: pa.Table) -> pa.Table:
-            weight = t.column("weight").to_pylist()
-            total = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(weight, (x.as_buffer() for x in t.column("piece")), strict=True))
-            return pa.table({"i": t.column("i")[:1], "piece": pa.array([(total / sum(weight)).astype(np.float32).tobytes()], pa.binary())})
-
-        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
-        made = own.select("text").mapInArrow(run, "i int, piece binary, weight double")
-        got = made.groupBy("i").applyInArrow(mean, "i int, piece binary").toArrow()  # one row a piece of 32 KB
+        own = docs.where(F.pmod(h, F.lit(rounds)) == r).where("text is not null").select(F.pmod(F.xxhash64(h, F.lit(1)), F.lit(n)).cast("int").alias("shard"), h.alias("h"), "text")
+        dealt = own.repartition(parts, "shard").sortWithinPartitions("shard", "h", "text")
+        made = dealt.mapInArrow(run, "i int, task int, piece binary, weight long")
+        # tasks first by groups of about the root of their number, so that no group has many pieces
+        some = made.groupBy("i", F.pmod("task", F.lit(math.isqrt(parts) + 1)).alias("g")).applyInArrow(_sums, "i int, piece binary, weight long")
+        got = some.groupBy("i").applyInArrow(_sums, "i int, piece binary, weight long").toArrow()  # one row a piece of 64 KB
         if got.num_rows:
-            params = unpack(np.concatenate([np.frombuffer(x, np.float32) for x in got.sort_by("i").column("piece").to_pylist()]))
+            got = got.sort_by("i")
+            mean = [np.frombuffer(x, np.float64) / w for x, w in zip(got.column("piece").to_pylist(), got.column("weight").to_pylist(), strict=True)]
+            params = unpack(np.concatenate(mean).astype(np.float32)) | fixed
     return params
 
 

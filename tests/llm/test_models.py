@@ -144,6 +144,64 @@ def test_masked_training_beats_word_frequencies(spark):
     assert got > np.log(counts[inverse] / len(digits)).mean()  # frequencies of the held-out rows themselves
 
 
+def test_masked_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(min(n, 16)))
+            params = mw.fit(docs.repartition(n), shard=40_000)
+            got.append({r.doc_id: r.mean_logprob for r in mw.score(docs, params).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(got[1][d] == pytest.approx(x, abs=1e-3) for d, x in got[0].items())
+
+
+def test_masked_training_is_the_plain_loop(spark):
+    """Rounds, shards, pieces and averages, row by row; texts of which one fills a piece alone."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["one", "two,", "three", "é漢"]) for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(60)] + [(3, None), (None, "x y")], "doc_id bigint, text string")
+    size, rounds = sum(len((r.text or "").encode()) for r in docs.collect()), 2
+    n, most = max(1, round(size / rounds / 20_000)), 1 << 20
+    h = F.xxhash64("doc_id", "text")
+    rows = docs.where("text is not null").select(F.pmod(h, F.lit(rounds)).alias("r"), F.pmod(F.xxhash64(h, F.lit(1)), F.lit(n)).alias("s"), h.alias("h"), "text").collect()
+    _, digits, _ = mw.windows(*flat(pa.array([x.text for x in rows])))
+    counts = np.zeros(mw.WAYS**3)
+    np.add.at(counts, (digits[:, 0] * mw.WAYS + digits[:, 1]) * mw.WAYS + digits[:, 2], 1)
+    fixed = mw.prior(counts)
+    assert fixed["q1"][digits[0, 0]] == pytest.approx(np.log(((digits[:, 0] == digits[0, 0]).sum() + 0.1) / (len(digits) + 6.4)), abs=1e-5)
+    params = mw.start() | fixed
+    for r in range(rounds):
+        total, weight = 0.0, 0
+        for s in range(n):
+            p, own = {k: v.copy() for k, v in params.items()}, 0
+            squares = {k: np.zeros_like(v) for k, v in p.items()}
+            piece, held = [], 0
+            mine = sorted(((x.h, x.text) for x in rows if x.r == r and x.s == s))
+            for i, (_, text) in enumerate(mine):
+                piece.append(text)
+                held += len(text.encode())
+                if held >= most or i == len(mine) - 1:
+                    around, digits, _ = mw.windows(*flat(pa.array(piece)))
+                    mw.learn(p, squares, around, digits, 0.1 / (r + 1), r)
+                    own += len(digits)
+                    piece, held = [], 0
+            total, weight = total + own * mw.pack(p).astype(np.float64), weight + own
+        params = mw.unpack((total / weight).astype(np.float32)) | fixed
+    got = mw.fit(docs.repartition(5), rounds=rounds, shard=20_000)
+    assert n > 1 and got.keys() == params.keys()
+    assert max(float(np.abs(got[k] - params[k]).max()) for k in params) < 1e-4
+
+
+@pytest.mark.parametrize("cuts", [[], [1, 2, 3], [5], [2, 9]])
+def test_pieces_do_not_depend_on_batches(cuts):
+    texts, shards = ["a" * k for k in (3, 9, 0, 4, 4, 12, 1, 1, 1, 30, 2)], [0, 0, 0, 0, 0, 1, 1, 1, 1, 3, 3]
+    whole = pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(texts)], ["shard", "text"])
+    batches = [whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+    got = [(s, [len(x) for x in t.to_pylist()]) for s, t in mw.pieces(iter(batches), 10)]
+    assert got == [(0, [3, 9]), (0, [0, 4, 4]), (1, [12]), (1, [1, 1, 1]), (3, [30]), (3, [2])]
+
+
 def test_word_tokens_cover_all_bytes():
     texts = ["", " \n", "one, two  three.\n", "漢字é x", "a", "b "]
     raw, offsets = flat(pa.array(texts))
