@@ -17,7 +17,7 @@ def list_id(*fields: Column) -> Column:
 
 
 def content_hash(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """One hash and row count of each scope: the row hashes are summed as 128-bit halves, so order and partitioning do not matter."""
+    """One hash and row count of each scope: four numbers of 60 bits of the row hashes are summed, so order and partitioning do not matter."""
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
     halves = [F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16, 31, 46)]
     out = df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), *(h.alias(f"_{i}") for i, h in enumerate(halves)))

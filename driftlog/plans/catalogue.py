@@ -475,17 +475,24 @@ def reference_check(fx: Fixture) -> DataFrame:
     return checks.references(accuracy, overlap.online_reference(accuracy), 8).agg(F.count(F.lit(1)).alias("n_breaks"))
 
 
+def _design(fx: Fixture) -> DataFrame:
+    """The registry of pairs for the seeds and splits that the tables have."""
+    seeds, splits = ([r[0] for r in df.distinct().sort(df.columns[0]).collect()] for df in (fx.seeds.select("training_seed"), fx.trajectories.select("split")))
+    return registry.pair_registry(fx.spark, seeds, tuple(splits))
+
+
 @query
 def pair_registry(fx: Fixture) -> DataFrame:
-    return registry.pair_registry(fx.spark, [20260826, 20260827, 20260828])
+    return _design(fx)
 
 
 @query
 def next_pair(fx: Fixture) -> DataFrame:
-    pairs = registry.pair_registry(fx.spark, [20260826, 20260827, 20260828])
-    units = fx.spark.range(3).selectExpr("id as unit")
-    source = pairs.select("pair_id", "behavior_step").crossJoin(units)  # three units a pair of the design
-    return registry.next_pair(pairs, source, source.where("unit < 2 or behavior_step < 200"))
+    """Units are the shards of a split's prompts; later pairs lack the units of every fifth shard."""
+    pairs = _design(fx)
+    shards = registry.sample_shards(fx.trajectories.select("split", "prompt_id").distinct(), ["split"], 16, 8, 10).select("split", "shard", "start")
+    source = pairs.select("pair_id", "split", "behavior_step").join(shards, "split")
+    return registry.next_pair(pairs, source, source.where("shard % 5 > 0 or behavior_step < 200"))
 
 
 @query

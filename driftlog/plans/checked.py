@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftlog.functions import hashing
 from driftlog.operators import checks, invariants, mechanism, overlap, registry, report, studies, tables
 from driftlog.operators.overlap import PAIR
-from driftlog.plans.catalogue import CALIBRATION, VALIDATION, _cases, _decisions, _metrics, _prompts, _results, _stats, query, rounded
+from driftlog.plans.catalogue import CALIBRATION, VALIDATION, _cases, _decisions, _design, _metrics, _prompts, _results, _stats, query, rounded
 from driftlog.plans.fixtures import Fixture
 
 
@@ -110,14 +110,14 @@ def identity_difference_check(fx: Fixture) -> DataFrame:
 
 @query
 def kept_pairs(fx: Fixture) -> DataFrame:
-    pairs = registry.pair_registry(fx.spark, [20260826, 20260827, 20260828])
+    pairs = _design(fx)
     kept = registry.keep_pairs(pairs, "test", [20260826, 20260828], [0, 100, 200, 300], [20, 120, 220, 300, 400], [(100, 160), (200, 260), (300, 360)])
     return registry.with_comparators(kept, pairs).select("split", "training_seed", "behavior_step", "target_step", "purpose")
 
 
 @query
 def selected_pairs(fx: Fixture) -> DataFrame:
-    pairs = registry.pair_registry(fx.spark, [20260826, 20260827]).select("pair_id", "training_seed", "behavior_step", "target_step", "split")
+    pairs = _design(fx).where("training_seed < 20260828").select("pair_id", "training_seed", "behavior_step", "target_step", "split")
     ids = pairs.where("target_step % 80 = 0").select("pair_id").unionByName(fx.table("region").select(F.col("r_name").alias("pair_id")))
     there, lost = registry.selection(pairs, ids)
     out = there.withColumn("pair_id", F.lit("-")).unionByName(lost.select("pair_id"), allowMissingColumns=True)

@@ -330,8 +330,10 @@ conf as (select split, training_seed, target_step, sum(k - 1) as n_conflicts fro
     "pair_registry": w("""b as (select unnest([0, 100, 200, 300]) as b), e as (select unnest(range(0, 401, 20)) as e), s as (select unnest([20260826, 20260827, 20260828]) as s), x as (select unnest(['development', 'test']) as x),
 r as (select s as training_seed, x as split, b as behavior_step, e as target_step, case when b = e then 'identity' when b = 0 then 'fixed' else 'rolling' end as purpose from b, e, s, x where b = e or (b = 0 and e > 0) or (b > 0 and e > b and e <= b + 100))""", """select cast(training_seed as bigint) as training_seed, split, cast(behavior_step as bigint) as behavior_step, cast(target_step as bigint) as target_step, purpose, 'v1' as protocol_version,
   sha256('{"behavior_step":' || behavior_step || ',"protocol_version":"v1","purpose":"' || purpose || '","split":"' || split || '","target_step":' || target_step || ',"training_seed":' || training_seed || '}') as pair_id from r"""),
-    "next_pair": """select cast(20260826 as bigint) as training_seed, 'development' as split, cast(200 as bigint) as behavior_step, cast(200 as bigint) as target_step, 'identity' as purpose, 'v1' as protocol_version,
-  sha256('{"behavior_step":200,"protocol_version":"v1","purpose":"identity","split":"development","target_step":200,"training_seed":20260826}') as pair_id, cast(3 as bigint) as n_source, cast(2 as bigint) as n_output""",
+    "next_pair": w(FIXTURE, """n as (select split, (count(distinct prompt_id) + 9) // 10 as shards from fx_trajectories group by 1),
+p as (select distinct training_seed, split, behavior_step, target_step, purpose, shards * 2 as n_source, (shards - (shards + 4) // 5) * 2 as n_output from fx_pairs cross join n where behavior_step >= 200)""", """select training_seed, split, behavior_step, target_step, purpose, 'v1' as protocol_version,
+  sha256('{"behavior_step":' || behavior_step || ',"protocol_version":"v1","purpose":"' || purpose || '","split":"' || split || '","target_step":' || target_step || ',"training_seed":' || training_seed || '}') as pair_id, n_source, n_output
+  from p order by case purpose when 'identity' then 0 when 'fixed' then 1 else 2 end, training_seed, split, behavior_step, target_step limit 1"""),
     "representable": """with r as (select cast(n_nationkey as bigint) as i, case when n_nationkey = 0 then null else (n_nationkey - 12) * 75e0 end as z from nation)
 select i, case when z is null then 'ok' when z > 709.782712893384 then 'nonfinite_estimator' when z < -744.4400719213812 then 'ok_underflow_to_zero' else 'ok' end as status, case when z is null or z < -700 then 0e0 when z < 6 then round(exp(z), 6) end as value from r""",
 }
