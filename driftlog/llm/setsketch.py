@@ -13,7 +13,7 @@ sets drawn by hashes, which settles groups that hang together with a few compari
 hold unlike components even so, sets of unlike components are compared, those outside the largest
 component with all others, in blocks of bounded size. A pair is put up for
 verification by its first common band alone, unless its likelihood says that it is too unlike; all pairs that
-are put up are verified on the whole sets. As links between sets of one component do not change the components, none is lost.
+are put up are verified on the whole sets, where both blocks are; only a spanning forest leaves the task. As links between sets of one component do not change the components, none is lost.
 
 Words are longest runs without space, tab, LF, VT, FF, CR. With fewer words than ``k`` the whole sequence is the one
 shingle. Null texts and texts without words have empty sets and are linked with nothing. Every row is a
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.llm.jaccard_join import _groups
+from driftlog.llm.jaccard_join import _groups, _shared
 from driftlog.llm.staging import Tables, semi_join, staged
 from driftlog.llm.textblocks import U64, blocks, flat, mix, release, shingles, ship, span_hashes, words
 
@@ -175,35 +175,74 @@ def _likely(similarity: float):
     return run
 
 
+BUCKET = ["key", "block_a", "block_b"]
+
+
+def _owned(batch: pa.RecordBatch, a: int, b: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows from a to b, a bucket's block pair, of unlike components that share no lower band and are not too unlike."""
+    block, lower, upper, band, ids, parts, n = (np.asarray(batch.column(c))[a:b] for c in ("block", "block_a", "block_b", "band", "set_id", "component", "n"))
+    reg = _matrix(batch.column("registers").slice(a, b - a))
+    one, two = np.flatnonzero(block == lower[0]), np.flatnonzero(block == upper[0])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(one), 64):
+        x, y = np.nonzero(parts[one[lo : lo + 64], None] != parts[two])
+        x, y = one[lo : lo + 64][x], two[y]
+        if lower[0] == upper[0]:  # a block meets itself
+            x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
+        for at in range(0, len(x), 16384):
+            i, j = x[at : at + 16384], y[at : at + 16384]
+            same = (reg[i, : BANDS * WIDTH] == reg[j, : BANDS * WIDTH]).reshape(len(i), BANDS, WIDTH).all(axis=2)
+            first = same.argmax(axis=1) == band[0]
+            i, j = i[first], j[first]
+            if len(i):
+                keep = open_pairs((reg[i] > reg[j]).sum(axis=1), (reg[i] < reg[j]).sum(axis=1), n[i], n[j], similarity)
+                found.append((i[keep], j[keep]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (empty, empty)
+
+
 def _across(similarity: float):
-    """Pairs of sets of unlike components in a bucket's block pair that share no lower band and are not too unlike."""
+    """The rows that are in a pair to be verified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches, BUCKET):
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                x, y = _owned(batch, a, b, similarity)
+                keep[a + x] = keep[a + y] = True
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+        release()
+
+    return run
+
+
+def _linked(similarity: float):
+    """A spanning forest of the links of each bucket's block pair, pairs verified on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in _groups(batches, ["key", "block_a", "block_b"]):
-            block, lower, upper, band, ids, parts, n = (np.asarray(batch.column(c)) for c in ("block", "block_a", "block_b", "band", "set_id", "component", "n"))
-            reg = _matrix(batch.column("registers"))
-            out_a, out_b = [], []
+        for batch, starts in _groups(batches, BUCKET):
+            ids, raw = np.asarray(batch.column("set_id")), batch.column("shingles")
+            out: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                one, two = (np.flatnonzero(block[a:b] == x[a]) + a for x in (lower, upper))
-                alone = lower[a] == upper[a]  # a block meets itself
-                for lo in range(0, len(one), 64):
-                    x, y = np.nonzero(parts[one[lo : lo + 64], None] != parts[two])
-                    x, y = one[lo : lo + 64][x], two[y]
-                    if alone:
-                        x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
-                    for at in range(0, len(x), 16384):
-                        i, j = x[at : at + 16384], y[at : at + 16384]
-                        same = (reg[i, : BANDS * WIDTH] == reg[j, : BANDS * WIDTH]).reshape(len(i), BANDS, WIDTH).all(axis=2)
-                        first = same.argmax(axis=1) == band[a]
-                        i, j = i[first], j[first]
-                        if not len(i):
-                            continue
-                        keep = open_pairs((reg[i] > reg[j]).sum(axis=1), (reg[i] < reg[j]).sum(axis=1), n[i], n[j], similarity)
-                        out_a.append(ids[i[keep]])
-                        out_b.append(ids[j[keep]])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                x, y = _owned(batch, a, b, similarity)
+                if not len(x):
+                    continue
+                sets = [np.frombuffer(raw[i].as_buffer(), U64) for i in range(a, b)]
+                sizes, shared = np.array([len(s) for s in sets]), _shared(sets, x, y)
+                # shared / union >= similarity, in integers
+                hit = shared * 1000 >= round(similarity * 1000) * (sizes[x] + sizes[y] - shared)
+                root = list(range(b - a))
+                for i, j in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
+                    u, v = i, j
+                    while root[u] != u:
+                        root[u] = u = root[root[u]]
+                    while root[v] != v:
+                        root[v] = v = root[root[v]]
+                    if u != v:  # a link that joins two trees
+                        root[max(u, v)] = min(u, v)
+                        out.append((int(ids[a + i]), int(ids[a + j])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], ["a", "b"])
         release()
 
     return run
@@ -246,17 +285,18 @@ def _join(docs: DataFrame, table: Tables, k: int, similarity: float, block: int)
     sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("first")).where("size > 1")
     bands = table(bands.join(sizes.select("key", "first"), "key"), "bands")
 
-    whole: list[DataFrame] = []  # shingle sets that pairs need, found once
+    def shingles_of(ids: DataFrame, name: str) -> DataFrame:
+        """``(set_id, shingles)`` of some sets."""
+        need = table(ids.distinct().join(sets.select("set_id", "row", "lo", "hi"), "set_id"), name + "-sets")
+        found = semi_join(texts, need.select("row"), "row").select("text").mapInArrow(_hashes(k), "lo long, hi long, shingles binary")
+        # rows may be alike in id and text
+        return table(need.join(found, ["lo", "hi"]).groupBy("set_id").agg(F.first("shingles").alias("shingles")), name + "-shingles")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = table(pairs, name)
-        need = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct().join(sets.select("set_id", "row", "lo", "hi"), "set_id")
-        need = table(need, name + "-sets")
-        found = semi_join(texts, need.select("row"), "row").select("text").mapInArrow(_hashes(k), "lo long, hi long, shingles binary")
-        found = need.join(found, ["lo", "hi"]).groupBy("set_id").agg(F.first("shingles").alias("shingles"))  # rows may be alike in id and text
-        whole.append(table(found, name + "-shingles"))
-        both = pairs.join(whole[-1].select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        both = both.join(whole[-1].select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+        whole = shingles_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))), name)
+        both = pairs.join(whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = both.join(whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(similarity), "a long, b long"), name + "-links")
 
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("n").alias(f"n_{s}"))
@@ -288,16 +328,16 @@ def _join(docs: DataFrame, table: Tables, k: int, similarity: float, block: int)
     by = placed.join(keys, "key").groupBy("key", "component").agg(F.count("*").alias("size"))
     by = by.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("top"))
     n_rest = F.ceil((F.col("size") - F.col("top.size")) / F.lit(block)).cast("int")  # blocks of the sets outside the largest component
-    by = by.select("key", F.col("top.component").alias("top"), n_rest.alias("n_rest"), F.ceil(F.col("top.size") / F.lit(8 * block)).cast("int").alias("n_top"))
+    by = by.select("key", F.col("top.component").alias("top"), n_rest.alias("n_rest"), F.ceil(F.col("top.size") / F.lit(block)).cast("int").alias("n_top"))
     placed = placed.join(by, "key")
     rest = F.col("component") != F.col("top")
     place = F.when(rest, F.pmod(F.xxhash64("set_id"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("set_id"), "n_top"))
     placed = placed.withColumn("block", place.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("n_rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest")) - 1)))
     placed = placed.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
-    keys = ["key", "block_a", "block_b"]
-    placed = placed.join(sets.select("set_id", "n", "registers"), "set_id").select(*keys, "block", "band", "set_id", "component", "n", "registers")
-    across = placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(similarity), "a long, b long")
-    more = verified(across, "across")
+    placed = placed.join(sets.select("set_id", "n", "registers"), "set_id").select(*BUCKET, "block", "band", "set_id", "component", "n", "registers")
+    near = table(placed.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(_across(similarity), placed.schema), "across")
+    exact = near.join(shingles_of(near.select("set_id"), "across"), "set_id")
+    more = table(exact.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(_linked(similarity), "a long, b long"), "across-links")
 
     classes = components(links.union(more), table=table)
     sets = sets.select("set_id", "lo", "hi", "least").join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
