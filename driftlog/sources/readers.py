@@ -238,13 +238,19 @@ def shard_breaks(spark: SparkSession, manifests: DataFrame, folder: str, schema:
     """``(rule, row)`` of shards whose file is not there or has another hash or number of rows, and of files or units claimed twice.
 
     ``data_file`` is a path below ``folder``, or a whole one; shards may be in folders of their own with files named alike.
+    A path that is none, as its root was another, is found by its last name if one file and one shard alone have that.
     """
     from driftlog.operators.checks import broken, duplicates
 
     files = file_hashes(spark, folder, glob="*.parquet").select(_below(spark, folder, F.col("path")).alias("_name"), F.col("sha256").alias("_sha256"))
     decoded = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "[+]", "%2B"))
     counts = _shards(spark, folder, schema).groupBy(_below(spark, folder, decoded).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    named = manifests.withColumn("_name", _below(spark, folder, F.col("data_file")))
+    last = F.element_at(F.split("_name", "/"), -1)
+    alone = lambda df: df.groupBy("_last").agg(F.max("_name").alias("_other"), F.count(F.lit(1)).alias("_alike")).where("_alike = 1")
+    named = manifests.withColumn("_name", _below(spark, folder, F.col("data_file"))).withColumn("_last", last)
+    lost = named.select("_name", "_last").join(files, "_name", "left_anti")
+    found = alone(lost).select("_last", F.col("_other").alias("_name")).join(alone(files.withColumn("_last", last)).select("_last", "_other"), "_last")
+    named = named.drop("_last").join(found.select("_name", "_other"), "_name", "left").withColumn("_name", F.coalesce("_other", "_name")).drop("_other")
     both = named.join(files, "_name", "left").join(counts, "_name", "left")
     own = broken(both, {"missing": F.col("_sha256").isNull(), "sha256": F.col("_sha256") != F.col("sha256"), "row_count": F.col("_sha256").isNotNull() & (F.coalesce("_n", F.lit(0)) != F.col("row_count"))}, ["data_file", "unit"])
     twice = [duplicates(named.withColumn("data_file", F.col("_name")), [c]).select(F.lit(f"duplicate_{c}").alias("rule"), F.to_json(F.struct(c)).alias("row")) for c in ("data_file", "unit")]
