@@ -37,9 +37,11 @@ def _stats(fx: Fixture) -> DataFrame:
 
 
 def _results(fx: Fixture) -> DataFrame:
-    """Results of all pairs: a row a pair of the design and estimator, made once as several branches of a query read them."""
-    with Scratch(fx.spark, "pair-results") as scratch:
-        return scratch.result(tables.pair_results(fx.rescores, fx.online))
+    """Results of all pairs: a row a pair of the design and estimator, made once for a query, as several branches of it read them."""
+    if "_results" not in fx.__dict__:  # as cached properties keep theirs
+        with Scratch(fx.spark, "pair-results") as scratch:
+            fx.__dict__["_results"] = scratch.result(tables.pair_results(fx.rescores, fx.online))
+    return fx.__dict__["_results"]
 
 
 def _cases(fx: Fixture) -> DataFrame:
