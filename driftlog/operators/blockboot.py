@@ -6,6 +6,10 @@ each node the draws of all replicates are split by binomials, whose generator is
 every block of leaves finds its counts by itself, walking down from the root, and all blocks agree. Within a
 leaf the draws are positions from hashes of (seed, leaf, replicate, draw).
 
+With ``leaf=None`` a pair of any size is one leaf, which plain SQL can repeat; with ``digests`` its draws come from
+the MD5 of (pair, replicate, draw), as in ``bootstrap.portable``. Such a leaf is cut into blocks of ``BLOCK`` prompts. Each
+block makes all the pair's draws and keeps those of its own prompts, so time grows with the number of a pair's blocks.
+
 Sums over what is drawn are kept as integers by exponent, in four parts of 22 bits, so they are exact
 and meet by plain sums: the result is the same for any number of blocks, tasks and partitions, and each estimate is
 rounded once. Weights are taken relative to the pair's greatest before they are summed; below 2^-1074 of it they are 0.
@@ -26,13 +30,108 @@ from driftlog.operators.selection import numbered, on_keys
 from driftlog.sources.scratch import Scratch
 
 LEAF = 1024
+#: Prompts of a task where a leaf is as large as its pair.
+BLOCK = 1 << 18
+#: Draws made at once, and counts of (replicate, prompt) held at once.
+DRAWS, CELLS = 1 << 20, 1 << 18
 #: Exponents of a bin, bits of a part and parts of an integer: 53 bits of a double and up to 31 of shift.
 BIN, PART, PARTS = 32, 22, 4
 
 
-def _sampler(reps: int, streams: list[str], leaf_size: int, keys: list[str], schema_names: list[str]):
+def _digests():
+    """The first 32 bits of the MD5 of ``prefix``, ``replicate|`` and ``draw`` in decimal, for whole arrays of draws."""
+    import math
+
+    tile = 1 << 16  # small enough for the cache, large beside the cost of a call
+    turns = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+    sines = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+    start = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+    def word(np, fixed, changing, n):
+        """``fixed``: the message's bytes, 0 where one changes; ``changing``: arrays by word, to be added."""
+        tail = fixed + b"\x80" + bytes(-(len(fixed) + 9) % 64) + (8 * len(fixed)).to_bytes(8, "little")
+        state = [np.full(n, x, np.uint32) for x in start]
+        f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+        for block in range(0, len(tail), 64):
+            last = block + 64 == len(tail)
+            a, b, c, d = state if last else [x.copy() for x in state]
+            first = state[0].copy() if last else None
+            for i in range(61 if last else 64):  # the first word is whole after step 60
+                kind = i // 16
+                if kind == 0:
+                    np.bitwise_xor(c, d, out=f)
+                    f &= b
+                    f ^= d
+                    k = i
+                elif kind == 1:
+                    np.bitwise_xor(b, c, out=f)
+                    f &= d
+                    f ^= c
+                    k = (5 * i + 1) % 16
+                elif kind == 2:
+                    np.bitwise_xor(b, c, out=f)
+                    f ^= d
+                    k = (3 * i + 5) % 16
+                else:
+                    np.invert(d, out=f)
+                    f |= b
+                    f ^= c
+                    k = 7 * i % 16
+                at = block + 4 * k
+                a += f
+                a += np.uint32((sines[i] + int.from_bytes(tail[at : at + 4], "little")) & 0xFFFFFFFF)
+                if at // 4 in changing:
+                    a += changing[at // 4]
+                turn = turns[kind][i % 4]
+                np.right_shift(a, np.uint32(32 - turn), out=t)
+                a <<= np.uint32(turn)
+                a |= t
+                a += b
+                a, b, c, d = d, a, b, c
+            if last:
+                return (first + b).byteswap()
+            for x, y in zip(state, (a, b, c, d), strict=True):
+                x += y
+
+    def spans(lo, hi):
+        """Ranges of numbers with equally many digits."""
+        while lo < hi:
+            digits = len(str(lo))
+            yield lo, min(hi, 10**digits), digits
+            lo = 10**digits
+
+    def run(np, prefix, replicates, draws):
+        """By replicate and draw, of two ranges."""
+        out = np.empty((replicates[1] - replicates[0], draws[1] - draws[0]), np.uint32)
+        for r0, r1, r_digits in spans(*replicates):
+            for i0, i1, i_digits in spans(*draws):
+                fixed = prefix + bytes(r_digits) + b"|" + bytes(i_digits)
+                wide = min(i1 - i0, tile)
+                tall = max(1, tile // wide)
+                for r in range(r0, r1, tall):
+                    for i in range(i0, i1, wide):
+                        rows, columns = np.arange(r, min(r + tall, r1), dtype=np.uint32), np.arange(i, min(i + wide, i1), dtype=np.uint32)
+                        changing = {}
+                        for x, digits, end, spread in ((rows, r_digits, len(prefix) + r_digits, lambda v: np.repeat(v, len(columns))), (columns, i_digits, len(fixed), lambda v: np.tile(v, len(rows)))):  # noqa: B023
+                            words = {}
+                            for k in range(1, digits + 1):
+                                x, digit = np.divmod(x, np.uint32(10))
+                                at = end - k
+                                words[at // 4] = words.get(at // 4, np.uint32(0)) + ((digit + np.uint32(48)) << np.uint32(at % 4 * 8))
+                            for w, v in words.items():
+                                changing[w] = changing[w] + spread(v) if w in changing else spread(v)
+                        made = word(np, fixed, changing, len(rows) * len(columns))
+                        out[r - replicates[0] : r - replicates[0] + len(rows), i - draws[0] : i - draws[0] + len(columns)] = made.reshape(len(rows), len(columns))
+        return out
+
+    return run
+
+
+def _sampler(reps: int, streams: list[str], leaf: int | None, digests: bool, keys: list[str], schema_names: list[str]):
     """The function of a block, free of this module so that workers need not have it."""
-    bin_width, part_bits, n_parts = BIN, PART, PARTS
+    bin_width, part_bits, n_parts, most_draws, most_cells, one_leaf = BIN, PART, PARTS, DRAWS, CELLS, leaf is None
+    digest = _digests()
+    used = [(0, 1, 2)] if len(streams) == 1 else [(0, 2), (1, 2)]
 
     def run(table):
         import numpy as np
@@ -65,6 +164,7 @@ def _sampler(reps: int, streams: list[str], leaf_size: int, keys: list[str], sch
 
         table = table.sort_by("_rank")
         n = table.column("_n")[0].as_py()
+        leaf_size = n if one_leaf else leaf
         seeds = [table.column(f"_seed{i}")[0].as_py() for i in range(len(streams))]
         key = [table.column(k)[0].as_py() for k in keys]
         rank = table.column("_rank").to_numpy()
@@ -72,32 +172,57 @@ def _sampler(reps: int, streams: list[str], leaf_size: int, keys: list[str], sch
         bad = [~np.isfinite(c) for c in columns]
         values = [limbs(np.where(b, 0.0, np.abs(c))) for c, b in zip(columns, bad, strict=True)]
         signs = [np.where(c < 0, -1.0, 1.0) for c in columns]
-        first, last = int(rank[0]) // leaf_size, int(rank[-1]) // leaf_size
+        begin, end = int(rank[0]), int(rank[-1]) + 1  # a block's ranks follow each other
+        first, last = begin // leaf_size, (end - 1) // leaf_size
         leaves = -(-n // leaf_size)
         sums: dict[tuple[int, int, int], np.ndarray] = {}  # by (stream, column, bin): replicates by parts
 
-        def add(stream, leaf, counts):
-            lo = leaf * leaf_size
+        def held(stream, lo, hi):
+            """What to add up over the prompts from lo to hi: (column, bin, part), and a row for each prompt."""
+            names, made = [], []
+            for c in used[stream]:
+                which, parts = values[c][0][lo - begin : hi - begin], values[c][1][:, lo - begin : hi - begin] * signs[c][lo - begin : hi - begin]
+                for w in np.unique(which[(parts != 0).any(axis=0)]).tolist():
+                    for p, part in enumerate(np.where(which == w, parts, 0.0)):
+                        if part.any():
+                            names.append((c, w, p))
+                            made.append(part)
+                if bad[c][lo - begin : hi - begin].any():
+                    names.append((c, -1, 0))
+                    made.append(bad[c][lo - begin : hi - begin].astype(np.float64))
+            return names, np.array(made).reshape(len(made), hi - lo).T
+
+        def add(stream, number, counts):
+            lo = number * leaf_size
             size = min(leaf_size, n - lo)
-            at = np.searchsorted(rank, lo)
-            base = mixed(np.array([(seeds[stream] + leaf * 0x9E3779B1) & 0xFFFFFFFF], np.uint32))
-            r = np.arange(reps, dtype=np.uint32)
-            a, b = (mixed(base ^ (r * np.uint32(2) + np.uint32(k)) * np.uint32(0x9E3779B1)) for k in (0, 1))
-            for begin in range(0, reps, 256):
-                some = counts[begin : begin + 256]
-                of = np.repeat(np.arange(len(some)), some)
-                i = (np.arange(len(of)) - np.repeat(np.cumsum(some) - some, some)).astype(np.uint32)
-                draw = mixed(mixed(a[begin + of] ^ i) + b[begin + of])
-                position = (draw.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)
-                drawn = np.bincount(of * size + position.astype(np.int64), minlength=len(some) * size).reshape(len(some), size).astype(np.float64)
-                for c, (which, parts) in enumerate(values):
-                    here, own = which[at : at + size], parts[:, at : at + size] * signs[c][at : at + size]
-                    for w in np.unique(here[(own != 0).any(axis=0)]).tolist():
-                        total = sums.setdefault((stream, c, w), np.zeros((reps, n_parts), np.int64))
-                        total[begin : begin + 256] += (drawn @ np.where(here == w, own, 0.0).T).astype(np.int64)  # exact: below 2^53
-                    if bad[c][at : at + size].any():
-                        total = sums.setdefault((stream, c, -1), np.zeros((reps, n_parts), np.int64))
-                        total[begin : begin + 256, 0] += (drawn @ bad[c][at : at + size]).astype(np.int64)
+            low, high = max(lo, begin), min(lo + size, end)
+            width = high - low
+            names, rows = held(stream, low, high)
+            base = mixed(np.array([(seeds[stream] + number * 0x9E3779B1) & 0xFFFFFFFF], np.uint32)) if not digests else None
+            most = max(int(counts.max()), 1)
+            some = max(1, min(256, most_cells // width, most_draws // most))
+            for r0 in range(0, reps, some):
+                r1 = min(r0 + some, reps)
+                drawn = np.zeros((r1 - r0) * width, np.int64)
+                for i0 in range(0, most, most_draws):
+                    here = np.clip(counts[r0:r1] - i0, 0, most_draws)
+                    of = np.repeat(np.arange(r1 - r0), here)
+                    if digests:
+                        position = (digest(np, seeds[stream].encode(), (r0, r1), (i0, min(i0 + most_draws, most))).reshape(-1) % np.uint32(n)).astype(np.int64)
+                    else:
+                        r = np.arange(r0, r1, dtype=np.uint32)
+                        a, b = (mixed(base ^ (r * np.uint32(2) + np.uint32(k)) * np.uint32(0x9E3779B1)) for k in (0, 1))
+                        i = (np.arange(len(of)) - np.repeat(np.cumsum(here) - here, here) + i0).astype(np.uint32)
+                        draw = mixed(mixed(a[of] ^ i) + b[of])
+                        position = ((draw.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+                    at = position - (low - lo)
+                    if width < size:
+                        own = (at >= 0) & (at < width)
+                        of, at = of[own], at[own]
+                    drawn += np.bincount(of * width + at, minlength=len(drawn))
+                got = (drawn.reshape(r1 - r0, width).astype(np.float64) @ rows).astype(np.int64)  # exact: below 2^53
+                for j, (c, w, p) in enumerate(names):
+                    sums.setdefault((stream, c, w), np.zeros((reps, n_parts), np.int64))[r0:r1, p] += got[:, j]
 
         def walk(stream, lo, hi, counts):
             if hi <= first or lo > last:
@@ -131,24 +256,34 @@ def _total(bins: list[dict], names: list[str], bin_width: int, part_bits: int) -
     return whole / (1 << 1075)  # a double is its integer times 2^(exponent - 1075)
 
 
-def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str] = PAIR, paired: bool = True, leaves: int = 32, leaf: int = LEAF) -> DataFrame:
+def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str] = PAIR, paired: bool = True, leaves: int = 32, leaf: int | None = LEAF, digests: bool = False, block: int = BLOCK) -> DataFrame:
     """``(pair, estimator, replicate, ope_estimate, online_reference, signed_error, absolute_error, estimator_status)``.
 
-    ``leaves``: how many leaves a task takes; the result does not depend on it. Runs jobs, as ``numbered`` does.
+    ``leaves``: how many leaves a task takes, or, where ``leaf`` is None, ``block``: how many prompts; the result does not
+    depend on them. Runs jobs, as ``numbered`` does.
     """
+    if digests and leaf is not None:
+        raise ValueError("digests number the draws of whole pairs: leaf must be None")
     streams = [""] if paired else ["is", "prompt_wis"]
     prompts = scratch(matched.select(*pair, "prompt_id", "pwis", "log_is", "prompt_accuracy"), "prompts")
     tops = scratch(prompts.groupBy(*pair).agg(F.max(finite(F.col("log_is"))).alias("_top"), F.count(F.lit(1)).alias("n_prompts")), "tops")
     rows = on_keys(numbered(prompts, pair, ["prompt_id"], scratch), tops.drop("n_prompts"), pair)
-    name = F.concat_ws("-", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pair))
-    seeds = {f"_seed{i}": F.conv(F.substring(F.md5(F.concat_ws("|", name, F.lit(s))), 1, 8), 16, 10).cast("bigint") for i, s in enumerate(streams)}
-    heavy = F.when(F.isnan("log_is") | (F.col("log_is") == float("inf")), F.lit(float("nan"))).otherwise(F.exp(F.col("log_is") - F.col("_top")))
-    rows = rows.withColumns({"_weight": F.coalesce(heavy, F.lit(0.0)), "_block": F.floor(F.col("_rank") / (leaf * leaves)).cast("bigint"), **seeds})
+    block = block if leaf is None else leaf * leaves
+    if digests:
+        name = F.concat_ws("-", *(F.col(c).cast("string") for c in pair))
+        seeds = {f"_seed{i}": F.when(F.col("_rank") % block == 0, F.concat(name, F.lit(f"|{s}|" if s else "|"))) for i, s in enumerate(streams)}
+    else:
+        name = F.concat_ws("-", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pair))
+        seeds = {f"_seed{i}": F.conv(F.substring(F.md5(F.concat_ws("|", name, F.lit(s))), 1, 8), 16, 10).cast("bigint") for i, s in enumerate(streams)}
+    bound = F.lit(float("inf") if paired or not digests else LOG_GREATEST)  # what is averaged outside logarithms must be a double itself
+    heavy = F.when(F.isnan("log_is") | (F.col("log_is") == float("inf")) | (F.col("log_is") > bound), F.lit(float("nan"))).otherwise(F.exp(F.col("log_is") - F.col("_top")))
+    rows = rows.withColumns({"_weight": F.coalesce(heavy, F.lit(0.0)), "_block": F.floor(F.col("_rank") / block).cast("bigint"), **seeds})
     parts = [f"p{k}" for k in range(PARTS)]
     names = [*pair, "stream", "column", "bin", "replicate", *parts]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matched.select(*pair).schema) + "".join(f", `{c}` bigint" for c in names[len(pair) :])
     rows = rows.select(*pair, "_block", "_rank", "_n", "_weight", F.coalesce("pwis", F.lit(float("nan"))).alias("pwis"), F.coalesce("prompt_accuracy", F.lit(float("nan"))).alias("prompt_accuracy"), *seeds)
-    drawn = rows.groupBy(*pair, "_block").applyInArrow(_sampler(reps, streams, leaf, pair, names), schema)  # leaves * leaf prompts at most
+    tasks = max(1, int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # blocks are small and slow: none are put together
+    drawn = rows.repartition(tasks, *pair, "_block").groupBy(*pair, "_block").applyInArrow(_sampler(reps, streams, leaf, digests, pair, names), schema)  # a block's prompts at most
     sums = drawn.groupBy(*pair, "stream", "column", "bin", "replicate").agg(*(F.sum(p).alias(p) for p in parts))
     bins = F.struct("bin", *parts)
     each = sums.groupBy(*pair, "stream", "replicate").agg(*(F.collect_list(F.when(F.col("column") == c, bins)).alias(f"c{c}") for c in range(3)))  # some bins
@@ -170,7 +305,8 @@ def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str]
     made = each.mapInArrow(finish, schema)
     n = F.col("n_prompts").cast("double")
     log_mean = F.col("_top") + F.ln("s0") - F.ln(n)
-    linear = F.when(F.col("s0") == 0, F.lit(0.0)).when(log_mean <= LOG_GREATEST, F.exp(log_mean))
+    highest = log_mean if paired or not digests else log_mean + F.ln(n)
+    linear = F.when(F.col("s0") == 0, F.lit(0.0)).when(highest <= LOG_GREATEST, F.exp(log_mean))
     both = [("is", linear), ("prompt_wis", F.col("s1") / n)]
     use = both if paired else [(k, F.when(F.col("stream") == i, v)) for i, (k, v) in enumerate(both)]
     rows = made.select(*pair, "stream", "replicate", F.inline(F.array(*(F.struct(F.lit(k).alias("estimator"), v.alias("ope_estimate"), (F.col("s2") / n).alias("online_reference")) for k, v in use))))

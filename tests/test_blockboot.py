@@ -126,3 +126,18 @@ def test_a_large_pair_is_cut(spark):
         got = out.groupBy("estimator").agg(F.avg("ope_estimate").alias("m"), F.stddev("ope_estimate").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     m = {r.estimator: r for r in got}
     assert m["prompt_wis"].n == 20 and abs(m["prompt_wis"].m - 0.495) < 0.005 and 0.0006 < m["prompt_wis"].s < 0.0025
+
+
+@pytest.mark.parametrize("paired", [True])
+def test_a_pair_of_several_leaves_draws_as_the_sql(spark, paired):
+    """More prompts than a leaf, cut into blocks: the draws are those of a pair that is one leaf, as the SQL makes them."""
+    data = rows(1500, "w") + rows(40, "v", 3)
+    base = made(spark, data, 12, leaf=None, paired=paired)
+    for block in (64, 1000):
+        assert made(spark, data, 12, leaf=None, block=block, paired=paired) == base
+    for name in "wv":
+        some = [r for r in data if r[0] == name]
+        for k, stream in enumerate(["", ""] if paired else ["is", "prompt_wis"]):
+            for r, (linear, pwis, online) in plain(some, 12, len(some), stream).items():
+                got = base[name, ("is", "prompt_wis")[k], r]
+                assert got[1] == online and got[0] == (pytest.approx(linear, rel=1e-13) if k == 0 else pwis)
