@@ -256,10 +256,10 @@ def _total(bins: list[dict], names: list[str], bin_width: int, part_bits: int) -
     return whole / (1 << 1075)  # a double is its integer times 2^(exponent - 1075)
 
 
-def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str] = PAIR, paired: bool = True, leaves: int = 32, leaf: int | None = LEAF, digests: bool = False, block: int = BLOCK) -> DataFrame:
+def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str] = PAIR, paired: bool = True, leaves: int = 32, leaf: int | None = LEAF, digests: bool = False, block: int | None = None) -> DataFrame:
     """``(pair, estimator, replicate, ope_estimate, online_reference, signed_error, absolute_error, estimator_status)``.
 
-    ``leaves``: how many leaves a task takes, or, where ``leaf`` is None, ``block``: how many prompts; the result does not
+    ``leaves``: how many leaves a task takes, or, where ``leaf`` is None, ``block``: how many prompts (``BLOCK``); the result does not
     depend on them. Runs jobs, as ``numbered`` does.
     """
     if digests and leaf is not None:
@@ -268,7 +268,7 @@ def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str]
     prompts = scratch(matched.select(*pair, "prompt_id", "pwis", "log_is", "prompt_accuracy"), "prompts")
     tops = scratch(prompts.groupBy(*pair).agg(F.max(finite(F.col("log_is"))).alias("_top"), F.count(F.lit(1)).alias("n_prompts")), "tops")
     rows = on_keys(numbered(prompts, pair, ["prompt_id"], scratch), tops.drop("n_prompts"), pair)
-    block = block if leaf is None else leaf * leaves
+    block = (block or BLOCK) if leaf is None else leaf * leaves
     if digests:
         name = F.concat_ws("-", *(F.col(c).cast("string") for c in pair))
         seeds = {f"_seed{i}": F.when(F.col("_rank") % block == 0, F.concat(name, F.lit(f"|{s}|" if s else "|"))) for i, s in enumerate(streams)}

@@ -141,3 +141,29 @@ def test_a_pair_of_several_leaves_draws_as_the_sql(spark, paired):
             for r, (linear, pwis, online) in plain(some, 12, len(some), stream).items():
                 got = base[name, ("is", "prompt_wis")[k], r]
                 assert got[1] == online and got[0] == (pytest.approx(linear, rel=1e-13) if k == 0 else pwis)
+
+
+@pytest.mark.parametrize("paired", [True])
+def test_portable_draws_by_digests_in_blocks(spark, monkeypatch, paired):
+    """Draw by draw with hashlib; the pair is cut into blocks and is in no row."""
+    import hashlib
+
+    from driftlog.operators import bootstrap
+
+    monkeypatch.setattr(blockboot, "BLOCK", 50)
+    data = sorted(rows(120, "d"), key=lambda r: r[1])
+    got = {(r.estimator, r.replicate): r for r in bootstrap.portable(spark.createDataFrame(data, SCHEMA).repartition(3), 12, ["split"], paired).collect()}
+    assert len(got) == 24
+    for (estimator, r), x in got.items():
+        seed = f"d|{r}|" if paired else f"d|{estimator}|{r}|"
+        drawn = [data[int(hashlib.md5(f"{seed}{i}".encode()).hexdigest()[:8], 16) % 120] for i in range(120)]
+        value = [y[2] if estimator == "prompt_wis" else 0.0 if y[3] is None else math.exp(y[3]) for y in drawn]
+        assert x.ope_estimate == pytest.approx(math.fsum(value) / 120, rel=1e-12) and x.online_reference == pytest.approx(math.fsum(y[4] for y in drawn) / 120, rel=1e-14)
+
+
+def test_digests_of_long_names():
+    import hashlib
+
+    for prefix in (b"x|", b"y" * 50 + b"|", b"z" * 130 + b"|"):
+        got = blockboot._digests()(np, prefix, (8, 103), (0, 1003))
+        assert all(got[r - 8, i] == int(hashlib.md5(prefix + f"{r}|{i}".encode()).hexdigest()[:8], 16) for r in (8, 10, 99, 102) for i in (0, 9, 10, 1002))
