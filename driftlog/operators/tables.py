@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlog.operators import bootstrap, overlap
 from driftlog.operators.overlap import PAIR
+from driftlog.sources.scratch import Scratch
 
 DIAGNOSTICS = ["median_prompt_ess", "median_prompt_relative_ess", "p10_prompt_relative_ess", "mean_d2", "median_d2", "mean_max_normalized_weight", "p90_max_normalized_weight", "tokenwise_kl_proxy", "mean_abs_log_weight", "mean_log_weight", "sd_log_weight", "mean_completion_length", "truncation_rate"]
 
@@ -65,13 +66,14 @@ def sample_size_table(rows: DataFrame, samples: DataFrame, most: int, sizes: tup
     size = F.explode(F.array(*(F.lit(k).cast("bigint") for k in sizes)))
     spread = rows.select("*", size.alias("_k")).where("sample_index < _k").withColumnRenamed("_k", "K_size")
     pair = [*PAIR, "K_size"]
-    stats = overlap.prompt_stats(spread, pair).where("K = K_size")
-    accuracy = overlap.online_prompt_accuracy(samples)
-    out = overlap.with_errors(overlap.pair_summary(stats, pair), overlap.online_reference(accuracy))
-    if reps:
-        ci = bootstrap.intervals(bootstrap.portable(overlap.matched(stats, accuracy), reps, pair), pair)
-        out = out.join(ci.select(*pair, "estimator", (F.col("ope_ci_high") - F.col("ope_ci_low")).alias("bootstrap_ci_width"), "bootstrap_nonfinite_fraction"), [*pair, "estimator"])
-    return out.drop("K").withColumnRenamed("K_size", "K").select(*keys, "estimator", "estimate", "estimate_status", "online_reference", "absolute_error", "median_prompt_relative_ess", "p10_prompt_relative_ess", *(["bootstrap_ci_width", "bootstrap_nonfinite_fraction"] if reps else []), "n_prompts")
+    with Scratch(rows.sparkSession, "sample-size") as scratch:
+        stats = scratch(overlap.prompt_stats(spread, pair).where("K = K_size"), "stats")
+        accuracy = scratch(overlap.online_prompt_accuracy(samples), "accuracy")
+        out = overlap.with_errors(overlap.pair_summary(stats, pair), overlap.online_reference(accuracy))
+        if reps:
+            ci = bootstrap.intervals(bootstrap.portable(overlap.matched(stats, accuracy), reps, pair), pair)
+            out = out.join(ci.select(*pair, "estimator", (F.col("ope_ci_high") - F.col("ope_ci_low")).alias("bootstrap_ci_width"), "bootstrap_nonfinite_fraction"), [*pair, "estimator"])
+        return scratch.result(out.drop("K").withColumnRenamed("K_size", "K").select(*keys, "estimator", "estimate", "estimate_status", "online_reference", "absolute_error", "median_prompt_relative_ess", "p10_prompt_relative_ess", *(["bootstrap_ci_width", "bootstrap_nonfinite_fraction"] if reps else []), "n_prompts"))
 
 
 def column_subset(df: DataFrame, schema: str) -> DataFrame:

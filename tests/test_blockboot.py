@@ -167,3 +167,15 @@ def test_digests_of_long_names():
     for prefix in (b"x|", b"y" * 50 + b"|", b"z" * 130 + b"|"):
         got = blockboot._digests()(np, prefix, (8, 103), (0, 1003))
         assert all(got[r - 8, i] == int(hashlib.md5(prefix + f"{r}|{i}".encode()).hexdigest()[:8], 16) for r in (8, 10, 99, 102) for i in (0, 9, 10, 1002))
+
+
+@pytest.mark.parametrize("name", ["sample_size"])
+def test_prompts_are_made_once_a_query(spark, monkeypatch, name):
+    """What is bootstrapped comes from a table of prompts, not from the events again."""
+    from driftlog.operators import bootstrap
+    from driftlog.plans.catalogue import QUERIES
+
+    seen, portable = [], bootstrap.portable
+    monkeypatch.setattr(bootstrap, "portable", lambda df, *a: seen.append(df.inputFiles()) or portable(df, *a))
+    QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 1 and seen[0] and not any("events.parquet" in f for f in seen[0])
