@@ -50,48 +50,57 @@ def _digests():
     def word(np, fixed, changing, n):
         """``fixed``: the message's bytes, 0 where one changes; ``changing``: arrays by word, to be added."""
         tail = fixed + b"\x80" + bytes(-(len(fixed) + 9) % 64) + (8 * len(fixed)).to_bytes(8, "little")
-        state = [np.full(n, x, np.uint32) for x in start]
+        mask, first = 0xFFFFFFFF, min(changing)
+        base, whole = list(start), False  # numbers, then arrays
+        number = [np.array(i, np.uint32) for i in range(32)]  # calls take arrays quicker than numbers
+        add, both, either, other, opposite, left, right = np.add, np.bitwise_and, np.bitwise_or, np.bitwise_xor, np.invert, np.left_shift, np.right_shift
         f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
         for block in range(0, len(tail), 64):
             last = block + 64 == len(tail)
-            a, b, c, d = state if last else [x.copy() for x in state]
-            first = state[0].copy() if last else None
+            a, b, c, d = [x.copy() for x in base] if whole else base
             for i in range(61 if last else 64):  # the first word is whole after step 60
                 kind = i // 16
+                k = (i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16
+                at = block + 4 * k
+                constant = (sines[i] + int.from_bytes(tail[at : at + 4], "little")) & mask
+                turn = turns[kind][i % 4]
+                if not whole and kind == 0 and at // 4 < first:  # the same for all draws so far
+                    x = (a + (d ^ (b & (c ^ d))) + constant) & mask
+                    a, b, c, d = d, (b + ((x << turn | x >> (32 - turn)) & mask)) & mask, b, c
+                    continue
+                if not whole:
+                    a, b, c, d = (np.full(n, x, np.uint32) for x in (a, b, c, d))
+                    whole = True
                 if kind == 0:
-                    np.bitwise_xor(c, d, out=f)
-                    f &= b
-                    f ^= d
-                    k = i
+                    other(c, d, f)
+                    both(f, b, f)
+                    other(f, d, f)
                 elif kind == 1:
-                    np.bitwise_xor(b, c, out=f)
-                    f &= d
-                    f ^= c
-                    k = (5 * i + 1) % 16
+                    other(b, c, f)
+                    both(f, d, f)
+                    other(f, c, f)
                 elif kind == 2:
-                    np.bitwise_xor(b, c, out=f)
-                    f ^= d
-                    k = (3 * i + 5) % 16
+                    other(b, c, f)
+                    other(f, d, f)
                 else:
-                    np.invert(d, out=f)
-                    f |= b
-                    f ^= c
-                    k = 7 * i % 16
-                at = block + 4 * k
-                a += f
-                a += np.uint32((sines[i] + int.from_bytes(tail[at : at + 4], "little")) & 0xFFFFFFFF)
+                    opposite(d, f)
+                    either(f, b, f)
+                    other(f, c, f)
+                add(a, f, a)
+                add(a, np.array(constant, np.uint32), a)
                 if at // 4 in changing:
-                    a += changing[at // 4]
-                turn = turns[kind][i % 4]
-                np.right_shift(a, np.uint32(32 - turn), out=t)
-                a <<= np.uint32(turn)
-                a |= t
-                a += b
+                    add(a, changing[at // 4], a)
+                right(a, number[32 - turn], t)
+                left(a, number[turn], a)
+                either(a, t, a)
+                add(a, b, a)
                 a, b, c, d = d, a, b, c
             if last:
-                return (first + b).byteswap()
-            for x, y in zip(state, (a, b, c, d), strict=True):
-                x += y
+                return (np.asarray(base[0], np.uint32) + b).byteswap()
+            if whole:
+                base = [np.asarray(x, np.uint32) + y for x, y in zip(base, (a, b, c, d), strict=True)]
+            else:
+                base = [(x + y) & mask for x, y in zip(base, (a, b, c, d), strict=True)]
 
     def spans(lo, hi):
         """Ranges of numbers with equally many digits."""
@@ -100,28 +109,37 @@ def _digests():
             yield lo, min(hi, 10**digits), digits
             lo = 10**digits
 
+    def digits_by_word(np, x, digits, end):
+        """The decimal digits of numbers that end before a byte of the message, to be added to its words."""
+        words = {}
+        for k in range(1, digits + 1):
+            rest = x // np.uint32(10)
+            digit, x, at = x - rest * np.uint32(10), rest, end - k
+            words[at // 4] = words.get(at // 4, np.uint32(0)) + ((digit + np.uint32(48)) << np.uint32(at % 4 * 8))
+        return words
+
     def run(np, prefix, replicates, draws):
         """By replicate and draw, of two ranges."""
         out = np.empty((replicates[1] - replicates[0], draws[1] - draws[0]), np.uint32)
         for r0, r1, r_digits in spans(*replicates):
             for i0, i1, i_digits in spans(*draws):
-                fixed = prefix + bytes(r_digits) + b"|" + bytes(i_digits)
+                end = len(prefix) + r_digits
                 wide = min(i1 - i0, tile)
                 tall = max(1, tile // wide)
-                for r in range(r0, r1, tall):
-                    for i in range(i0, i1, wide):
-                        rows, columns = np.arange(r, min(r + tall, r1), dtype=np.uint32), np.arange(i, min(i + wide, i1), dtype=np.uint32)
-                        changing = {}
-                        for x, digits, end, spread in ((rows, r_digits, len(prefix) + r_digits, lambda v: np.repeat(v, len(columns))), (columns, i_digits, len(fixed), lambda v: np.tile(v, len(rows)))):  # noqa: B023
-                            words = {}
-                            for k in range(1, digits + 1):
-                                x, digit = np.divmod(x, np.uint32(10))
-                                at = end - k
-                                words[at // 4] = words.get(at // 4, np.uint32(0)) + ((digit + np.uint32(48)) << np.uint32(at % 4 * 8))
-                            for w, v in words.items():
-                                changing[w] = changing[w] + spread(v) if w in changing else spread(v)
-                        made = word(np, fixed, changing, len(rows) * len(columns))
-                        out[r - replicates[0] : r - replicates[0] + len(rows), i - draws[0] : i - draws[0] + len(columns)] = made.reshape(len(rows), len(columns))
+                for i in range(i0, i1, wide):
+                    columns = digits_by_word(np, np.arange(i, min(i + wide, i1), dtype=np.uint32), i_digits, end + 1 + i_digits)
+                    n = min(wide, i1 - i)
+                    for r in range(r0, r1, tall):
+                        m = min(tall, r1 - r)
+                        if m == 1:  # the replicate's digits are the same for all draws
+                            changing, fixed = columns, prefix + str(r).encode() + b"|" + bytes(i_digits)
+                        else:
+                            changing, fixed = {w: np.tile(v, m) for w, v in columns.items()}, prefix + bytes(r_digits) + b"|" + bytes(i_digits)
+                            for w, v in digits_by_word(np, np.arange(r, r + m, dtype=np.uint32), r_digits, end).items():
+                                v = np.repeat(v, n)
+                                changing[w] = changing[w] + v if w in changing else v
+                        at = out[r - replicates[0] : r - replicates[0] + m, i - draws[0] : i - draws[0] + n]
+                        at[:] = word(np, fixed, changing, m * n).reshape(m, n)
         return out
 
     return run
@@ -205,16 +223,21 @@ def _sampler(reps: int, streams: list[str], leaf: int | None, digests: bool, key
                 r1 = min(r0 + some, reps)
                 drawn = np.zeros((r1 - r0) * width, np.int64)
                 for i0 in range(0, most, most_draws):
+                    if digests:  # a replicate's draws are as many as the pair's prompts
+                        position = digest(np, seeds[stream].encode(), (r0, r1), (i0, min(i0 + most_draws, most)))
+                        position -= position // np.uint32(n) * np.uint32(n)
+                        for r, at in enumerate(position):
+                            if width < size:
+                                at = at[(at >= low - lo) & (at < high - lo)] - np.uint32(low - lo)
+                            drawn[r * width : (r + 1) * width] += np.bincount(at, minlength=width)
+                        continue
                     here = np.clip(counts[r0:r1] - i0, 0, most_draws)
                     of = np.repeat(np.arange(r1 - r0), here)
-                    if digests:
-                        position = (digest(np, seeds[stream].encode(), (r0, r1), (i0, min(i0 + most_draws, most))).reshape(-1) % np.uint32(n)).astype(np.int64)
-                    else:
-                        r = np.arange(r0, r1, dtype=np.uint32)
-                        a, b = (mixed(base ^ (r * np.uint32(2) + np.uint32(k)) * np.uint32(0x9E3779B1)) for k in (0, 1))
-                        i = (np.arange(len(of)) - np.repeat(np.cumsum(here) - here, here) + i0).astype(np.uint32)
-                        draw = mixed(mixed(a[of] ^ i) + b[of])
-                        position = ((draw.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+                    r = np.arange(r0, r1, dtype=np.uint32)
+                    a, b = (mixed(base ^ (r * np.uint32(2) + np.uint32(k)) * np.uint32(0x9E3779B1)) for k in (0, 1))
+                    i = (np.arange(len(of)) - np.repeat(np.cumsum(here) - here, here) + i0).astype(np.uint32)
+                    draw = mixed(mixed(a[of] ^ i) + b[of])
+                    position = ((draw.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
                     at = position - (low - lo)
                     if width < size:
                         own = (at >= 0) & (at < width)
@@ -282,7 +305,8 @@ def replicates(matched: DataFrame, reps: int, scratch: Scratch, pair: list[str]
     names = [*pair, "stream", "column", "bin", "replicate", *parts]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matched.select(*pair).schema) + "".join(f", `{c}` bigint" for c in names[len(pair) :])
     rows = rows.select(*pair, "_block", "_rank", "_n", "_weight", F.coalesce("pwis", F.lit(float("nan"))).alias("pwis"), F.coalesce("prompt_accuracy", F.lit(float("nan"))).alias("prompt_accuracy"), *seeds)
-    tasks = max(1, int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # blocks are small and slow: none are put together
+    tasks = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, min(4 * tasks, 128))  # blocks are small and slow: few of them in a task, and none put together
     drawn = rows.repartition(tasks, *pair, "_block").groupBy(*pair, "_block").applyInArrow(_sampler(reps, streams, leaf, digests, pair, names), schema)  # a block's prompts at most
     sums = drawn.groupBy(*pair, "stream", "column", "bin", "replicate").agg(*(F.sum(p).alias(p) for p in parts))
     bins = F.struct("bin", *parts)

@@ -179,3 +179,30 @@ def test_prompts_are_made_once_a_query(spark, monkeypatch, name):
     monkeypatch.setattr(bootstrap, "portable", lambda df, *a: seen.append(df.inputFiles()) or portable(df, *a))
     QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert len(seen) == 1 and seen[0] and not any("events.parquet" in f for f in seen[0])
+
+
+def test_digests_are_those_of_hashlib_wherever_they_begin_to_differ():
+    """One and two blocks of a message; the replicate's digits alone, or with others, in the words that change."""
+    import hashlib
+
+    digest = blockboot._digests()
+    for long in (0, 3, 30, 46, 49, 50, 53, 54, 55, 61, 62, 64, 119, 128):
+        prefix = b"p" * long + b"|"
+        for reps, draws in (((0, 12), (0, 13)), ((98, 102), (95, 1010)), ((7, 8), (99_990, 100_010)), ((5, 6), (0, 3))):
+            got = digest(np, prefix, reps, draws)
+            for r in range(*reps):
+                for i in (draws[0], draws[0] + 1, sum(draws) // 2, draws[1] - 1):
+                    assert got[r - reps[0], i - draws[0]] == int(hashlib.md5(prefix + f"{r}|{i}".encode()).hexdigest()[:8], 16)
+
+
+def test_prompts_of_pairs_are_sorted_by_number_in_many_partitions(spark):
+    """Rows of prompts grow by the pairs after the exchange: they are dealt out for that, and sorted by what tells them apart first."""
+    import re
+
+    from driftlog.operators.overlap import prompt_stats
+    from driftlog.plans.fixtures import Fixture
+
+    rows = Fixture(spark, "/root/testdata/sf0.001").rescores
+    assert rows.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = prompt_stats(rows)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[prompt_id#\d+L ASC NULLS FIRST, split", plan) and "Sort [split" not in plan
