@@ -98,6 +98,8 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _ONES = np.ones(WAYS, np.float32)
+#: Rows that are worked on at once: their layers stay in a core's cache.
+TILE = 1024
 
 
 def _forward(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray):
@@ -106,47 +108,65 @@ def _forward(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray):
     a = x @ p["w"]
     a += p["b"]
     given = (None, digits[:, 0], digits[:, 0] * WAYS + digits[:, 1])
-    at, layers = np.arange(len(around)), []
+    at, layers = np.arange(0, len(around) * WAYS, WAYS), []
     for j in (1, 2, 3):
-        h = np.tanh(a if j == 1 else a + np.take(p[f"p{j}"], given[j - 1], axis=0))
+        h = a.copy() if j == 1 else np.take(p[f"p{j}"], given[j - 1], axis=0)
+        if j > 1:
+            h += a
+        np.tanh(h, out=h)
         s = h @ p[f"v{j}"]
         s += p[f"c{j}"]
         if f"q{j}" in p:
             s += p["q1"] if j == 1 else np.take(p[f"q{j}"], given[j - 1], axis=0)
-        s -= s.max() if np.ptp(s) < 60 else s.max(axis=1, keepdims=True)  # no sum of exponentials may vanish
-        own = s[at, digits[:, j - 1]]
+        if not (s.max() < 80 and s.min() > -80):  # no sum of exponentials may vanish or overflow
+            s -= s.max(axis=1, keepdims=True)
+        own = np.take(s.ravel(), at + digits[:, j - 1])
         np.exp(s, out=s)
         total = s @ _ONES
         layers.append((h, s, total, own - np.log(total)))
     return x, given, layers
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # by digits, as rows are below 2^16
-    ordered = rows[order]
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[at], np.add.reduceat(np.take(values, order, axis=0), at, axis=0)
+def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, which are below ``size``, and the sums of their values; ``values`` has a line for each column of a row."""
+    found = np.flatnonzero(np.bincount(rows, minlength=size))
+    out = np.empty((len(found), len(values)), values.dtype)
+    for k, column in enumerate(values):
+        out[:, k] = np.bincount(rows, weights=column.ravel(), minlength=size)[found]
+    return found, out
 
 
 def gradients(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the tokens and its gradients; those of ``SPARSE`` as rows and values."""
-    x, given, layers = _forward(p, around, digits)
-    at, n, loss, out, da = np.arange(len(around)), len(around), 0.0, {}, 0
-    for j, (h, d, total, logs) in enumerate(layers, 1):
-        loss -= float(logs.sum()) / n
-        d *= (1 / (total * np.float32(n)))[:, None]
-        d[at, digits[:, j - 1]] -= np.float32(1 / n)
-        dh = d @ p[f"v{j}"].T
-        out[f"v{j}"], out[f"c{j}"] = h.T @ d, np.ones(n, np.float32) @ d
-        np.multiply(h, h, out=h)
-        np.subtract(1, h, out=h)
-        dh *= h
-        if j > 1:
-            out[f"p{j}"] = _summed(given[j - 1], dh)
-        da = da + dh
-    out |= {"w": x.T @ da, "b": da.sum(axis=0), "e": _summed(around.ravel(), (da @ p["w"].T).reshape(-1, EMBED))}
-    return loss, out
+    n, kind, loss = len(around), p["w"].dtype, 0.0
+    out = {k: np.zeros_like(p[k]) for k in SHAPES if k not in SPARSE}
+    inputs = np.empty((2 * SIDE * EMBED, n), kind)
+    deltas = {j: np.empty((HIDDEN, n), kind) for j in (2, 3)}
+    for lo in range(0, n, TILE):
+        x, given, layers = _forward(p, around[lo : lo + TILE], digits[lo : lo + TILE])
+        here, da = slice(lo, lo + len(x)), 0
+        at, ones = np.arange(0, len(x) * WAYS, WAYS), np.ones(len(x), np.float32)
+        for j, (h, d, total, logs) in enumerate(layers, 1):
+            loss -= float(logs.sum()) / n
+            d *= (1 / (total * np.float32(n)))[:, None]
+            d.reshape(-1)[at + digits[here, j - 1]] -= np.float32(1 / n)
+            dh = d @ p[f"v{j}"].T
+            out[f"v{j}"] += h.T @ d
+            out[f"c{j}"] += ones @ d
+            np.multiply(h, h, out=h)
+            np.subtract(1, h, out=h)
+            dh *= h
+            if j > 1:
+                deltas[j][:, here] = dh.T
+                da += dh
+            else:
+                da = dh
+        out["w"] += x.T @ da
+        out["b"] += ones @ da
+        inputs[:, here] = p["w"] @ da.T
+    given = {2: digits[:, 0], 3: digits[:, 0] * WAYS + digits[:, 1]}
+    out |= {f"p{j}": _summed(given[j], deltas[j], len(p[f"p{j}"])) for j in (2, 3)}
+    return loss, out | {"e": _summed(around.T.ravel(), inputs.reshape(2 * SIDE, EMBED, n).transpose(1, 0, 2), ROWS)}
 
 
 def learn(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray, rate: float, seed: int = 0) -> None:
@@ -290,8 +310,8 @@ def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1, shard: int = SHARD)
 def log_probs(params: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray) -> np.ndarray:
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(around), np.float32)
-    for lo in range(0, len(around), BATCH):
-        out[lo : lo + BATCH] = sum(x[3] for x in _forward(params, around[lo : lo + BATCH], digits[lo : lo + BATCH])[2])
+    for lo in range(0, len(around), TILE):
+        out[lo : lo + TILE] = sum(x[3] for x in _forward(params, around[lo : lo + TILE], digits[lo : lo + TILE])[2])
     return out
 
 

@@ -228,6 +228,22 @@ def test_masked_word_gradients():
         assert g[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=1e-4)
 
 
+def test_masked_gradients_do_not_depend_on_tiles(monkeypatch):
+    """Gradients and scores of a batch in tiles of 7 rows and in one; logits beyond the range of exponentials of 32 bits too."""
+    rng = random.Random(5)
+    around, digits, _ = mw.windows(*flat(pa.array([" ".join(rng.choice(["one", "two,", "three"]) for _ in range(40))])))
+    for scale in (1.0, 300.0):
+        p = {k: v.astype(np.float64) * (scale if k[0] == "v" else 1) for k, v in mw.start().items()}
+        got = []
+        for tile in (7, 1 << 20):
+            monkeypatch.setattr(mw, "TILE", tile)
+            got.append((*mw.gradients(p, around, digits), mw.log_probs(p, around, digits)))
+        assert np.isfinite(got[0][0]) and got[0][0] == pytest.approx(got[1][0]) and got[0][0] == pytest.approx(-got[0][2].mean(), rel=1e-5)
+        assert np.allclose(got[0][2], got[1][2])
+        for k, g in got[0][1].items():
+            assert all(np.allclose(a, b) for a, b in (zip(g, got[1][1][k], strict=True) if k in mw.SPARSE else [(g, got[1][1][k])]))
+
+
 def test_masked_word_scores_are_the_plain_sums(spark, odd, empty):
     params = mw.start(4)
     for r in mw.score(odd, params).join(odd.select("doc_id", "text"), "doc_id").collect():
