@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from driftlog.llm.textblocks import blocks, flat, release, rows_of, ship, span_hashes
+from driftlog.llm.textblocks import blocks, flat, release, rows_of, ship, span_codes
 
 SIDE, EMBED, HIDDEN, ROWS, WAYS = 3, 16, 32, 1 << 15, 64
 SHAPES = {"e": (ROWS, EMBED), "p2": (WAYS, HIDDEN), "p3": (WAYS * WAYS, HIDDEN), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,)}
@@ -83,90 +84,146 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.append(starts[1:], len(raw)), rows_of(starts, offsets)
 
 
+def classes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each token, the hash of each number's bytes, and the tokens' rows."""
+    starts, ends, rows = tokens(raw, offsets)
+    if not len(starts):
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), rows
+    codes, distinct = span_codes(raw, starts, ends)
+    return codes, np.fromiter(map(xxh3_64_intdigest, distinct.tolist()), np.uint64, len(distinct)), rows
+
+
 def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embedding rows around each token (0 outside the text), its three digits, and its text's row."""
-    starts, ends, rows = tokens(raw, offsets)
-    hashes = span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    ids = (hashes % np.uint64(ROWS - 1)).astype(np.int32) + 1
+    codes, hashes, rows = classes(raw, offsets)
+    ids = ((hashes % np.uint64(ROWS - 1)).astype(np.int32) + 1)[codes]
     around = np.zeros((len(ids), 2 * SIDE), np.int32)
     for d in range(1, SIDE + 1):
         same = rows[d:] == rows[:-d]
         around[d:, SIDE - d] = ids[:-d] * same
         around[:-d, SIDE + d - 1] = ids[d:] * same
     digits = np.stack([(hashes >> np.uint64(s) & np.uint64(WAYS - 1)).astype(np.int32) for s in (58, 52, 46)], axis=1)
-    return around, digits, rows
+    return around, np.take(digits, codes, axis=0), rows
 
 
-_ONES = np.ones(WAYS, np.float32)
 #: Rows that are worked on at once: their layers stay in a core's cache.
-TILE = 1024
+TILE = 2048
+
 
+def _ready(p: dict[str, np.ndarray]) -> tuple[tuple, list[tuple]]:
+    """The parameters as ``_inputs`` and ``_layer`` take them; they do not change within a batch.
 
-def _forward(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray):
-    """Inputs, rows of the tables of digits, and by digit: hidden layer, exponentials, their sums, and the token's log-probability."""
-    x = np.take(p["e"], around, axis=0).reshape(len(around), -1)
-    a = x @ p["w"]
-    a += p["b"]
-    given = (None, digits[:, 0], digits[:, 0] * WAYS + digits[:, 1])
-    at, layers = np.arange(0, len(around) * WAYS, WAYS), []
+    A hidden layer is tanh(a + b) = 1 - 2r with r = 1 / (1 + exp(2a) exp(2b)). The exponentials of the rows of the tables of digits
+    are made here once, and 1 and 2 go to the weights behind, so that the layer is r itself.
+    """
+    layers = []
     for j in (1, 2, 3):
-        h = a.copy() if j == 1 else np.take(p[f"p{j}"], given[j - 1], axis=0)
+        v, q, table, near = p[f"v{j}"], p.get(f"q{j}"), None, False
+        bias = (p[f"c{j}"] + v.sum(axis=0)).astype(v.dtype, copy=False)
+        most = float((np.abs(v).sum(axis=0) + np.abs(p[f"c{j}"])).max()) + (0.0 if q is None else float(max(q.max(), -q.min())))
+        if q is not None:
+            q = (q + bias).astype(v.dtype, copy=False)
         if j > 1:
-            h += a
-        np.tanh(h, out=h)
-        s = h @ p[f"v{j}"]
-        s += p[f"c{j}"]
-        if f"q{j}" in p:
-            s += p["q1"] if j == 1 else np.take(p[f"q{j}"], given[j - 1], axis=0)
-        if not (s.max() < 80 and s.min() > -80):  # no sum of exponentials may vanish or overflow
-            s -= s.max(axis=1, keepdims=True)
-        own = np.take(s.ravel(), at + digits[:, j - 1])
-        np.exp(s, out=s)
-        total = s @ _ONES
-        layers.append((h, s, total, own - np.log(total)))
-    return x, given, layers
+            table = 2 * p[f"p{j}"]
+            near = bool(table.max() <= 40 and table.min() >= -40)  # then exp(2a) at its ends leaves r at its own
+            table = np.exp(table, out=table) if near else table
+        layers.append((-2 * v, bias if q is None else q, table, near, most < 80))
+    return (p["e"], 2 * p["w"], 2 * p["b"]), layers
+
+
+def _inputs(first: tuple, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, twice what the hidden layers add to their digits' rows, and its exponentials."""
+    e, w, b = first
+    x = np.take(e, around, axis=0).reshape(len(around), -1)
+    a = x @ w
+    a += b
+    with np.errstate(over="ignore", under="ignore"):
+        return x, a, np.exp(a)
+
+
+def _layer(layer: tuple, a: np.ndarray, grown: np.ndarray, given: np.ndarray | None, own: np.ndarray):
+    """Hidden layer r, exponentials of the logits, their sums, and the log-probability of the classes at ``own`` of all rows' ways."""
+    v, bias, table, near, bounded = layer
+    with np.errstate(over="ignore", under="ignore"):
+        if table is None:
+            r = grown + 1
+        else:
+            r = np.take(table, given, axis=0)
+            if near:
+                r *= grown
+            else:
+                r += a
+                np.exp(r, out=r)
+            r += 1
+    np.divide(1, r, out=r)
+    s = r @ v
+    s += bias if bias.ndim == 1 else np.take(bias, given, axis=0)
+    if not bounded and not (s.max() < 80 and s.min() > -80):  # no sum of exponentials may vanish or overflow
+        s -= s.max(axis=1, keepdims=True)
+    logs = np.take(s.ravel(), own)
+    np.exp(s, out=s)
+    total = s @ np.ones(WAYS, s.dtype)
+    logs -= np.log(total)
+    return r, s, total, logs
+
+
+def _given(digits: np.ndarray) -> tuple:
+    """Row of each table of digits."""
+    return None, digits[:, 0].astype(np.int64), digits[:, 0].astype(np.int64) * WAYS + digits[:, 1]
+
+
+def _owns(digits: np.ndarray) -> np.ndarray:
+    """By digit, where it lies among the ways of all rows of its tile."""
+    return (np.arange(len(digits)) % TILE * WAYS)[None, :] + digits.T
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, which are below ``size``, and the sums of their values; ``values`` has a line for each column of a row."""
+    """Distinct rows, which are below ``size``, and the sums of their values, two columns at a time as complex numbers."""
     found = np.flatnonzero(np.bincount(rows, minlength=size))
-    out = np.empty((len(found), len(values)), values.dtype)
-    for k, column in enumerate(values):
-        out[:, k] = np.bincount(rows, weights=column.ravel(), minlength=size)[found]
-    return found, out
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    pairs = np.result_type(values.dtype, np.complex64)
+    into, of = out.view(pairs), values.view(pairs)
+    for k in range(of.shape[1]):
+        np.add.at(into[:, k], rows, of[:, k])
+    return found, np.take(out, found, axis=0)
 
 
 def gradients(p: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the tokens and its gradients; those of ``SPARSE`` as rows and values."""
     n, kind, loss = len(around), p["w"].dtype, 0.0
     out = {k: np.zeros_like(p[k]) for k in SHAPES if k not in SPARSE}
-    inputs = np.empty((2 * SIDE * EMBED, n), kind)
-    deltas = {j: np.empty((HIDDEN, n), kind) for j in (2, 3)}
+    inputs = np.empty((n, 2 * SIDE * EMBED), kind)
+    deltas = {j: np.empty((n, HIDDEN), kind) for j in (2, 3)}
+    (first, layers), given, owns, around = _ready(p), _given(digits), _owns(digits), around.astype(np.int64)
+    back, backs = np.ascontiguousarray(p["w"].T), [np.ascontiguousarray(4 * p[f"v{j}"].T) for j in (1, 2, 3)]
     for lo in range(0, n, TILE):
-        x, given, layers = _forward(p, around[lo : lo + TILE], digits[lo : lo + TILE])
-        here, da = slice(lo, lo + len(x)), 0
-        at, ones = np.arange(0, len(x) * WAYS, WAYS), np.ones(len(x), np.float32)
-        for j, (h, d, total, logs) in enumerate(layers, 1):
+        here, da = slice(lo, lo + TILE), 0
+        x, a, grown = _inputs(first, around[here])
+        ones = np.ones(len(x), kind)
+        for j, layer in enumerate(layers, 1):
+            r, d, total, logs = _layer(layer, a, grown, None if j == 1 else given[j - 1][here], owns[j - 1, here])
             loss -= float(logs.sum()) / n
-            d *= (1 / (total * np.float32(n)))[:, None]
-            d.reshape(-1)[at + digits[here, j - 1]] -= np.float32(1 / n)
-            dh = d @ p[f"v{j}"].T
-            out[f"v{j}"] += h.T @ d
+            np.divide(1, total, out=total)
+            d *= total[:, None]
+            d.reshape(-1)[owns[j - 1, here]] -= 1
+            out[f"v{j}"] += r.T @ d
             out[f"c{j}"] += ones @ d
-            np.multiply(h, h, out=h)
-            np.subtract(1, h, out=h)
-            dh *= h
-            if j > 1:
-                deltas[j][:, here] = dh.T
-                da += dh
-            else:
-                da = dh
+            dh = np.matmul(d, backs[j - 1], out=None if j == 1 else deltas[j][here])
+            r -= r * r  # a quarter of the slope of tanh
+            dh *= r
+            da = dh if j == 1 else np.add(da, dh, out=da)
         out["w"] += x.T @ da
         out["b"] += ones @ da
-        inputs[:, here] = p["w"] @ da.T
-    given = {2: digits[:, 0], 3: digits[:, 0] * WAYS + digits[:, 1]}
-    out |= {f"p{j}": _summed(given[j], deltas[j], len(p[f"p{j}"])) for j in (2, 3)}
-    return loss, out | {"e": _summed(around.T.ravel(), inputs.reshape(2 * SIDE, EMBED, n).transpose(1, 0, 2), ROWS)}
+        np.matmul(da, back, out=inputs[here])
+    for j in (1, 2, 3):  # of h, which is 1 - 2r
+        out[f"v{j}"] *= -2
+        out[f"v{j}"] += out[f"c{j}"]
+    out |= {f"p{j}": _summed(given[j - 1], deltas[j], len(p[f"p{j}"])) for j in (2, 3)}
+    out["e"] = _summed(around.ravel(), inputs.reshape(-1, EMBED), len(p["e"]))
+    for k, g in out.items():
+        g = g[1] if k in SPARSE else g
+        g *= kind.type(1 / n)
+    return loss, out
 
 
 def learn(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray, rate: float, seed: int = 0) -> None:
@@ -176,15 +233,17 @@ def learn(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], around: np.n
         pick = order[lo : lo + BATCH]
         for k, g in gradients(p, np.take(around, pick, axis=0), np.take(digits, pick, axis=0))[1].items():
             rows, g = g if k in SPARSE else (None, g)
-            total = squares[k] if rows is None else np.take(squares[k], rows, axis=0)
-            total += g * g
+            total = g * g
+            total += squares[k] if rows is None else np.take(squares[k], rows, axis=0)
+            squares[k][... if rows is None else rows] = total
+            np.sqrt(total, out=total)
+            total += np.float32(1e-8)
             g *= rate
-            g /= np.sqrt(total) + np.float32(1e-8)
+            g /= total
             if rows is None:
                 p[k] -= g
             else:
-                squares[k][rows] = total
-                p[k][rows] = np.take(p[k], rows, axis=0) - g
+                p[k][rows] = np.subtract(np.take(p[k], rows, axis=0), g, out=g)
 
 
 def prior(counts: np.ndarray, add: float = 0.1) -> dict[str, np.ndarray]:
@@ -204,10 +263,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(WAYS**3, np.int64)
         for batch in batches:
             for part in blocks(batch, "text"):
-                raw, offsets = flat(part.column("text"))
-                starts, ends, _ = tokens(raw, offsets)
-                if len(starts):
-                    counts += np.bincount((span_hashes(raw, starts, ends) >> np.uint64(46)).astype(np.int64), minlength=len(counts))
+                codes, hashes, _ = classes(*flat(part.column("text")))
+                np.add.at(counts, (hashes >> np.uint64(46)).astype(np.int64), np.bincount(codes, minlength=len(hashes)))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["c", "n"])
         release()
@@ -310,8 +367,11 @@ def fit(docs: DataFrame, rounds: int = 3, rate: float = 0.1, shard: int = SHARD)
 def log_probs(params: dict[str, np.ndarray], around: np.ndarray, digits: np.ndarray) -> np.ndarray:
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(around), np.float32)
+    (first, layers), given, owns = _ready(params), _given(digits), _owns(digits)
     for lo in range(0, len(around), TILE):
-        out[lo : lo + TILE] = sum(x[3] for x in _forward(params, around[lo : lo + TILE], digits[lo : lo + TILE])[2])
+        here = slice(lo, lo + TILE)
+        _, a, grown = _inputs(first, around[here])
+        out[here] = sum(_layer(layer, a, grown, None if g is None else g[here], own[here])[3] for layer, g, own in zip(layers, given, owns, strict=True))
     return out
 
 

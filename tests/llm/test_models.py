@@ -244,6 +244,53 @@ def test_masked_gradients_do_not_depend_on_tiles(monkeypatch):
             assert all(np.allclose(a, b) for a, b in (zip(g, got[1][1][k], strict=True) if k in mw.SPARSE else [(g, got[1][1][k])]))
 
 
+class _Counted:
+    """NumPy, with the elements counted whose exponentials or hyperbolic tangents are taken."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        def counted(x, *args, **named):
+            self.n += np.size(x)
+            return getattr(np, name)(x, *args, **named)
+
+        return counted if name in ("exp", "tanh") else getattr(np, name)
+
+
+def test_masked_layers_take_one_exponential_a_hidden_unit(monkeypatch):
+    """A token takes those of its hidden layer once, not once a digit, beside those of its logits and of the tables of a batch."""
+    around, digits, _ = mw.windows(*flat(pa.array([" ".join(f"w{i * i % 977}" for i in range(6000))])))
+    p, tables = mw.start(), (mw.WAYS + mw.WAYS**2) * mw.HIDDEN
+    for run in (mw.log_probs, mw.gradients):
+        counted = _Counted()
+        monkeypatch.setattr(mw, "np", counted)
+        run(p, around, digits)
+        monkeypatch.setattr(mw, "np", np)
+        assert counted.n <= tables + len(digits) * (3 * mw.WAYS + mw.HIDDEN)
+
+
+@pytest.mark.parametrize("scale", [1.0, 30.0, 90.0, 3000.0])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_masked_scores_at_the_ends_of_the_hidden_layer(scale, kind):
+    """Hidden layers as hyperbolic tangents, where exponentials of 32 bits end too; tables of digits small, large and against the inputs."""
+    around, digits, _ = mw.windows(*flat(pa.array([" ".join(f"w{i * i % 97}" for i in range(300)) + "\n漢é"])))
+    for of in (("w",), ("p2", "p3"), ("w", "p2", "p3")):
+        p = {k: (v * (scale if k in of else 1)).astype(kind) for k, v in mw.start(3).items()}
+        if of == ("w", "p2", "p3"):  # sums of large numbers that are small
+            a = p["e"][around].reshape(len(around), -1) @ p["w"] + p["b"]
+            p["p2"][digits[:, 0]] = 0.5 - a
+        wide = {k: v.astype(np.float64) for k, v in p.items()}
+        a = wide["e"][around].reshape(len(around), -1) @ wide["w"] + wide["b"]
+        want = 0.0
+        for j, add in enumerate((0, wide["p2"][digits[:, 0]], wide["p3"][digits[:, 0] * mw.WAYS + digits[:, 1]]), 1):
+            s = np.tanh(a + add) @ wide[f"v{j}"] + wide[f"c{j}"]
+            want = want + s[np.arange(len(s)), digits[:, j - 1]] - np.log(np.exp(s).sum(axis=1))
+        with np.errstate(all="raise", under="ignore"):
+            got = mw.log_probs(p, around, digits)
+        assert np.allclose(got, want, atol=1e-4 if kind == np.float64 else 1e-4 * max(1, scale / 30))
+
+
 def test_masked_word_scores_are_the_plain_sums(spark, odd, empty):
     params = mw.start(4)
     for r in mw.score(odd, params).join(odd.select("doc_id", "text"), "doc_id").collect():
